@@ -132,7 +132,8 @@ def summary(triaged: DataFrame, as_of: Column | None = None) -> DataFrame:
         F.count_if(kept).alias("_kept"),
         F.max("ts").alias("_last"),
         F.max(F.col("escalated").cast("int")).cast("boolean").alias("escalated"),
-        F.avg(F.when(kept, F.col("sentiment_score"))).alias("_avg"),
+        # decimal average: order-independent sum, exact half-up rounding
+        F.avg(F.when(kept, F.col("sentiment_score").cast("decimal(20,10)"))).alias("_avg"),
     )
     end = as_of if as_of is not None else F.col("_last")
     duration = F.when(
@@ -147,7 +148,7 @@ def summary(triaged: DataFrame, as_of: Column | None = None) -> DataFrame:
             duration.alias("duration_minutes"),
             "escalated",
             F.coalesce(F.col("primary_intent"), F.lit(UNKNOWN_INTENT)).alias("primary_intent"),
-            F.coalesce(F.round(F.col("_avg"), 2), F.lit(DEFAULT_AVG_SENTIMENT)).alias("avg_sentiment"),
+            F.coalesce(F.round(F.col("_avg"), 2).cast("double"), F.lit(DEFAULT_AVG_SENTIMENT)).alias("avg_sentiment"),
         )
     )
 

@@ -41,18 +41,34 @@ def with_defaults(df: DataFrame) -> DataFrame:
     return out
 
 
+def exact_avg(c: str) -> Column:
+    """Average computed in decimal: the sum does not depend on the order rows
+    are added in, so thresholds and rounding give the same answer however the
+    frame is partitioned or re-computed."""
+    return F.avg(F.col(c).cast("decimal(20,10)"))
+
+
 def _aggs() -> dict[str, tuple[int, Column]]:
     n = WINDOW_SIZE
     return {
         "window_n": (n, F.count(F.lit(1))),
         "escalation_rate": (n, F.avg(F.col("escalated").cast("double"))),
         "pii_success_rate": (n, F.avg(F.col("pii_filter_success").cast("double"))),
-        "avg_sentiment": (n, F.avg("sentiment_score")),
-        "avg_cost": (n, F.avg("cost")),
-        "recent_sentiment": (SENTIMENT_SPIKE_WINDOW, F.avg("sentiment_score")),
+        "avg_sentiment": (n, exact_avg("sentiment_score")),
+        "avg_cost": (n, exact_avg("cost")),
+        "recent_sentiment": (SENTIMENT_SPIKE_WINDOW, exact_avg("sentiment_score")),
     }
 
 
+_DECIMAL_OUT = ["avg_sentiment", "avg_cost", "recent_sentiment"]
+
+
+def _to_double(df: DataFrame) -> DataFrame:
+    for c in _DECIMAL_OUT:
+        df = df.withColumn(c, F.col(c).cast("double"))
+    return df
+
+
 def rolling(interactions: DataFrame, plan: str = "halo", block: int = 1 << 16, key: str | None = None) -> DataFrame:
     """Rolling metrics per interaction. ``plan``: ``halo`` (parallel), ``naive``
     (one global window) or ``keyed`` (one monitor per ``key``)."""
@@ -62,10 +78,10 @@ def rolling(interactions: DataFrame, plan: str = "halo", block: int = 1 << 16, k
         for name, (n, agg) in _aggs().items():
             w = Window.partitionBy(key).orderBy(*ORDER).rowsBetween(-(n - 1), Window.currentRow)
             out = out.withColumn(name, agg.over(w))
-        return out
+        return _to_double(out)
     if plan == "naive":
-        return rolling_naive(df, ORDER, _aggs())
-    return rolling_global(df, ORDER, _aggs(), block=block).drop("_rn")
+        return _to_double(rolling_naive(df, ORDER, _aggs()))
+    return _to_double(rolling_global(df, ORDER, _aggs(), block=block).drop("_rn"))
 
 
 def _pct1(x: Column) -> Column:
@@ -140,11 +156,12 @@ def health_report(dash: DataFrame) -> DataFrame:
         F.explode(
             F.array(
                 F.struct(F.lit("total_interactions").alias("metric"), F.col("total_interactions").cast("double").alias("value"), F.lit(None).cast("double").alias("baseline")),
-                F.struct(F.lit("escalation_rate"), F.col("escalation_rate"), F.lit(BASELINES["escalation_rate"])),
-                F.struct(F.lit("pii_success_rate"), F.col("pii_success_rate"), F.lit(BASELINES["pii_success_rate"])),
-                F.struct(F.lit("avg_sentiment"), F.col("avg_sentiment"), F.lit(BASELINES["avg_sentiment"])),
-                F.struct(F.lit("avg_cost"), F.col("avg_cost"), F.lit(BASELINES["avg_cost"])),
-                F.struct(F.lit("critical_alerts"), F.col("recent_alerts").cast("double"), F.lit(None).cast("double")),
+                *[
+                    F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(BASELINES[b]).cast("double").alias("baseline"))
+                    for m, b in [("escalation_rate", "escalation_rate"), ("pii_success_rate", "pii_success_rate"),
+                                 ("avg_sentiment", "avg_sentiment"), ("avg_cost", "avg_cost")]
+                ],
+                F.struct(F.lit("critical_alerts").alias("metric"), F.col("recent_alerts").cast("double").alias("value"), F.lit(None).cast("double").alias("baseline")),
             )
         ).alias("r")
     ).select("r.*")

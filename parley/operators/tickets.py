@@ -25,14 +25,14 @@ def _ticket_id(ts, conv_id, turn):
 
 
 def repeat_counts(triaged: DataFrame) -> DataFrame:
-    """How often the same (normalised) question was asked in the conversation
-    up to each turn is approximated by the total count per conversation."""
+    """How often each (normalised) message text occurs in its conversation."""
     norm = F.lower(F.regexp_replace(F.trim(F.col("redacted_message")), r"\s+", " "))
     return triaged.withColumn("_q", norm).groupBy("conv_id", "_q").agg(F.count(F.lit(1)).alias("repeats"))
 
 
 def triage_priority(triaged: DataFrame, order_totals: DataFrame | None = None) -> DataFrame:
-    """Priority per escalated message from the guideline rules."""
+    """Priority per message from the guideline rules (repeats are counted
+    over all turns of the conversation)."""
     norm = F.lower(F.regexp_replace(F.trim(F.col("redacted_message")), r"\s+", " "))
     t = triaged.withColumn("_q", norm)
     t = t.join(repeat_counts(triaged), ["conv_id", "_q"], "left")
@@ -48,7 +48,7 @@ def triage_priority(triaged: DataFrame, order_totals: DataFrame | None = None) -
 
 def create_from_triage(triaged: DataFrame, order_totals: DataFrame | None = None) -> DataFrame:
     """One pending ticket per escalated message."""
-    esc = triage_priority(triaged.filter(F.col("escalated")), order_totals)
+    esc = triage_priority(triaged, order_totals).filter(F.col("escalated"))
     return esc.select(
         _ticket_id(F.col("ts"), F.col("conv_id"), F.col("turn")).alias("escalation_id"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"),

@@ -258,7 +258,8 @@ def _duck_parse(raw: str, fields: list[parse.ReplyField], errors: dict) -> dict[
     inner = f"(CASE WHEN starts_with({inner}, 'json') THEN substr({inner}, 5) ELSE {inner} END)"
     body = f"(CASE WHEN starts_with({s}, '```') THEN {inner} ELSE {s} END)"
     sb = f"regexp_replace({body}, '^\\s+|\\s+$', '', 'g')"
-    is_obj = f"coalesce(json_valid({body}) AND json_type({body}) = 'OBJECT' AND ends_with({sb}, '}}'), false)"
+    vb = f"(CASE WHEN json_valid({body}) THEN {body} END)"
+    is_obj = f"coalesce(json_type({vb}) = 'OBJECT' AND ends_with({sb}, '}}'), false)"
     ok = is_obj
     vals = {}
     for f in fields:
@@ -708,15 +709,14 @@ def q_analysis_log_recent(spark, sf):
 
 @register(
     "review_resolve",
-    _TRIAGE
+    (_TRIAGE
     + f""", j AS (SELECT t.*, e.action, e.edited_text FROM triaged t JOIN v_review_events e USING (message_id)
   WHERE t.needs_human_review AND e.action <> 'reject')
 SELECT message_id, conv_id, turn, action,
   CASE WHEN action = 'send' THEN response WHEN action = 'send_edited' THEN edited_text ELSE {D.q(rules.PRIORITY_MESSAGES['high'])} END AS sent_text,
   true AS human_reviewed, action = 'send_edited' AS edited, action = 'escalate' AS escalated_by_agent,
-  CASE WHEN action = 'send' THEN pii_detected END AS pii_detected, CASE WHEN action = 'send' THEN safe END AS safe FROM j""".replace(
-        "WITH v_messages", "WITH v_review_events AS (" + fx.VIEWS["v_review_events"] + "), v_messages", 1
-    ),
+  CASE WHEN action = 'send' THEN pii_detected END AS pii_detected, CASE WHEN action = 'send' THEN safe END AS safe FROM j"""
+    ).replace("WITH v_messages", "WITH v_review_events AS (" + fx.VIEWS["v_review_events"] + "), v_messages", 1),
 )
 def q_review_resolve(spark, sf):
     return tri.review_resolve(triaged(spark, sf), V(spark, sf, "v_review_events"))
@@ -870,7 +870,7 @@ summ AS (SELECT ag.conv_id, turn_count,
     + D.spark_round("(epoch_us(_last) - epoch_us(_start)) / 6e7", 2)
     + """ END AS duration_minutes,
     escalated, coalesce(primary_intent, 'unknown') AS primary_intent,
-    coalesce(CAST(round(_avg, 2) AS DOUBLE), 0.5) AS avg_sentiment FROM ag LEFT JOIN pi USING (conv_id))"""
+    coalesce(""" + D.spark_round("_avg", 2) + """, 0.5) AS avg_sentiment FROM ag LEFT JOIN pi USING (conv_id))"""
 )
 
 
@@ -1324,7 +1324,7 @@ def _order_totals(spark, sf) -> DataFrame:
 @register("ticket_triage", _TICKET_TRIAGE + "\nSELECT message_id, priority FROM tp")
 def q_ticket_triage(spark, sf):
     t = triaged(spark, sf)
-    return tickets.triage_priority(t.filter(F.col("escalated")), _order_totals(spark, sf)).select("message_id", "priority")
+    return tickets.triage_priority(t, _order_totals(spark, sf)).filter(F.col("escalated")).select("message_id", "priority")
 
 
 @register(

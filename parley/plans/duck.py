@@ -27,13 +27,13 @@ def matches(t: str, etype: str, pattern: str, conf: float = pii.REGEX_CONFIDENCE
     p = q("(?i)" + pattern)
     m = f"regexp_extract_all({t}, {p})"
     g = f"string_split_regex({t}, {p})"
-    before = f"length(array_to_string({g}[1:i], '')) + length(array_to_string({m}[1:i-1], ''))"
+    before = f"length(array_to_string({g}[1:li], '')) + length(array_to_string({m}[1:li-1], ''))"
     e = (
-        f"list_transform({m}, lambda x, i: {{'s': CAST({before} AS INTEGER), "
-        f"'e': CAST({before} + length(x) AS INTEGER), 'type': {q(etype)}, 'value': x, 'conf': {conf}}})"
+        f"list_transform({m}, lambda lx, li: {{'s': CAST({before} AS INTEGER), "
+        f"'e': CAST({before} + length(lx) AS INTEGER), 'type': {q(etype)}, 'value': lx, 'conf': {conf}}})"
     )
     if post:
-        e = f"list_filter({e}, lambda y: {post})"
+        e = f"list_filter({e}, lambda ly: {post})"
     return e
 
 
@@ -41,7 +41,7 @@ def type_matches(t: str, etype: str) -> str:
     if etype == "ORDER_ID":
         return matches(
             t, etype, DUCK_ORDER_ID,
-            post=f"length(regexp_extract(y.value, {q(DUCK_ORDER_ID_PART)}, 1)) BETWEEN 6 AND 15",
+            post=f"length(regexp_extract(ly.value, {q(DUCK_ORDER_ID_PART)}, 1)) BETWEEN 6 AND 15",
         )
     return matches(t, etype, pii.PATTERN_BY_TYPE[etype])
 
@@ -53,8 +53,8 @@ def candidates(t: str) -> str:
 def resolve(cands: str) -> str:
     """Greedy keep-if-no-overlap in list order, then sort by start."""
     return (
-        f"list_sort(list_reduce({cands}, lambda acc, x: CASE WHEN len(list_filter(acc, lambda z: x.s < z.e AND x.e > z.s)) > 0 "
-        f"THEN acc ELSE list_append(acc, x) END, {EMPTY_ENTS}))"
+        f"list_sort(list_reduce({cands}, lambda lacc, lx: CASE WHEN len(list_filter(lacc, lambda lz: lx.s < lz.e AND lx.e > lz.s)) > 0 "
+        f"THEN lacc ELSE list_append(lacc, lx) END, {EMPTY_ENTS}))"
     )
 
 
@@ -63,16 +63,16 @@ def entities(t: str) -> str:
 
 
 def redact(t: str, ents: str, style: str = "type") -> str:
-    ph = "'[' || x.type || ']'" if style == "type" else q(pii.GENERIC_PLACEHOLDER)
+    ph = "'[' || lx.type || ']'" if style == "type" else q(pii.GENERIC_PLACEHOLDER)
     st = (
-        f"list_reduce({ents}, lambda acc, x: {{'out': acc.out || substr({t}, acc.pos + 1, x.s - acc.pos) || {ph}, 'pos': x.e}}, "
+        f"list_reduce({ents}, lambda lacc, lx: {{'out': lacc.out || substr({t}, lacc.pos + 1, lx.s - lacc.pos) || {ph}, 'pos': lx.e}}, "
         f"{{'out': '', 'pos': 0}})"
     )
     return f"(CASE WHEN {t} IS NULL THEN NULL ELSE {st}.out || substr({t}, {st}.pos + 1) END)"
 
 
 def types_of(ents: str) -> str:
-    return f"list_sort(list_distinct(list_transform({ents}, lambda x: x.type)))"
+    return f"list_sort(list_distinct(list_transform({ents}, lambda lx: lx.type)))"
 
 
 def spark_round(x: str, d: int) -> str:
@@ -105,11 +105,11 @@ def guard_parts(t: str, ents: str, score: str, intent: str) -> dict[str, str]:
     issues = (
         f"list_filter([CASE WHEN {has_pii} THEN {pii_issue} END, CASE WHEN {g2} THEN {q(G.ISSUE_UNPROFESSIONAL)} END, "
         f"CASE WHEN {g3} THEN {q(G.ISSUE_OVERPROMISE)} END, CASE WHEN {g4} THEN {q(G.ISSUE_EMPATHY)} END, "
-        f"CASE WHEN {g5} THEN {q(G.ISSUE_REFUND)} END, CASE WHEN {g6} THEN {q(G.ISSUE_DELIVERY)} END], lambda z: z IS NOT NULL)"
+        f"CASE WHEN {g5} THEN {q(G.ISSUE_REFUND)} END, CASE WHEN {g6} THEN {q(G.ISSUE_DELIVERY)} END], lambda lz: lz IS NOT NULL)"
     )
     suggestions = (
         f"list_filter([CASE WHEN {has_pii} THEN {q(G.SUGGEST_PII)} END, CASE WHEN {g2} THEN {q(G.SUGGEST_UNPROFESSIONAL)} END, "
-        f"CASE WHEN {g3} THEN {q(G.SUGGEST_OVERPROMISE)} END, CASE WHEN {g4} THEN {q(G.SUGGEST_EMPATHY)} END], lambda z: z IS NOT NULL)"
+        f"CASE WHEN {g3} THEN {q(G.SUGGEST_OVERPROMISE)} END, CASE WHEN {g4} THEN {q(G.SUGGEST_EMPATHY)} END], lambda lz: lz IS NOT NULL)"
     )
     return {
         "has_pii": has_pii, "g2": g2, "g3": g3, "g4": g4, "g5": g5, "g6": g6,
