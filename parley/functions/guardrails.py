@@ -72,43 +72,45 @@ def pii_issue_text(types: Column) -> Column:
     return F.concat(F.lit(ISSUE_PII_PREFIX + "['"), F.array_join(types, "', '"), F.lit("']"))
 
 
-def check_with_entities(text: Column, entities: Column, score: Column, intent: Column) -> Column:
-    """Guardrail result given the reply's resolved PII entities.
-
-    Struct: safe, issues (ordered), suggestions, modified_response, pii_types.
-    """
+def _flags(text: Column, low: Column, entities: Column, score: Column, intent: Column) -> dict[str, Column]:
     score = F.coalesce(score, F.lit(DEFAULT_SCORE))
     intent = F.coalesce(intent, F.lit(DEFAULT_INTENT))
+    return {
+        "has_pii": F.size(entities) > 0,
+        "g2": low.rlike(r"\b(" + "|".join(UNPROFESSIONAL_WORDS) + r")\b"),
+        "g3": _any_contains(low, OVERPROMISE_PHRASES),
+        "g4": (score < 0.3) & ~_any_contains(low, EMPATHY_PHRASES),
+        "g5": (intent == "refund_request") & low.contains("refund") & ~_any_contains(low, HUMAN_WORDS),
+        "g6": low.rlike("(?i)" + DELIVERY_PROMISE) & (intent == "order_status"),
+    }
+
+
+def _result(text: Column, entities: Column, f: dict[str, Column]) -> Column:
     types = pii.entity_types(entities)
-    has_pii = F.size(entities) > 0
-    g2 = unprofessional(text)
-    g3 = overpromises(text)
-    g4 = (score < 0.3) & ~shows_empathy(text)
-    g5 = refund_policy_issue(text, intent)
-    g6 = delivery_policy_issue(text, intent)
     issues = F.filter(
         F.array(
-            F.when(has_pii, pii_issue_text(types)),
-            F.when(g2, F.lit(ISSUE_UNPROFESSIONAL)),
-            F.when(g3, F.lit(ISSUE_OVERPROMISE)),
-            F.when(g4, F.lit(ISSUE_EMPATHY)),
-            F.when(g5, F.lit(ISSUE_REFUND)),
-            F.when(g6, F.lit(ISSUE_DELIVERY)),
+            F.when(f["has_pii"], pii_issue_text(types)),
+            F.when(f["g2"], F.lit(ISSUE_UNPROFESSIONAL)),
+            F.when(f["g3"], F.lit(ISSUE_OVERPROMISE)),
+            F.when(f["g4"], F.lit(ISSUE_EMPATHY)),
+            F.when(f["g5"], F.lit(ISSUE_REFUND)),
+            F.when(f["g6"], F.lit(ISSUE_DELIVERY)),
         ),
         lambda x: x.isNotNull(),
     )
     suggestions = F.filter(
         F.array(
-            F.when(has_pii, F.lit(SUGGEST_PII)),
-            F.when(g2, F.lit(SUGGEST_UNPROFESSIONAL)),
-            F.when(g3, F.lit(SUGGEST_OVERPROMISE)),
-            F.when(g4, F.lit(SUGGEST_EMPATHY)),
+            F.when(f["has_pii"], F.lit(SUGGEST_PII)),
+            F.when(f["g2"], F.lit(SUGGEST_UNPROFESSIONAL)),
+            F.when(f["g3"], F.lit(SUGGEST_OVERPROMISE)),
+            F.when(f["g4"], F.lit(SUGGEST_EMPATHY)),
         ),
         lambda x: x.isNotNull(),
     )
-    modified = F.when(has_pii, pii.redact_with(text, entities)).otherwise(text)
+    safe = ~(f["has_pii"] | f["g2"] | f["g3"] | f["g4"] | f["g5"] | f["g6"])
+    modified = F.when(f["has_pii"], pii.redact_with(text, entities)).otherwise(text)
     return F.struct(
-        (F.size(issues) == 0).alias("safe"),
+        safe.alias("safe"),
         issues.alias("issues"),
         suggestions.alias("suggestions"),
         modified.alias("modified_response"),
@@ -116,6 +118,16 @@ def check_with_entities(text: Column, entities: Column, score: Column, intent: C
     )
 
 
+def check_with_entities(text: Column, entities: Column, score: Column, intent: Column) -> Column:
+    """Guardrail result given the reply's resolved PII entities.
+
+    Struct: safe, issues (ordered), suggestions, modified_response, pii_types.
+    Single-expression form; DataFrame steps use ``with_guardrails``, which
+    computes the lower-cased text and each check once per row.
+    """
+    return _result(text, entities, _flags(text, F.lower(text), entities, score, intent))
+
+
 def check_response(text: Column, score: Column | None = None, intent: Column | None = None) -> Column:
     """All checks on one reply column (defaults: score 0.5, intent '')."""
     score = score if score is not None else F.lit(DEFAULT_SCORE)
@@ -127,14 +139,16 @@ def with_guardrails(df, reply_col: str, score_col: str, intent_col: str, out: st
     """Add the first-pass guardrail struct; entities are projected once."""
     ents = f"_{out}_entities"
     text = F.col(reply_col)
-    return (
-        df.withColumn(
-            ents,
-            F.when(pii.may_contain_pii(text), pii.detect_pii(text)).otherwise(F.array().cast(pii.ENTITIES)),
-        )
-        .withColumn(out, check_with_entities(text, F.col(ents), F.col(score_col), F.col(intent_col)))
-        .drop(ents)
-    )
+    staged = pii.with_entities(df, reply_col, ents).withColumn(f"_{out}_low", F.lower(text))
+    flags = _flags(text, F.col(f"_{out}_low"), F.col(ents), _col_or_lit(score_col, DEFAULT_SCORE), _col_or_lit(intent_col, DEFAULT_INTENT))
+    names = {k: f"_{out}_{k}" for k in flags}
+    staged = staged.withColumns({names[k]: c for k, c in flags.items()})
+    result = _result(text, F.col(ents), {k: F.col(v) for k, v in names.items()})
+    return staged.withColumn(out, result).drop(ents, f"_{out}_low", *names.values())
+
+
+def _col_or_lit(name: str | None, default) -> Column:
+    return F.col(name) if name is not None else F.lit(default)
 
 
 def with_resolution(df, reply_col: str, score_col: str, intent_col: str):
@@ -147,16 +161,12 @@ def with_resolution(df, reply_col: str, score_col: str, intent_col: str):
     """
     reply = F.coalesce(F.col(reply_col), F.lit(FALLBACK_REPLY))
     staged = with_guardrails(df.withColumn("_reply", reply), "_reply", score_col, intent_col, out="_g1")
-    staged = staged.withColumn("_text2", F.col("_g1.modified_response"))
-    staged = staged.withColumn(
-        "_e2",
-        F.when(F.col("_g1.safe"), F.array().cast(pii.ENTITIES)).otherwise(
-            F.when(pii.may_contain_pii(F.col("_text2")), pii.detect_pii(F.col("_text2"))).otherwise(
-                F.array().cast(pii.ENTITIES)
-            )
-        ),
+    # pass 2 only matters for rows that failed pass 1; others scan an empty text
+    staged = staged.withColumn("_text2", F.col("_g1.modified_response")).withColumn(
+        "_scan2", F.when(F.col("_g1.safe"), F.lit("")).otherwise(F.col("_text2"))
     )
-    g2 = check_with_entities(F.col("_text2"), F.col("_e2"), F.lit(DEFAULT_SCORE), F.lit(DEFAULT_INTENT))
+    staged = with_guardrails(staged, "_scan2", None, None, out="_g2").drop("_scan2")
+    g2 = F.col("_g2")
     had_pii = F.size(F.col("_g1.pii_types")) > 0
     outcome = (
         F.when(F.col("_g1.safe"), "pass")
@@ -174,5 +184,5 @@ def with_resolution(df, reply_col: str, score_col: str, intent_col: str):
         .withColumn("final_response", final)
         .withColumn("safe", F.lit(True))
         .withColumn("first_pass_issues", F.col("_g1.issues"))
-        .drop("_reply", "_g1", "_text2", "_e2")
+        .drop("_reply", "_g1", "_text2", "_g2")
     )

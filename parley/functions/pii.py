@@ -16,7 +16,7 @@ Entity semantics:
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,10 @@ ENTITY = T.StructType(
 ENTITIES = T.ArrayType(ENTITY)
 
 
+# Literal every match of a type contains: rows without it skip that pattern.
+REQUIRED_LITERAL = {"EMAIL": "@"}
+
+
 def _ci(pattern: str) -> str:
     return "(?i)" + pattern
 
@@ -66,6 +70,8 @@ def match_entities(text: Column, etype: str, pattern: str, confidence: float = R
     """
     pat = _ci(pattern)
     matches = F.regexp_extract_all(text, F.lit(pat), 0)
+    if etype in REQUIRED_LITERAL:
+        matches = F.when(F.instr(text, REQUIRED_LITERAL[etype]) > 0, matches).otherwise(F.array().cast("array<string>"))
     gaps = F.split(text, pat, -1)
     # piece i = gap i followed by match i; prefix sums give the start of gap i
     pieces = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m))
@@ -74,7 +80,7 @@ def match_entities(text: Column, etype: str, pattern: str, confidence: float = R
         F.array(F.lit(0)),
         lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + p)),
     )
-    return F.transform(
+    found = F.transform(
         matches,
         lambda m, i: F.struct(
             F.lit(etype).alias("type"),
@@ -84,6 +90,8 @@ def match_entities(text: Column, etype: str, pattern: str, confidence: float = R
             F.lit(confidence).alias("confidence"),
         ),
     )
+    # the second regex pass (split, for offsets) only runs on rows with a match
+    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(ENTITIES))
 
 
 def regex_entities(text: Column, types: list[str] | None = None) -> Column:
@@ -183,28 +191,77 @@ def may_contain_pii(text: Column) -> Column:
     return text.rlike("[0-9@]")
 
 
-def with_pii(df, text_col: str, prefix: str = "", external_col: str | None = None):
-    """Add ``{prefix}entities``, ``{prefix}redacted`` and ``{prefix}pii`` (metadata).
+_EMPTY_STR_ARRAY = "array<string>"
+
+
+def _entity_maker(etype: str, gaps: Column, offsets: Column):
+    def make(v: Column, i: Column) -> Column:
+        start = offsets[i] + F.length(gaps[i])
+        return F.struct(
+            F.lit(etype).alias("type"),
+            v.alias("value"),
+            start.cast("int").alias("start"),
+            (start + F.length(v)).cast("int").alias("end"),
+            F.lit(REGEX_CONFIDENCE).alias("confidence"),
+        )
+
+    return make
 
-    The entity column is projected once and referenced by the later columns;
-    Catalyst keeps it as one expression evaluation (the consumers sit in a
-    separate projection that is not collapsed because the producer is
-    expensive and used more than once).
+
+def with_entities(df: DataFrame, text_col: str, out_col: str = "entities", external_col: str | None = None) -> DataFrame:
+    """Add the resolved entity array of ``text_col`` as ``out_col``.
+
+    The work is staged in separate projections so that every regex pass runs
+    once per row: (1) the matches of each pattern, (2) the gaps (``split``),
+    only for rows where the pattern matched, (3) the running offsets,
+    (4) the entity structs, greedy resolution and ordering. Higher-order
+    functions evaluate their arguments without common-subexpression
+    elimination, so inlining these steps would repeat the regex scans. Each
+    stage is one projection (``withColumns``) to keep the plan small.
     """
     text = F.col(text_col)
-    ext = F.col(external_col) if external_col else None
-    cond = may_contain_pii(text)
-    if ext is not None:
-        cond = cond | (F.size(ext) > 0)
-    ents = F.when(cond, detect_pii(text, ext)).otherwise(F.array().cast(ENTITIES))
+    gate = may_contain_pii(text)
+    if external_col is not None:
+        gate = gate | (F.size(F.col(external_col)) > 0)
+    empty = F.array().cast(_EMPTY_STR_ARRAY)
+    stage1 = {}
+    for t, p in PII_PATTERNS:
+        cond = gate
+        if t in REQUIRED_LITERAL:
+            cond = cond & (F.instr(text, REQUIRED_LITERAL[t]) > 0)
+        stage1[f"_m_{t}"] = F.when(cond, F.regexp_extract_all(text, F.lit(_ci(p)), 0)).otherwise(empty)
+    stage2 = {f"_g_{t}": F.when(F.size(f"_m_{t}") > 0, F.split(text, _ci(p), -1)) for t, p in PII_PATTERNS}
+    stage3 = {}
+    for t, _ in PII_PATTERNS:
+        m, g = F.col(f"_m_{t}"), F.col(f"_g_{t}")
+        pieces = F.zip_with(F.slice(g, 1, F.size(m)), m, lambda a, b: F.length(a) + F.length(b))
+        offsets = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        stage3[f"_o_{t}"] = F.when(F.size(m) > 0, offsets)
+    parts = [F.transform(F.col(f"_m_{t}"), _entity_maker(t, F.col(f"_g_{t}"), F.col(f"_o_{t}"))) for t, _ in PII_PATTERNS]
+    cands = F.concat(*parts)
+    if external_col is not None:
+        cands = F.concat(cands, F.coalesce(F.col(external_col), F.array().cast(ENTITIES)))
+        resolved = resolve_overlaps(cands, by_confidence=True)
+    else:
+        resolved = resolve_overlaps(cands)
+    scratch = [*stage1, *stage2, *stage3]
+    return (
+        df.withColumns(stage1).withColumns(stage2).withColumns(stage3).withColumn(out_col, resolved).drop(*scratch)
+    )
+
+
+def with_pii(df: DataFrame, text_col: str, prefix: str = "", external_col: str | None = None) -> DataFrame:
+    """Add ``{prefix}entities``, ``{prefix}redacted`` and ``{prefix}pii`` (metadata)."""
     ent_name = f"{prefix}entities"
-    out = df.withColumn(ent_name, ents)
-    return out.withColumn(f"{prefix}redacted", redact_with(text, F.col(ent_name))).withColumn(
-        f"{prefix}pii", pii_metadata(F.col(ent_name))
+    out = with_entities(df, text_col, ent_name, external_col)
+    text = F.col(text_col)
+    return out.withColumns(
+        {f"{prefix}redacted": redact_with(text, F.col(ent_name)), f"{prefix}pii": pii_metadata(F.col(ent_name))}
     )
 
 
 def safe_for_llm(text: Column) -> Column:
-    """Struct(redacted, metadata) of one text column, as a single expression."""
+    """Struct(redacted, metadata) of one text column, as a single expression
+    (convenient for small inputs; DataFrame steps use ``with_pii``)."""
     ents = detect_pii(text)
     return F.struct(redact_with(text, ents).alias("redacted"), pii_metadata(ents).alias("metadata"))

@@ -71,30 +71,32 @@ def conversation_context(msgs: DataFrame, redact: bool = True) -> DataFrame:
     return hist.groupBy("conv_id").agg(context_text(lines).alias("context"))
 
 
-def memory_entries(triaged: DataFrame) -> DataFrame:
+def memory_entries(triaged: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Messages the memory stores for triaged turns: the customer message
-    (redacted) and the final reply of every non-escalated turn."""
+    (redacted) and the final reply of every non-escalated turn. ``carry``
+    columns are kept on the customer entry (null on the agent entry)."""
+    carry = carry or []
     kept = triaged.filter(~F.col("escalated"))
+    cust = [F.lit(0).alias("sub"), F.lit("customer").alias("role"), F.col("redacted_message").alias("content")]
+    agent = [F.lit(1).alias("sub"), F.lit("agent").alias("role"), F.col("response").alias("content")]
+    cust += [F.col(c).alias(c) for c in carry]
+    agent += [F.lit(None).cast(triaged.schema[c].dataType).alias(c) for c in carry]
     return kept.select(
-        "conv_id",
-        "turn",
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("sub"), F.lit("customer").alias("role"), F.col("redacted_message").alias("content")),
-                F.struct(F.lit(1).alias("sub"), F.lit("agent").alias("role"), F.col("response").alias("content")),
-            )
-        ).alias("e"),
-    ).select("conv_id", "turn", "e.sub", "e.role", "e.content")
+        "conv_id", "turn", F.explode(F.array(F.struct(*cust), F.struct(*agent))).alias("e")
+    ).select("conv_id", "turn", "e.*")
 
 
-def context_per_turn(triaged: DataFrame) -> DataFrame:
+def context_per_turn(triaged: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """History text visible when the reply of each non-escalated turn is
     generated: the last 20 stored messages up to and including the current
-    customer message."""
-    entries = memory_entries(triaged)
+    customer message. One window over the memory entries; ``carry`` columns
+    of the turn come along without a join back."""
+    entries = memory_entries(triaged, carry)
     w = Window.partitionBy("conv_id").orderBy("turn", "sub").rowsBetween(-(MAX_MESSAGES - 1), Window.currentRow)
     with_ctx = entries.withColumn("_lines", F.collect_list(_line(F.col("role"), F.col("content"))).over(w))
-    return with_ctx.filter(F.col("sub") == 0).select("conv_id", "turn", context_text(F.col("_lines")).alias("context"))
+    return with_ctx.filter(F.col("sub") == 0).select(
+        "conv_id", "turn", *(carry or []), context_text(F.col("_lines")).alias("context")
+    )
 
 
 def escalation_state(triaged: DataFrame) -> DataFrame:
@@ -123,33 +125,42 @@ def primary_intent(triaged: DataFrame) -> DataFrame:
 def summary(triaged: DataFrame, as_of: Column | None = None) -> DataFrame:
     """One row per conversation: turn_count, duration_minutes, escalated,
     primary_intent, avg_sentiment. ``as_of`` defaults to the conversation's
-    last message time."""
-    t = triaged
+    last message time.
+
+    One pass, two aggregation levels: per (conversation, intent) partial
+    counts and sums (map-side combined), then per conversation. The primary
+    intent is the intent with most kept turns, ties to the one seen first;
+    averages are exact decimals (order-independent), rounded half-up.
+    """
     kept = ~F.col("escalated")
-    agg = t.groupBy("conv_id").agg(
-        (2 * F.count_if(kept)).cast("bigint").alias("turn_count"),
+    per = triaged.groupBy("conv_id", "intent").agg(
+        F.count_if(kept).alias("_n"),
+        F.min(F.when(kept, F.col("turn"))).alias("_first"),
         F.min("ts").alias("_start"),
-        F.count_if(kept).alias("_kept"),
         F.max("ts").alias("_last"),
-        F.max(F.col("escalated").cast("int")).cast("boolean").alias("escalated"),
-        # decimal average: order-independent sum, exact half-up rounding
-        F.avg(F.when(kept, F.col("sentiment_score").cast("decimal(20,10)"))).alias("_avg"),
+        F.max(F.col("escalated").cast("int")).alias("_esc"),
+        F.sum(F.when(kept, F.col("sentiment_score").cast("decimal(20,10)"))).alias("_sum"),
+    )
+    agg = per.groupBy("conv_id").agg(
+        (2 * F.sum("_n")).cast("bigint").alias("turn_count"),
+        F.sum("_n").alias("_kept"),
+        F.min("_start").alias("_start"),
+        F.max("_last").alias("_last"),
+        F.max("_esc").cast("boolean").alias("escalated"),
+        (F.sum("_sum") / F.sum("_n")).alias("_avg"),
+        F.max_by(F.col("intent"), F.when(F.col("_n") > 0, F.struct(F.col("_n"), -F.col("_first")))).alias("primary_intent"),
     )
     end = as_of if as_of is not None else F.col("_last")
-    duration = F.when(
-        F.col("_kept") == 0, F.lit(0.0)
-    ).otherwise(F.round((F.unix_micros(end) - F.unix_micros(F.col("_start"))) / 6e7, 2))
-    pi = primary_intent(t)
-    return (
-        agg.join(pi, "conv_id", "left")
-        .select(
-            "conv_id",
-            "turn_count",
-            duration.alias("duration_minutes"),
-            "escalated",
-            F.coalesce(F.col("primary_intent"), F.lit(UNKNOWN_INTENT)).alias("primary_intent"),
-            F.coalesce(F.round(F.col("_avg"), 2).cast("double"), F.lit(DEFAULT_AVG_SENTIMENT)).alias("avg_sentiment"),
-        )
+    duration = F.when(F.col("_kept") == 0, F.lit(0.0)).otherwise(
+        F.round((F.unix_micros(end) - F.unix_micros(F.col("_start"))) / 6e7, 2)
+    )
+    return agg.select(
+        "conv_id",
+        "turn_count",
+        duration.alias("duration_minutes"),
+        "escalated",
+        F.coalesce(F.col("primary_intent"), F.lit(UNKNOWN_INTENT)).alias("primary_intent"),
+        F.coalesce(F.round(F.col("_avg"), 2).cast("double"), F.lit(DEFAULT_AVG_SENTIMENT)).alias("avg_sentiment"),
     )
 
 

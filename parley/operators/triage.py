@@ -62,13 +62,15 @@ def triage(
     usage: DataFrame | None = None,
     chunk: int = 1 << 16,
 ) -> DataFrame:
-    """One triage row per message (``message_id, conv_id, turn, ts, content``)."""
-    df = redact_messages(messages)
-    df = escalate(attach_scores(df, scored))
+    """One triage row per message (``message_id, conv_id, turn, ts, content``).
+
+    Plan shape: the cheap equi-joins on ``message_id`` and the running session
+    cost (one shuffle on conversation + turn chunk) come first; the regex-heavy
+    steps (message redaction, two guardrail passes) run after that shuffle, on
+    evenly sized partitions, and are computed once.
+    """
+    df = escalate(attach_scores(messages, scored))
     df = attach_replies(df, replies, usage)
-    # escalated rows never get a reply call: check an empty text for them
-    df = df.withColumn("_reply_in", F.when(F.col("escalated"), F.lit("")).otherwise(F.col("reply")))
-    df = guardrails.with_resolution(df, "_reply_in", "score", "intent")
     called = ~F.col("escalated") & F.col("reply").isNotNull()
     if usage is not None:
         reply_cost = F.when(called, cost_ops.call_cost_expr(F.col("input_tokens"), F.col("output_tokens"))).otherwise(
@@ -77,6 +79,10 @@ def triage(
     else:
         reply_cost = F.lit(0.0)
     df = running_total(df, ["conv_id"], "turn", reply_cost, "_session_cost", chunk=chunk, tiebreak=["message_id"])
+    df = redact_messages(df)
+    # escalated rows never get a reply call: check an empty text for them
+    df = df.withColumn("_reply_in", F.when(F.col("escalated"), F.lit("")).otherwise(F.col("reply")))
+    df = guardrails.with_resolution(df, "_reply_in", "score", "intent")
     esc = F.col("escalated")
     df = df.select(
         "message_id",

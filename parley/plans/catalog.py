@@ -24,6 +24,7 @@ from parley.plans import duck as D
 from parley.sources import fixtures as fx
 from parley.sources import kb_files
 from parley.sources import model_io as mio
+from parley.session import cut_lineage, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +45,16 @@ def V(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return fx.view(spark, sf, name)
 
 
+def VS(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """View read for CPU-heavy text work: spread over the cores when the
+    files give fewer splits than there are cores."""
+    return spread(fx.view(spark, sf, name))
+
+
+def TS(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spread(fx.load_table(spark, sf, name))
+
+
 def W(*views: str) -> str:
     return fx.duckdb_ctes(list(views))
 
@@ -102,7 +113,7 @@ FROM (SELECT {keys}, unnest(range(len(ents))) AS n, unnest(ents) AS e FROM (SELE
 
 def _make_type_query(key: str, etype: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        c = V(spark, sf, "v_pii_corpus")
+        c = VS(spark, sf, "v_pii_corpus")
         ents = pii.match_entities(F.col("text"), etype, pii.PATTERN_BY_TYPE[etype])
         return _explode_entities(c, ["src", "id"], ents, "match_no")
 
@@ -115,13 +126,13 @@ for _k, _t in _PER_TYPE.items():
 
 @register("pii_entities", W("v_pii_corpus") + "\n" + _duck_explode("v_pii_corpus", "src, id", D.candidates("text"), "cand_no"))
 def q_pii_entities(spark, sf):
-    c = V(spark, sf, "v_pii_corpus")
+    c = VS(spark, sf, "v_pii_corpus")
     return _explode_entities(c, ["src", "id"], pii.regex_entities(F.col("text")), "cand_no")
 
 
 @register("pii_dedup", W("v_pii_corpus") + "\n" + _duck_explode("v_pii_corpus", "src, id", D.entities("text"), "ent_no"))
 def q_pii_dedup(spark, sf):
-    c = pii.with_pii(V(spark, sf, "v_pii_corpus"), "text")
+    c = pii.with_pii(VS(spark, sf, "v_pii_corpus"), "text")
     return _explode_entities(c, ["src", "id"], F.col("entities"), "ent_no")
 
 
@@ -132,7 +143,7 @@ def q_pii_dedup(spark, sf):
 SELECT src, id, {D.redact('text', 'ents')} AS redacted, CAST(len(ents) AS BIGINT) AS entity_count FROM x""",
 )
 def q_pii_redact(spark, sf):
-    c = pii.with_pii(V(spark, sf, "v_pii_corpus"), "text")
+    c = pii.with_pii(VS(spark, sf, "v_pii_corpus"), "text")
     return c.select("src", "id", "redacted", F.col("pii.entity_count").cast("bigint").alias("entity_count"))
 
 
@@ -143,8 +154,7 @@ def q_pii_redact(spark, sf):
 SELECT src, id, {D.redact('text', 'ents', 'generic')} AS redacted FROM x""",
 )
 def q_pii_redact_generic(spark, sf):
-    c = V(spark, sf, "v_pii_corpus")
-    c = c.withColumn("_e", pii.detect_pii(F.col("text")))
+    c = pii.with_entities(VS(spark, sf, "v_pii_corpus"), "text", "_e")
     return c.select("src", "id", pii.redact_with(F.col("text"), F.col("_e"), style="generic").alias("redacted"))
 
 
@@ -158,7 +168,7 @@ SELECT src, id, len(ents) > 0 AS pii_detected, CAST(len(ents) AS BIGINT) AS enti
 FROM x""",
 )
 def q_pii_metadata(spark, sf):
-    c = pii.with_pii(V(spark, sf, "v_pii_corpus"), "text")
+    c = pii.with_pii(VS(spark, sf, "v_pii_corpus"), "text")
     m = F.col("pii")
     pos = F.transform(
         m["entities"],
@@ -191,7 +201,7 @@ x AS (SELECT m.message_id, {D.resolve("list_concat(" + D.candidates("m.content")
 
 @register("pii_external_entities", _EXT_SQL)
 def q_pii_external(spark, sf):
-    msgs = V(spark, sf, "v_name_messages")
+    msgs = VS(spark, sf, "v_name_messages")
     ann = V(spark, sf, "v_name_annotations").filter(F.col("label").isin(*pii.NAME_LABELS))
     ext = ann.groupBy("message_id").agg(
         F.array_sort(
@@ -547,7 +557,7 @@ UNION ALL SELECT 'document', doc_id, regexp_matches(lower(text), {D.q(D.UNPROF_R
 )
 def q_guard_unprofessional(spark, sf):
     r = V(spark, sf, "v_replies").filter(F.col("reply").isNotNull())
-    d = fx.load_table(spark, sf, "documents")
+    d = TS(spark, sf, "documents")
     return r.select(F.lit("reply").alias("src"), F.col("message_id").alias("id"), G.unprofessional(F.col("reply")).alias("unprofessional")).unionByName(
         d.select(F.lit("document").alias("src"), F.col("doc_id").alias("id"), G.unprofessional(F.col("text")).alias("unprofessional"))
     )
@@ -614,10 +624,13 @@ def q_reply_fallback(spark, sf):
 _TRIAGE = W("v_messages", "v_scored", "v_replies", "v_reply_usage") + "," + D.triage_ctes()
 
 
-def triaged(spark, sf) -> DataFrame:
-    return tri.triage(
+def triaged(spark, sf, reuse: bool = False) -> DataFrame:
+    """The triage result; ``reuse=True`` materialises it once (reliable
+    checkpoint) for queries that read it more than once."""
+    t = tri.triage(
         V(spark, sf, "v_messages"), V(spark, sf, "v_scored"), V(spark, sf, "v_replies"), V(spark, sf, "v_reply_usage")
     )
+    return cut_lineage(t) if reuse else t
 
 
 _TRIAGE_COLS_SQL = (
@@ -826,7 +839,7 @@ g AS (SELECT conv_id, list({_CTX_LINE} ORDER BY turn) AS lines FROM hr GROUP BY
 SELECT conv_id, {_CTX_TEXT} AS context FROM g""",
 )
 def q_conv_context(spark, sf):
-    return conv.conversation_context(V(spark, sf, "v_conv_messages"))
+    return conv.conversation_context(VS(spark, sf, "v_conv_messages"))
 
 
 @register(
@@ -841,10 +854,8 @@ p AS (SELECT t.message_id, '## Current Message' || chr(10) || t.redacted_message
 SELECT message_id, prompt, {_duck_request('prompt', None, mio.REPLY_MAX_TOKENS, mio.REPLY_TEMPERATURE)} AS request FROM p""",
 )
 def q_reply_request(spark, sf):
-    t = triaged(spark, sf)
-    ctx = conv.context_per_turn(t)
-    turns = t.filter(~F.col("escalated")).join(ctx, ["conv_id", "turn"])
-    return mio.reply_requests(turns)
+    carry = ["message_id", "redacted_message", "intent", "sentiment_score"]
+    return mio.reply_requests(conv.context_per_turn(triaged(spark, sf), carry))
 
 
 @register(
@@ -1145,7 +1156,7 @@ def _duck_tokens(x: str) -> str:
 
 
 def _kb_sections(spark, sf) -> DataFrame:
-    return kb_files.sections_from_table(fx.load_table(spark, sf, "documents"))
+    return kb_files.sections_from_table(TS(spark, sf, "documents"))
 
 
 @register("kb_sections", "WITH " + _KB_SECTIONS + "\nSELECT section_id, doc_id, section_no, source, content FROM kbs")
@@ -1323,7 +1334,7 @@ def _order_totals(spark, sf) -> DataFrame:
 
 @register("ticket_triage", _TICKET_TRIAGE + "\nSELECT message_id, priority FROM tp")
 def q_ticket_triage(spark, sf):
-    t = triaged(spark, sf)
+    t = triaged(spark, sf, reuse=True)
     return tickets.triage_priority(t, _order_totals(spark, sf)).filter(F.col("escalated")).select("message_id", "priority")
 
 
@@ -1336,7 +1347,7 @@ SELECT 'ESC' || strftime(ts, '%Y%m%d%H%M%S') || '-' || CAST(conv_id AS VARCHAR)
   redacted_message AS customer_message, intent, sentiment_score, 'pending' AS status FROM tp""",
 )
 def q_ticket_create(spark, sf):
-    t = tickets.create_from_triage(triaged(spark, sf), _order_totals(spark, sf))
+    t = tickets.create_from_triage(triaged(spark, sf, reuse=True), _order_totals(spark, sf))
     return t.select("escalation_id", "created_at", "reason", "priority", "customer_message", "intent", "sentiment_score", "status")
 
 

@@ -88,3 +88,39 @@ def fits_broadcast(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> bool:
         return int(size.toString()) <= max_bytes
     except Exception:  # pragma: no cover - stats unavailable
         return False
+
+
+_SHUFFLING_NODES = {"Join", "Aggregate", "Window", "Repartition", "RepartitionByExpression", "Sort", "Expand",
+                    "Deduplicate", "RebalancePartitions", "WindowGroupLimit"}
+
+
+def _has_shuffle(df: DataFrame) -> bool:
+    """Walk the analysed plan (already computed, no optimisation is run)."""
+    stack = [df._jdf.queryExecution().analyzed()]
+    while stack:
+        node = stack.pop()
+        if node.nodeName() in _SHUFFLING_NODES:
+            return True
+        kids = node.children()
+        stack.extend(kids.apply(i) for i in range(kids.size()))
+    return False
+
+
+def spread(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Even out CPU-heavy per-row work (regex over whole texts) on inputs read
+    straight from files.
+
+    A plan that already shuffles runs its later stages on
+    ``spark.sql.shuffle.partitions`` tasks and is returned unchanged. For a
+    plan that only scans files, the planned split count is checked (file
+    listing only, no job): when it is below the cluster's core count (a few
+    large files, or files written as one row group) the rows are
+    hash-repartitioned to twice the default parallelism. On a large input the
+    split count exceeds the core count and no shuffle is added.
+    """
+    if _has_shuffle(df):
+        return df
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    return df.repartition(2 * par, *cols) if cols else df.repartition(2 * par)
