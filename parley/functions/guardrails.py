@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,13 +140,21 @@ def check_response(text: Column, score: Column | None = None, intent: Column | N
 def with_guardrails(df, reply_col: str, score_col: str, intent_col: str, out: str = "guard"):
     """Add the first-pass guardrail struct; entities are projected once."""
     ents = f"_{out}_entities"
+    low, flag_cols, result = _guard_columns(reply_col, score_col, intent_col, out)
+    staged = pii.with_entities(df, reply_col, ents).withColumn(f"_{out}_low", low)
+    staged = staged.withColumns(flag_cols)
+    return staged.withColumn(out, result).drop(ents, f"_{out}_low", *flag_cols)
+
+
+@lru_cache(maxsize=64)
+def _guard_columns(reply_col: str, score_col: str | None, intent_col: str | None, out: str) -> tuple:
+    """Guardrail expressions by column names, built once (see pii._entity_stages)."""
+    ents = f"_{out}_entities"
     text = F.col(reply_col)
-    staged = pii.with_entities(df, reply_col, ents).withColumn(f"_{out}_low", F.lower(text))
     flags = _flags(text, F.col(f"_{out}_low"), F.col(ents), _col_or_lit(score_col, DEFAULT_SCORE), _col_or_lit(intent_col, DEFAULT_INTENT))
     names = {k: f"_{out}_{k}" for k in flags}
-    staged = staged.withColumns({names[k]: c for k, c in flags.items()})
     result = _result(text, F.col(ents), {k: F.col(v) for k, v in names.items()})
-    return staged.withColumn(out, result).drop(ents, f"_{out}_low", *names.values())
+    return F.lower(text), {names[k]: c for k, c in flags.items()}, result
 
 
 def _col_or_lit(name: str | None, default) -> Column:

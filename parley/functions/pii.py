@@ -16,6 +16,8 @@ Entity semantics:
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -208,17 +210,11 @@ def _entity_maker(etype: str, gaps: Column, offsets: Column):
     return make
 
 
-def with_entities(df: DataFrame, text_col: str, out_col: str = "entities", external_col: str | None = None) -> DataFrame:
-    """Add the resolved entity array of ``text_col`` as ``out_col``.
-
-    The work is staged in separate projections so that every regex pass runs
-    once per row: (1) the matches of each pattern, (2) the gaps (``split``),
-    only for rows where the pattern matched, (3) the running offsets,
-    (4) the entity structs, greedy resolution and ordering. Higher-order
-    functions evaluate their arguments without common-subexpression
-    elimination, so inlining these steps would repeat the regex scans. Each
-    stage is one projection (``withColumns``) to keep the plan small.
-    """
+@lru_cache(maxsize=64)
+def _entity_stages(text_col: str, external_col: str | None) -> tuple:
+    """Column expressions of the four stages, built once per column names
+    (they refer to columns by name only, so the same JVM expressions serve
+    every DataFrame; building them costs thousands of Py4J calls)."""
     text = F.col(text_col)
     gate = may_contain_pii(text)
     if external_col is not None:
@@ -244,20 +240,38 @@ def with_entities(df: DataFrame, text_col: str, out_col: str = "entities", exter
         resolved = resolve_overlaps(cands, by_confidence=True)
     else:
         resolved = resolve_overlaps(cands)
+    return stage1, stage2, stage3, resolved
+
+
+def with_entities(df: DataFrame, text_col: str, out_col: str = "entities", external_col: str | None = None) -> DataFrame:
+    """Add the resolved entity array of ``text_col`` as ``out_col``.
+
+    The work is staged in separate projections so that every regex pass runs
+    once per row: (1) the matches of each pattern, (2) the gaps (``split``),
+    only for rows where the pattern matched, (3) the running offsets,
+    (4) the entity structs, greedy resolution and ordering. Higher-order
+    functions evaluate their arguments without common-subexpression
+    elimination, so inlining these steps would repeat the regex scans. Each
+    stage is one projection (``withColumns``) to keep the plan small.
+    """
+    stage1, stage2, stage3, resolved = _entity_stages(text_col, external_col)
     scratch = [*stage1, *stage2, *stage3]
     return (
         df.withColumns(stage1).withColumns(stage2).withColumns(stage3).withColumn(out_col, resolved).drop(*scratch)
     )
 
 
+@lru_cache(maxsize=64)
+def _pii_outputs(text_col: str, ent_col: str) -> tuple:
+    return redact_with(F.col(text_col), F.col(ent_col)), pii_metadata(F.col(ent_col))
+
+
 def with_pii(df: DataFrame, text_col: str, prefix: str = "", external_col: str | None = None) -> DataFrame:
     """Add ``{prefix}entities``, ``{prefix}redacted`` and ``{prefix}pii`` (metadata)."""
     ent_name = f"{prefix}entities"
     out = with_entities(df, text_col, ent_name, external_col)
-    text = F.col(text_col)
-    return out.withColumns(
-        {f"{prefix}redacted": redact_with(text, F.col(ent_name)), f"{prefix}pii": pii_metadata(F.col(ent_name))}
-    )
+    redacted, meta = _pii_outputs(text_col, ent_name)
+    return out.withColumns({f"{prefix}redacted": redacted, f"{prefix}pii": meta})
 
 
 def safe_for_llm(text: Column) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.plans.windows import rolling_global, rolling_naive
+from parley.plans.windows import rolling_global, rolling_naive, trailing_sums
 
 # Window sizes, thresholds, baselines, alert texts.
 WINDOW_SIZE = 100
@@ -41,32 +41,40 @@ def with_defaults(df: DataFrame) -> DataFrame:
     return out
 
 
-def exact_avg(c: str) -> Column:
-    """Average computed in decimal: the sum does not depend on the order rows
-    are added in, so thresholds and rounding give the same answer however the
-    frame is partitioned or re-computed."""
-    return F.avg(F.col(c).cast("decimal(20,10)"))
+# Averages of scores and costs are exact: values are taken in units of 1e-10
+# (integers), frame sums are integer sums, so thresholds and rounding do not
+# depend on summation order or on how the frame is partitioned.
+SCALE = 10_000_000_000
 
 
-def _aggs() -> dict[str, tuple[int, Column]]:
+def _scaled(c: str) -> Column:
+    return F.round(F.col(c) * float(SCALE)).cast("long")
+
+
+def _sum_specs() -> dict[str, tuple[int, Column]]:
     n = WINDOW_SIZE
     return {
-        "window_n": (n, F.count(F.lit(1))),
-        "escalation_rate": (n, F.avg(F.col("escalated").cast("double"))),
-        "pii_success_rate": (n, F.avg(F.col("pii_filter_success").cast("double"))),
-        "avg_sentiment": (n, exact_avg("sentiment_score")),
-        "avg_cost": (n, exact_avg("cost")),
-        "recent_sentiment": (SENTIMENT_SPIKE_WINDOW, exact_avg("sentiment_score")),
+        "_s_esc": (n, F.col("escalated").cast("long")),
+        "_s_pii": (n, F.col("pii_filter_success").cast("long")),
+        "_s_sent": (n, _scaled("sentiment_score")),
+        "_s_cost": (n, _scaled("cost")),
+        "_s_recent": (SENTIMENT_SPIKE_WINDOW, _scaled("sentiment_score")),
     }
 
 
-_DECIMAL_OUT = ["avg_sentiment", "avg_cost", "recent_sentiment"]
-
-
-def _to_double(df: DataFrame) -> DataFrame:
-    for c in _DECIMAL_OUT:
-        df = df.withColumn(c, F.col(c).cast("double"))
-    return df
+def _finish(df: DataFrame, rn: str) -> DataFrame:
+    n = F.least(F.col(rn), F.lit(WINDOW_SIZE)).cast("long")
+    n10 = F.least(F.col(rn), F.lit(SENTIMENT_SPIKE_WINDOW)).cast("long")
+    return df.withColumns(
+        {
+            "window_n": n,
+            "escalation_rate": F.col("_s_esc") / n,
+            "pii_success_rate": F.col("_s_pii") / n,
+            "avg_sentiment": F.col("_s_sent") / n / float(SCALE),
+            "avg_cost": F.col("_s_cost") / n / float(SCALE),
+            "recent_sentiment": F.col("_s_recent") / n10 / float(SCALE),
+        }
+    ).drop("_s_esc", "_s_pii", "_s_sent", "_s_cost", "_s_recent")
 
 
 def rolling(interactions: DataFrame, plan: str = "halo", block: int = 1 << 16, key: str | None = None) -> DataFrame:
@@ -74,14 +82,13 @@ def rolling(interactions: DataFrame, plan: str = "halo", block: int = 1 << 16, k
     (one global window) or ``keyed`` (one monitor per ``key``)."""
     df = with_defaults(interactions)
     if plan == "keyed":
-        out = df
-        for name, (n, agg) in _aggs().items():
-            w = Window.partitionBy(key).orderBy(*ORDER).rowsBetween(-(n - 1), Window.currentRow)
-            out = out.withColumn(name, agg.over(w))
-        return _to_double(out)
-    if plan == "naive":
-        return _to_double(rolling_naive(df, ORDER, _aggs()))
-    return _to_double(rolling_global(df, ORDER, _aggs(), block=block).drop("_rn"))
+        out = df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*ORDER)))
+        out = trailing_sums(out, [key], ORDER, "_rn", _sum_specs())
+    elif plan == "naive":
+        out = rolling_naive(df, ORDER, {}, _sum_specs())
+    else:
+        out = rolling_global(df, ORDER, {}, block=block, exact_sums=_sum_specs())
+    return _finish(out, "_rn").drop("_rn")
 
 
 def _pct1(x: Column) -> Column:

@@ -946,11 +946,11 @@ def _duck_rolling(partition: str = "") -> str:
     coalesce(escalated, false) AS escalated, coalesce(sentiment_score, 0.5) AS sentiment_score,
     coalesce(response_time_ms, 0) AS response_time_ms, coalesce(cost, 0.0) AS cost FROM v_interactions),
 rolled AS (SELECT *, count(*) OVER {w100} AS window_n,
-    avg(CAST(escalated AS INTEGER)) OVER {w100} AS escalation_rate,
-    avg(CAST(pii_filter_success AS INTEGER)) OVER {w100} AS pii_success_rate,
-    CAST(avg(CAST(sentiment_score AS DECIMAL(20,10))) OVER {w100} AS DOUBLE) AS avg_sentiment,
-    CAST(avg(CAST(cost AS DECIMAL(20,10))) OVER {w100} AS DOUBLE) AS avg_cost,
-    CAST(avg(CAST(sentiment_score AS DECIMAL(20,10))) OVER {w10} AS DOUBLE) AS recent_sentiment FROM d)"""
+    sum(CAST(escalated AS BIGINT)) OVER {w100} / count(*) OVER {w100} AS escalation_rate,
+    sum(CAST(pii_filter_success AS BIGINT)) OVER {w100} / count(*) OVER {w100} AS pii_success_rate,
+    sum(CAST(round(sentiment_score * 1e10) AS BIGINT)) OVER {w100} / count(*) OVER {w100} / 1e10 AS avg_sentiment,
+    sum(CAST(round(cost * 1e10) AS BIGINT)) OVER {w100} / count(*) OVER {w100} / 1e10 AS avg_cost,
+    sum(CAST(round(sentiment_score * 1e10) AS BIGINT)) OVER {w10} / count(*) OVER {w10} / 1e10 AS recent_sentiment FROM d)"""
     )
 
 

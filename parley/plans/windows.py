@@ -75,18 +75,52 @@ def global_row_number(df: DataFrame, order_cols: list[str], out_col: str = "rn",
     return out.withColumn(out_col, F.col("_off") + F.col("_li") + 1).drop("_mid", "_pid", "_li", "_off")
 
 
+def trailing_sums(
+    df: DataFrame,
+    part_cols: list[str],
+    order_cols: list[str],
+    rn_col: str,
+    sums: dict[str, tuple[int, Column]],
+) -> DataFrame:
+    """Sums over the current row and the n-1 rows before it, in O(1) per row.
+
+    ``sums`` maps output column → (n, integral Column). A running sum over the
+    window partition minus the same running sum n rows back gives the frame
+    sum; integer arithmetic keeps it exact. (A sliding ROWS frame is
+    re-aggregated for every row, O(n) per row.) ``rn_col`` is the row's
+    1-based position in its logical sequence; the number of rows in the frame
+    is ``least(rn, n)``. Rows that have fewer than n-1 predecessors inside the
+    window partition must have ``rn`` < n (true for halo blocks, where the
+    first n-1 rows of a block are copies of the previous block).
+    """
+    w_run = Window.partitionBy(*part_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_ord = Window.partitionBy(*part_cols).orderBy(*order_cols)
+    runs = {f"_run_{k}": F.sum(v).over(w_run) for k, (_, v) in sums.items()}
+    out = df.withColumns(runs)
+    outs = {
+        k: F.col(f"_run_{k}") - F.coalesce(F.lag(f"_run_{k}", n).over(w_ord), F.lit(0))
+        for k, (n, _) in sums.items()
+    }
+    return out.withColumns(outs).drop(*runs)
+
+
 def rolling_global(
     df: DataFrame,
     order_cols: list[str],
     aggs: dict[str, tuple[int, Column]],
     block: int = 1 << 16,
+    exact_sums: dict[str, tuple[int, Column]] | None = None,
 ) -> DataFrame:
     """Count-based trailing frames over a global order, computed per block.
 
     ``aggs`` maps output column → (frame length n, aggregate Column); the
     frame is the current row and the n-1 rows before it in global order.
+    ``exact_sums`` (output → (n, integral Column)) are computed with
+    ``trailing_sums`` instead of a sliding frame. The global 1-based position
+    is kept as ``_rn``.
     """
-    halo = max(n for n, _ in aggs.values()) - 1
+    exact_sums = exact_sums or {}
+    halo = max([n for n, _ in aggs.values()] + [n for n, _ in exact_sums.values()]) - 1
     if block <= halo:
         raise ValueError("block must exceed the largest frame")
     numbered = global_row_number(df, order_cols, "_rn")
@@ -99,18 +133,32 @@ def rolling_global(
         F.explode(F.when(in_halo, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array(F.col("_home")))),
     )
     out = copies
-    for name, (n, agg) in aggs.items():
-        w = Window.partitionBy("_blk").orderBy("_rn").rowsBetween(-(n - 1), Window.currentRow)
-        out = out.withColumn(name, agg.over(w))
+    if aggs:
+        out = out.withColumns(
+            {
+                name: agg.over(Window.partitionBy("_blk").orderBy("_rn").rowsBetween(-(n - 1), Window.currentRow))
+                for name, (n, agg) in aggs.items()
+            }
+        )
+    if exact_sums:
+        out = trailing_sums(out, ["_blk"], ["_rn"], "_rn", exact_sums)
     return out.filter(F.col("_blk") == F.col("_home")).drop("_blk", "_home")
 
 
-def rolling_naive(df: DataFrame, order_cols: list[str], aggs: dict[str, tuple[int, Column]]) -> DataFrame:
+def rolling_naive(
+    df: DataFrame,
+    order_cols: list[str],
+    aggs: dict[str, tuple[int, Column]],
+    exact_sums: dict[str, tuple[int, Column]] | None = None,
+) -> DataFrame:
     """Same result as ``rolling_global`` with one global window (one task)."""
-    out = df
-    for name, (n, agg) in aggs.items():
-        w = Window.orderBy(*order_cols).rowsBetween(-(n - 1), Window.currentRow)
-        out = out.withColumn(name, agg.over(w))
+    out = df.withColumn("_rn", F.row_number().over(Window.orderBy(*order_cols)))
+    if aggs:
+        out = out.withColumns(
+            {name: agg.over(Window.orderBy(*order_cols).rowsBetween(-(n - 1), Window.currentRow)) for name, (n, agg) in aggs.items()}
+        )
+    if exact_sums:
+        out = trailing_sums(out, [], order_cols, "_rn", exact_sums)
     return out
 
 

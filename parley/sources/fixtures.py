@@ -201,8 +201,22 @@ UNION ALL SELECT 'page' AS src, page_id AS id, html AS text FROM pages""",
 VIEW_DEPS = {name: [t for t in BASE_TABLES if f" {t}" in sql or f"\n{t}" in sql] for name, sql in VIEWS.items()}
 
 
+# DataFrames are immutable plans: one per (session, directory, name) is kept
+# and reused, so building a query does not re-read Parquet footers or
+# re-analyse the view SQL.
+_TABLES: dict[tuple, DataFrame] = {}
+_VIEWS: dict[tuple, DataFrame] = {}
+
+
+def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    return (id(spark._jsparkSession), sf_dir.rstrip("/"), name)
+
+
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    k = _key(spark, sf_dir, name)
+    if k not in _TABLES:
+        _TABLES[k] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return _TABLES[k]
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
@@ -212,11 +226,15 @@ def register_tables(spark: SparkSession, sf_dir: str, names: list[str] | None =
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view ``name`` over the tables of ``sf_dir`` (timestamps as UTC)."""
+    k = _key(spark, sf_dir, name)
+    if k in _VIEWS:
+        return _VIEWS[k]
     register_tables(spark, sf_dir, VIEW_DEPS[name])
     df = spark.sql(VIEWS[name])
-    for field in df.schema.fields:
-        if field.dataType.typeName() == "timestamp_ntz":
-            df = df.withColumn(field.name, df[field.name].cast("timestamp"))
+    ntz = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    if ntz:
+        df = df.withColumns({c: df[c].cast("timestamp") for c in ntz})
+    _VIEWS[k] = df
     return df
 
 
