@@ -43,7 +43,7 @@ def lookup(requests: DataFrame, orders: DataFrame, id_col: str = "requested_id")
     found, unverified (looks like an id: ORDER prefix, length >= 10) or
     not_found."""
     req = requests.withColumn("normalised_id", normalise_id(F.col(id_col)))
-    o = orders.withColumnRenamed("order_id", "normalised_id")
+    o = orders.withColumn("normalised_id", F.col("order_id"))
     j = req.join(o, "normalised_id", "left")
     found = F.col("status").isNotNull()
     state = (

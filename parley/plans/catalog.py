@@ -1273,7 +1273,7 @@ FROM lj LEFT JOIN items USING (o_orderkey)""",
 def q_order_format(spark, sf):
     lk = _lookup(spark, sf)
     items = orders.order_items(fx.load_table(spark, sf, "lineitem"), fx.load_table(spark, sf, "part"))
-    j = lk.join(items, "o_orderkey", "left").withColumn("order_id", F.col("normalised_id"))
+    j = lk.join(items, "o_orderkey", "left")
     return j.select("request_id", orders.format_order(F.col("status").isNotNull()).alias("formatted"))
 
 

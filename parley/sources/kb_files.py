@@ -33,7 +33,7 @@ def split_sections(files: DataFrame, text_col: str, keep: list[str]) -> DataFram
 def read_kb_files(spark: SparkSession, directory: str, pattern: str = "*.txt") -> DataFrame:
     path = f"{directory.rstrip('/')}/{pattern}"
     try:
-        files = spark.read.option("wholetext", True).text(path)
+        files = spark.read.text(path, wholetext=True)
         files = files.select(F.col("_metadata.file_name").alias("source"), "value")
         files.schema  # resolves the path now
     except Exception as e:  # missing directory or no match → empty result

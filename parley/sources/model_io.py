@@ -140,7 +140,7 @@ def load_instructions(spark: SparkSession, directory: str, base: str = "base_ins
     """One-row DataFrame with the combined system prompt; a missing file fails
     the read (as a missing instruction file must)."""
     d = directory.rstrip("/")
-    files = spark.read.option("wholetext", True).text([f"{d}/{base}", f"{d}/{specialised}"])
+    files = spark.read.text([f"{d}/{base}", f"{d}/{specialised}"], wholetext=True)
     name = F.col("_metadata.file_name")
     return files.agg(
         F.concat(
