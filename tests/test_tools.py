@@ -66,3 +66,33 @@ def test_request_and_response_shapes(spark):
     body = spark.createDataFrame([(1, '{"content":[{"type":"text","text":"ok"}],"usage":{"input_tokens":3,"output_tokens":4}}')], "message_id long, body string")
     r = mio.parse_responses(body).first()
     assert (r.content, r.input_tokens, r.output_tokens, r.stop_reason) == ("ok", 3, 4, "end_turn")
+
+
+def test_logs_and_instructions(spark):
+    from parley.sources import logs
+    from parley.operators.tools import ToolRegistry, dispatch
+
+    base = tempfile.mkdtemp(prefix="parley-logs-")
+    assert logs.read_tickets(spark, os.path.join(base, "tickets")).count() == 0
+    t = spark.createDataFrame(
+        [("ESC1", "2024-01-01 10:00:00", "r", "high", "m", "complaint", 0.1, "pending", None, 1, 0)], logs.TICKET_SCHEMA
+    )
+    logs.write_tickets(t, os.path.join(base, "tickets"))
+    logs.write_tickets(t, os.path.join(base, "tickets"))
+    assert logs.read_tickets(spark, os.path.join(base, "tickets")).count() == 2
+
+    d = tempfile.mkdtemp(prefix="parley-instr-")
+    open(os.path.join(d, "base_instructions.md"), "w").write("BASE")
+    open(os.path.join(d, "support_agent_instructions.md"), "w").write("AGENT")
+    sysprompt = mio.load_instructions(spark, d).first().system
+    assert sysprompt == "BASE" + mio.INSTRUCTION_SEPARATOR + "AGENT"
+
+    reg = ToolRegistry()
+    reg.register_tools({"order_lookup": orders.lookup, "kb_search": kb.topk})
+    tri = spark.createDataFrame(
+        [(1, "order_status", 0.5, False), (2, "product_question", 0.5, False), (3, "order_status", 0.1, True)],
+        "message_id long, intent string, sentiment_score double, escalated boolean",
+    )
+    parts = dispatch(tri, reg)
+    assert [r.message_id for r in parts["order_lookup"].collect()] == [1]
+    assert [r.message_id for r in parts["kb_search"].collect()] == [2]
