@@ -28,26 +28,34 @@ def query_tokens(queries: DataFrame, id_col: str = "query_id", text_col: str = "
 
 
 def section_tokens(sections: DataFrame) -> DataFrame:
-    return sections.select("section_id", F.explode(tokens(F.col("content"))).alias("token"))
+    return sections.select("section_id", "source", F.explode(tokens(F.col("content"))).alias("token"))
 
 
-def search(queries: DataFrame, sections: DataFrame) -> DataFrame:
-    """(query_id, section_id, score) for every pair with score > 0."""
+def _scores(queries: DataFrame, sections: DataFrame) -> DataFrame:
     qt = maybe_broadcast(query_tokens(queries))
     st = section_tokens(sections)
-    return st.join(qt, "token").groupBy("query_id", "section_id").agg(F.count(F.lit(1)).alias("score"))
+    return st.join(qt, "token").groupBy("query_id", "section_id", "source").agg(F.count(F.lit(1)).alias("score"))
+
+
+def search(queries: DataFrame, sections: DataFrame) -> DataFrame:
+    """(query_id, section_id, score) for every pair with score > 0."""
+    return _scores(queries, sections).drop("source")
 
 
 def topk(queries: DataFrame, sections: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Best k sections per query; ties in section order (source, section_id)."""
-    scored = search(queries, sections).join(sections.select("section_id", "source", "content"), "section_id")
+    """Best k sections per query; ties in section order (source, section_id).
+    The section text is not carried through the search (join it for the k
+    winners only, as ``format_results`` does)."""
     return top_k(
-        scored, ["query_id"], [F.col("score").desc(), F.col("source"), F.col("section_id")], k, "rank"
+        _scores(queries, sections), ["query_id"], [F.col("score").desc(), F.col("source"), F.col("section_id")], k, "rank"
     ).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def format_results(queries: DataFrame, top: DataFrame) -> DataFrame:
-    """One formatted block per query; queries with no match get the fixed text."""
+def format_results(queries: DataFrame, top: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """One formatted block per query; queries with no match get the fixed text.
+    ``sections`` supplies the content of the winners when ``top`` lacks it."""
+    if "content" not in top.columns:
+        top = top.join(sections.select("section_id", "content"), "section_id")
     item = F.concat_ws(
         "\n",
         F.format_string("### Result %d (Score: %d)", F.col("rank"), F.col("score")),

@@ -1201,7 +1201,8 @@ FROM v_kb_queries q LEFT JOIN blocks b USING (query_id)""",
 )
 def q_kb_format(spark, sf):
     q = V(spark, sf, "v_kb_queries")
-    return kb.format_results(q, kb.topk(q, _kb_sections(spark, sf)))
+    sections = _kb_sections(spark, sf)
+    return kb.format_results(q, kb.topk(q, sections), sections)
 
 
 # ---------------------------------------------------------------- orders

@@ -42,7 +42,9 @@ def running_total(
     sums = base.groupBy(*keys, ch).agg(F.sum(v).alias("_csum"))
     prior = Window.partitionBy(*keys).orderBy(ch).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_off", F.coalesce(F.sum("_csum").over(prior), F.lit(0))).drop("_csum")
-    joined = base.join(offsets, on=[*keys, ch], how="inner")
+    # every (key, chunk) of base has an offset row; a left join lets the
+    # optimizer drop the whole offset branch when the total is not used
+    joined = base.join(offsets, on=[*keys, ch], how="left")
     w = (
         Window.partitionBy(*keys, ch)
         .orderBy(order_col, *tiebreak)

@@ -22,7 +22,7 @@ def test_kb_scan_search_format(spark):
     scores = {(r.query_id, r.section_id): r.score for r in kb.search(q, sections).collect()}
     assert (1, 1) not in scores  # 'order?' is not 'order'
     assert scores[(2, 3)] == 2  # the blank section 2 is dropped, numbering keeps file positions
-    fmt = {r.query_id: r.formatted for r in kb.format_results(q, kb.topk(q, sections)).collect()}
+    fmt = {r.query_id: r.formatted for r in kb.format_results(q, kb.topk(q, sections), sections).collect()}
     assert fmt[3] == kb.NO_RESULTS
     assert fmt[2].startswith("## Knowledge Base Results\n\n### Result 1 (Score: 2)\nQ: Return policy?")
     assert kb_files.read_kb_files(spark, os.path.join(d, "missing")).count() == 0
