@@ -139,21 +139,30 @@ def check_response(text: Column, score: Column | None = None, intent: Column | N
 
 def with_guardrails(df, reply_col: str, score_col: str, intent_col: str, out: str = "guard"):
     """Add the first-pass guardrail struct; entities are projected once."""
-    ents = f"_{out}_entities"
-    low, flag_cols, result = _guard_columns(reply_col, score_col, intent_col, out)
-    staged = pii.with_entities(df, reply_col, ents).withColumn(f"_{out}_low", low)
+    # inputs go through fixed scratch names so one set of built expressions
+    # serves every call (building them costs thousands of Py4J calls)
+    low, flag_cols, result = _guard_columns(score_col is not None, intent_col is not None)
+    staged = df.withColumn("_gr_text", F.col(reply_col))
+    if score_col is not None:
+        staged = staged.withColumn("_gr_score", F.col(score_col))
+    if intent_col is not None:
+        staged = staged.withColumn("_gr_intent", F.col(intent_col))
+    staged = pii.with_entities(staged, "_gr_text", "_gr_entities").withColumn("_gr_low", low)
     staged = staged.withColumns(flag_cols)
-    return staged.withColumn(out, result).drop(ents, f"_{out}_low", *flag_cols)
+    return staged.withColumn(out, result).drop(
+        "_gr_text", "_gr_score", "_gr_intent", "_gr_entities", "_gr_low", *flag_cols
+    )
 
 
-@lru_cache(maxsize=64)
-def _guard_columns(reply_col: str, score_col: str | None, intent_col: str | None, out: str) -> tuple:
-    """Guardrail expressions by column names, built once (see pii._entity_stages)."""
-    ents = f"_{out}_entities"
-    text = F.col(reply_col)
-    flags = _flags(text, F.col(f"_{out}_low"), F.col(ents), _col_or_lit(score_col, DEFAULT_SCORE), _col_or_lit(intent_col, DEFAULT_INTENT))
-    names = {k: f"_{out}_{k}" for k in flags}
-    result = _result(text, F.col(ents), {k: F.col(v) for k, v in names.items()})
+@lru_cache(maxsize=8)
+def _guard_columns(has_score: bool, has_intent: bool) -> tuple:
+    """Guardrail expressions over the scratch columns, built once."""
+    text = F.col("_gr_text")
+    score = _col_or_lit("_gr_score" if has_score else None, DEFAULT_SCORE)
+    intent = _col_or_lit("_gr_intent" if has_intent else None, DEFAULT_INTENT)
+    flags = _flags(text, F.col("_gr_low"), F.col("_gr_entities"), score, intent)
+    names = {k: f"_gr_{k}" for k in flags}
+    result = _result(text, F.col("_gr_entities"), {k: F.col(v) for k, v in names.items()})
     return F.lower(text), {names[k]: c for k, c in flags.items()}, result
 
 

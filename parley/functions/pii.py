@@ -194,6 +194,8 @@ def may_contain_pii(text: Column) -> Column:
 
 
 _EMPTY_STR_ARRAY = "array<string>"
+_TEXT_SCRATCH = "_pii_text"
+_EXT_SCRATCH = "_pii_ext"
 
 
 def _entity_maker(etype: str, gaps: Column, offsets: Column):
@@ -254,10 +256,16 @@ def with_entities(df: DataFrame, text_col: str, out_col: str = "entities", exter
     elimination, so inlining these steps would repeat the regex scans. Each
     stage is one projection (``withColumns``) to keep the plan small.
     """
-    stage1, stage2, stage3, resolved = _entity_stages(text_col, external_col)
-    scratch = [*stage1, *stage2, *stage3]
+    # the text (and external entities) go through fixed scratch names, so one
+    # set of built expressions serves every call
+    ext = _EXT_SCRATCH if external_col is not None else None
+    stage1, stage2, stage3, resolved = _entity_stages(_TEXT_SCRATCH, ext)
+    scratch = [_TEXT_SCRATCH, *stage1, *stage2, *stage3] + ([ext] if ext else [])
+    staged = df.withColumn(_TEXT_SCRATCH, F.col(text_col))
+    if ext:
+        staged = staged.withColumn(ext, F.col(external_col))
     return (
-        df.withColumns(stage1).withColumns(stage2).withColumns(stage3).withColumn(out_col, resolved).drop(*scratch)
+        staged.withColumns(stage1).withColumns(stage2).withColumns(stage3).withColumn(out_col, resolved).drop(*scratch)
     )
 
 
