@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import pii, rules
-from parley.plans.windows import running_total, top_k
+from parley.plans.windows import rolling_global, running_total, top_k
 
 # History bound (messages kept = 2 x turns), texts of the
 # context block, summary defaults.
@@ -86,14 +86,17 @@ def memory_entries(triaged: DataFrame, carry: list[str] | None = None) -> DataFr
     ).select("conv_id", "turn", "e.*")
 
 
-def context_per_turn(triaged: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def context_per_turn(triaged: DataFrame, carry: list[str] | None = None, block: int = 1 << 16) -> DataFrame:
     """History text visible when the reply of each non-escalated turn is
     generated: the last 20 stored messages up to and including the current
     customer message. One window over the memory entries; ``carry`` columns
     of the turn come along without a join back."""
-    entries = memory_entries(triaged, carry)
-    w = Window.partitionBy("conv_id").orderBy("turn", "sub").rowsBetween(-(MAX_MESSAGES - 1), Window.currentRow)
-    with_ctx = entries.withColumn("_lines", F.collect_list(_line(F.col("role"), F.col("content"))).over(w))
+    entries = memory_entries(triaged, carry).withColumn("_line", _line(F.col("role"), F.col("content")))
+    # bounded frame per conversation on the keyed halo plan: a conversation
+    # with a huge number of turns is split into blocks
+    with_ctx = rolling_global(
+        entries, ["turn", "sub"], {"_lines": (MAX_MESSAGES, F.collect_list("_line"))}, block=block, keys=["conv_id"]
+    )
     return with_ctx.filter(F.col("sub") == 0).select(
         "conv_id", "turn", *(carry or []), context_text(F.col("_lines")).alias("context")
     )

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.plans.windows import rolling_global, rolling_naive, trailing_sums
+from parley.plans.windows import rolling_global, rolling_naive
 
 # Window sizes, thresholds, baselines, alert texts.
 WINDOW_SIZE = 100
@@ -82,8 +82,7 @@ def rolling(interactions: DataFrame, plan: str = "halo", block: int = 1 << 16, k
     (one global window) or ``keyed`` (one monitor per ``key``)."""
     df = with_defaults(interactions)
     if plan == "keyed":
-        out = df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*ORDER)))
-        out = trailing_sums(out, [key], ORDER, "_rn", _sum_specs())
+        out = rolling_global(df, ORDER, {}, block=block, exact_sums=_sum_specs(), keys=[key])
     elif plan == "naive":
         out = rolling_naive(df, ORDER, {}, _sum_specs())
     else:

@@ -53,28 +53,42 @@ def running_total(
     return joined.withColumn(out_col, F.col("_off") + F.sum(v).over(w)).drop(ch, v, "_off")
 
 
-def global_row_number(df: DataFrame, order_cols: list[str], out_col: str = "rn", partitions: int | None = None) -> DataFrame:
-    """Dense 1-based row number in the order of ``order_cols`` (must be unique).
-
-    The range-partitioned, locally sorted data is checkpointed (reliable, to
-    the session's checkpoint folder) so the partition layout that the offsets
-    are computed from cannot change on recomputation.
+def global_row_number(
+    df: DataFrame,
+    order_cols: list[str],
+    out_col: str = "rn",
+    partitions: int | None = None,
+    keys: list[str] | None = None,
+) -> DataFrame:
+    """Dense 1-based row number in the order of ``order_cols`` (unique within
+    a key), over the whole table or per ``keys``.
+
+    Range partitioning on (keys, order) splits a hot key over many
+    partitions. The partitioned, locally sorted data is checkpointed
+    (reliable, to the session's checkpoint folder) so the layout the offsets
+    are computed from cannot change on recomputation. Offsets come from a
+    count table with one row per (partition, key): prefix sums over the
+    partitions a key spans (at most the partition count per key).
     """
+    keys = keys or []
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    sort_cols = [*keys, *order_cols]
+    ranged = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
     ranged = cut_lineage(ranged.withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn("_pid", F.shiftright(F.col("_mid"), 33)).withColumn(
-        "_li", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = ranged.withColumns(
+        {"_pid": F.shiftright(F.col("_mid"), 33), "_li": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))}
+    )
+    counts = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_li").alias("_first"))
+    prior = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(prior), F.lit(0))).drop("_n")
+    # without keys the table has one row per range partition (bounded by n):
+    # broadcast; with keys its size follows the key count: size-checked
+    offsets = F.broadcast(offsets) if not keys else maybe_broadcast(offsets)
+    out = ranged.join(offsets, ["_pid", *keys])
+    return out.withColumn(out_col, F.col("_off") + F.col("_li") - F.col("_first") + 1).drop(
+        "_mid", "_pid", "_li", "_off", "_first"
     )
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per range partition: bounded by n, so broadcasting it is safe
-    offsets = counts.withColumn(
-        "_off",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).drop("_n")
-    out = ranged.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(out_col, F.col("_off") + F.col("_li") + 1).drop("_mid", "_pid", "_li", "_off")
 
 
 def trailing_sums(
@@ -112,20 +126,25 @@ def rolling_global(
     aggs: dict[str, tuple[int, Column]],
     block: int = 1 << 16,
     exact_sums: dict[str, tuple[int, Column]] | None = None,
+    keys: list[str] | None = None,
 ) -> DataFrame:
-    """Count-based trailing frames over a global order, computed per block.
+    """Count-based trailing frames over a global order (or per ``keys``),
+    computed per block of ``block`` rows plus a halo.
 
     ``aggs`` maps output column → (frame length n, aggregate Column); the
-    frame is the current row and the n-1 rows before it in global order.
+    frame is the current row and the n-1 rows before it in the sequence.
     ``exact_sums`` (output → (n, integral Column)) are computed with
-    ``trailing_sums`` instead of a sliding frame. The global 1-based position
-    is kept as ``_rn``.
+    ``trailing_sums`` instead of a sliding frame. The 1-based position in the
+    sequence is kept as ``_rn``. With keys, a key holding a large share of the
+    rows is split into many blocks, so no window partition exceeds
+    ``block`` + halo rows.
     """
+    keys = keys or []
     exact_sums = exact_sums or {}
     halo = max([n for n, _ in aggs.values()] + [n for n, _ in exact_sums.values()]) - 1
     if block <= halo:
         raise ValueError("block must exceed the largest frame")
-    numbered = global_row_number(df, order_cols, "_rn")
+    numbered = global_row_number(df, order_cols, "_rn", keys=keys)
     numbered = numbered.withColumn("_home", F.floor((F.col("_rn") - 1) / F.lit(block)))
     # a row is also a halo row of the next block when it is among the last
     # `halo` rows of its own block
@@ -138,12 +157,12 @@ def rolling_global(
     if aggs:
         out = out.withColumns(
             {
-                name: agg.over(Window.partitionBy("_blk").orderBy("_rn").rowsBetween(-(n - 1), Window.currentRow))
+                name: agg.over(Window.partitionBy(*keys, "_blk").orderBy("_rn").rowsBetween(-(n - 1), Window.currentRow))
                 for name, (n, agg) in aggs.items()
             }
         )
     if exact_sums:
-        out = trailing_sums(out, ["_blk"], ["_rn"], "_rn", exact_sums)
+        out = trailing_sums(out, [*keys, "_blk"], ["_rn"], "_rn", exact_sums)
     return out.filter(F.col("_blk") == F.col("_home")).drop("_blk", "_home")
 
 

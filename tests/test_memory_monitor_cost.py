@@ -91,3 +91,27 @@ def test_displayed_cost_triangle(spark):
     assert (d.displayed_cost, d.true_cost) == (6.0, 3.0)
     c = cost_ops.call_cost(calls).filter("seq = 4").first().total_cost
     assert abs(c - (1000 / 1e6 * 0.8 + 10 / 1e6 * 4.0)) < 1e-15
+
+
+def test_keyed_halo_hot_key_equals_plain_window(spark):
+    from pyspark.sql import Window
+
+    from parley.plans.windows import rolling_global
+
+    rnd = random.Random(11)
+    base = dt.datetime(2024, 1, 1)
+    # key 0 holds most rows (a hot key spanning many blocks)
+    rows = [(i, base + dt.timedelta(seconds=i), 0 if rnd.random() < 0.7 else rnd.randint(1, 5), rnd.randint(0, 9)) for i in range(900)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, k long, v long")
+    halo = rolling_global(
+        df, ["ts", "event_id"], {"s": (7, F.sum("v")), "l": (3, F.collect_list("v"))}, block=64, keys=["k"]
+    ).select("event_id", "s", "l", "_rn")
+    w = Window.partitionBy("k").orderBy("ts", "event_id")
+    plain = df.select(
+        "event_id",
+        F.sum("v").over(w.rowsBetween(-6, 0)).alias("s"),
+        F.collect_list("v").over(w.rowsBetween(-2, 0)).alias("l"),
+        F.row_number().over(w).alias("_rn"),
+    )
+    assert halo.count() == 900
+    assert halo.exceptAll(plain).count() == 0
