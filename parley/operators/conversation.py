@@ -95,7 +95,8 @@ def context_per_turn(triaged: DataFrame, carry: list[str] | None = None, block:
     # bounded frame per conversation on the keyed halo plan: a conversation
     # with a huge number of turns is split into blocks
     with_ctx = rolling_global(
-        entries, ["turn", "sub"], {"_lines": (MAX_MESSAGES, F.collect_list("_line"))}, block=block, keys=["conv_id"]
+        entries, ["turn", "sub"], {"_lines": (MAX_MESSAGES, F.collect_list("_line"))}, block=block, keys=["conv_id"],
+        numbering="chunked",
     )
     return with_ctx.filter(F.col("sub") == 0).select(
         "conv_id", "turn", *(carry or []), context_text(F.col("_lines")).alias("context")

@@ -127,6 +127,7 @@ def rolling_global(
     block: int = 1 << 16,
     exact_sums: dict[str, tuple[int, Column]] | None = None,
     keys: list[str] | None = None,
+    numbering: str = "range",
 ) -> DataFrame:
     """Count-based trailing frames over a global order (or per ``keys``),
     computed per block of ``block`` rows plus a halo.
@@ -138,13 +139,20 @@ def rolling_global(
     sequence is kept as ``_rn``. With keys, a key holding a large share of the
     rows is split into many blocks, so no window partition exceeds
     ``block`` + halo rows.
+
+    ``numbering``: ``range`` (range partitioning + checkpoint, any order
+    columns) or ``chunked`` (keys required, ``order_cols[0]`` integral: a
+    skew-safe running count, one shuffle and no checkpoint).
     """
     keys = keys or []
     exact_sums = exact_sums or {}
     halo = max([n for n, _ in aggs.values()] + [n for n, _ in exact_sums.values()]) - 1
     if block <= halo:
         raise ValueError("block must exceed the largest frame")
-    numbered = global_row_number(df, order_cols, "_rn", keys=keys)
+    if numbering == "chunked":
+        numbered = running_total(df, keys, order_cols[0], F.lit(1), "_rn", chunk=block, tiebreak=order_cols[1:])
+    else:
+        numbered = global_row_number(df, order_cols, "_rn", keys=keys)
     numbered = numbered.withColumn("_home", F.floor((F.col("_rn") - 1) / F.lit(block)))
     # a row is also a halo row of the next block when it is among the last
     # `halo` rows of its own block

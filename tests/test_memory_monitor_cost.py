@@ -115,3 +115,7 @@ def test_keyed_halo_hot_key_equals_plain_window(spark):
     )
     assert halo.count() == 900
     assert halo.exceptAll(plain).count() == 0
+    chunked = rolling_global(
+        df, ["event_id", "ts"], {"s": (7, F.sum("v")), "l": (3, F.collect_list("v"))}, block=64, keys=["k"], numbering="chunked"
+    ).select("event_id", "s", "l", "_rn")
+    assert chunked.exceptAll(plain).count() == 0
