@@ -42,12 +42,14 @@ GENERIC_PLACEHOLDER = "[REDACTED]"
 
 PATTERN_BY_TYPE = dict(PII_PATTERNS)
 
+# ``start`` leads so that kept (non-overlapping) entities sort by start with
+# the natural struct ordering, no comparator lambda.
 ENTITY = T.StructType(
     [
-        T.StructField("type", T.StringType()),
-        T.StructField("value", T.StringType()),
         T.StructField("start", T.IntegerType()),
         T.StructField("end", T.IntegerType()),
+        T.StructField("type", T.StringType()),
+        T.StructField("value", T.StringType()),
         T.StructField("confidence", T.DoubleType()),
     ]
 )
@@ -85,10 +87,10 @@ def match_entities(text: Column, etype: str, pattern: str, confidence: float = R
     found = F.transform(
         matches,
         lambda m, i: F.struct(
-            F.lit(etype).alias("type"),
-            m.alias("value"),
             (offsets[i] + F.length(gaps[i])).cast("int").alias("start"),
             (offsets[i] + F.length(gaps[i]) + F.length(m)).cast("int").alias("end"),
+            F.lit(etype).alias("type"),
+            m.alias("value"),
             F.lit(confidence).alias("confidence"),
         ),
     )
@@ -132,7 +134,7 @@ def resolve_overlaps(candidates: Column, by_confidence: bool = False) -> Column:
         F.array().cast(ENTITIES),
         lambda acc, e: F.when(F.exists(acc, lambda k: _overlaps(e, k)), acc).otherwise(F.concat(acc, F.array(e))),
     )
-    return F.array_sort(kept, lambda a, b: a["start"] - b["start"])
+    return F.array_sort(kept)
 
 
 def detect_pii(text: Column, external: Column | None = None) -> Column:
@@ -202,10 +204,10 @@ def _entity_maker(etype: str, gaps: Column, offsets: Column):
     def make(v: Column, i: Column) -> Column:
         start = offsets[i] + F.length(gaps[i])
         return F.struct(
-            F.lit(etype).alias("type"),
-            v.alias("value"),
             start.cast("int").alias("start"),
             (start + F.length(v)).cast("int").alias("end"),
+            F.lit(etype).alias("type"),
+            v.alias("value"),
             F.lit(REGEX_CONFIDENCE).alias("confidence"),
         )
 

@@ -207,10 +207,10 @@ def q_pii_external(spark, sf):
         F.array_sort(
             F.collect_list(
                 F.struct(
-                    F.concat(F.lit("NAME_"), F.col("label")).alias("type"),
-                    F.col("value"),
                     F.col("start_pos").alias("start"),
                     F.col("end_pos").alias("end"),
+                    F.concat(F.lit("NAME_"), F.col("label")).alias("type"),
+                    F.col("value"),
                     F.lit(pii.NAME_CONFIDENCE).alias("confidence"),
                 )
             ),

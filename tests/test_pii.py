@@ -99,8 +99,8 @@ def test_matches_python_model(spark, texts):
 
 def test_external_entities_lower_priority(spark):
     df = spark.createDataFrame(
-        [("Hi, I am Ann Lee, mail ann@x.com", [("NAME_PERSON", "Ann Lee", 9, 16, 0.75), ("NAME_PERSON", "ann", 23, 26, 0.75)])],
-        "text string, ext array<struct<type:string,value:string,start:int,end:int,confidence:double>>",
+        [("Hi, I am Ann Lee, mail ann@x.com", [(9, 16, "NAME_PERSON", "Ann Lee", 0.75), (23, 26, "NAME_PERSON", "ann", 0.75)])],
+        "text string, ext array<struct<start:int,end:int,type:string,value:string,confidence:double>>",
     )
     out = pii.with_pii(df, "text", external_col="ext").first()
     assert out.redacted == "Hi, I am [NAME_PERSON], mail [EMAIL]"
