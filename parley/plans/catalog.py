@@ -301,7 +301,7 @@ _SP = _duck_parse("raw_response", parse.SENTIMENT_FIELDS, parse.SENTIMENT_ERROR)
     f"{_IP['parse_ok']} AS parse_ok FROM v_raw_responses WHERE raw_response IS NOT NULL",
 )
 def q_intent_parse(spark, sf):
-    r = V(spark, sf, "v_raw_responses").filter(F.col("raw_response").isNotNull())
+    r = VS(spark, sf, "v_raw_responses").filter(F.col("raw_response").isNotNull())
     return r.select("message_id", parse.parse_intent(F.col("raw_response")).alias("p")).select(
         "message_id", "p.intent", "p.confidence", "p.reasoning", "p.parse_ok"
     )
@@ -321,7 +321,7 @@ FROM v_raw_responses"""
 
 @register("intent_fallback", _INTENT_FALLBACK_SQL)
 def q_intent_fallback(spark, sf):
-    r = V(spark, sf, "v_raw_responses")
+    r = VS(spark, sf, "v_raw_responses")
     p = parse.intent_result(F.col("raw_response"))
     return r.select("message_id", "raw_response", p.alias("p")).select(
         "message_id", "p.intent", "p.confidence", "p.reasoning",
@@ -340,7 +340,7 @@ FROM j""",
 )
 def q_intent_attach(spark, sf):
     m = V(spark, sf, "v_messages").select("message_id", "conv_id")
-    r = V(spark, sf, "v_raw_responses")
+    r = VS(spark, sf, "v_raw_responses")
     j = m.join(r, "message_id", "left")
     p = parse.intent_result(F.col("raw_response"))
     return j.select("message_id", "conv_id", p["intent"].alias("intent"), p["confidence"].alias("confidence"))
@@ -418,7 +418,7 @@ def q_sentiment_request(spark, sf):
     "FROM v_raw_sentiment WHERE raw_response IS NOT NULL",
 )
 def q_sentiment_parse(spark, sf):
-    r = V(spark, sf, "v_raw_sentiment").filter(F.col("raw_response").isNotNull())
+    r = VS(spark, sf, "v_raw_sentiment").filter(F.col("raw_response").isNotNull())
     return r.select("message_id", parse.parse_sentiment(F.col("raw_response")).alias("p")).select(
         "message_id", "p.sentiment", "p.score", "p.parse_ok"
     )
@@ -435,7 +435,7 @@ SELECT message_id,
 FROM v_raw_sentiment""",
 )
 def q_sentiment_fallback(spark, sf):
-    r = V(spark, sf, "v_raw_sentiment")
+    r = VS(spark, sf, "v_raw_sentiment")
     p = parse.sentiment_result(F.col("raw_response"))
     return r.select("message_id", "raw_response", p.alias("p")).select(
         "message_id", "p.sentiment", "p.score", parse.reply_source(F.col("raw_response"), F.col("p")).alias("source")
@@ -457,7 +457,7 @@ SELECT message_id, conv_id, sentiment, score, {_ESC_SQL.format(s='score', i='int
 )
 def q_sentiment_attach(spark, sf):
     m = V(spark, sf, "v_messages").select("message_id", "conv_id")
-    r = V(spark, sf, "v_raw_sentiment")
+    r = VS(spark, sf, "v_raw_sentiment")
     s = V(spark, sf, "v_scored").select("message_id", "intent")
     j = m.join(r, "message_id", "left").join(s, "message_id", "left")
     p = parse.sentiment_result(F.col("raw_response"))
@@ -501,7 +501,7 @@ _BAND_SQL = (
 SELECT message_id, {_BAND_SQL.format(s='score')} AS band, sentiment <> ({_BAND_SQL.format(s='score')}) AS band_mismatch FROM p""",
 )
 def q_sentiment_band(spark, sf):
-    r = V(spark, sf, "v_raw_sentiment").filter(F.col("raw_response").isNotNull())
+    r = VS(spark, sf, "v_raw_sentiment").filter(F.col("raw_response").isNotNull())
     p = r.select("message_id", parse.parse_sentiment(F.col("raw_response")).alias("p"))
     band = rules.sentiment_band(F.col("p.score"))
     return p.select("message_id", band.alias("band"), (F.col("p.sentiment") != band).alias("band_mismatch"))
@@ -525,7 +525,7 @@ _RS = (
 
 
 def _replies_scored(spark, sf) -> DataFrame:
-    r = V(spark, sf, "v_replies").filter(F.col("reply").isNotNull())
+    r = VS(spark, sf, "v_replies").filter(F.col("reply").isNotNull())
     s = V(spark, sf, "v_scored").select("message_id", "score", "intent")
     return r.join(s, "message_id")
 
@@ -556,7 +556,7 @@ SELECT 'reply' AS src, message_id AS id, regexp_matches(lower(reply), {D.q(D.UNP
 UNION ALL SELECT 'document', doc_id, regexp_matches(lower(text), {D.q(D.UNPROF_RE)}) FROM documents""",
 )
 def q_guard_unprofessional(spark, sf):
-    r = V(spark, sf, "v_replies").filter(F.col("reply").isNotNull())
+    r = VS(spark, sf, "v_replies").filter(F.col("reply").isNotNull())
     d = TS(spark, sf, "documents")
     return r.select(F.lit("reply").alias("src"), F.col("message_id").alias("id"), G.unprofessional(F.col("reply")).alias("unprofessional")).unionByName(
         d.select(F.lit("document").alias("src"), F.col("doc_id").alias("id"), G.unprofessional(F.col("text")).alias("unprofessional"))
@@ -605,7 +605,7 @@ _RES_CTES, _RES_LAST = D.resolution_ctes("rsa", "reply", "score", "intent", "gr"
 SELECT message_id, final_response, guardrail_outcome, CAST(len(first_pass_issues) AS BIGINT) AS first_pass_issue_count FROM {_RES_LAST}""",
 )
 def q_guardrail_resolve(spark, sf):
-    r = V(spark, sf, "v_replies")
+    r = VS(spark, sf, "v_replies")
     s = V(spark, sf, "v_scored").select("message_id", "score", "intent")
     out = G.with_resolution(r.join(s, "message_id"), "reply", "score", "intent")
     return out.select(
@@ -615,7 +615,7 @@ def q_guardrail_resolve(spark, sf):
 
 @register("reply_fallback", W("v_replies") + f"\nSELECT message_id, coalesce(reply, {D.q(G.FALLBACK_REPLY)}) AS reply FROM v_replies")
 def q_reply_fallback(spark, sf):
-    r = V(spark, sf, "v_replies")
+    r = VS(spark, sf, "v_replies")
     return r.select("message_id", F.coalesce(F.col("reply"), F.lit(G.FALLBACK_REPLY)).alias("reply"))
 
 
@@ -1388,4 +1388,4 @@ SELECT message_id, json_extract_string(body, '$.content[0].text') AS content,
   coalesce(json_extract_string(body, '$.stop_reason'), 'end_turn') AS stop_reason FROM v_response_bodies""",
 )
 def q_inference_response(spark, sf):
-    return mio.parse_responses(V(spark, sf, "v_response_bodies"))
+    return mio.parse_responses(VS(spark, sf, "v_response_bodies"))
