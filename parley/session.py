@@ -27,6 +27,12 @@ SQL_CONF = {
 def configure(spark: SparkSession) -> SparkSession:
     for k, v in SQL_CONF.items():
         spark.conf.set(k, v)
+    # text stages are CPU-heavy per byte: when AQE coalesces small shuffle
+    # outputs, keep at least two tasks per core so one slow task does not set
+    # the stage time (large shuffles are still bounded by the advisory size)
+    spark.conf.set(
+        "spark.sql.adaptive.coalescePartitions.minPartitionNum", str(2 * spark.sparkContext.defaultParallelism)
+    )
     return spark
 
 
