@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -142,28 +143,48 @@ _MON_STATE = T.StructType(
 )
 
 
+def _trailing(values: np.ndarray, k_prev: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and counts of the trailing n-row frames for the rows after the
+    first ``k_prev`` (state) values, by prefix-sum differences."""
+    c = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    idx = np.arange(k_prev + 1, len(values) + 1)
+    lo = np.maximum(idx - n, 0)
+    return c[idx] - c[lo], idx - lo
+
+
 def _monitor_state(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Vectorised per key: the state holds the last 100 scaled values of each
+    metric; the batch is appended, frame sums come from prefix sums."""
     n, n10, scale = monitor.WINDOW_SIZE, monitor.SENTIMENT_SPIKE_WINDOW, monitor.SCALE
-    if state.exists:
-        esc, pii_ok, sent, cost = (list(x) for x in state.get)
-    else:
-        esc, pii_ok, sent, cost = [], [], [], []
+    prev = [np.asarray(x, dtype=np.int64) for x in state.get] if state.exists else [np.zeros(0, np.int64)] * 4
     pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"])
-    out = []
-    for r in pdf.itertuples(index=False):
-        esc.append(int(bool(r.escalated)))
-        pii_ok.append(int(bool(r.pii_filter_success)))
-        sent.append(int(round(r.sentiment_score * scale)))
-        cost.append(int(round(r.cost * scale)))
-        esc, pii_ok, sent, cost = esc[-n:], pii_ok[-n:], sent[-n:], cost[-n:]
-        k = len(esc)
-        recent = sent[-n10:]
-        out.append(
-            (int(r.event_id), int(key[0]), k, sum(esc) / k, sum(pii_ok) / k, sum(sent) / k / scale,
-             sum(cost) / k / scale, sum(recent) / len(recent) / scale)
-        )
-    state.update((esc, pii_ok, sent, cost))
-    yield pd.DataFrame(out, columns=[f.name for f in _MON_OUT.fields])
+    new = [
+        pdf["escalated"].astype(bool).to_numpy(np.int64),
+        pdf["pii_filter_success"].astype(bool).to_numpy(np.int64),
+        np.rint(pdf["sentiment_score"].to_numpy(np.float64) * scale).astype(np.int64),
+        np.rint(pdf["cost"].to_numpy(np.float64) * scale).astype(np.int64),
+    ]
+    k = len(prev[0])
+    full = [np.concatenate([p, v]) for p, v in zip(prev, new)]
+    esc, cnt = _trailing(full[0], k, n)
+    pii_ok, _ = _trailing(full[1], k, n)
+    sent, _ = _trailing(full[2], k, n)
+    cost, _ = _trailing(full[3], k, n)
+    recent, cnt10 = _trailing(full[2], k, n10)
+    out = pd.DataFrame(
+        {
+            "event_id": pdf["event_id"].to_numpy(np.int64),
+            "monitor_key": np.full(len(pdf), int(key[0]), dtype=np.int64),
+            "window_n": cnt.astype(np.int64),
+            "escalation_rate": esc / cnt,
+            "pii_success_rate": pii_ok / cnt,
+            "avg_sentiment": sent / cnt / scale,
+            "avg_cost": cost / cnt / scale,
+            "recent_sentiment": recent / cnt10 / scale,
+        }
+    )
+    state.update(tuple(f[-n:].tolist() for f in full))
+    yield out
 
 
 def monitor_stream(interactions: DataFrame) -> DataFrame:
