@@ -108,7 +108,13 @@ def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (a["end"] > b["start"])
 
 
-def resolve_overlaps(candidates: Column, by_confidence: bool = False) -> Column:
+def _by_length(candidates: Column) -> Column:
+    """Stable re-order: longest span first, detection order among equals."""
+    indexed = F.transform(candidates, lambda e, i: F.struct((e["start"] - e["end"]).alias("neg_len"), i.alias("i"), e.alias("e")))
+    return F.transform(F.array_sort(indexed), lambda x: x["e"])
+
+
+def resolve_overlaps(candidates: Column, by_confidence: bool = False, priority: str = "reference") -> Column:
     """Greedy overlap resolution, then order by start.
 
     ``candidates`` must already be in detection order. With
@@ -117,7 +123,7 @@ def resolve_overlaps(candidates: Column, by_confidence: bool = False) -> Column:
     the regex ones; with the fixed confidences detection order already is
     priority order).
     """
-    ordered = candidates
+    ordered = _by_length(candidates) if priority == "longest" else candidates
     if by_confidence:
         indexed = F.transform(candidates, lambda e, i: F.struct(e.alias("e"), i.alias("i")))
         ordered = F.transform(
@@ -215,7 +221,7 @@ def _entity_maker(etype: str, gaps: Column, offsets: Column):
 
 
 @lru_cache(maxsize=64)
-def _entity_stages(text_col: str, external_col: str | None) -> tuple:
+def _entity_stages(text_col: str, external_col: str | None, priority: str = "reference") -> tuple:
     """Column expressions of the four stages, built once per column names
     (they refer to columns by name only, so the same JVM expressions serve
     every DataFrame; building them costs thousands of Py4J calls)."""
@@ -241,15 +247,21 @@ def _entity_stages(text_col: str, external_col: str | None) -> tuple:
     cands = F.concat(*parts)
     if external_col is not None:
         cands = F.concat(cands, F.coalesce(F.col(external_col), F.array().cast(ENTITIES)))
-        resolved = resolve_overlaps(cands, by_confidence=True)
+        resolved = resolve_overlaps(cands, by_confidence=True, priority=priority)
     else:
-        resolved = resolve_overlaps(cands)
+        resolved = resolve_overlaps(cands, priority=priority)
     return stage1, stage2, stage3, resolved
 
 
-def with_entities(df: DataFrame, text_col: str, out_col: str = "entities", external_col: str | None = None) -> DataFrame:
+def with_entities(df: DataFrame, text_col: str, out_col: str = "entities", external_col: str | None = None,
+                  priority: str = "reference") -> DataFrame:
     """Add the resolved entity array of ``text_col`` as ``out_col``.
 
+    ``priority``: ``reference`` (pattern order decides overlaps: a 16-digit
+    card without separators loses its last ten digits to PHONE and six digits
+    stay visible) or ``longest`` (the longest candidate wins, detection order
+    among equals).
+
     The work is staged in separate projections so that every regex pass runs
     once per row: (1) the matches of each pattern, (2) the gaps (``split``),
     only for rows where the pattern matched, (3) the running offsets,
@@ -261,7 +273,7 @@ def with_entities(df: DataFrame, text_col: str, out_col: str = "entities", exter
     # the text (and external entities) go through fixed scratch names, so one
     # set of built expressions serves every call
     ext = _EXT_SCRATCH if external_col is not None else None
-    stage1, stage2, stage3, resolved = _entity_stages(_TEXT_SCRATCH, ext)
+    stage1, stage2, stage3, resolved = _entity_stages(_TEXT_SCRATCH, ext, priority)
     scratch = [_TEXT_SCRATCH, *stage1, *stage2, *stage3] + ([ext] if ext else [])
     staged = df.withColumn(_TEXT_SCRATCH, F.col(text_col))
     if ext:
@@ -276,10 +288,11 @@ def _pii_outputs(text_col: str, ent_col: str) -> tuple:
     return redact_with(F.col(text_col), F.col(ent_col)), pii_metadata(F.col(ent_col))
 
 
-def with_pii(df: DataFrame, text_col: str, prefix: str = "", external_col: str | None = None) -> DataFrame:
+def with_pii(df: DataFrame, text_col: str, prefix: str = "", external_col: str | None = None,
+             priority: str = "reference") -> DataFrame:
     """Add ``{prefix}entities``, ``{prefix}redacted`` and ``{prefix}pii`` (metadata)."""
     ent_name = f"{prefix}entities"
-    out = with_entities(df, text_col, ent_name, external_col)
+    out = with_entities(df, text_col, ent_name, external_col, priority)
     redacted, meta = _pii_outputs(text_col, ent_name)
     return out.withColumns({f"{prefix}redacted": redacted, f"{prefix}pii": meta})
 

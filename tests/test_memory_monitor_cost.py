@@ -119,3 +119,25 @@ def test_keyed_halo_hot_key_equals_plain_window(spark):
         df, ["event_id", "ts"], {"s": (7, F.sum("v")), "l": (3, F.collect_list("v"))}, block=64, keys=["k"], numbering="chunked"
     ).select("event_id", "s", "l", "_rn")
     assert chunked.exceptAll(plain).count() == 0
+
+
+def test_primary_intent_matches_python_model(spark):
+    from collections import Counter
+
+    rnd = random.Random(5)
+    rows, expected = [], {}
+    for c in range(40):
+        intents = [rnd.choice("abcd") for _ in range(rnd.randint(1, 9))]
+        esc = [rnd.random() < 0.2 for _ in intents]
+        kept = [i for i, e in zip(intents, esc) if not e]
+        # the reference's Counter.most_common keeps first-seen order on ties
+        expected[c] = Counter(kept).most_common(1)[0][0] if kept else "unknown"
+        for t, (i, e) in enumerate(zip(intents, esc)):
+            rows.append((c * 100 + t, c, t, dt.datetime(2024, 1, 1), "m", "r", i, 0.5, e))
+    df = spark.createDataFrame(
+        rows,
+        "message_id long, conv_id long, turn long, ts timestamp, redacted_message string, response string, "
+        "intent string, sentiment_score double, escalated boolean",
+    )
+    got = {r.conv_id: r.primary_intent for r in conv.summary(df).collect()}
+    assert got == expected

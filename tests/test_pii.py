@@ -104,3 +104,11 @@ def test_external_entities_lower_priority(spark):
     )
     out = pii.with_pii(df, "text", external_col="ext").first()
     assert out.redacted == "Hi, I am [NAME_PERSON], mail [EMAIL]"
+
+
+def test_longest_priority_option(spark):
+    df = spark.createDataFrame([("Card 4532123456789010 or 555-123-4567",)], "text string")
+    ref = pii.with_pii(df, "text").first().redacted
+    longest = pii.with_pii(df, "text", priority="longest").first().redacted
+    assert ref == "Card 453212[PHONE] or [PHONE]"
+    assert longest == "Card [CREDIT_CARD] or [PHONE]"
