@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from parley.functions import guardrails, pii, rules
 from parley.operators import cost as cost_ops
 from parley.plans.windows import running_total
+from parley.session import fits_broadcast
 
 TRIAGE_COLUMNS = [
     "message_id", "conv_id", "turn", "ts", "redacted_message", "response", "intent", "intent_confidence",
@@ -61,13 +62,20 @@ def triage(
     replies: DataFrame,
     usage: DataFrame | None = None,
     chunk: int = 1 << 16,
+    narrow_cost_bytes: int = 1 << 30,
 ) -> DataFrame:
     """One triage row per message (``message_id, conv_id, turn, ts, content``).
 
-    Plan shape: the cheap equi-joins on ``message_id`` and the running session
-    cost (one shuffle on conversation + turn chunk) come first; the regex-heavy
-    steps (message redaction, two guardrail passes) run after that shuffle, on
-    evenly sized partitions, and are computed once.
+    Plan shape: equi-joins on ``message_id`` (at scale sort-merge joins that
+    leave the wide rows hash-partitioned by ``message_id``), then the running
+    session cost (skew-safe chunked running total), then the regex-heavy steps
+    (redaction, two guardrail passes), computed once per row.
+
+    Where the cost is computed depends on the planner's size estimate of the
+    messages: above ``narrow_cost_bytes`` it runs on a narrow projection and
+    is joined back on ``message_id`` (the wide rows, already partitioned by
+    that key, are not shuffled again); below it, on the joined rows directly
+    (one shuffle of small data, no second pass over the upstream).
     """
     df = escalate(attach_scores(messages, scored))
     df = attach_replies(df, replies, usage)
@@ -78,7 +86,12 @@ def triage(
         )
     else:
         reply_cost = F.lit(0.0)
-    df = running_total(df, ["conv_id"], "turn", reply_cost, "_session_cost", chunk=chunk, tiebreak=["message_id"])
+    if fits_broadcast(messages, narrow_cost_bytes):
+        df = running_total(df, ["conv_id"], "turn", reply_cost, "_session_cost", chunk=chunk, tiebreak=["message_id"])
+    else:
+        narrow = df.select("message_id", "conv_id", "turn", reply_cost.alias("_rc"))
+        costs = running_total(narrow, ["conv_id"], "turn", F.col("_rc"), "_session_cost", chunk=chunk, tiebreak=["message_id"])
+        df = df.join(costs.select("message_id", "_session_cost"), "message_id")
     df = redact_messages(df)
     # escalated rows never get a reply call: check an empty text for them
     df = df.withColumn("_reply_in", F.when(F.col("escalated"), F.lit("")).otherwise(F.col("reply")))
