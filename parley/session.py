@@ -91,9 +91,11 @@ def fits_broadcast(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> bool:
     """
     try:
         size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size.toString()) <= max_bytes
     except Exception:  # pragma: no cover - stats unavailable
         return False
+    # Py4J returns the BigInt as a Python int or as a JVM object
+    size = size if isinstance(size, int) else int(size.toString())
+    return size <= max_bytes
 
 
 _SHUFFLING_NODES = {"Join", "Aggregate", "Window", "Repartition", "RepartitionByExpression", "Sort", "Expand",
