@@ -60,8 +60,10 @@ ENTITIES = T.ArrayType(ENTITY)
 REQUIRED_LITERAL = {"EMAIL": "@"}
 
 
-def _ci(pattern: str) -> str:
-    return "(?i)" + pattern
+def _ci(pattern: str, unicode: bool = False) -> str:
+    """Case-insensitive; with ``unicode`` also Unicode classes (``\\d``, ``\\s``,
+    ``\\b`` as in Python's ``re`` on str; Java's default is ASCII)."""
+    return ("(?iU)" if unicode else "(?i)") + pattern
 
 
 def match_entities(text: Column, etype: str, pattern: str, confidence: float = REGEX_CONFIDENCE) -> Column:
@@ -195,10 +197,10 @@ def pii_metadata(entities: Column) -> Column:
     )
 
 
-def may_contain_pii(text: Column) -> Column:
+def may_contain_pii(text: Column, unicode: bool = False) -> Column:
     """Cheap necessary condition for any regex entity: every pattern needs a
     digit or an ``@``. Rows failing it skip the array machinery."""
-    return text.rlike("[0-9@]")
+    return text.rlike(r"(?U)[\d@]" if unicode else "[0-9@]")
 
 
 _EMPTY_STR_ARRAY = "array<string>"
@@ -221,12 +223,12 @@ def _entity_maker(etype: str, gaps: Column, offsets: Column):
 
 
 @lru_cache(maxsize=64)
-def _entity_stages(text_col: str, external_col: str | None, priority: str = "reference") -> tuple:
+def _entity_stages(text_col: str, external_col: str | None, priority: str = "reference", unicode: bool = False) -> tuple:
     """Column expressions of the four stages, built once per column names
     (they refer to columns by name only, so the same JVM expressions serve
     every DataFrame; building them costs thousands of Py4J calls)."""
     text = F.col(text_col)
-    gate = may_contain_pii(text)
+    gate = may_contain_pii(text, unicode)
     if external_col is not None:
         gate = gate | (F.size(F.col(external_col)) > 0)
     empty = F.array().cast(_EMPTY_STR_ARRAY)
@@ -235,8 +237,8 @@ def _entity_stages(text_col: str, external_col: str | None, priority: str = "ref
         cond = gate
         if t in REQUIRED_LITERAL:
             cond = cond & (F.instr(text, REQUIRED_LITERAL[t]) > 0)
-        stage1[f"_m_{t}"] = F.when(cond, F.regexp_extract_all(text, F.lit(_ci(p)), 0)).otherwise(empty)
-    stage2 = {f"_g_{t}": F.when(F.size(f"_m_{t}") > 0, F.split(text, _ci(p), -1)) for t, p in PII_PATTERNS}
+        stage1[f"_m_{t}"] = F.when(cond, F.regexp_extract_all(text, F.lit(_ci(p, unicode)), 0)).otherwise(empty)
+    stage2 = {f"_g_{t}": F.when(F.size(f"_m_{t}") > 0, F.split(text, _ci(p, unicode), -1)) for t, p in PII_PATTERNS}
     stage3 = {}
     for t, _ in PII_PATTERNS:
         m, g = F.col(f"_m_{t}"), F.col(f"_g_{t}")
@@ -254,7 +256,7 @@ def _entity_stages(text_col: str, external_col: str | None, priority: str = "ref
 
 
 def with_entities(df: DataFrame, text_col: str, out_col: str = "entities", external_col: str | None = None,
-                  priority: str = "reference") -> DataFrame:
+                  priority: str = "reference", unicode: bool = False) -> DataFrame:
     """Add the resolved entity array of ``text_col`` as ``out_col``.
 
     ``priority``: ``reference`` (pattern order decides overlaps: a 16-digit
@@ -273,7 +275,7 @@ def with_entities(df: DataFrame, text_col: str, out_col: str = "entities", exter
     # the text (and external entities) go through fixed scratch names, so one
     # set of built expressions serves every call
     ext = _EXT_SCRATCH if external_col is not None else None
-    stage1, stage2, stage3, resolved = _entity_stages(_TEXT_SCRATCH, ext, priority)
+    stage1, stage2, stage3, resolved = _entity_stages(_TEXT_SCRATCH, ext, priority, unicode)
     scratch = [_TEXT_SCRATCH, *stage1, *stage2, *stage3] + ([ext] if ext else [])
     staged = df.withColumn(_TEXT_SCRATCH, F.col(text_col))
     if ext:
@@ -289,10 +291,10 @@ def _pii_outputs(text_col: str, ent_col: str) -> tuple:
 
 
 def with_pii(df: DataFrame, text_col: str, prefix: str = "", external_col: str | None = None,
-             priority: str = "reference") -> DataFrame:
+             priority: str = "reference", unicode: bool = False) -> DataFrame:
     """Add ``{prefix}entities``, ``{prefix}redacted`` and ``{prefix}pii`` (metadata)."""
     ent_name = f"{prefix}entities"
-    out = with_entities(df, text_col, ent_name, external_col, priority)
+    out = with_entities(df, text_col, ent_name, external_col, priority, unicode)
     redacted, meta = _pii_outputs(text_col, ent_name)
     return out.withColumns({f"{prefix}redacted": redacted, f"{prefix}pii": meta})
 

@@ -112,3 +112,11 @@ def test_longest_priority_option(spark):
     longest = pii.with_pii(df, "text", priority="longest").first().redacted
     assert ref == "Card 453212[PHONE] or [PHONE]"
     assert longest == "Card [CREDIT_CARD] or [PHONE]"
+
+
+def test_unicode_classes_option(spark):
+    df = spark.createDataFrame([("SSN ١٢٣-٤٥-٦٧٨٩ and 123-45-6789",)], "text string")
+    ascii_only = pii.with_pii(df, "text").first()
+    uni = pii.with_pii(df, "text", unicode=True).first()
+    assert ascii_only.redacted == "SSN ١٢٣-٤٥-٦٧٨٩ and [SSN]"
+    assert uni.redacted == "SSN [SSN] and [SSN]"
