@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from parley.llm.mixing import op5_mixing
 from parley.llm.quality_classifier import op1_quality_classifier
 from parley.llm.quality_rules import op10_quality_rules
+from parley.llm.simhash import op2_simhash
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_simhash": op2_simhash,
+    "op5_mixing": op5_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
