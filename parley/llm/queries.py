@@ -6,10 +6,12 @@ from parley.llm.mixing import op5_mixing
 from parley.llm.quality_classifier import op1_quality_classifier
 from parley.llm.quality_rules import op10_quality_rules
 from parley.llm.simhash import op2_simhash
+from parley.llm.weighted_sampling import op4_weighted_sampling
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_simhash": op2_simhash,
+    "op4_weighted_sampling": op4_weighted_sampling,
     "op5_mixing": op5_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
