@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from parley.llm.language_id import op9_language_id
 from parley.llm.mixing import op5_mixing
 from parley.llm.quality_classifier import op1_quality_classifier
 from parley.llm.quality_rules import op10_quality_rules
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_weighted_sampling": op4_weighted_sampling,
     "op5_mixing": op5_mixing,
+    "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
 
