@@ -6,6 +6,7 @@ from parley.llm.language_id import op9_language_id
 from parley.llm.mixing import op5_mixing
 from parley.llm.quality_classifier import op1_quality_classifier
 from parley.llm.quality_rules import op10_quality_rules
+from parley.llm.sentence_pieces import op8_sentence_pieces
 from parley.llm.simhash import op2_simhash
 from parley.llm.weighted_sampling import op4_weighted_sampling
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_weighted_sampling": op4_weighted_sampling,
     "op5_mixing": op5_mixing,
+    "op8_sentence_pieces": op8_sentence_pieces,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
