@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from parley.llm.language_id import op9_language_id
+from parley.llm.licences import op7_licences
 from parley.llm.mixing import op5_mixing
+from parley.llm.pseudonyms import op3_pseudonyms
 from parley.llm.quality_classifier import op1_quality_classifier
 from parley.llm.quality_rules import op10_quality_rules
 from parley.llm.sentence_pieces import op8_sentence_pieces
@@ -13,8 +15,10 @@ from parley.llm.weighted_sampling import op4_weighted_sampling
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_simhash": op2_simhash,
+    "op3_pseudonyms": op3_pseudonyms,
     "op4_weighted_sampling": op4_weighted_sampling,
     "op5_mixing": op5_mixing,
+    "op7_licences": op7_licences,
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
