@@ -8,6 +8,7 @@ from parley.llm.mixing import op5_mixing
 from parley.llm.pseudonyms import op3_pseudonyms
 from parley.llm.quality_classifier import op1_quality_classifier
 from parley.llm.quality_rules import op10_quality_rules
+from parley.llm.role_repair import op6_role_repair
 from parley.llm.sentence_pieces import op8_sentence_pieces
 from parley.llm.simhash import op2_simhash
 from parley.llm.weighted_sampling import op4_weighted_sampling
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_pseudonyms": op3_pseudonyms,
     "op4_weighted_sampling": op4_weighted_sampling,
     "op5_mixing": op5_mixing,
+    "op6_role_repair": op6_role_repair,
     "op7_licences": op7_licences,
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_language_id": op9_language_id,
