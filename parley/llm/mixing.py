@@ -144,13 +144,16 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents: each row of ``docs`` as often as the mix takes it, with all its columns."""
-    plan = plan_mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source"), F.col("copies").alias("_copies"))
-    same = Window.partitionBy("_id", "_key", "_source").orderBy(F.col("_copies").desc())
-    plan = plan.withColumn("_n", F.row_number().over(same))
-    own = Window.partitionBy("doc_id", "_text_key", "source").orderBy(F.xxhash64(*docs.columns))
-    marked = docs.withColumn("_text_key", F.xxhash64("text")).withColumn("_row", F.row_number().over(own))
-    both = marked.join(plan, marked.doc_id.eqNullSafe(plan._id) & (marked._text_key == plan._key) & marked.source.eqNullSafe(plan._source) & (marked._row == plan._n))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    plan = plan_mix(docs, **how).where("copies > 0").select("doc_id", "text_key", "source", "copies")
+    same = Window.partitionBy("doc_id", "text_key", "source").orderBy(F.col("copies").desc())
+    plan = plan.withColumn("n", F.row_number().over(same))
+    # whole input rows travel as one struct, so their names meet none of these
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "source", F.struct(*docs.columns).alias("row"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "text_key", "source").orderBy(F.xxhash64("row"))))
+    a, b = rows.alias("a"), plan.alias("b")
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "text_key", "source", "n")]
+    both = a.join(b, on).select("a.row", F.explode(F.sequence(F.lit(1), F.col("b.copies"))))
+    return both.select("row.*")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -197,19 +197,13 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     groups = near_groups(docs, **how)
     roots = groups.withColumn("group", F.coalesce("component_id", "fp")).withColumn("lone", F.col("component_id").isNull())
     first = roots.groupBy("lone", "group").agg(F.min_by(F.struct("doc_id", "text_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("x"))
-    kept = first.select(F.col("x.doc_id").alias("_kept_id"), F.col("x.text_key").alias("_kept_key")).distinct()
-    return _first_rows(docs, kept)
-
-
-def _first_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each (id, text hash) of ``kept``."""
-    from pyspark.sql import Window
-
-    marked = docs.withColumn("_text_key", F.xxhash64("text"))
-    rows = marked.join(kept, marked.doc_id.eqNullSafe(kept._kept_id) & (marked._text_key == kept._kept_key), "left_semi")
-    rest = [F.xxhash64(*docs.columns)]
-    one = Window.partitionBy("doc_id", "_text_key").orderBy(*rest)
-    return rows.withColumn("_place", F.row_number().over(one)).where("_place = 1").select(*docs.columns)
+    kept = first.select("x.doc_id", "x.text_key").distinct()
+    # whole input rows travel as one struct, so their names meet none of these
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.struct(*docs.columns).alias("row"))
+    a, b = rows.alias("a"), kept.alias("b")
+    rows = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "text_key")], "left_semi")
+    one = Window.partitionBy("doc_id", "text_key").orderBy(F.xxhash64("row"))  # a row may be there more than once
+    return rows.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
