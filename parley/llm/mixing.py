@@ -30,7 +30,7 @@ from parley.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-SHARD_ROWS = 50_000
+SHARD_ROWS = 4_000
 MAX_BLOCK = 64  # words
 BLOCKS_PER_SOURCE = 10_000
 SEED = 17
