@@ -123,11 +123,12 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     lined = dealt.drop("quota").join(shards, ["place", "shard"]).withColumn("end", F.sum("size").over(upto)).withColumn("begin", F.col("end") - F.col("size"))
     key = F.xxhash64(F.lit(seed + 2), "place", "shard")
     prime = F.element_at(F.array(*(F.lit(p) for p in PRIMES)), (F.pmod(key, F.lit(len(PRIMES))) + 1).cast("int"))
-    lined = lined.withColumn("step", F.pmod(prime, F.col("n_blocks"))).withColumn("shift", F.pmod(F.shiftright(key, 8), F.col("n_blocks")))
+    lined = lined.withColumn("n_perm", F.greatest(F.lit(1).cast("long"), "n_blocks"))
+    lined = lined.withColumn("step", F.pmod(prime, F.col("n_perm"))).withColumn("shift", F.pmod(F.shiftright(key, 8), F.col("n_perm")))
 
     def selected(total: Column, b: Column) -> Column:
         inside = F.least(F.col("end"), (b + 1) * F.col("block")) - F.greatest(F.col("begin"), b * F.col("block"))
-        return total + F.when(F.pmod(b * F.col("step") + F.col("shift"), F.col("n_blocks")) < F.col("picked"), inside).otherwise(F.lit(0).cast("long"))
+        return total + F.when(F.pmod(b * F.col("step") + F.col("shift"), F.col("n_perm")) < F.col("picked"), inside).otherwise(F.lit(0).cast("long"))
 
     numbers = F.sequence(F.floor(F.col("begin") / F.col("block")), F.floor((F.col("end") - 1) / F.col("block")))
     part = F.when((F.col("size") == 0) | (F.col("picked") == 0), F.lit(0).cast("long")).when(F.col("picked") == F.col("n_blocks"), F.col("size"))
