@@ -109,9 +109,12 @@ class Cipher:
 
     def characters(self, value: str, label: str) -> str:
         """Letters and digits permuted within their classes; hexadecimal strings stay hexadecimal."""
-        if len(value) >= 16 and re.fullmatch(r"[0-9a-f]+", value):
-            got = self.mixed([int(c, 16) for c in value], [16] * len(value), label)
-            return "".join("0123456789abcdef"[x] for x in got)
+        if len(value) >= 16 and re.fullmatch(r"[0-9a-f]*[a-f][0-9a-f]*", value):
+            got = [int(c, 16) for c in value]
+            while True:  # among the strings with a letter, so that a result is read the same way back
+                got = self.mixed(got, [16] * len(value), label)
+                if max(got) > 9:
+                    return "".join("0123456789abcdef"[x] for x in got)
         kinds = [("0", 10) if "0" <= c <= "9" else ("a", 26) if "a" <= c <= "z" else ("A", 26) if "A" <= c <= "Z" else None for c in value]
         at = [i for i, k in enumerate(kinds) if k]
         out = list(value)
