@@ -55,7 +55,7 @@ def test_templates_are_found_anywhere(label, text):
     filler = "lorem ipsum dolor sit amet " * 40
     assert label in labels(text) and label in labels(filler + text.upper() + "\n" + filler)
     words = text.split()
-    if len(words) > 8:  # a word more and a word less, away from the key phrases
+    if len(words) > 12:  # a word more, away from the key phrases
         assert label in labels(" ".join([*words[:-1], "very", words[-1]]))
 
 
