@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.llm import text as tx
-from parley.llm.sample import fold
+from parley.llm.sample import fold, hash_place, share_for
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -167,10 +167,12 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 def training_windows(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, words: int = WINDOW_WORDS, seed: int = 5) -> list[tuple[str, list[str]]]:
     """(lang, words) of at most ``rows`` texts a language outside the held-out fold: a seeded window of each text."""
-    key = F.xxhash64(F.lit(seed), "doc_id")
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(key, "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).select("doc_id", F.col("lang").alias("label")).distinct()
+    # a row for each language; the hash bound leaves few rows to rank, whatever a language's share of the corpus
+    there = known.groupBy("lang").agg(F.count(F.lit(1)).alias("there"))
+    near = known.select("doc_id", "lang").join(F.broadcast(there), "lang").where(hash_place(seed) < share_for(rows, F.col("there")))
+    order = Window.partitionBy("lang").orderBy(hash_place(seed), "doc_id")
+    chosen = near.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).select("doc_id", F.col("lang").alias("label")).distinct()
     # at most ``rows`` ids a language
     texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").where("lang = label").select("label", "text")
     schema = T.StructType([T.StructField("label", T.StringType()), T.StructField("words", T.ArrayType(T.StringType()))])

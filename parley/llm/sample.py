@@ -12,19 +12,29 @@ def fold(doc_id: str | Column, folds: int) -> Column:
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(folds))
 
 
+_RANGE = 1 << 32
+
+
+def hash_place(seed: int) -> Column:
+    """A keyed hash of the id as a number below 2 ** 32."""
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(_RANGE))
+
+
+def share_for(rows: int, there: Column) -> Column:
+    """Hash places below this hold about four times ``rows`` of ``there`` rows, so that few meet where the first ``rows`` are taken."""
+    return F.least(F.lit(float(_RANGE)), F.lit(4.0 * rows * _RANGE) / F.greatest(there, F.lit(1)))
+
+
 def labelled_sample(labels: DataFrame, label: str, rows: int, seed: int) -> DataFrame:
     """At most ``rows`` (doc_id, label) rows, those with the smallest keyed hashes.
 
     Null ids and null labels are left out; an id labelled more than once takes
     the rounded mean of its labels.
     """
-    one = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-        .groupBy("doc_id")
-        .agg(F.round(F.avg(F.col(label).cast("double"))).cast("int").alias("label"))
-    )
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    return one.orderBy(key, "doc_id").limit(rows)
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    near = known.where(hash_place(seed) < share_for(rows, F.lit(known.count())))
+    one = near.groupBy("doc_id").agg(F.round(F.avg(F.col(label).cast("double"))).cast("int").alias("label"))
+    return one.orderBy(hash_place(seed), "doc_id").limit(rows)
 
 
 def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
