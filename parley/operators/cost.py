@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +18,19 @@ AGENT_REPLY = "support_agent"
 NO_COSTS_TEXT = "No costs tracked"
 
 
+# Money is exact: decimals add up to the same total in any order.
+COST_TYPE = "decimal(38,12)"
+
+
 def call_cost_expr(input_tokens: Column, output_tokens: Column, price_in: float = PRICE_INPUT_PER_M,
                    price_out: float = PRICE_OUTPUT_PER_M) -> Column:
-    return (input_tokens.cast("double") / 1000000.0) * price_in + (output_tokens.cast("double") / 1000000.0) * price_out
+    """Dollars of one call, as a decimal of 12 places."""
+
+    def part(tokens: Column, price: float) -> Column:
+        per_token = F.lit(Decimal(str(price)) / 1_000_000).cast("decimal(18,12)")
+        return (tokens.cast("decimal(18,0)") * per_token).cast(COST_TYPE)
+
+    return (part(input_tokens, price_in) + part(output_tokens, price_out)).cast(COST_TYPE)
 
 
 def call_cost(calls: DataFrame) -> DataFrame:

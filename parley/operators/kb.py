@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.plans.windows import maybe_broadcast, top_k
+from parley.plans.windows import top_k
 
 # Result count and the texts of the formatted block.
 TOP_K = 3
@@ -32,7 +32,7 @@ def section_tokens(sections: DataFrame) -> DataFrame:
 
 
 def _scores(queries: DataFrame, sections: DataFrame) -> DataFrame:
-    qt = maybe_broadcast(query_tokens(queries))
+    qt = query_tokens(queries)
     st = section_tokens(sections)
     return st.join(qt, "token").groupBy("query_id", "section_id", "source").agg(F.count(F.lit(1)).alias("score"))
 

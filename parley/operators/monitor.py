@@ -41,14 +41,14 @@ def with_defaults(df: DataFrame) -> DataFrame:
     return out
 
 
-# Averages of scores and costs are exact: values are taken in units of 1e-10
-# (integers), frame sums are integer sums, so thresholds and rounding do not
-# depend on summation order or on how the frame is partitioned.
-SCALE = 10_000_000_000
+# Averages of scores and costs are exact: values are decimals of ten places and
+# frame sums are decimal sums, so thresholds and rounding do not depend on
+# summation order or on how the frame is partitioned.
+VALUE_TYPE = "decimal(28,10)"
 
 
-def _scaled(c: str) -> Column:
-    return F.round(F.col(c) * float(SCALE)).cast("long")
+def _exact(c: str) -> Column:
+    return F.col(c).cast(VALUE_TYPE)
 
 
 def _sum_specs() -> dict[str, tuple[int, Column]]:
@@ -56,12 +56,16 @@ def _sum_specs() -> dict[str, tuple[int, Column]]:
     return {
         "_s_esc": (n, F.col("escalated").cast("long")),
         "_s_pii": (n, F.col("pii_filter_success").cast("long")),
-        "_s_sent": (n, _scaled("sentiment_score")),
-        "_s_cost": (n, _scaled("cost")),
-        "_s_recent": (SENTIMENT_SPIKE_WINDOW, _scaled("sentiment_score")),
+        "_s_sent": (n, _exact("sentiment_score")),
+        "_s_cost": (n, _exact("cost")),
+        "_s_recent": (SENTIMENT_SPIKE_WINDOW, _exact("sentiment_score")),
     }
 
 
+def _mean(total: str, n: Column) -> Column:
+    return (F.col(total) / n.cast("decimal(10,0)")).cast("double")
+
+
 def _finish(df: DataFrame, rn: str) -> DataFrame:
     n = F.least(F.col(rn), F.lit(WINDOW_SIZE)).cast("long")
     n10 = F.least(F.col(rn), F.lit(SENTIMENT_SPIKE_WINDOW)).cast("long")
@@ -70,16 +74,17 @@ def _finish(df: DataFrame, rn: str) -> DataFrame:
             "window_n": n,
             "escalation_rate": F.col("_s_esc") / n,
             "pii_success_rate": F.col("_s_pii") / n,
-            "avg_sentiment": F.col("_s_sent") / n / float(SCALE),
-            "avg_cost": F.col("_s_cost") / n / float(SCALE),
-            "recent_sentiment": F.col("_s_recent") / n10 / float(SCALE),
+            "avg_sentiment": _mean("_s_sent", n),
+            "avg_cost": _mean("_s_cost", n),
+            "recent_sentiment": _mean("_s_recent", n10),
         }
     ).drop("_s_esc", "_s_pii", "_s_sent", "_s_cost", "_s_recent")
 
 
 def rolling(interactions: DataFrame, plan: str = "halo", block: int = 1 << 16, key: str | None = None) -> DataFrame:
-    """Rolling metrics per interaction. ``plan``: ``halo`` (parallel), ``naive``
-    (one global window) or ``keyed`` (one monitor per ``key``)."""
+    """Rolling metrics per interaction. ``plan``: ``halo`` (parallel), ``keyed``
+    (one monitor per ``key``) or ``naive`` (one global window, one task: a
+    plain statement of the result for tests)."""
     df = with_defaults(interactions)
     if plan == "keyed":
         out = rolling_global(df, ORDER, {}, block=block, exact_sums=_sum_specs(), keys=[key])
@@ -94,66 +99,74 @@ def _pct1(x: Column) -> Column:
     return F.format_string("%.1f%%", F.bround(x * 100, 1))
 
 
+def _details(*fields: Column) -> Column:
+    return F.to_json(F.struct(*fields))
+
+
+def _alert(severity: str, title: str, message: Column, details: Column) -> Column:
+    return F.struct(F.lit(severity).alias("severity"), F.lit(title).alias("title"), message.alias("message"), details.alias("details"))
+
+
+def pii_alert() -> Column:
+    """Of the row alone: null unless redaction failed."""
+    return F.when(~F.col("pii_filter_success"), _alert("CRITICAL", TITLE_PII, F.lit(MESSAGE_PII), _details(F.col("event_id"))))
+
+
+def cost_alert() -> Column:
+    """Of the row alone: null unless the interaction cost five times the usual."""
+    message = F.concat(F.lit("Single interaction cost: $"), F.format_string("%.4f", F.bround(F.col("cost"), 4)))
+    details = _details(F.col("cost"), F.lit(BASELINES["avg_cost"]).alias("baseline"))
+    return F.when(F.col("cost") > BASELINES["avg_cost"] * COST_SPIKE_FACTOR, _alert("WARNING", TITLE_COST, message, details))
+
+
+def escalation_alert() -> Column:
+    message = F.concat(
+        F.lit("Escalation rate at "), _pct1(F.col("escalation_rate")),
+        F.lit(" (baseline: "), _pct1(F.lit(BASELINES["escalation_rate"])), F.lit(")"),
+    )
+    details = _details(F.round("escalation_rate", 9).alias("escalation_rate"), F.lit(BASELINES["escalation_rate"]).alias("baseline"), "window_n")
+    return F.when(F.col("escalation_rate") > ESCALATION_RATE_LIMIT, _alert("WARNING", TITLE_ESCALATION, message, details))
+
+
+def sentiment_alert() -> Column:
+    message = F.concat(F.lit("Recent average sentiment: "), F.format_string("%.2f", F.bround(F.col("recent_sentiment"), 2)))
+    details = _details(F.round("recent_sentiment", 9).alias("avg_sentiment"), F.lit(SENTIMENT_SPIKE_WINDOW).alias("window"))
+    return F.when(F.col("recent_sentiment") < SENTIMENT_SPIKE_LIMIT, _alert("WARNING", TITLE_SENTIMENT, message, details))
+
+
 def alerts(rolled: DataFrame) -> DataFrame:
-    """0-4 alerts per interaction, in rule order (alert_no 0..3 kept dense)."""
-    cost_limit = BASELINES["avg_cost"] * COST_SPIKE_FACTOR
-    candidates = F.array(
-        F.when(
-            ~F.col("pii_filter_success"),
-            F.struct(F.lit("CRITICAL").alias("severity"), F.lit(TITLE_PII).alias("title"), F.lit(MESSAGE_PII).alias("message")),
-        ),
-        F.when(
-            F.col("escalation_rate") > ESCALATION_RATE_LIMIT,
-            F.struct(
-                F.lit("WARNING").alias("severity"),
-                F.lit(TITLE_ESCALATION).alias("title"),
-                F.concat(
-                    F.lit("Escalation rate at "), _pct1(F.col("escalation_rate")),
-                    F.lit(" (baseline: "), _pct1(F.lit(BASELINES["escalation_rate"])), F.lit(")"),
-                ).alias("message"),
-            ),
-        ),
-        F.when(
-            F.col("recent_sentiment") < SENTIMENT_SPIKE_LIMIT,
-            F.struct(
-                F.lit("WARNING").alias("severity"),
-                F.lit(TITLE_SENTIMENT).alias("title"),
-                F.concat(F.lit("Recent average sentiment: "), F.format_string("%.2f", F.bround(F.col("recent_sentiment"), 2))).alias("message"),
-            ),
-        ),
-        F.when(
-            F.col("cost") > cost_limit,
-            F.struct(
-                F.lit("WARNING").alias("severity"),
-                F.lit(TITLE_COST).alias("title"),
-                F.concat(F.lit("Single interaction cost: $"), F.format_string("%.4f", F.bround(F.col("cost"), 4))).alias("message"),
-            ),
-        ),
-    )
-    fired = F.filter(candidates, lambda a: a.isNotNull())
-    return rolled.select(*ORDER, F.posexplode(fired).alias("alert_no", "a")).select(
-        *ORDER, F.col("alert_no").cast("bigint").alias("alert_no"), "a.severity", "a.title", "a.message"
-    )
-
-
-def dashboard(rolled: DataFrame, alert_rows: DataFrame) -> DataFrame:
-    """State after the last interaction; ``recent_alerts`` counts CRITICAL
-    alerts over all time; ``total_interactions`` is the window occupancy."""
-    last = rolled.agg(
-        F.max_by(
-            F.struct("escalation_rate", "pii_success_rate", "avg_sentiment", "window_n", "avg_cost"),
-            F.struct(*ORDER),
-        ).alias("s")
-    )
-    crit = alert_rows.filter(F.col("severity") == "CRITICAL").agg(F.count(F.lit(1)).alias("recent_alerts"))
-    return last.select(
-        F.col("s.escalation_rate").alias("escalation_rate"),
-        F.col("s.pii_success_rate").alias("pii_success_rate"),
-        F.col("s.avg_sentiment").alias("avg_sentiment"),
-        F.col("s.window_n").cast("bigint").alias("total_interactions"),
-        crit.select("recent_alerts").scalar().alias("recent_alerts"),
-        F.col("s.avg_cost").alias("avg_cost"),
-    )
+    """0-4 alerts per interaction, in rule order (alert_no 0..3 kept dense);
+    ``ts`` is the interaction's time, ``details`` a JSON object."""
+    fired = F.filter(F.array(pii_alert(), escalation_alert(), sentiment_alert(), cost_alert()), lambda a: a.isNotNull())
+    return rolled.select(*ORDER, F.posexplode(fired).alias("alert_no", "a")).select(*ORDER, F.col("alert_no").cast("bigint").alias("alert_no"), "a.*")
+
+
+def row_alerts(interactions: DataFrame, rule: Column) -> DataFrame:
+    """Alerts of a rule that looks at single interactions (``pii_alert``, ``cost_alert``): a filter, no window."""
+    df = with_defaults(interactions).select(*ORDER, rule.alias("a"))
+    return df.where(F.col("a").isNotNull()).select(*ORDER, "a.*")
+
+
+def dashboard(interactions: DataFrame) -> DataFrame:
+    """State after the last interaction: metrics of the last ``WINDOW_SIZE``
+    ones (a top-k by time, no window over the table); ``recent_alerts`` counts
+    CRITICAL alerts over all time; ``total_interactions`` is the window
+    occupancy."""
+    df = with_defaults(interactions)
+    last = df.orderBy(*[F.col(c).desc() for c in ORDER]).limit(WINDOW_SIZE)
+    n = F.count(F.lit(1))
+    state = last.agg(
+        (F.sum(F.col("escalated").cast("long")) / n).alias("escalation_rate"),
+        (F.sum(F.col("pii_filter_success").cast("long")) / n).alias("pii_success_rate"),
+        (F.sum(_exact("sentiment_score")) / n.cast("decimal(10,0)")).cast("double").alias("avg_sentiment"),
+        n.alias("total_interactions"),
+        (F.sum(_exact("cost")) / n.cast("decimal(10,0)")).cast("double").alias("avg_cost"),
+    ).where("total_interactions > 0")
+    critical = df.where(~F.col("pii_filter_success")).agg(F.count(F.lit(1)).alias("recent_alerts"))
+    return state.select(
+        "escalation_rate", "pii_success_rate", "avg_sentiment", "total_interactions",
+        critical.select("recent_alerts").scalar().alias("recent_alerts"), "avg_cost",
+    )
 
 
 def health_report(dash: DataFrame) -> DataFrame:

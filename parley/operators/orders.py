@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.parse import strip_ws
-from parley.plans.windows import maybe_broadcast
 
 # The order-reference pattern (the ORDER_ID entity with the id
 # captured), the id prefix and minimum length of a plausible id, texts.
@@ -26,10 +25,13 @@ def normalise_id(order_id: Column) -> Column:
     return F.upper(strip_ws(order_id))
 
 
-def order_items(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    """Item names per order key, in line order."""
+def order_items(lineitem: DataFrame, part: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Item names per order key, in line order; with ``found`` (rows with
+    ``o_orderkey``) only of those orders, so other lines are not grouped."""
     li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
-    p = maybe_broadcast(part.select(F.col("p_partkey").alias("l_partkey"), "p_name"))
+    if found is not None:
+        li = li.join(found.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    p = part.select(F.col("p_partkey").alias("l_partkey"), "p_name")
     return (
         li.join(p, "l_partkey")
         .groupBy("l_orderkey")
@@ -43,15 +45,15 @@ def lookup(requests: DataFrame, orders: DataFrame, id_col: str = "requested_id")
     found, unverified (looks like an id: ORDER prefix, length >= 10) or
     not_found."""
     req = requests.withColumn("normalised_id", normalise_id(F.col(id_col)))
-    o = orders.withColumn("normalised_id", F.col("order_id"))
+    o = orders.withColumn("normalised_id", F.col("order_id")).withColumn("_there", F.lit(True))
     j = req.join(o, "normalised_id", "left")
-    found = F.col("status").isNotNull()
+    found = F.coalesce(F.col("_there"), F.lit(False))
     state = (
         F.when(found, "found")
         .when(F.col("normalised_id").startswith(PLAUSIBLE_PREFIX) & (F.length("normalised_id") >= PLAUSIBLE_MIN_LEN), "unverified")
         .otherwise("not_found")
     )
-    return j.withColumn("state", state)
+    return j.withColumn("state", state).drop("_there")
 
 
 def format_order(found: Column) -> Column:

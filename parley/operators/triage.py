@@ -2,19 +2,28 @@
 
 All steps are DataFrame → DataFrame; the model calls are replaced by joins
 with scored tables (``message_id``-keyed), so the whole chain is one Spark plan:
-three equi-joins on ``message_id`` and one windowed running sum per
-conversation for the session cost.
+equi-joins on ``message_id`` and one running sum per conversation for the
+session cost. ``triage_from_raw`` takes the models' raw reply texts instead of
+scored rows.
+
+Every joined side has one row per message (``one_per_message``): of several
+rows the one with the latest ``ts`` counts where the side has such a column,
+then the one whose values sort last. A null message id never meets a side's
+row, and its message keeps the defaults of a failed call.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions import guardrails, pii, rules
+from parley.functions import guardrails, parse, pii, rules
 from parley.operators import cost as cost_ops
 from parley.plans.windows import running_total
-from parley.session import fits_broadcast
+
+# What a failed or incomplete classifier call gives.
+DEFAULT_SENTIMENT, DEFAULT_SCORE = "neutral", 0.5
+DEFAULT_INTENT, DEFAULT_CONFIDENCE = "general_inquiry", 0.0
 
 TRIAGE_COLUMNS = [
     "message_id", "conv_id", "turn", "ts", "redacted_message", "response", "intent", "intent_confidence",
@@ -23,6 +32,13 @@ TRIAGE_COLUMNS = [
 ]
 
 
+def one_per_message(side: DataFrame, columns: list[str], key: str = "message_id") -> DataFrame:
+    """``key`` and ``columns`` with one row for each key: the latest by ``ts`` (if there is one), then by the values themselves."""
+    last = [F.col("ts")] if "ts" in side.columns else []
+    value = F.struct(*columns)
+    return side.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(value, F.struct(*last, *columns)).alias("_v")).select(key, "_v.*")
+
+
 def redact_messages(messages: DataFrame, text_col: str = "content") -> DataFrame:
     """Adds ``redacted_message`` and ``pii_in_message``."""
     return (
@@ -34,70 +50,61 @@ def redact_messages(messages: DataFrame, text_col: str = "content") -> DataFrame
 
 
 def attach_scores(messages: DataFrame, scored: DataFrame) -> DataFrame:
-    """Left join of (intent, confidence, score); a missing row is a failed
-    call: intent general_inquiry with confidence 0, score 0.5."""
-    s = scored.select("message_id", "intent", "confidence", "score")
+    """Left join of (intent, confidence, sentiment, score); a missing row is a
+    failed call: intent general_inquiry with confidence 0, sentiment neutral,
+    score 0.5. The label is the model's own and is never set right by the score."""
+    if "sentiment" not in scored.columns:
+        scored = scored.withColumn("sentiment", F.lit(None).cast("string"))
+    s = one_per_message(scored, ["intent", "confidence", "sentiment", "score"])
     return (
         messages.join(s, "message_id", "left")
-        .withColumn("confidence", F.when(F.col("intent").isNull(), F.lit(0.0)).otherwise(F.col("confidence")))
-        .withColumn("intent", F.coalesce(F.col("intent"), F.lit("general_inquiry")))
-        .withColumn("score", F.coalesce(F.col("score"), F.lit(0.5)))
+        .withColumn("confidence", F.when(F.col("intent").isNull(), F.lit(DEFAULT_CONFIDENCE)).otherwise(F.col("confidence")))
+        .withColumn("intent", F.coalesce(F.col("intent"), F.lit(DEFAULT_INTENT)))
+        .withColumn("sentiment", F.coalesce(F.col("sentiment"), F.lit(DEFAULT_SENTIMENT)))
+        .withColumn("score", F.coalesce(F.col("score"), F.lit(DEFAULT_SCORE)))
     )
 
 
+def scores_from_raw(raw_intent: DataFrame, raw_sentiment: DataFrame, text_col: str = "raw_response") -> DataFrame:
+    """Scored rows from the two models' raw reply texts: parsed, with the
+    failure rows of unreadable and missing replies."""
+    i = one_per_message(raw_intent, [text_col]).select("message_id", parse.intent_result(F.col(text_col)).alias("i"))
+    s = one_per_message(raw_sentiment, [text_col]).select("message_id", parse.sentiment_result(F.col(text_col)).alias("s"))
+    both = i.join(s, "message_id", "full")
+    return both.select("message_id", "i.intent", "i.confidence", "s.sentiment", "s.score")
+
+
 def escalate(df: DataFrame) -> DataFrame:
     return df.withColumn("escalated", rules.should_escalate(F.col("score"), F.col("intent")))
 
 
 def attach_replies(df: DataFrame, replies: DataFrame, usage: DataFrame | None = None) -> DataFrame:
-    out = df.join(replies.select("message_id", "reply"), "message_id", "left")
+    out = df.join(one_per_message(replies, ["reply"]), "message_id", "left")
     if usage is not None:
-        out = out.join(usage.select("message_id", "input_tokens", "output_tokens"), "message_id", "left")
+        out = out.join(one_per_message(usage, ["input_tokens", "output_tokens"]), "message_id", "left")
     return out
 
 
-def triage(
-    messages: DataFrame,
-    scored: DataFrame,
-    replies: DataFrame,
-    usage: DataFrame | None = None,
-    chunk: int = 1 << 16,
-    narrow_cost_bytes: int = 1 << 30,
-) -> DataFrame:
-    """One triage row per message (``message_id, conv_id, turn, ts, content``).
-
-    Plan shape: equi-joins on ``message_id`` (at scale sort-merge joins that
-    leave the wide rows hash-partitioned by ``message_id``), then the running
-    session cost (skew-safe chunked running total), then the regex-heavy steps
-    (redaction, two guardrail passes), computed once per row.
-
-    Where the cost is computed depends on the planner's size estimate of the
-    messages: above ``narrow_cost_bytes`` it runs on a narrow projection and
-    is joined back on ``message_id`` (the wide rows, already partitioned by
-    that key, are not shuffled again); below it, on the joined rows directly
-    (one shuffle of small data, no second pass over the upstream).
-    """
-    df = escalate(attach_scores(messages, scored))
-    df = attach_replies(df, replies, usage)
+def reply_cost(with_usage: bool) -> Column:
+    """Cost of a row's reply call (decimal): escalated rows and failed calls cost nothing."""
+    zero = F.lit(0).cast(cost_ops.COST_TYPE)
+    if not with_usage:
+        return zero
     called = ~F.col("escalated") & F.col("reply").isNotNull()
-    if usage is not None:
-        reply_cost = F.when(called, cost_ops.call_cost_expr(F.col("input_tokens"), F.col("output_tokens"))).otherwise(
-            F.lit(0.0)
-        )
-    else:
-        reply_cost = F.lit(0.0)
-    if fits_broadcast(messages, narrow_cost_bytes):
-        df = running_total(df, ["conv_id"], "turn", reply_cost, "_session_cost", chunk=chunk, tiebreak=["message_id"])
-    else:
-        narrow = df.select("message_id", "conv_id", "turn", reply_cost.alias("_rc"))
-        costs = running_total(narrow, ["conv_id"], "turn", F.col("_rc"), "_session_cost", chunk=chunk, tiebreak=["message_id"])
-        df = df.join(costs.select("message_id", "_session_cost"), "message_id")
+    cost = cost_ops.call_cost_expr(F.col("input_tokens"), F.col("output_tokens"))
+    return F.when(called, F.coalesce(cost, zero)).otherwise(zero)
+
+
+def judge(df: DataFrame, carry: list[str]) -> DataFrame:
+    """The regex-heavy steps of a labelled row, once each: redaction, two
+    guardrail passes, the final response. ``carry`` columns come along. Shared
+    by batch and stream."""
     df = redact_messages(df)
     # escalated rows never get a reply call: check an empty text for them
     df = df.withColumn("_reply_in", F.when(F.col("escalated"), F.lit("")).otherwise(F.col("reply")))
     df = guardrails.with_resolution(df, "_reply_in", "score", "intent")
     esc = F.col("escalated")
-    df = df.select(
+    return df.select(
         "message_id",
         "conv_id",
         "turn",
@@ -106,21 +113,54 @@ def triage(
         F.when(esc, F.lit(guardrails.ESCALATION_REPLY)).otherwise(F.col("final_response")).alias("response"),
         "intent",
         F.when(esc, F.lit(1.0)).otherwise(F.col("confidence")).alias("intent_confidence"),
-        F.when(esc, F.lit("negative")).otherwise(rules.sentiment_band(F.col("score"))).alias("sentiment"),
+        F.when(esc, F.lit("negative")).otherwise(F.col("sentiment")).alias("sentiment"),
         F.col("score").alias("sentiment_score"),
         esc.alias("escalated"),
         (~esc & F.col("pii_in_message")).alias("pii_detected"),
         "pii_in_message",
         F.col("safe"),
-        F.when(esc, F.lit(0.0)).otherwise(F.col("_session_cost")).alias("cost"),
         F.when(esc, F.lit("escalated")).otherwise(F.col("guardrail_outcome")).alias("guardrail_outcome"),
+        *carry,
     )
+
+
+def finish(df: DataFrame, session_cost: Column) -> DataFrame:
+    """Cost, review reason and the output columns of judged rows."""
     reason = rules.review_reason(
         F.col("escalated"), F.col("intent"), F.col("intent_confidence"), F.col("sentiment_score"), F.col("safe")
     )
-    return df.withColumn("review_reason", reason).withColumn("needs_human_review", reason.isNotNull()).select(
-        *TRIAGE_COLUMNS
-    )
+    df = df.withColumn("cost", F.when(F.col("escalated"), F.lit(0.0)).otherwise(session_cost.cast("double")))
+    return df.withColumn("review_reason", reason).withColumn("needs_human_review", reason.isNotNull()).select(*TRIAGE_COLUMNS)
+
+
+def triage(
+    messages: DataFrame,
+    scored: DataFrame,
+    replies: DataFrame,
+    usage: DataFrame | None = None,
+    chunk: int = 1 << 16,
+) -> DataFrame:
+    """One triage row per message row (``message_id, conv_id, turn, ts, content``).
+
+    Plan shape, the same at every size: equi-joins on ``message_id``, then the
+    running session cost (skew-safe chunked running total over exact decimals),
+    then the regex-heavy steps, computed once per row.
+    """
+    df = attach_replies(escalate(attach_scores(messages, scored)), replies, usage)
+    df = running_total(df, ["conv_id"], "turn", reply_cost(usage is not None), "_session_cost", chunk=chunk, tiebreak=["message_id"])
+    return finish(judge(df, ["_session_cost"]), F.col("_session_cost"))
+
+
+def triage_from_raw(
+    messages: DataFrame,
+    raw_intent: DataFrame,
+    raw_sentiment: DataFrame,
+    replies: DataFrame,
+    usage: DataFrame | None = None,
+    chunk: int = 1 << 16,
+) -> DataFrame:
+    """``triage`` of raw model replies (``message_id, raw_response``): parse, label, escalate and reply in one plan."""
+    return triage(messages, scores_from_raw(raw_intent, raw_sentiment), replies, usage, chunk)
 
 
 def route(triaged: DataFrame) -> DataFrame:
@@ -154,7 +194,7 @@ def review_resolve(triaged: DataFrame, review_events: DataFrame) -> DataFrame:
     edited text; escalate → the high-priority escalation notice; reject →
     nothing is sent (row dropped)."""
     held = triaged.filter(F.col("needs_human_review"))
-    ev = review_events.select("message_id", "action", "edited_text")
+    ev = one_per_message(review_events, ["action", "edited_text"])
     j = held.join(ev, "message_id", "inner").filter(F.col("action") != "reject")
     sent = (
         F.when(F.col("action") == "send", F.col("response"))

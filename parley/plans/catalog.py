@@ -948,9 +948,9 @@ def _duck_rolling(partition: str = "") -> str:
 rolled AS (SELECT *, count(*) OVER {w100} AS window_n,
     sum(CAST(escalated AS BIGINT)) OVER {w100} / count(*) OVER {w100} AS escalation_rate,
     sum(CAST(pii_filter_success AS BIGINT)) OVER {w100} / count(*) OVER {w100} AS pii_success_rate,
-    sum(CAST(round(sentiment_score * 1e10) AS BIGINT)) OVER {w100} / count(*) OVER {w100} / 1e10 AS avg_sentiment,
-    sum(CAST(round(cost * 1e10) AS BIGINT)) OVER {w100} / count(*) OVER {w100} / 1e10 AS avg_cost,
-    sum(CAST(round(sentiment_score * 1e10) AS BIGINT)) OVER {w10} / count(*) OVER {w10} / 1e10 AS recent_sentiment FROM d)"""
+    sum(CAST(sentiment_score AS DECIMAL(28,10))) OVER {w100} / count(*) OVER {w100} AS avg_sentiment,
+    sum(CAST(cost AS DECIMAL(28,10))) OVER {w100} / count(*) OVER {w100} AS avg_cost,
+    sum(CAST(sentiment_score AS DECIMAL(28,10))) OVER {w10} / count(*) OVER {w10} AS recent_sentiment FROM d)"""
     )
 
 
@@ -978,11 +978,6 @@ def q_monitor_rolling(spark, sf):
     return _rolled_cols(_rolled(spark, sf, "halo"))
 
 
-@register("monitor_rolling_naive", _duck_rolling() + "\n" + _ROLL_SELECT)
-def q_monitor_rolling_naive(spark, sf):
-    return _rolled_cols(_rolled(spark, sf, "naive"))
-
-
 @register("monitor_rolling_keyed", _duck_rolling("PARTITION BY monitor_key") + "\n" + _ROLL_SELECT.replace("SELECT event_id,", "SELECT event_id, monitor_key,"))
 def q_monitor_rolling_keyed(spark, sf):
     r = _rolled(spark, sf, "keyed")
@@ -1006,15 +1001,18 @@ for _key, _col in [
 _ALERTS_SQL = (
     _duck_rolling()
     + f""", cand AS (SELECT event_id, ts, list_filter([
-    CASE WHEN NOT pii_filter_success THEN {{'severity': 'CRITICAL', 'title': {D.q(monitor.TITLE_PII)}, 'message': {D.q(monitor.MESSAGE_PII)}}} END,
+    CASE WHEN NOT pii_filter_success THEN {{'severity': 'CRITICAL', 'title': {D.q(monitor.TITLE_PII)}, 'message': {D.q(monitor.MESSAGE_PII)}, 'details': '{{"event_id":' || CAST(event_id AS VARCHAR) || '}}'}} END,
     CASE WHEN escalation_rate > 0.3 THEN {{'severity': 'WARNING', 'title': {D.q(monitor.TITLE_ESCALATION)}, 'message':
       'Escalation rate at ' || printf('%.1f', {D.spark_bround('escalation_rate * 100', 1)}) || '% (baseline: '
-      || printf('%.1f', {D.spark_bround(str(monitor.BASELINES['escalation_rate']) + ' * 100', 1)}) || '%)'}} END,
+      || printf('%.1f', {D.spark_bround(str(monitor.BASELINES['escalation_rate']) + ' * 100', 1)}) || '%)',
+      'details': '{{"escalation_rate":' || CAST({D.spark_round('escalation_rate', 9)} AS VARCHAR) || ',"baseline":0.15,"window_n":' || CAST(window_n AS VARCHAR) || '}}'}} END,
     CASE WHEN recent_sentiment < 0.3 THEN {{'severity': 'WARNING', 'title': {D.q(monitor.TITLE_SENTIMENT)}, 'message':
-      'Recent average sentiment: ' || printf('%.2f', {D.spark_bround('recent_sentiment', 2)})}} END,
+      'Recent average sentiment: ' || printf('%.2f', {D.spark_bround('recent_sentiment', 2)}),
+      'details': '{{"avg_sentiment":' || CAST({D.spark_round('recent_sentiment', 9)} AS VARCHAR) || ',"window":10}}'}} END,
     CASE WHEN cost > {monitor.BASELINES['avg_cost'] * monitor.COST_SPIKE_FACTOR} THEN {{'severity': 'WARNING', 'title': {D.q(monitor.TITLE_COST)}, 'message':
-      'Single interaction cost: $' || printf('%.4f', {D.spark_bround('cost', 4)})}} END], lambda a: a IS NOT NULL) AS fired FROM rolled),
-alerts AS (SELECT event_id, ts, CAST(n AS BIGINT) AS alert_no, a.severity AS severity, a.title AS title, a.message AS message FROM (
+      'Single interaction cost: $' || printf('%.4f', {D.spark_bround('cost', 4)}),
+      'details': '{{"cost":' || CAST(cost AS VARCHAR) || ',"baseline":0.008}}'}} END], lambda a: a IS NOT NULL) AS fired FROM rolled),
+alerts AS (SELECT event_id, ts, CAST(n AS BIGINT) AS alert_no, a.severity AS severity, a.title AS title, a.message AS message, a.details AS details FROM (
     SELECT event_id, ts, unnest(range(len(fired))) AS n, unnest(fired) AS a FROM cand) x)"""
 )
 
@@ -1023,23 +1021,26 @@ def _alerts(spark, sf) -> DataFrame:
     return monitor.alerts(_rolled(spark, sf))
 
 
-@register("alerts", _ALERTS_SQL + "\nSELECT event_id, alert_no, severity, title, message FROM alerts")
+@register("alerts", _ALERTS_SQL + f"\nSELECT event_id, {DTS.format('ts')} AS ts, alert_no, severity, title, message, details FROM alerts")
 def q_alerts(spark, sf):
-    return _alerts(spark, sf).select("event_id", "alert_no", "severity", "title", "message")
+    return _alerts(spark, sf).select("event_id", ts_str("ts"), "alert_no", "severity", "title", "message", "details")
 
 
-for _key, _title in [
-    ("alert_pii_failure", monitor.TITLE_PII),
-    ("alert_escalation_rate", monitor.TITLE_ESCALATION),
-    ("alert_sentiment_spike", monitor.TITLE_SENTIMENT),
-    ("alert_cost_spike", monitor.TITLE_COST),
-]:
-    def _mk_alert(title):
-        def run(spark, sf):
-            return _alerts(spark, sf).filter(F.col("title") == title).select("event_id", "severity", "message")
-        return run
+def _register_alert(key: str, title: str, rows) -> None:
+    def run(spark, sf):
+        return rows(spark, sf).select("event_id", "severity", "message")
+
+    register(key, _ALERTS_SQL + f"\nSELECT event_id, severity, message FROM alerts WHERE title = {D.q(title)}")(run)
+
+
+def _titled(title: str):
+    return lambda spark, sf: _alerts(spark, sf).filter(F.col("title") == title)
+
 
-    register(_key, _ALERTS_SQL + f"\nSELECT event_id, severity, message FROM alerts WHERE title = {D.q(_title)}")(_mk_alert(_title))
+_register_alert("alert_pii_failure", monitor.TITLE_PII, lambda spark, sf: monitor.row_alerts(V(spark, sf, "v_interactions"), monitor.pii_alert()))
+_register_alert("alert_escalation_rate", monitor.TITLE_ESCALATION, _titled(monitor.TITLE_ESCALATION))
+_register_alert("alert_sentiment_spike", monitor.TITLE_SENTIMENT, _titled(monitor.TITLE_SENTIMENT))
+_register_alert("alert_cost_spike", monitor.TITLE_COST, lambda spark, sf: monitor.row_alerts(V(spark, sf, "v_interactions"), monitor.cost_alert()))
 
 
 _DASH_SQL = (
@@ -1053,8 +1054,7 @@ _DASH_SQL = (
 
 
 def _dashboard(spark, sf) -> DataFrame:
-    r = _rolled(spark, sf)
-    d = monitor.dashboard(r, monitor.alerts(r))
+    d = monitor.dashboard(V(spark, sf, "v_interactions"))
     return d.select(
         r9("escalation_rate").alias("escalation_rate"), r9("pii_success_rate").alias("pii_success_rate"),
         r9("avg_sentiment").alias("avg_sentiment"), "total_interactions", "recent_alerts", r9("avg_cost").alias("avg_cost"),
@@ -1273,9 +1273,10 @@ FROM lj LEFT JOIN items USING (o_orderkey)""",
 )
 def q_order_format(spark, sf):
     lk = _lookup(spark, sf)
-    items = orders.order_items(fx.load_table(spark, sf, "lineitem"), fx.load_table(spark, sf, "part"))
+    found = lk.where("state = 'found'").select("o_orderkey")
+    items = orders.order_items(fx.load_table(spark, sf, "lineitem"), fx.load_table(spark, sf, "part"), found)
     j = lk.join(items, "o_orderkey", "left")
-    return j.select("request_id", orders.format_order(F.col("status").isNotNull()).alias("formatted"))
+    return j.select("request_id", orders.format_order(F.col("state") == "found").alias("formatted"))
 
 
 # ---------------------------------------------------------------- tickets

@@ -1,12 +1,10 @@
 """Window plans that stay parallel when one key holds a large share of rows.
 
 * ``running_total``: running sum/count per key split into fixed-size chunks of
-  the order column, so a hot key is spread over many tasks. One full shuffle
-  (on key+chunk), shared by the offset join and the window.
-* ``global_row_number``: a dense 1..N numbering in a global order without a
-  single-partition window: range partitioning (sampled on the full order key,
-  so equal leading values still split), per-partition counts (a table with one
-  row per partition, broadcast), and per-partition ordinals.
+  the order column, so a hot key is spread over many tasks.
+* ``time_positions``: a dense 1..N numbering in (time, id) order from counts of
+  hours, seconds and groups of equal time; no single-partition window over
+  rows, nothing materialised.
 * ``rolling_global``: count-based rolling frames over a global order with the
   halo technique: fixed blocks of B rows, each block also receives the last H
   rows of the previous block, one window per block.
@@ -19,11 +17,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.session import cut_lineage, fits_broadcast
-
 DEFAULT_CHUNK = 1 << 16
 
 
+def same(a: str, b: str, cols: list[str]) -> Column:
+    """Null-safe equality of ``cols`` of the aliases ``a`` and ``b`` (an equi-join key for the planner)."""
+    out = F.lit(True)
+    for i, c in enumerate(cols):
+        on = F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+        out = on if i == 0 else out & on
+    return out
+
+
 def running_total(
     df: DataFrame,
     keys: list[str],
@@ -34,61 +39,59 @@ def running_total(
     tiebreak: list[str] | None = None,
 ) -> DataFrame:
     """Add ``out_col`` = sum of ``value`` over rows of the same key with
-    (order, tiebreak) <= the current row's. ``order_col`` must be integral."""
+    (order, tiebreak) <= the current row's. ``order_col`` must be integral;
+    null keys are a key of their own and null orders come first. Pass decimal
+    or integral values: their sums do not depend on the partitioning.
+
+    The rows are shuffled once, by (key, chunk of the order column). The sums
+    of the chunks (partial sums before a shuffle of one row per task and chunk)
+    come from a second, narrow reading of the input; their prefix sums are
+    joined to the rows where these already lie.
+    """
     tiebreak = tiebreak or []
-    ch = "_chunk"
-    v = "_val"
+    ch, v = "_chunk", "_val"
+    by = [*keys, ch]
     base = df.withColumn(ch, F.floor(F.col(order_col) / F.lit(chunk))).withColumn(v, value)
-    sums = base.groupBy(*keys, ch).agg(F.sum(v).alias("_csum"))
     prior = Window.partitionBy(*keys).orderBy(ch).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("_off", F.coalesce(F.sum("_csum").over(prior), F.lit(0))).drop("_csum")
-    # every (key, chunk) of base has an offset row; a left join lets the
-    # optimizer drop the whole offset branch when the total is not used
-    joined = base.join(offsets, on=[*keys, ch], how="left")
-    w = (
-        Window.partitionBy(*keys, ch)
-        .orderBy(order_col, *tiebreak)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return joined.withColumn(out_col, F.col("_off") + F.sum(v).over(w)).drop(ch, v, "_off")
-
-
-def global_row_number(
-    df: DataFrame,
-    order_cols: list[str],
-    out_col: str = "rn",
-    partitions: int | None = None,
-    keys: list[str] | None = None,
-) -> DataFrame:
-    """Dense 1-based row number in the order of ``order_cols`` (unique within
-    a key), over the whole table or per ``keys``.
-
-    Range partitioning on (keys, order) splits a hot key over many
-    partitions. The partitioned, locally sorted data is checkpointed
-    (reliable, to the session's checkpoint folder) so the layout the offsets
-    are computed from cannot change on recomputation. Offsets come from a
-    count table with one row per (partition, key): prefix sums over the
-    partitions a key spans (at most the partition count per key).
+    sums = base.groupBy(*by).agg(F.sum(v).alias("_csum"))
+    offsets = sums.select(*by, F.sum("_csum").over(prior).alias("_off"))
+    joined = base.alias("a").join(offsets.alias("b"), same("a", "b", by), "left").select("a.*", "b._off")
+    within = Window.partitionBy(*by).orderBy(order_col, *tiebreak).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = F.sum(v).over(within)
+    total = F.when(F.col("_off").isNull(), running).otherwise(F.col("_off") + running)
+    return joined.withColumn(out_col, total).drop(ch, v, "_off")
+
+
+def time_positions(df: DataFrame, ts_col: str, id_col: str, out_col: str = "rn", keys: list[str] | None = None, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """Dense 1-based position of each row in (time, id) order, over the whole table or per ``keys``.
+
+    No row meets more than ``chunk`` others: rows of one time and one range of
+    ids are numbered in their own window, and what comes before them is counted
+    level by level - groups within their second, seconds within their hour,
+    hours within the table (one row per hour and key in the last window). All
+    joins are null-safe equi-joins; nothing is materialised. ``id_col`` is
+    integral; rows of equal time and id are numbered in any order.
     """
     keys = keys or []
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sort_cols = [*keys, *order_cols]
-    ranged = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-    ranged = cut_lineage(ranged.withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.withColumns(
-        {"_pid": F.shiftright(F.col("_mid"), 33), "_li": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))}
-    )
-    counts = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_li").alias("_first"))
-    prior = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(prior), F.lit(0))).drop("_n")
-    # without keys the table has one row per range partition (bounded by n):
-    # broadcast; with keys its size follows the key count: size-checked
-    offsets = F.broadcast(offsets) if not keys else maybe_broadcast(offsets)
-    out = ranged.join(offsets, ["_pid", *keys])
-    return out.withColumn(out_col, F.col("_off") + F.col("_li") - F.col("_first") + 1).drop(
-        "_mid", "_pid", "_li", "_off", "_first"
-    )
+    second = F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / 1_000_000)
+    base = df.withColumns({"_h": F.floor(second / 3600), "_s": second, "_t": F.col(ts_col), "_c": F.floor(F.col(id_col) / chunk)})
+    levels = [[*keys, "_h"], [*keys, "_h", "_s"], [*keys, "_h", "_s", "_t", "_c"]]
+    counts = base.groupBy(*levels[2]).agg(F.count(F.lit(1)).alias("_n"))
+    by_second = counts.groupBy(*levels[1]).agg(F.sum("_n").alias("_n"))
+    by_hour = by_second.groupBy(*levels[0]).agg(F.sum("_n").alias("_n"))
+
+    def before(table: DataFrame, within: list[str], order: list[str], name: str) -> DataFrame:
+        w = Window.partitionBy(*within).orderBy(*order) if within else Window.orderBy(*order)
+        return table.withColumn(name, F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+
+    hours = before(by_hour, keys, ["_h"], "_o1")
+    seconds = before(by_second, levels[0], ["_s"], "_o2")
+    groups = before(counts, levels[1], ["_t", "_c"], "_o3")
+    offsets = seconds.alias("a").join(hours.alias("b"), same("a", "b", levels[0])).select("a.*", "b._o1")
+    offsets = groups.alias("a").join(offsets.alias("b"), same("a", "b", levels[1])).select("a.*", (F.col("_o1") + F.col("_o2") + F.col("_o3")).alias("_off"))
+    own = Window.partitionBy(*levels[2]).orderBy(id_col)
+    rows = base.alias("a").join(offsets.alias("b"), same("a", "b", levels[2])).select("a.*", "b._off")
+    return rows.withColumn(out_col, F.col("_off") + F.row_number().over(own)).drop("_h", "_s", "_t", "_c", "_off")
 
 
 def trailing_sums(
@@ -127,22 +130,22 @@ def rolling_global(
     block: int = 1 << 16,
     exact_sums: dict[str, tuple[int, Column]] | None = None,
     keys: list[str] | None = None,
-    numbering: str = "range",
+    numbering: str = "time",
 ) -> DataFrame:
     """Count-based trailing frames over a global order (or per ``keys``),
     computed per block of ``block`` rows plus a halo.
 
     ``aggs`` maps output column → (frame length n, aggregate Column); the
     frame is the current row and the n-1 rows before it in the sequence.
-    ``exact_sums`` (output → (n, integral Column)) are computed with
+    ``exact_sums`` (output → (n, integral or decimal Column)) are computed with
     ``trailing_sums`` instead of a sliding frame. The 1-based position in the
     sequence is kept as ``_rn``. With keys, a key holding a large share of the
     rows is split into many blocks, so no window partition exceeds
     ``block`` + halo rows.
 
-    ``numbering``: ``range`` (range partitioning + checkpoint, any order
-    columns) or ``chunked`` (keys required, ``order_cols[0]`` integral: a
-    skew-safe running count, one shuffle and no checkpoint).
+    ``numbering``: ``time`` (``order_cols`` is a time and an integral id,
+    numbered by ``time_positions``) or ``chunked`` (keys required,
+    ``order_cols[0]`` integral: a skew-safe running count).
     """
     keys = keys or []
     exact_sums = exact_sums or {}
@@ -152,7 +155,7 @@ def rolling_global(
     if numbering == "chunked":
         numbered = running_total(df, keys, order_cols[0], F.lit(1), "_rn", chunk=block, tiebreak=order_cols[1:])
     else:
-        numbered = global_row_number(df, order_cols, "_rn", keys=keys)
+        numbered = time_positions(df, *order_cols, "_rn", keys=keys)
     numbered = numbered.withColumn("_home", F.floor((F.col("_rn") - 1) / F.lit(block)))
     # a row is also a halo row of the next block when it is among the last
     # `halo` rows of its own block
@@ -194,8 +197,3 @@ def rolling_naive(
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank_col: str = "rank") -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
-
-
-def maybe_broadcast(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """Broadcast hint only when the planner's size estimate is within bound."""
-    return F.broadcast(df) if fits_broadcast(df, max_bytes) else df

@@ -1,4 +1,4 @@
-"""Session settings and lineage helpers.
+"""Session and lineage helpers. No setting of a caller's session is changed.
 
 The library never creates a cluster session itself when one exists: callers pass
 their ``SparkSession``. ``local_session`` is for tests and the bench only.
@@ -11,29 +11,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings every job in this package relies on. They are applied to an existing
-# session by ``configure`` (all are runtime-settable SQL confs).
-SQL_CONF = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Broadcast only sides that the planner has measured below this bound; all
-    # explicit broadcast() hints in the package sit behind ``fits_broadcast``.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
-}
-
-
-def configure(spark: SparkSession) -> SparkSession:
-    for k, v in SQL_CONF.items():
-        spark.conf.set(k, v)
-    # text stages are CPU-heavy per byte: when AQE coalesces small shuffle
-    # outputs, keep at least two tasks per core so one slow task does not set
-    # the stage time (large shuffles are still bounded by the advisory size)
-    spark.conf.set(
-        "spark.sql.adaptive.coalescePartitions.minPartitionNum", str(2 * spark.sparkContext.defaultParallelism)
-    )
-    return spark
+# The caller's option for CPU-heavy scans of few, large files (see ``spread``).
+SPREAD_CONF = "spark.parley.scan.partitions"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "parley") -> SparkSession:
@@ -46,14 +25,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("PARLEY_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.session.timeZone", "UTC")
+        # text stages are CPU-heavy per byte: after coalescing, keep at least two tasks a core
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionNum", str(2 * n) if (n := _cores(cores)) else "1")
+        .config(SPREAD_CONF, str(2 * n) if n else "0")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    configure(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def _cores(cores: int | str) -> int:
+    return os.cpu_count() or 1 if str(cores) == "*" else int(cores)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of the session.
 
@@ -82,53 +68,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits_broadcast(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> bool:
-    """True when the optimizer's size estimate of ``df`` is below ``max_bytes``.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a CPU-heavy scan over as many partitions as the caller asks for in ``spark.parley.scan.partitions``.
 
-    Used before explicit ``broadcast()`` hints on sides that are small by
-    construction (dimensions, per-partition count tables); the estimate comes
-    from the optimized plan statistics, no job is run.
-    """
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    except Exception:  # pragma: no cover - stats unavailable
-        return False
-    # Py4J returns the BigInt as a Python int or as a JVM object
-    size = size if isinstance(size, int) else int(size.toString())
-    return size <= max_bytes
-
-
-_SHUFFLING_NODES = {"Join", "Aggregate", "Window", "Repartition", "RepartitionByExpression", "Sort", "Expand",
-                    "Deduplicate", "RebalancePartitions", "WindowGroupLimit"}
-
-
-def _has_shuffle(df: DataFrame) -> bool:
-    """Walk the analysed plan (already computed, no optimisation is run)."""
-    stack = [df._jdf.queryExecution().analyzed()]
-    while stack:
-        node = stack.pop()
-        if node.nodeName() in _SHUFFLING_NODES:
-            return True
-        kids = node.children()
-        stack.extend(kids.apply(i) for i in range(kids.size()))
-    return False
-
-
-def spread(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Even out CPU-heavy per-row work (regex over whole texts) on inputs read
-    straight from files.
-
-    A plan that already shuffles runs its later stages on
-    ``spark.sql.shuffle.partitions`` tasks and is returned unchanged. For a
-    plan that only scans files, the planned split count is checked (file
-    listing only, no job): when it is below the cluster's core count (a few
-    large files, or files written as one row group) the rows are
-    hash-repartitioned to twice the default parallelism. On a large input the
-    split count exceeds the core count and no shuffle is added.
+    Unset or 0 leaves the scan's own splits, which is right for inputs of many
+    files or row groups; a few large single-group files want the extra shuffle.
     """
-    if _has_shuffle(df):
-        return df
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    return df.repartition(2 * par, *cols) if cols else df.repartition(2 * par)
+    n = int(df.sparkSession.conf.get(SPREAD_CONF, "0"))
+    return df.repartition(n) if n > 0 else df

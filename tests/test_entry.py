@@ -13,11 +13,3 @@ def test_registry_consistent():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 90
-
-
-def test_fits_broadcast_uses_plan_size(spark):
-    from parley.session import fits_broadcast
-
-    small = spark.range(10)
-    assert fits_broadcast(small, 1 << 20)
-    assert not fits_broadcast(small, 1)
