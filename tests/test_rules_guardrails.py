@@ -90,7 +90,7 @@ def test_triage_cost_plans_agree(spark):
     from parley.operators import triage as tri
     from parley.sources import fixtures as fx
 
-    from conftest import SF001
+    from sf_dirs import SF001
 
     V = lambda n: fx.view(spark, SF001, n)
     wide = tri.triage(V("v_messages"), V("v_scored"), V("v_replies"), V("v_reply_usage"))

@@ -10,7 +10,7 @@ from parley.plans import catalog
 from parley.sources import fixtures as fx
 from parley.streaming import live
 
-from conftest import SF001
+from sf_dirs import SF001
 
 
 def _run_stream(spark, df, name):
