@@ -24,7 +24,6 @@ HEADLINE = [
     "triage",
     "kb_topk",
     "monitor_rolling",
-    "monitor_rolling_naive",
     "conv_summary",
     "guardrail_resolve",
     "reply_request",

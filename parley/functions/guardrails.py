@@ -120,23 +120,6 @@ def _result(text: Column, entities: Column, f: dict[str, Column]) -> Column:
     )
 
 
-def check_with_entities(text: Column, entities: Column, score: Column, intent: Column) -> Column:
-    """Guardrail result given the reply's resolved PII entities.
-
-    Struct: safe, issues (ordered), suggestions, modified_response, pii_types.
-    Single-expression form; DataFrame steps use ``with_guardrails``, which
-    computes the lower-cased text and each check once per row.
-    """
-    return _result(text, entities, _flags(text, F.lower(text), entities, score, intent))
-
-
-def check_response(text: Column, score: Column | None = None, intent: Column | None = None) -> Column:
-    """All checks on one reply column (defaults: score 0.5, intent '')."""
-    score = score if score is not None else F.lit(DEFAULT_SCORE)
-    intent = intent if intent is not None else F.lit(DEFAULT_INTENT)
-    return check_with_entities(text, pii.detect_pii(text), score, intent)
-
-
 def with_guardrails(df, reply_col: str, score_col: str, intent_col: str, out: str = "guard"):
     """Add the first-pass guardrail struct; entities are projected once."""
     # inputs go through fixed scratch names so one set of built expressions

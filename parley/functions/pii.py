@@ -1,8 +1,7 @@
-"""PII detection and redaction as Column expressions.
+"""PII detection and redaction in staged projections.
 
-Everything here is a narrow, per-row expression built from Spark's regex and
-higher-order array functions, so it fuses into whole-stage codegen and runs in
-the JVM next to the scan. No Python runs per row.
+Everything here is narrow, per-row work of Spark's regex and higher-order
+array functions, run in the JVM next to the scan. No Python runs per row.
 
 Entity semantics:
 * every pattern is applied case-insensitively with left-to-right,
@@ -16,6 +15,7 @@ Entity semantics:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -60,52 +60,6 @@ ENTITIES = T.ArrayType(ENTITY)
 REQUIRED_LITERAL = {"EMAIL": "@"}
 
 
-def _ci(pattern: str, unicode: bool = False) -> str:
-    """Case-insensitive; with ``unicode`` also Unicode classes (``\\d``, ``\\s``,
-    ``\\b`` as in Python's ``re`` on str; Java's default is ASCII)."""
-    return ("(?iU)" if unicode else "(?i)") + pattern
-
-
-def match_entities(text: Column, etype: str, pattern: str, confidence: float = REGEX_CONFIDENCE) -> Column:
-    """All matches of one pattern as entity structs with code-point offsets.
-
-    Spark has no "find with position", so offsets come from pairing the
-    matches with the gaps between them: ``split`` with the same pattern yields
-    exactly one more piece than there are matches, and the start of match i
-    is the length of everything before it.
-    """
-    pat = _ci(pattern)
-    matches = F.regexp_extract_all(text, F.lit(pat), 0)
-    if etype in REQUIRED_LITERAL:
-        matches = F.when(F.instr(text, REQUIRED_LITERAL[etype]) > 0, matches).otherwise(F.array().cast("array<string>"))
-    gaps = F.split(text, pat, -1)
-    # piece i = gap i followed by match i; prefix sums give the start of gap i
-    pieces = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m))
-    offsets = F.aggregate(
-        pieces,
-        F.array(F.lit(0)),
-        lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + p)),
-    )
-    found = F.transform(
-        matches,
-        lambda m, i: F.struct(
-            (offsets[i] + F.length(gaps[i])).cast("int").alias("start"),
-            (offsets[i] + F.length(gaps[i]) + F.length(m)).cast("int").alias("end"),
-            F.lit(etype).alias("type"),
-            m.alias("value"),
-            F.lit(confidence).alias("confidence"),
-        ),
-    )
-    # the second regex pass (split, for offsets) only runs on rows with a match
-    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(ENTITIES))
-
-
-def regex_entities(text: Column, types: list[str] | None = None) -> Column:
-    """Candidate entities of all patterns, concatenated in priority order."""
-    chosen = [(t, p) for t, p in PII_PATTERNS if types is None or t in types]
-    return F.concat(*[match_entities(text, t, p) for t, p in chosen])
-
-
 def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (a["end"] > b["start"])
 
@@ -145,14 +99,16 @@ def resolve_overlaps(candidates: Column, by_confidence: bool = False, priority:
     return F.array_sort(kept)
 
 
-def detect_pii(text: Column, external: Column | None = None) -> Column:
-    """Resolved entities of a text; ``external`` is an optional array of
-    name entities (same struct) appended after the regex candidates."""
-    cands = regex_entities(text)
-    if external is not None:
-        cands = F.concat(cands, F.coalesce(external, F.array().cast(ENTITIES)))
-        return resolve_overlaps(cands, by_confidence=True)
-    return resolve_overlaps(cands)
+def resolve_by_type(groups: list[Column]) -> Column:
+    """``resolve_overlaps`` of the concatenated groups for groups without
+    overlaps of their own (all matches of one pattern): each group is held
+    against what earlier groups kept, so many matches of one type cost linear time."""
+    kept = F.aggregate(
+        F.array(*groups),
+        F.array().cast(ENTITIES),
+        lambda acc, g: F.concat(acc, F.filter(g, lambda e: ~F.exists(acc, lambda k: _overlaps(e, k)))),
+    )
+    return F.array_sort(kept)
 
 
 def redact_with(text: Column, entities: Column, style: str = "type") -> Column:
@@ -197,15 +153,24 @@ def pii_metadata(entities: Column) -> Column:
     )
 
 
-def may_contain_pii(text: Column, unicode: bool = False) -> Column:
+def may_contain_pii(text: Column, unicode: bool = True) -> Column:
     """Cheap necessary condition for any regex entity: every pattern needs a
     digit or an ``@``. Rows failing it skip the array machinery."""
-    return text.rlike(r"(?U)[\d@]" if unicode else "[0-9@]")
+    return text.rlike(r"[@\p{Nd}]" if unicode else "[0-9@]")
 
 
 _EMPTY_STR_ARRAY = "array<string>"
 _TEXT_SCRATCH = "_pii_text"
 _EXT_SCRATCH = "_pii_ext"
+_GATE, _WIDE = "_pii_gate", "_pii_wide"
+
+
+def _scan(pattern: str, unicode: bool, scan: Callable[[str], Column]) -> Column:
+    """``scan`` with the pattern, case-insensitive. With ``unicode`` texts that
+    hold a non-ASCII character get Unicode classes (``\\d``, ``\\s``, ``\\b`` as
+    in Python's ``re`` on str); on ASCII texts both forms match the same."""
+    plain = scan("(?i)" + pattern)
+    return F.when(F.col(_WIDE), scan("(?iU)" + pattern)).otherwise(plain) if unicode else plain
 
 
 def _entity_maker(etype: str, gaps: Column, offsets: Column):
@@ -223,41 +188,48 @@ def _entity_maker(etype: str, gaps: Column, offsets: Column):
 
 
 @lru_cache(maxsize=64)
-def _entity_stages(text_col: str, external_col: str | None, priority: str = "reference", unicode: bool = False) -> tuple:
-    """Column expressions of the four stages, built once per column names
+def _entity_stages(text_col: str, external_col: str | None, priority: str, unicode: bool, types: tuple | None, candidates: bool) -> tuple:
+    """Column expressions of the five stages, built once per column names
     (they refer to columns by name only, so the same JVM expressions serve
     every DataFrame; building them costs thousands of Py4J calls)."""
+    chosen = [(t, p) for t, p in PII_PATTERNS if types is None or t in types]
     text = F.col(text_col)
     gate = may_contain_pii(text, unicode)
     if external_col is not None:
         gate = gate | (F.size(F.col(external_col)) > 0)
+    stage0 = {_GATE: gate, _WIDE: text.rlike(r"[^\x00-\x7F]") if unicode else F.lit(False)}
     empty = F.array().cast(_EMPTY_STR_ARRAY)
     stage1 = {}
-    for t, p in PII_PATTERNS:
-        cond = gate
+    for t, p in chosen:
+        cond = F.col(_GATE)
         if t in REQUIRED_LITERAL:
             cond = cond & (F.instr(text, REQUIRED_LITERAL[t]) > 0)
-        stage1[f"_m_{t}"] = F.when(cond, F.regexp_extract_all(text, F.lit(_ci(p, unicode)), 0)).otherwise(empty)
-    stage2 = {f"_g_{t}": F.when(F.size(f"_m_{t}") > 0, F.split(text, _ci(p, unicode), -1)) for t, p in PII_PATTERNS}
+        stage1[f"_m_{t}"] = F.when(cond, _scan(p, unicode, lambda x: F.regexp_extract_all(text, F.lit(x), 0))).otherwise(empty)
+    stage2 = {f"_g_{t}": F.when(F.size(f"_m_{t}") > 0, _scan(p, unicode, lambda x: F.split(text, x, -1))) for t, p in chosen}
     stage3 = {}
-    for t, _ in PII_PATTERNS:
+    for t, _ in chosen:
         m, g = F.col(f"_m_{t}"), F.col(f"_g_{t}")
         pieces = F.zip_with(F.slice(g, 1, F.size(m)), m, lambda a, b: F.length(a) + F.length(b))
         offsets = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
         stage3[f"_o_{t}"] = F.when(F.size(m) > 0, offsets)
-    parts = [F.transform(F.col(f"_m_{t}"), _entity_maker(t, F.col(f"_g_{t}"), F.col(f"_o_{t}"))) for t, _ in PII_PATTERNS]
-    cands = F.concat(*parts)
+    parts = [F.transform(F.col(f"_m_{t}"), _entity_maker(t, F.col(f"_g_{t}"), F.col(f"_o_{t}"))) for t, _ in chosen]
+    if candidates:
+        return stage0, stage1, stage2, stage3, F.concat(*parts)
     if external_col is not None:
-        cands = F.concat(cands, F.coalesce(F.col(external_col), F.array().cast(ENTITIES)))
+        cands = F.concat(*parts, F.coalesce(F.col(external_col), F.array().cast(ENTITIES)))
         resolved = resolve_overlaps(cands, by_confidence=True, priority=priority)
+    elif priority == "longest":
+        resolved = resolve_overlaps(F.concat(*parts), priority=priority)
     else:
-        resolved = resolve_overlaps(cands, priority=priority)
-    return stage1, stage2, stage3, resolved
+        resolved = resolve_by_type(parts)
+    return stage0, stage1, stage2, stage3, resolved
 
 
 def with_entities(df: DataFrame, text_col: str, out_col: str = "entities", external_col: str | None = None,
-                  priority: str = "reference", unicode: bool = False) -> DataFrame:
-    """Add the resolved entity array of ``text_col`` as ``out_col``.
+                  priority: str = "reference", unicode: bool = True, types: list[str] | None = None, candidates: bool = False) -> DataFrame:
+    """Add the resolved entity array of ``text_col`` as ``out_col``; with
+    ``candidates`` all matches in detection order, overlaps included. ``types``
+    limits the patterns.
 
     ``priority``: ``reference`` (pattern order decides overlaps: a 16-digit
     card without separators loses its last ten digits to PHONE and six digits
@@ -265,24 +237,26 @@ def with_entities(df: DataFrame, text_col: str, out_col: str = "entities", exter
     among equals).
 
     The work is staged in separate projections so that every regex pass runs
-    once per row: (1) the matches of each pattern, (2) the gaps (``split``),
-    only for rows where the pattern matched, (3) the running offsets,
-    (4) the entity structs, greedy resolution and ordering. Higher-order
-    functions evaluate their arguments without common-subexpression
-    elimination, so inlining these steps would repeat the regex scans. Each
-    stage is one projection (``withColumns``) to keep the plan small.
+    once per row: (1) whether a row can match and holds non-ASCII text, (2) the
+    matches of each pattern, (3) the gaps (``split``), only for rows where the
+    pattern matched, (4) the running offsets, (5) the entity structs, greedy
+    resolution and ordering. Higher-order functions evaluate their arguments
+    without common-subexpression elimination, so inlining these steps would
+    repeat the regex scans. Each stage is one projection (``withColumns``) to
+    keep the plan small.
     """
     # the text (and external entities) go through fixed scratch names, so one
     # set of built expressions serves every call
     ext = _EXT_SCRATCH if external_col is not None else None
-    stage1, stage2, stage3, resolved = _entity_stages(_TEXT_SCRATCH, ext, priority, unicode)
-    scratch = [_TEXT_SCRATCH, *stage1, *stage2, *stage3] + ([ext] if ext else [])
+    *stages, result = _entity_stages(_TEXT_SCRATCH, ext, priority, unicode, tuple(types) if types else None, candidates)
     staged = df.withColumn(_TEXT_SCRATCH, F.col(text_col))
     if ext:
         staged = staged.withColumn(ext, F.col(external_col))
-    return (
-        staged.withColumns(stage1).withColumns(stage2).withColumns(stage3).withColumn(out_col, resolved).drop(*scratch)
-    )
+    scratch = [_TEXT_SCRATCH] + ([ext] if ext else [])
+    for stage in stages:
+        staged = staged.withColumns(stage)
+        scratch += stage
+    return staged.withColumn(out_col, result).drop(*scratch)
 
 
 @lru_cache(maxsize=64)
@@ -291,16 +265,10 @@ def _pii_outputs(text_col: str, ent_col: str) -> tuple:
 
 
 def with_pii(df: DataFrame, text_col: str, prefix: str = "", external_col: str | None = None,
-             priority: str = "reference", unicode: bool = False) -> DataFrame:
+             priority: str = "reference", unicode: bool = True) -> DataFrame:
     """Add ``{prefix}entities``, ``{prefix}redacted`` and ``{prefix}pii`` (metadata)."""
     ent_name = f"{prefix}entities"
     out = with_entities(df, text_col, ent_name, external_col, priority, unicode)
     redacted, meta = _pii_outputs(text_col, ent_name)
     return out.withColumns({f"{prefix}redacted": redacted, f"{prefix}pii": meta})
 
-
-def safe_for_llm(text: Column) -> Column:
-    """Struct(redacted, metadata) of one text column, as a single expression
-    (convenient for small inputs; DataFrame steps use ``with_pii``)."""
-    ents = detect_pii(text)
-    return F.struct(redact_with(text, ents).alias("redacted"), pii_metadata(ents).alias("metadata"))

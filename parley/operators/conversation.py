@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import pii, rules
-from parley.plans.windows import rolling_global, running_total, top_k
+from parley.operators.triage import one_per_message
+from parley.plans.windows import rolling_global, running_total, same, top_k
 
 # History bound (messages kept = 2 x turns), texts of the
 # context block, summary defaults.
@@ -190,8 +191,9 @@ def latest_customer_message(msgs: DataFrame) -> DataFrame:
 
 def session_stats(triaged: DataFrame, review_events: DataFrame) -> DataFrame:
     """Counters per conversation: customer messages, auto-sent replies and
-    human-reviewed replies (held replies sent, edited or escalated)."""
-    ev = review_events.select("message_id", "action")
+    human-reviewed replies (held replies sent, edited or escalated). Of several
+    review events of a message the latest counts."""
+    ev = one_per_message(review_events, ["action"])
     j = triaged.join(ev, "message_id", "left")
     reviewed = F.col("needs_human_review") & F.col("action").isin("send", "send_edited", "escalate")
     return j.groupBy("conv_id").agg(
@@ -213,9 +215,11 @@ def _title(c: Column) -> Column:
 
 def analysis_log_recent(log: DataFrame, n: int = 10) -> DataFrame:
     """Last ``n`` analysis rows per conversation, newest first, labelled with
-    their original 1-based position."""
+    their place in the conversation's log, counted from 1."""
     recent = top_k(log, ["conv_id"], [F.col("turn").desc()], n, "recency")
-    pos = F.col("turn") + 1
+    sizes = log.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_rows"))
+    recent = recent.alias("a").join(sizes.alias("b"), same("a", "b", ["conv_id"])).select("a.*", "b._rows")
+    pos = F.col("_rows") - F.col("recency") + 1
     return recent.select(
         "conv_id",
         "turn",

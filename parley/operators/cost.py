@@ -46,7 +46,7 @@ def session_cost(calls: DataFrame, session_col: str = "session_id") -> DataFrame
         .withColumn(
             "summary",
             F.when(F.col("calls") == 0, F.lit(NO_COSTS_TEXT)).otherwise(
-                F.format_string("Session Costs: $%.4f, Total calls: %d", F.col("total_cost"), F.col("calls"))
+                F.format_string("Session Costs: $%.4f, Total calls: %d", F.col("total_cost").cast("double"), F.col("calls"))
             ),
         )
     )

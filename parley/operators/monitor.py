@@ -138,13 +138,13 @@ def alerts(rolled: DataFrame) -> DataFrame:
     """0-4 alerts per interaction, in rule order (alert_no 0..3 kept dense);
     ``ts`` is the interaction's time, ``details`` a JSON object."""
     fired = F.filter(F.array(pii_alert(), escalation_alert(), sentiment_alert(), cost_alert()), lambda a: a.isNotNull())
-    return rolled.select(*ORDER, F.posexplode(fired).alias("alert_no", "a")).select(*ORDER, F.col("alert_no").cast("bigint").alias("alert_no"), "a.*")
+    return rolled.select(*ORDER, F.posexplode(fired).alias("alert_no", "_alert")).select(*ORDER, F.col("alert_no").cast("bigint").alias("alert_no"), "_alert.*")
 
 
 def row_alerts(interactions: DataFrame, rule: Column) -> DataFrame:
     """Alerts of a rule that looks at single interactions (``pii_alert``, ``cost_alert``): a filter, no window."""
-    df = with_defaults(interactions).select(*ORDER, rule.alias("a"))
-    return df.where(F.col("a").isNotNull()).select(*ORDER, "a.*")
+    df = with_defaults(interactions).select(*ORDER, rule.alias("_alert"))
+    return df.where(F.col("_alert").isNotNull()).select(*ORDER, "_alert.*")
 
 
 def dashboard(interactions: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
-"""Escalation tickets."""
+"""Escalation tickets: one schema (``TICKET_COLUMNS``) from creation to log, pending list and due times."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import rules
+from parley.operators.triage import one_per_message
+from parley.plans.windows import same
 
 # Initial status, agent-initiated ticket reason and priority.
 STATUS_PENDING = "pending"
@@ -14,9 +16,11 @@ AGENT_PRIORITY = "high"
 REPEAT_LIMIT = 3
 
 TICKET_COLUMNS = [
-    "escalation_id", "created_at", "reason", "priority", "customer_message", "intent", "sentiment_score",
-    "status", "assigned_agent", "conv_id", "turn",
+    "escalation_id", "ts", "created_at", "reason", "priority", "customer_message", "intent", "sentiment_score",
+    "conversation_summary", "status", "assigned_agent", "conv_id", "turn",
 ]
+SUMMARY_FIELDS = ["turn_count", "duration_minutes", "escalated", "primary_intent", "avg_sentiment"]
+NO_SUMMARY = "{}"
 
 
 def _ticket_id(ts, conv_id, turn):
@@ -24,20 +28,23 @@ def _ticket_id(ts, conv_id, turn):
     return F.concat(F.lit("ESC"), F.date_format(ts, "yyyyMMddHHmmss"), F.lit("-"), conv_id.cast("string"), F.lit("-"), turn.cast("string"))
 
 
+def _question(text: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(text), r"\s+", " "))
+
+
 def repeat_counts(triaged: DataFrame) -> DataFrame:
     """How often each (normalised) message text occurs in its conversation."""
-    norm = F.lower(F.regexp_replace(F.trim(F.col("redacted_message")), r"\s+", " "))
-    return triaged.withColumn("_q", norm).groupBy("conv_id", "_q").agg(F.count(F.lit(1)).alias("repeats"))
+    return triaged.select("conv_id", _question(F.col("redacted_message")).alias("_q")).groupBy("conv_id", "_q").agg(F.count(F.lit(1)).alias("repeats"))
 
 
 def triage_priority(triaged: DataFrame, order_totals: DataFrame | None = None) -> DataFrame:
-    """Priority per message from the guideline rules (repeats are counted
-    over all turns of the conversation)."""
-    norm = F.lower(F.regexp_replace(F.trim(F.col("redacted_message")), r"\s+", " "))
-    t = triaged.withColumn("_q", norm)
-    t = t.join(repeat_counts(triaged), ["conv_id", "_q"], "left")
+    """The escalated rows with their priority from the guideline rules (repeats
+    are counted over all turns of the conversation, which needs only the
+    redacted texts; the rest of triage runs for escalated rows alone)."""
+    t = triaged.filter(F.col("escalated")).withColumn("_q", _question(F.col("redacted_message")))
+    t = t.alias("a").join(repeat_counts(triaged).alias("b"), same("a", "b", ["conv_id", "_q"]), "left").select("a.*", "b.repeats")
     if order_totals is not None:
-        t = t.join(order_totals.select("message_id", "order_total"), "message_id", "left")
+        t = t.join(one_per_message(order_totals, ["order_total"]), "message_id", "left")
     else:
         t = t.withColumn("order_total", F.lit(None).cast("double"))
     pr = rules.ticket_priority_rule(
@@ -46,17 +53,24 @@ def triage_priority(triaged: DataFrame, order_totals: DataFrame | None = None) -
     return t.withColumn("priority", pr).drop("_q")
 
 
-def create_from_triage(triaged: DataFrame, order_totals: DataFrame | None = None) -> DataFrame:
-    """One pending ticket per escalated message."""
-    esc = triage_priority(triaged, order_totals).filter(F.col("escalated"))
-    return esc.select(
+def _tickets(rows: DataFrame, reason: Column, priority: Column, summaries: DataFrame | None) -> DataFrame:
+    """Pending tickets of triaged rows; ``summaries`` (one row per conversation)
+    go along as a JSON object, an empty one without them."""
+    summary = F.lit(NO_SUMMARY)
+    if summaries is not None:
+        own = summaries.select("conv_id", F.to_json(F.struct(*SUMMARY_FIELDS)).alias("_summary"))
+        rows = rows.alias("a").join(own.alias("b"), same("a", "b", ["conv_id"]), "left").select("a.*", "b._summary")
+        summary = F.coalesce(F.col("_summary"), summary)
+    return rows.select(
         _ticket_id(F.col("ts"), F.col("conv_id"), F.col("turn")).alias("escalation_id"),
+        "ts",
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
-        F.format_string("Negative sentiment (%.2f)", F.col("sentiment_score")).alias("reason"),
-        rules.normalise_priority(F.col("priority")).alias("priority"),
+        reason.alias("reason"),
+        priority.alias("priority"),
         F.col("redacted_message").alias("customer_message"),
         "intent",
         "sentiment_score",
+        summary.alias("conversation_summary"),
         F.lit(STATUS_PENDING).alias("status"),
         F.lit(None).cast("string").alias("assigned_agent"),
         "conv_id",
@@ -64,24 +78,17 @@ def create_from_triage(triaged: DataFrame, order_totals: DataFrame | None = None
     )
 
 
-def create_from_review(triaged: DataFrame, review_events: DataFrame) -> DataFrame:
-    """Tickets for held replies the reviewer escalated."""
+def create_from_triage(triaged: DataFrame, order_totals: DataFrame | None = None, summaries: DataFrame | None = None) -> DataFrame:
+    """One pending ticket per escalated message (``TICKET_COLUMNS``)."""
+    reason = F.format_string("Negative sentiment (%.2f)", F.col("sentiment_score"))
+    return _tickets(triage_priority(triaged, order_totals), reason, rules.normalise_priority(F.col("priority")), summaries)
+
+
+def create_from_review(triaged: DataFrame, review_events: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """Tickets for held replies whose latest review event is an escalation."""
     held = triaged.filter(F.col("needs_human_review"))
-    ev = review_events.filter(F.col("action") == "escalate").select("message_id")
-    j = held.join(ev, "message_id")
-    return j.select(
-        _ticket_id(F.col("ts"), F.col("conv_id"), F.col("turn")).alias("escalation_id"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
-        F.lit(AGENT_REASON).alias("reason"),
-        F.lit(AGENT_PRIORITY).alias("priority"),
-        F.col("redacted_message").alias("customer_message"),
-        "intent",
-        "sentiment_score",
-        F.lit(STATUS_PENDING).alias("status"),
-        F.lit(None).cast("string").alias("assigned_agent"),
-        "conv_id",
-        "turn",
-    )
+    ev = one_per_message(review_events, ["action"]).filter(F.col("action") == "escalate").select("message_id")
+    return _tickets(held.join(ev, "message_id"), F.lit(AGENT_REASON), F.lit(AGENT_PRIORITY), summaries)
 
 
 def with_customer_message(tickets: DataFrame) -> DataFrame:
@@ -89,11 +96,11 @@ def with_customer_message(tickets: DataFrame) -> DataFrame:
 
 
 def pending(tickets: DataFrame, priority: str | None = None) -> DataFrame:
-    """Pending tickets, optionally of one priority, newest first."""
+    """Pending tickets, optionally of one priority, newest first (then by id)."""
     p = tickets.filter(F.col("status") == STATUS_PENDING)
     if priority:
         p = p.filter(F.col("priority") == priority)
-    return p.orderBy(F.col("ts").desc())
+    return p.orderBy(F.col("ts").desc(), "escalation_id")
 
 
 def with_sla(tickets: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from parley.plans import duck as D
 from parley.sources import fixtures as fx
 from parley.sources import kb_files
 from parley.sources import model_io as mio
-from parley.session import cut_lineage, spread
+from parley.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,7 +60,7 @@ def W(*views: str) -> str:
 
 
 def r12(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 12)
+    return F.round((F.col(c) if isinstance(c, str) else c).cast("double"), 12)
 
 
 def r9(c: Column | str) -> Column:
@@ -113,9 +113,8 @@ FROM (SELECT {keys}, unnest(range(len(ents))) AS n, unnest(ents) AS e FROM (SELE
 
 def _make_type_query(key: str, etype: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        c = VS(spark, sf, "v_pii_corpus")
-        ents = pii.match_entities(F.col("text"), etype, pii.PATTERN_BY_TYPE[etype])
-        return _explode_entities(c, ["src", "id"], ents, "match_no")
+        c = pii.with_entities(VS(spark, sf, "v_pii_corpus"), "text", types=[etype], candidates=True)
+        return _explode_entities(c, ["src", "id"], F.col("entities"), "match_no")
 
     register(key, W("v_pii_corpus") + "\n" + _duck_explode("v_pii_corpus", "src, id", D.type_matches("text", etype), "match_no"))(run)
 
@@ -126,8 +125,8 @@ for _k, _t in _PER_TYPE.items():
 
 @register("pii_entities", W("v_pii_corpus") + "\n" + _duck_explode("v_pii_corpus", "src, id", D.candidates("text"), "cand_no"))
 def q_pii_entities(spark, sf):
-    c = VS(spark, sf, "v_pii_corpus")
-    return _explode_entities(c, ["src", "id"], pii.regex_entities(F.col("text")), "cand_no")
+    c = pii.with_entities(VS(spark, sf, "v_pii_corpus"), "text", candidates=True)
+    return _explode_entities(c, ["src", "id"], F.col("entities"), "cand_no")
 
 
 @register("pii_dedup", W("v_pii_corpus") + "\n" + _duck_explode("v_pii_corpus", "src, id", D.entities("text"), "ent_no"))
@@ -624,13 +623,10 @@ def q_reply_fallback(spark, sf):
 _TRIAGE = W("v_messages", "v_scored", "v_replies", "v_reply_usage") + "," + D.triage_ctes()
 
 
-def triaged(spark, sf, reuse: bool = False) -> DataFrame:
-    """The triage result; ``reuse=True`` materialises it once (reliable
-    checkpoint) for queries that read it more than once."""
-    t = tri.triage(
+def triaged(spark, sf) -> DataFrame:
+    return tri.triage(
         V(spark, sf, "v_messages"), V(spark, sf, "v_scored"), V(spark, sf, "v_replies"), V(spark, sf, "v_reply_usage")
     )
-    return cut_lineage(t) if reuse else t
 
 
 _TRIAGE_COLS_SQL = (
@@ -653,6 +649,24 @@ def q_triage(spark, sf):
     return _triage_cols(triaged(spark, sf))
 
 
+_RAW_SCORED = f"""ri AS (SELECT message_id,
+    CASE WHEN raw_response IS NULL THEN {D.q(parse.INTENT_FAILED['intent'])} ELSE {_IP['intent']} END AS intent,
+    CASE WHEN raw_response IS NULL THEN {float(parse.INTENT_FAILED['confidence'])} ELSE {_IP['confidence']} END AS confidence FROM v_raw_responses),
+rn AS (SELECT message_id, CASE WHEN raw_response IS NULL THEN 'neutral' ELSE {_SP['sentiment']} END AS sentiment,
+    CASE WHEN raw_response IS NULL THEN 0.5 ELSE {_SP['score']} END AS score FROM v_raw_sentiment),
+raw_scored AS (SELECT * FROM ri JOIN rn USING (message_id)),"""
+
+
+@register(
+    "triage_from_raw",
+    W("v_messages", "v_raw_responses", "v_raw_sentiment", "v_replies", "v_reply_usage") + ",\n" + _RAW_SCORED + D.triage_ctes("raw_scored")
+    + f"\nSELECT {_TRIAGE_COLS_SQL} FROM triaged",
+)
+def q_triage_from_raw(spark, sf):
+    names = ["v_messages", "v_raw_responses", "v_raw_sentiment", "v_replies", "v_reply_usage"]
+    return _triage_cols(tri.triage_from_raw(*(V(spark, sf, n) for n in names)))
+
+
 @register(
     "escalation_short_circuit",
     _TRIAGE + "\nSELECT message_id, response, intent, intent_confidence, sentiment, sentiment_score, pii_detected, pii_in_message, safe, cost "
@@ -711,8 +725,9 @@ def _duck_title(x: str) -> str:
     "analysis_log_recent",
     _TRIAGE
     + f""", lg AS (SELECT conv_id, turn, intent, intent_confidence AS confidence, needs_human_review AS needs_review,
-  row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS recency FROM triaged)
-SELECT conv_id, turn, CAST(recency AS INTEGER) AS recency, '#' || CAST(turn + 1 AS VARCHAR) || ' ' || {_duck_title('intent')} AS label,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS recency,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM triaged)
+SELECT conv_id, turn, CAST(recency AS INTEGER) AS recency, '#' || CAST(place AS VARCHAR) || ' ' || {_duck_title('intent')} AS label,
   {D.fmt_fixed('confidence * 100', 0)} || '%' AS confidence_pct,
   CASE WHEN needs_review THEN 'Human' ELSE 'Auto-sent' END AS review FROM lg WHERE recency <= 10""",
 )
@@ -844,18 +859,19 @@ def q_conv_context(spark, sf):
 
 @register(
     "reply_request",
-    _MEM
+    _MEM.replace("WITH v_messages", "WITH v_instructions AS (" + fx.VIEWS["v_instructions"] + "), v_messages", 1)
     + f""", ctx AS (SELECT conv_id, turn, sub, list({_CTX_LINE}) OVER (PARTITION BY conv_id ORDER BY turn, sub
     ROWS BETWEEN {conv.MAX_MESSAGES - 1} PRECEDING AND CURRENT ROW) AS lines FROM mem),
 p AS (SELECT t.message_id, '## Current Message' || chr(10) || t.redacted_message || chr(10) || chr(10) || '## Context' || chr(10)
     || '- Intent: ' || t.intent || chr(10) || '- Sentiment: ' || {D.fmt_fixed('t.sentiment_score', 2)} || chr(10) || chr(10)
     || ({_CTX_TEXT}) || chr(10) || chr(10) || {D.q(mio.REPLY_TASK)} AS prompt
   FROM triaged t JOIN ctx c ON c.conv_id = t.conv_id AND c.turn = t.turn AND c.sub = 0 WHERE NOT t.escalated)
-SELECT message_id, prompt, {_duck_request('prompt', None, mio.REPLY_MAX_TOKENS, mio.REPLY_TEMPERATURE)} AS request FROM p""",
+SELECT message_id, prompt, {_duck_request('prompt', "(SELECT base || " + D.q(mio.INSTRUCTION_SEPARATOR) + " || specialised FROM v_instructions)", mio.REPLY_MAX_TOKENS, mio.REPLY_TEMPERATURE)} AS request FROM p""",
 )
 def q_reply_request(spark, sf):
     carry = ["message_id", "redacted_message", "intent", "sentiment_score"]
-    return mio.reply_requests(conv.context_per_turn(triaged(spark, sf), carry))
+    system = V(spark, sf, "v_instructions").select(mio.combined_instructions(F.col("base"), F.col("specialised")).alias("system"))
+    return mio.reply_requests(conv.context_per_turn(triaged(spark, sf), carry), mio.system_prompt(system))
 
 
 @register(
@@ -1144,7 +1160,7 @@ def q_displayed_cost(spark, sf):
 
 _WS_RE2 = r"[\t\n\x0B\f\r\x{85}\p{Z}]+"
 _KB_SECTIONS = (
-    """kbs AS (SELECT doc_id * 100000 + n AS section_id, doc_id, CAST(n AS BIGINT) AS section_no, source, content FROM (
+    """kbs AS (SELECT doc_id, CAST(n AS BIGINT) AS section_no, source, content FROM (
     SELECT doc_id, source, unnest(range(len(parts))) AS n, unnest(parts) AS content FROM (
       SELECT doc_id, source, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10) || chr(10)) AS parts
       FROM documents) a) b WHERE regexp_matches(content, '[^\\s\\x{85}\\p{Z}]'))"""
@@ -1159,7 +1175,7 @@ def _kb_sections(spark, sf) -> DataFrame:
     return kb_files.sections_from_table(TS(spark, sf, "documents"))
 
 
-@register("kb_sections", "WITH " + _KB_SECTIONS + "\nSELECT section_id, doc_id, section_no, source, content FROM kbs")
+@register("kb_sections", "WITH " + _KB_SECTIONS + "\nSELECT doc_id, section_no, source, content FROM kbs")
 def q_kb_sections(spark, sf):
     return _kb_sections(spark, sf)
 
@@ -1174,21 +1190,22 @@ _KB_SEARCH = (
     + ", "
     + _KB_SECTIONS
     + f""", qt AS (SELECT query_id, unnest({_duck_tokens('query')}) AS token FROM v_kb_queries),
-st AS (SELECT section_id, unnest({_duck_tokens('content')}) AS token FROM kbs),
-sc AS (SELECT query_id, section_id, count(*) AS score FROM qt JOIN st USING (token) GROUP BY query_id, section_id),
-top AS (SELECT * FROM (SELECT sc.*, kbs.source, kbs.content, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kbs.source, section_id) AS rank
-    FROM sc JOIN kbs USING (section_id)) x WHERE rank <= {kb.TOP_K})"""
+st AS (SELECT doc_id, section_no, unnest({_duck_tokens('content')}) AS token FROM kbs),
+sc AS (SELECT query_id, doc_id, section_no, count(*) AS score FROM qt JOIN st USING (token) GROUP BY query_id, doc_id, section_no),
+top AS (SELECT * FROM (SELECT sc.*, kbs.source, kbs.content, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kbs.source, doc_id, section_no) AS rank
+    FROM sc JOIN kbs USING (doc_id, section_no)) x WHERE rank <= {kb.TOP_K})"""
 )
 
 
-@register("kb_search", _KB_SEARCH + "\nSELECT query_id, section_id, score FROM sc")
+@register("kb_search", _KB_SEARCH + "\nSELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, section_no, score, source, content FROM top")
 def q_kb_search(spark, sf):
-    return kb.search(V(spark, sf, "v_kb_queries"), _kb_sections(spark, sf))
+    found = kb.search(V(spark, sf, "v_kb_queries"), _kb_sections(spark, sf))
+    return found.select("query_id", "rank", "doc_id", "section_no", "score", "source", "content")
 
 
-@register("kb_topk", _KB_SEARCH + "\nSELECT query_id, CAST(rank AS BIGINT) AS rank, section_id, score FROM top")
+@register("kb_topk", _KB_SEARCH + "\nSELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, section_no, score FROM top")
 def q_kb_topk(spark, sf):
-    return kb.topk(V(spark, sf, "v_kb_queries"), _kb_sections(spark, sf)).select("query_id", "rank", "section_id", "score")
+    return kb.topk(V(spark, sf, "v_kb_queries"), _kb_sections(spark, sf)).select("query_id", "rank", "doc_id", "section_no", "score")
 
 
 @register(
@@ -1281,44 +1298,15 @@ def q_order_format(spark, sf):
 
 # ---------------------------------------------------------------- tickets
 
-_TK = W("v_tickets")
 _PRIO = "CASE WHEN priority IN ('low', 'medium', 'high', 'urgent') THEN priority ELSE 'medium' END"
 
 
-@register("ticket_priority", _TK + f"\nSELECT ticket_id, {_PRIO} AS priority FROM v_tickets")
+@register("ticket_priority", W("v_ticket_requests") + f"\nSELECT ticket_id, {_PRIO} AS priority FROM v_ticket_requests")
 def q_ticket_priority(spark, sf):
-    t = V(spark, sf, "v_tickets")
+    t = V(spark, sf, "v_ticket_requests")
     return t.select("ticket_id", rules.normalise_priority(F.col("priority")).alias("priority"))
 
 
-_MSG_SQL = "CASE " + " ".join(f"WHEN priority = {D.q(k)} THEN {D.q(v)}" for k, v in rules.PRIORITY_MESSAGES.items()) + f" ELSE {D.q(rules.PRIORITY_MESSAGES['medium'])} END"
-
-
-@register("ticket_message", _TK + f"\nSELECT ticket_id, priority, {_MSG_SQL} AS customer_notice FROM v_tickets")
-def q_ticket_message(spark, sf):
-    t = V(spark, sf, "v_tickets")
-    return tickets.with_customer_message(t).select("ticket_id", "priority", "customer_notice")
-
-
-@register("ticket_pending", _TK + f"\nSELECT ticket_id, priority, {DTS.format('ts')} AS created_at FROM v_tickets WHERE status = 'pending' ORDER BY ts DESC")
-def q_ticket_pending(spark, sf):
-    t = tickets.pending(V(spark, sf, "v_tickets"))
-    return t.select("ticket_id", "priority", ts_str("ts", "created_at"))
-
-
-_SLA_SQL = "CASE " + " ".join(f"WHEN {_PRIO} = {D.q(k)} THEN {v}" for k, v in rules.SLA_MINUTES.items()) + " END"
-
-
-@register(
-    "ticket_sla",
-    _TK + f"\nSELECT ticket_id, {_PRIO} AS priority, CAST({_SLA_SQL} AS BIGINT) AS sla_minutes, "
-    f"{DTS.format('ts + to_minutes(CAST(' + _SLA_SQL + ' AS BIGINT))')} AS due_at FROM v_tickets",
-)
-def q_ticket_sla(spark, sf):
-    t = tickets.with_sla(V(spark, sf, "v_tickets"))
-    return t.select("ticket_id", rules.normalise_priority(F.col("priority")).alias("priority"), "sla_minutes", ts_str("due_at"))
-
-
 _TICKET_TRIAGE = (
     _TRIAGE.replace("WITH v_messages", "WITH v_orders AS (" + fx.VIEWS["v_orders"] + "), v_messages", 1)
     + """, nq AS (SELECT *, lower(regexp_replace(trim(redacted_message), '\\s+', ' ', 'g')) AS _q FROM triaged),
@@ -1336,21 +1324,53 @@ def _order_totals(spark, sf) -> DataFrame:
 
 @register("ticket_triage", _TICKET_TRIAGE + "\nSELECT message_id, priority FROM tp")
 def q_ticket_triage(spark, sf):
-    t = triaged(spark, sf, reuse=True)
-    return tickets.triage_priority(t, _order_totals(spark, sf)).filter(F.col("escalated")).select("message_id", "priority")
+    return tickets.triage_priority(triaged(spark, sf), _order_totals(spark, sf)).select("message_id", "priority")
 
 
-@register(
-    "ticket_create",
+_TICKETS = (
     _TICKET_TRIAGE
-    + f"""
-SELECT 'ESC' || strftime(ts, '%Y%m%d%H%M%S') || '-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS escalation_id,
+    + f""", tk AS (SELECT 'ESC' || strftime(ts, '%Y%m%d%H%M%S') || '-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS escalation_id, ts,
   {DTS.format('ts')} AS created_at, 'Negative sentiment (' || {D.fmt_fixed('sentiment_score', 2)} || ')' AS reason, priority,
-  redacted_message AS customer_message, intent, sentiment_score, 'pending' AS status FROM tp""",
+  redacted_message AS customer_message, intent, sentiment_score, '{{}}' AS conversation_summary, 'pending' AS status FROM tp)"""
 )
+
+
+def _tickets(spark, sf) -> DataFrame:
+    return tickets.create_from_triage(triaged(spark, sf), _order_totals(spark, sf))
+
+
+_TICKET_COLS = ["escalation_id", "created_at", "reason", "priority", "customer_message", "intent", "sentiment_score", "conversation_summary", "status"]
+
+
+@register("ticket_create", _TICKETS + f"\nSELECT {', '.join(_TICKET_COLS)} FROM tk")
 def q_ticket_create(spark, sf):
-    t = tickets.create_from_triage(triaged(spark, sf, reuse=True), _order_totals(spark, sf))
-    return t.select("escalation_id", "created_at", "reason", "priority", "customer_message", "intent", "sentiment_score", "status")
+    return _tickets(spark, sf).select(*_TICKET_COLS)
+
+
+_MSG_SQL = "CASE " + " ".join(f"WHEN priority = {D.q(k)} THEN {D.q(v)}" for k, v in rules.PRIORITY_MESSAGES.items()) + f" ELSE {D.q(rules.PRIORITY_MESSAGES['medium'])} END"
+
+
+@register("ticket_message", _TICKETS + f"\nSELECT escalation_id, priority, {_MSG_SQL} AS customer_notice FROM tk")
+def q_ticket_message(spark, sf):
+    return tickets.with_customer_message(_tickets(spark, sf)).select("escalation_id", "priority", "customer_notice")
+
+
+@register("ticket_pending", _TICKETS + "\nSELECT escalation_id, priority, created_at FROM tk WHERE status = 'pending' ORDER BY ts DESC, escalation_id")
+def q_ticket_pending(spark, sf):
+    return tickets.pending(_tickets(spark, sf)).select("escalation_id", "priority", "created_at")
+
+
+_SLA_SQL = "CASE priority WHEN 'urgent' THEN 5 WHEN 'high' THEN 15 WHEN 'medium' THEN 60 WHEN 'low' THEN 240 END"
+
+
+@register(
+    "ticket_sla",
+    _TICKETS + f"\nSELECT escalation_id, priority, CAST({_SLA_SQL} AS BIGINT) AS sla_minutes, "
+    f"{DTS.format('ts + to_minutes(CAST(' + _SLA_SQL + ' AS BIGINT))')} AS due_at FROM tk",
+)
+def q_ticket_sla(spark, sf):
+    t = tickets.with_sla(_tickets(spark, sf))
+    return t.select("escalation_id", "priority", "sla_minutes", ts_str("due_at"))
 
 
 @register(

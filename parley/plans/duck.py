@@ -139,20 +139,17 @@ def resolution_ctes(src: str, reply: str, score: str, intent: str, prefix: str)
     return ctes, f"{p}f"
 
 
-def triage_ctes() -> str:
+def triage_ctes(scored: str = "v_scored") -> str:
     """CTEs ending in ``triaged`` (same columns as the Spark triage)."""
     res, last = resolution_ctes("t_rin", "_reply_in", "score", "intent", "t_g")
-    band = (
-        "CASE WHEN score >= 0.8 THEN 'very_positive' WHEN score >= 0.6 THEN 'positive' WHEN score >= 0.4 THEN 'neutral' "
-        "WHEN score >= 0.2 THEN 'negative' ELSE 'very_negative' END"
-    )
     cost = "(CAST(input_tokens AS DOUBLE) / 1000000.0) * 0.8 + (CAST(output_tokens AS DOUBLE) / 1000000.0) * 4.0"
     return f"""
 t_m AS (SELECT message_id, conv_id, turn, ts, content, {entities('content')} AS _me FROM v_messages),
 t_r AS (SELECT message_id, conv_id, turn, ts, {redact('content', '_me')} AS redacted_message, len(_me) > 0 AS pii_in_message FROM t_m),
 t_s AS (SELECT t_r.*, coalesce(sc.intent, 'general_inquiry') AS intent,
-  CASE WHEN sc.intent IS NULL THEN 0.0 ELSE sc.confidence END AS confidence, coalesce(sc.score, 0.5) AS score
-  FROM t_r LEFT JOIN v_scored sc USING (message_id)),
+  CASE WHEN sc.intent IS NULL THEN 0.0 ELSE sc.confidence END AS confidence, coalesce(sc.score, 0.5) AS score,
+  coalesce(sc.sentiment, 'neutral') AS model_label
+  FROM t_r LEFT JOIN {scored} sc USING (message_id)),
 t_e AS (SELECT *, coalesce(score < 0.3, false) OR coalesce(score < 0.5 AND intent IN ('refund_request', 'complaint'), false) AS escalated FROM t_s),
 t_rp AS (SELECT t_e.*, rr.reply, u.input_tokens, u.output_tokens FROM t_e
   LEFT JOIN v_replies rr USING (message_id) LEFT JOIN v_reply_usage u USING (message_id)),
@@ -162,7 +159,7 @@ t_c AS (SELECT *, sum(CASE WHEN NOT escalated AND reply IS NOT NULL THEN {cost}
 t_o AS (SELECT message_id, conv_id, turn, ts, redacted_message,
   CASE WHEN escalated THEN {q(G.ESCALATION_REPLY)} ELSE final_response END AS response,
   intent, CASE WHEN escalated THEN 1.0 ELSE confidence END AS intent_confidence,
-  CASE WHEN escalated THEN 'negative' ELSE {band} END AS sentiment,
+  CASE WHEN escalated THEN 'negative' ELSE model_label END AS sentiment,
   score AS sentiment_score, escalated, (NOT escalated AND pii_in_message) AS pii_detected, pii_in_message,
   true AS safe, CASE WHEN escalated THEN 0.0 ELSE _session_cost END AS cost,
   CASE WHEN escalated THEN 'escalated' ELSE guardrail_outcome END AS guardrail_outcome FROM t_c),

@@ -11,6 +11,9 @@ Spark SQL and in DuckDB, which is how the oracle queries reuse it.
 
 from __future__ import annotations
 
+import re
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = [
@@ -19,11 +22,10 @@ BASE_TABLES = [
 ]
 
 VIEWS: dict[str, str] = {
-    # customer messages, one per order; conv = customer, turn = order rank
+    # customer messages, one per order; conv = customer, turn = order number (unique, with gaps)
     "v_messages": """
 SELECT o_orderkey AS message_id, o_custkey AS conv_id,
-  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS turn,
-  o_orderdate AS ts, 'customer' AS role,
+  o_orderkey AS turn, o_orderdate AS ts, 'customer' AS role,
   CASE o_orderkey % 13
     WHEN 0 THEN concat('Where is order #AB', lpad(CAST(o_orderkey AS STRING), 8, '0'), '?')
     WHEN 1 THEN concat('I want a refund, mail user', CAST(o_custkey AS STRING), '@example.com')
@@ -39,13 +41,16 @@ SELECT o_orderkey AS message_id, o_custkey AS conv_id,
     WHEN 11 THEN 'order #12345 please'
     ELSE 'Thank you so much' END AS content
 FROM orders""",
-    # canned classifier output: intent, confidence and sentiment score per message
+    # canned classifier output: intent, confidence, the model's own sentiment label
+    # (often at odds with the score, sometimes absent) and sentiment score per message
     "v_scored": """
 SELECT o_orderkey AS message_id,
   CASE o_orderkey % 9 WHEN 0 THEN 'order_status' WHEN 1 THEN 'refund_request' WHEN 2 THEN 'product_question'
     WHEN 3 THEN 'shipping_question' WHEN 4 THEN 'account_help' WHEN 5 THEN 'technical_issue'
     WHEN 6 THEN 'complaint' WHEN 7 THEN 'general_inquiry' ELSE 'greeting' END AS intent,
   CAST(50 + o_orderkey % 51 AS DOUBLE) / 100 AS confidence,
+  CASE o_orderkey % 6 WHEN 0 THEN 'very_positive' WHEN 1 THEN 'positive' WHEN 2 THEN 'neutral'
+    WHEN 3 THEN 'negative' WHEN 4 THEN 'very_negative' END AS sentiment,
   CAST((o_orderkey * 37) % 101 AS DOUBLE) / 100 AS score
 FROM orders""",
     # canned model replies (NULL = the reply call failed)
@@ -140,12 +145,16 @@ SELECT concat('ORDER', lpad(CAST(o_orderkey AS STRING), 8, '0')) AS order_id, o_
   CASE WHEN o_orderstatus IN ('F','P') THEN concat('TRACK', lpad(CAST(o_orderkey AS STRING), 8, '0')) END AS tracking_number,
   o_totalprice AS total
 FROM orders""",
-    # escalation tickets
-    "v_tickets": """
-SELECT event_id AS ticket_id, ts, user_id AS conv_id,
-  CASE k % 5 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' WHEN 3 THEN 'urgent' ELSE 'bogus' END AS priority,
-  CASE WHEN k % 2 = 0 THEN 'pending' ELSE 'closed' END AS status
-FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM events WHERE event_type = 'error') e""",
+    # requested ticket priorities, unknown ones among them
+    "v_ticket_requests": """
+SELECT event_id AS ticket_id,
+  CASE k % 5 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' WHEN 3 THEN 'urgent' ELSE 'bogus' END AS priority
+FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM events) e""",
+    # the two instruction texts of the reply model, as one row
+    "v_instructions": """
+SELECT concat('You answer for ', CAST(count(*) AS STRING), ' regions.') AS base,
+  concat('They run from ', min(r_name), ' to ', max(r_name), '.') AS specialised
+FROM region""",
     # human review actions on held replies
     "v_review_events": """
 SELECT o_orderkey AS message_id,
@@ -171,10 +180,10 @@ SELECT c_custkey, 'GPE', 'user', CAST(31 + length(c_name) AS INT), CAST(35 + len
 UNION ALL
 SELECT c_custkey, 'PERSON', concat('user', CAST(c_custkey AS STRING)), CAST(31 + length(c_name) AS INT),
   CAST(35 + length(c_name) + length(CAST(c_custkey AS STRING)) AS INT) FROM customer""",
-    # conversation messages: user → customer, assistant → agent, system dropped
+    # conversation messages: user → customer, every other role → agent
     "v_conv_messages": """
 SELECT conv_id, turn, CASE role WHEN 'user' THEN 'customer' ELSE 'agent' END AS role, text AS content
-FROM conversations WHERE role IN ('user', 'assistant')""",
+FROM conversations""",
     # every text the PII operators scan: messages, replies, documents, web pages
     "v_pii_corpus": """
 SELECT 'message' AS src, o_orderkey AS id,
@@ -197,45 +206,26 @@ UNION ALL SELECT 'document' AS src, doc_id AS id, text FROM documents
 UNION ALL SELECT 'page' AS src, page_id AS id, html AS text FROM pages""",
 }
 
-# Views each view depends on (base tables are registered on demand).
-VIEW_DEPS = {name: [t for t in BASE_TABLES if f" {t}" in sql or f"\n{t}" in sql] for name, sql in VIEWS.items()}
-
-
-# DataFrames are immutable plans: one per (session, directory, name) is kept
-# and reused, so building a query does not re-read Parquet footers or
-# re-analyse the view SQL.
-_TABLES: dict[tuple, DataFrame] = {}
-_VIEWS: dict[tuple, DataFrame] = {}
-
-
-def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
-    return (id(spark._jsparkSession), sf_dir.rstrip("/"), name)
+# Base tables each view reads.
+_TABLE = re.compile(r"\bFROM (" + "|".join(BASE_TABLES) + r")\b")
+VIEW_DEPS = {name: sorted(set(_TABLE.findall(sql))) for name, sql in VIEWS.items()}
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    k = _key(spark, sf_dir, name)
-    if k not in _TABLES:
-        _TABLES[k] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return _TABLES[k]
-
-
-def register_tables(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
-    for name in names or BASE_TABLES:
-        load_table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view ``name`` over the tables of ``sf_dir`` (timestamps as UTC)."""
-    k = _key(spark, sf_dir, name)
-    if k in _VIEWS:
-        return _VIEWS[k]
-    register_tables(spark, sf_dir, VIEW_DEPS[name])
-    df = spark.sql(VIEWS[name])
+    """The view ``name`` over the tables of ``sf_dir`` (timestamps as UTC). Its
+    tables are temporary views under names of their own while the SQL is read."""
+    own = {t: f"_parley_{zlib.crc32(sf_dir.encode()):08x}_{t}" for t in VIEW_DEPS[name]}
+    for table, temporary in own.items():
+        load_table(spark, sf_dir, table).createOrReplaceTempView(temporary)
+    df = spark.sql(_TABLE.sub(lambda m: f"FROM {own[m[1]]}", VIEWS[name]))
     ntz = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
-    if ntz:
-        df = df.withColumns({c: df[c].cast("timestamp") for c in ntz})
-    _VIEWS[k] = df
-    return df
+    for temporary in own.values():
+        spark.catalog.dropTempView(temporary)
+    return df.withColumns({c: df[c].cast("timestamp") for c in ntz}) if ntz else df
 
 
 def duckdb_ctes(names: list[str]) -> str:

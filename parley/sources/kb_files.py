@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 SECTION_SCHEMA = T.StructType(
     [
+        T.StructField("doc_id", T.StringType()),
         T.StructField("source", T.StringType()),
         T.StructField("section_no", T.LongType()),
         T.StructField("content", T.StringType()),
@@ -31,24 +32,22 @@ def split_sections(files: DataFrame, text_col: str, keep: list[str]) -> DataFram
 
 
 def read_kb_files(spark: SparkSession, directory: str, pattern: str = "*.txt") -> DataFrame:
+    """(doc_id, source, section_no, content) of a folder's files; ``doc_id`` is the file's path."""
     path = f"{directory.rstrip('/')}/{pattern}"
     try:
         files = spark.read.text(path, wholetext=True)
-        files = files.select(F.col("_metadata.file_name").alias("source"), "value")
+        files = files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_name").alias("source"), "value")
         files.schema  # resolves the path now
     except Exception as e:  # missing directory or no match → empty result
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
             return spark.createDataFrame([], SECTION_SCHEMA)
         raise
-    return split_sections(files, "value", ["source"])
+    return split_sections(files, "value", ["doc_id", "source"])
 
 
 def sections_from_table(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
                         text_col: str = "text") -> DataFrame:
     """KB sections from a document table, each document being one KB file:
-    (section_id, doc_id, section_no, source, content). ``section_id`` is unique
-    and increases with (doc_id, section_no)."""
+    (doc_id, section_no, source, content)."""
     parts = split_sections(docs, text_col, [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source")])
-    return parts.select(
-        (F.col("doc_id") * 100000 + F.col("section_no")).alias("section_id"), "doc_id", "section_no", "source", "content"
-    )
+    return parts.select("doc_id", "section_no", "source", "content")

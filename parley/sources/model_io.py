@@ -112,9 +112,19 @@ def reply_prompt(message: Column, intent: Column, score: Column, context: Column
     )
 
 
+def combined_instructions(base: Column, specialised: Column) -> Column:
+    return F.concat(base, F.lit(INSTRUCTION_SEPARATOR), specialised)
+
+
+def system_prompt(instructions: DataFrame) -> Column:
+    """The one row of ``instructions`` (column ``system``) as a value beside any table."""
+    return instructions.select("system").scalar()
+
+
 def reply_requests(turns: DataFrame, instructions: Column | None = None) -> DataFrame:
     """Reply request per non-escalated turn; ``turns`` carries
-    redacted_message, intent, sentiment_score and context."""
+    redacted_message, intent, sentiment_score and context; ``instructions`` is
+    the system prompt (``system_prompt``)."""
     prompt = reply_prompt(F.col("redacted_message"), F.col("intent"), F.col("sentiment_score"), F.col("context"))
     return turns.select(
         "message_id",
@@ -143,9 +153,7 @@ def load_instructions(spark: SparkSession, directory: str, base: str = "base_ins
     files = spark.read.text([f"{d}/{base}", f"{d}/{specialised}"], wholetext=True)
     name = F.col("_metadata.file_name")
     return files.agg(
-        F.concat(
-            F.max(F.when(name == base, F.col("value"))),
-            F.lit(INSTRUCTION_SEPARATOR),
-            F.max(F.when(name == specialised, F.col("value"))),
+        combined_instructions(
+            F.max(F.when(name == base, F.col("value"))), F.max(F.when(name == specialised, F.col("value")))
         ).alias("system")
     )

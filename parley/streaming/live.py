@@ -1,22 +1,25 @@
 """Structured Streaming variants.
 
 * ``triage_stream``: the triage chain on a stream of messages. Redaction,
-  labels, escalation and guardrails are stateless Column steps and stream-static
-  joins, so they run unchanged; the per-conversation running reply cost is
-  keyed state (``applyInPandasWithState``: one running total per
-  conversation).
+  labels, escalation and guardrails are the batch steps (``triage.judge``,
+  ``triage.finish``) behind stream-static joins; the per-conversation running
+  reply cost is keyed state (one decimal total per conversation).
+* ``memory_stream``: bounded conversation memory; the state is the last 20
+  history lines of a conversation and its message count.
 * ``monitor_stream``: one health monitor per key; the state is the bounded
-  window of the last 100 interactions of the key (scaled integers, so frame
-  sums are exact and equal the batch plan's).
+  window of the last 100 interactions of the key (decimals, so frame sums are
+  exact and equal the batch plan's). ``alerts_stream`` applies the alert rules.
 
-Event time is carried but no watermark is needed for correctness: state is
-count-bounded (one total per conversation, 100 values per monitor key). A
-``state_timeout`` drops idle keys when one is given.
+State is bounded by counts, so no watermark and no expiry is needed. The rows
+of one key and one micro-batch are sorted together: the source's admission
+limit (``max_files`` of ``read_messages``) bounds them, also for a hot key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -25,9 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from parley.functions import guardrails, rules
-from parley.operators import cost as cost_ops
-from parley.operators import monitor
+from parley.operators import conversation, monitor
 from parley.operators import triage as tri
 
 MESSAGE_SCHEMA = T.StructType(
@@ -63,22 +64,21 @@ def read_messages(spark, path: str, fmt: str = "parquet", max_files: int | None
     return r.load(path)
 
 
-_COST_STATE = T.StructType([T.StructField("total", T.DoubleType())])
+_MONEY = T.DecimalType(38, 12)
+_COST_STATE = T.StructType([T.StructField("total", _MONEY)])
 
 
 def _running_cost(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Pass the rows of one conversation through, adding the running reply
     cost; the running total is the key's state."""
-    total = state.get[0] if state.exists else 0.0
+    total = state.get[0] if state.exists else Decimal(0)
     pdf = pd.concat(list(batches), ignore_index=True).sort_values(["turn", "message_id"])
-    pdf["session_cost"] = total + pdf["reply_cost"].cumsum()
-    if len(pdf):
-        state.update((float(pdf["session_cost"].iloc[-1]),))
+    pdf["_session_cost"] = list(accumulate(pdf["_reply_cost"], initial=total))[1:]
+    state.update((pdf["_session_cost"].iloc[-1],))
     yield pdf
 
 
-def triage_stream(messages: DataFrame, scored: DataFrame, replies: DataFrame, usage: DataFrame,
-                  state_timeout: str | None = None) -> DataFrame:
+def triage_stream(messages: DataFrame, scored: DataFrame, replies: DataFrame, usage: DataFrame | None = None) -> DataFrame:
     """Streaming triage rows (same columns as the batch ``triage``).
 
     Stream-static joins attach scores, replies and usage; the session cost is
@@ -86,45 +86,54 @@ def triage_stream(messages: DataFrame, scored: DataFrame, replies: DataFrame, us
     (messages of a conversation are assumed to arrive in turn order across
     micro-batches; within a batch they are ordered by turn).
     """
-    df = tri.escalate(tri.attach_scores(messages, scored))
-    df = tri.attach_replies(df, replies, usage)
-    called = ~F.col("escalated") & F.col("reply").isNotNull()
-    df = df.withColumn(
-        "reply_cost",
-        F.when(called, cost_ops.call_cost_expr(F.col("input_tokens"), F.col("output_tokens"))).otherwise(F.lit(0.0)),
-    )
-    df = tri.redact_messages(df)
-    df = df.withColumn("_reply_in", F.when(F.col("escalated"), F.lit("")).otherwise(F.col("reply")))
-    df = guardrails.with_resolution(df, "_reply_in", "score", "intent")
-    esc = F.col("escalated")
-    rows = df.select(
-        "message_id", "conv_id", "turn", "ts", "redacted_message",
-        F.when(esc, F.lit(guardrails.ESCALATION_REPLY)).otherwise(F.col("final_response")).alias("response"),
-        "intent",
-        F.when(esc, F.lit(1.0)).otherwise(F.col("confidence")).alias("intent_confidence"),
-        F.when(esc, F.lit("negative")).otherwise(rules.sentiment_band(F.col("score"))).alias("sentiment"),
-        F.col("score").alias("sentiment_score"),
-        esc.alias("escalated"),
-        (~esc & F.col("pii_in_message")).alias("pii_detected"),
-        "pii_in_message", "safe", "reply_cost",
-        F.when(esc, F.lit("escalated")).otherwise(F.col("guardrail_outcome")).alias("guardrail_outcome"),
-    )
-    out_schema = T.StructType(rows.schema.fields + [T.StructField("session_cost", T.DoubleType())])
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if state_timeout else GroupStateTimeout.NoTimeout
-    with_cost = rows.groupBy("conv_id").applyInPandasWithState(_running_cost, out_schema, _COST_STATE, "append", timeout)
-    out = with_cost.withColumn("cost", F.when(F.col("escalated"), F.lit(0.0)).otherwise(F.col("session_cost")))
-    reason = rules.review_reason(
-        F.col("escalated"), F.col("intent"), F.col("intent_confidence"), F.col("sentiment_score"), F.col("safe")
-    )
-    return out.withColumn("review_reason", reason).withColumn("needs_human_review", reason.isNotNull()).select(
-        *tri.TRIAGE_COLUMNS
-    )
+    df = tri.attach_replies(tri.escalate(tri.attach_scores(messages, scored)), replies, usage)
+    rows = tri.judge(df.withColumn("_reply_cost", tri.reply_cost(usage is not None)), ["_reply_cost"])
+    out_schema = T.StructType([*rows.schema.fields, T.StructField("_session_cost", _MONEY)])
+    with_cost = rows.groupBy("conv_id").applyInPandasWithState(_running_cost, out_schema, _COST_STATE, "append", GroupStateTimeout.NoTimeout)
+    return tri.finish(with_cost, F.col("_session_cost"))
+
+
+_MEMORY_OUT = T.StructType(
+    [
+        T.StructField("message_id", T.LongType()),
+        T.StructField("conv_id", T.LongType()),
+        T.StructField("turn", T.LongType()),
+        T.StructField("turn_count", T.LongType()),
+        T.StructField("context", T.StringType()),
+    ]
+)
+_MEMORY_STATE = T.StructType([T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("stored", T.LongType())])
 
 
+def _memory(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Store each turn's two messages; a turn sees the history up to its own customer message."""
+    lines, stored = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+    keep, out = conversation.MAX_MESSAGES, []
+    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["turn", "message_id"])
+    for message_id, conv_id, turn, asked, answered in pdf.itertuples(index=False):
+        lines = [*lines, f"**Customer:** {asked}\n"][-keep:]
+        out.append((message_id, conv_id, turn, stored + 2, conversation.HISTORY_HEADING + "\n" + "\n".join(lines)))
+        lines = [*lines, f"**Agent:** {answered}\n"][-keep:]
+        stored += 2
+    state.update((lines, stored))
+    yield pd.DataFrame(out, columns=_MEMORY_OUT.fieldNames())
+
+
+def memory_stream(triaged: DataFrame) -> DataFrame:
+    """History text at each non-escalated turn of a stream of triage rows, and
+    the number of messages stored after it."""
+    kept = triaged.where(~F.col("escalated")).select("message_id", "conv_id", "turn", "redacted_message", "response")
+    return kept.groupBy("conv_id").applyInPandasWithState(_memory, _MEMORY_OUT, _MEMORY_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+_VALUE = T.DecimalType(28, 10)
 _MON_OUT = T.StructType(
     [
         T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampType()),
         T.StructField("monitor_key", T.LongType()),
+        T.StructField("pii_filter_success", T.BooleanType()),
+        T.StructField("cost", T.DoubleType()),
         T.StructField("window_n", T.LongType()),
         T.StructField("escalation_rate", T.DoubleType()),
         T.StructField("pii_success_rate", T.DoubleType()),
@@ -137,62 +146,57 @@ _MON_STATE = T.StructType(
     [
         T.StructField("esc", T.ArrayType(T.LongType())),
         T.StructField("pii", T.ArrayType(T.LongType())),
-        T.StructField("sent", T.ArrayType(T.LongType())),
-        T.StructField("cost", T.ArrayType(T.LongType())),
+        T.StructField("sent", T.ArrayType(_VALUE)),
+        T.StructField("cost", T.ArrayType(_VALUE)),
     ]
 )
 
 
-def _trailing(values: np.ndarray, k_prev: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums and counts of the trailing n-row frames for the rows after the
-    first ``k_prev`` (state) values, by prefix-sum differences."""
-    c = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-    idx = np.arange(k_prev + 1, len(values) + 1)
-    lo = np.maximum(idx - n, 0)
-    return c[idx] - c[lo], idx - lo
+def _frame_means(values: list, known: int, n: int) -> tuple[list[float], list[int]]:
+    """Means and sizes of the trailing n-row frames for the rows after the
+    first ``known`` (state) values, by differences of exact running sums."""
+    sums = list(accumulate(values, initial=0))
+    ends = range(known + 1, len(values) + 1)
+    sizes = [min(n, i) for i in ends]
+    return [float((sums[i] - sums[i - k]) / k) for i, k in zip(ends, sizes)], sizes
 
 
 def _monitor_state(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Vectorised per key: the state holds the last 100 scaled values of each
-    metric; the batch is appended, frame sums come from prefix sums."""
-    n, n10, scale = monitor.WINDOW_SIZE, monitor.SENTIMENT_SPIKE_WINDOW, monitor.SCALE
-    prev = [np.asarray(x, dtype=np.int64) for x in state.get] if state.exists else [np.zeros(0, np.int64)] * 4
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"])
-    new = [
-        pdf["escalated"].astype(bool).to_numpy(np.int64),
-        pdf["pii_filter_success"].astype(bool).to_numpy(np.int64),
-        np.rint(pdf["sentiment_score"].to_numpy(np.float64) * scale).astype(np.int64),
-        np.rint(pdf["cost"].to_numpy(np.float64) * scale).astype(np.int64),
-    ]
-    k = len(prev[0])
-    full = [np.concatenate([p, v]) for p, v in zip(prev, new)]
-    esc, cnt = _trailing(full[0], k, n)
-    pii_ok, _ = _trailing(full[1], k, n)
-    sent, _ = _trailing(full[2], k, n)
-    cost, _ = _trailing(full[3], k, n)
-    recent, cnt10 = _trailing(full[2], k, n10)
-    out = pd.DataFrame(
+    """The state holds the last 100 values of each metric; the batch is appended to them."""
+    n, n10 = monitor.WINDOW_SIZE, monitor.SENTIMENT_SPIKE_WINDOW
+    prev = [list(x) for x in state.get] if state.exists else [[], [], [], []]
+    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], ignore_index=True)
+    new = [pdf["escalated"].astype(int).tolist(), pdf["pii_filter_success"].astype(int).tolist(), pdf["_sent"].tolist(), pdf["_cost"].tolist()]
+    known = len(prev[0])
+    full = [p + v for p, v in zip(prev, new)]
+    (esc, sizes), (pii_ok, _), (sent, _), (cost, _) = (_frame_means(f, known, n) for f in full)
+    recent, _ = _frame_means(full[2], known, n10)
+    state.update(tuple(f[-n:] for f in full))
+    yield pd.DataFrame(
         {
-            "event_id": pdf["event_id"].to_numpy(np.int64),
-            "monitor_key": np.full(len(pdf), int(key[0]), dtype=np.int64),
-            "window_n": cnt.astype(np.int64),
-            "escalation_rate": esc / cnt,
-            "pii_success_rate": pii_ok / cnt,
-            "avg_sentiment": sent / cnt / scale,
-            "avg_cost": cost / cnt / scale,
-            "recent_sentiment": recent / cnt10 / scale,
+            **{c: pdf[c] for c in ("event_id", "ts", "monitor_key", "pii_filter_success", "cost")},
+            "window_n": np.array(sizes, np.int64),
+            "escalation_rate": esc,
+            "pii_success_rate": pii_ok,
+            "avg_sentiment": sent,
+            "avg_cost": cost,
+            "recent_sentiment": recent,
         }
     )
-    state.update(tuple(f[-n:].tolist() for f in full))
-    yield out
 
 
 def monitor_stream(interactions: DataFrame) -> DataFrame:
     """Rolling metrics per interaction, one monitor per ``monitor_key``; the
     bounded window is the keyed state."""
     df = monitor.with_defaults(interactions).select(
-        "event_id", "ts", "monitor_key", "pii_filter_success", "escalated", "sentiment_score", "cost"
-    )
+        "event_id", "ts", "monitor_key", "pii_filter_success", "escalated", "cost",
+        F.col("sentiment_score").cast(_VALUE).alias("_sent"), F.col("cost").cast(_VALUE).alias("_cost"),
+    )
     return df.groupBy("monitor_key").applyInPandasWithState(
         _monitor_state, _MON_OUT, _MON_STATE, "append", GroupStateTimeout.NoTimeout
     )
+
+
+def alerts_stream(interactions: DataFrame) -> DataFrame:
+    """The alerts of every interaction of a stream, one monitor per ``monitor_key``."""
+    return monitor.alerts(monitor_stream(interactions))

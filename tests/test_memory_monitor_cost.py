@@ -55,18 +55,20 @@ def _interactions(spark, rows):
 
 def test_monitor_reference_case(spark):
     rows = [(True, False, 0.6, 0.008)] * 10 + [(False, False, 0.6, 0.008)]
-    r = monitor.rolling(_interactions(spark, rows), plan="naive")
-    a = monitor.alerts(r)
-    d = monitor.dashboard(r, a).first()
-    assert a.filter(F.col("severity") == "CRITICAL").count() == 1
+    df = _interactions(spark, rows)
+    a = monitor.alerts(monitor.rolling(df, plan="naive"))
+    d = monitor.dashboard(df).first()
+    failed = a.filter(F.col("severity") == "CRITICAL").collect()
+    assert [(r.event_id, r.details, r.ts) for r in failed] == [(10, '{"event_id":10}', dt.datetime(2024, 1, 1, 0, 0, 10))]
+    assert monitor.row_alerts(df, monitor.pii_alert()).select(*a.drop("alert_no").columns).exceptAll(a.filter(F.col("severity") == "CRITICAL").drop("alert_no")).count() == 0
     assert d.total_interactions == 11 and abs(d.pii_success_rate - 10 / 11) < 1e-12 and d.recent_alerts == 1
 
 
 def test_first_escalation_alerts_and_window_cap(spark):
-    r = monitor.rolling(_interactions(spark, [(True, True, 0.6, 0.001)] + [(True, False, 0.6, 0.001)] * 149), plan="naive")
-    a = monitor.alerts(r)
+    df = _interactions(spark, [(True, True, 0.6, 0.001)] + [(True, False, 0.6, 0.001)] * 149)
+    a = monitor.alerts(monitor.rolling(df, plan="naive"))
     assert a.filter((F.col("event_id") == 0) & (F.col("title") == monitor.TITLE_ESCALATION)).count() == 1
-    assert monitor.dashboard(r, a).first().total_interactions == 100
+    assert monitor.dashboard(df).first().total_interactions == 100
 
 
 def test_halo_equals_naive(spark):
@@ -90,7 +92,7 @@ def test_displayed_cost_triangle(spark):
     d = cost_ops.displayed_cost(calls).first()
     assert (d.displayed_cost, d.true_cost) == (6.0, 3.0)
     c = cost_ops.call_cost(calls).filter("seq = 4").first().total_cost
-    assert abs(c - (1000 / 1e6 * 0.8 + 10 / 1e6 * 4.0)) < 1e-15
+    assert abs(float(c) - (1000 / 1e6 * 0.8 + 10 / 1e6 * 4.0)) < 1e-15
 
 
 def test_keyed_halo_hot_key_equals_plain_window(spark):
@@ -141,3 +143,29 @@ def test_primary_intent_matches_python_model(spark):
     )
     got = {r.conv_id: r.primary_intent for r in conv.summary(df).collect()}
     assert got == expected
+
+
+def test_large_costs_do_not_overflow(spark):
+    df = _interactions(spark, [(True, False, 0.5, 500_000.0)] * 300)
+    assert {r.avg_cost for r in monitor.rolling(df, block=128).select("avg_cost").collect()} == {500_000.0}
+
+
+def test_running_total_of_null_and_repeated_keys(spark):
+    from parley.plans.windows import running_total
+
+    rows = [(None, 1, 5), (None, 2, 7), (1, None, 2), (1, 1, 3), (1, 70_000, 4), (2, 5, 1)]
+    df = spark.createDataFrame(rows, "k long, t long, v long")
+    got = {(r.k, r.t): r.s for r in running_total(df, ["k"], "t", F.col("v"), "s", chunk=2).collect()}
+    assert got == {(None, 1): 5, (None, 2): 12, (1, None): 2, (1, 1): 5, (1, 70_000): 9, (2, 5): 1}
+
+
+def test_positions_and_review_events(spark):
+    log = spark.createDataFrame([(1, t, "order_status", 0.9, False) for t in (0, 5, 9)] + [(None, 3, "complaint", 0.5, True)],
+                                "conv_id long, turn long, intent string, confidence double, needs_review boolean")
+    got = {(r.conv_id, r.turn): r.label for r in conv.analysis_log_recent(log).collect()}
+    assert got == {(1, 0): "#1 Order Status", (1, 5): "#2 Order Status", (1, 9): "#3 Order Status", (None, 3): "#1 Complaint"}
+    triaged = spark.createDataFrame([(7, 1, True), (8, 1, False)], "message_id long, conv_id long, needs_human_review boolean")
+    events = spark.createDataFrame([(7, "reject", "2024-01-01"), (7, "send", "2024-01-02")], "message_id long, action string, day string").select(
+        "message_id", "action", F.to_timestamp("day").alias("ts"))
+    row = conv.session_stats(triaged, events).first()
+    assert (row.messages, row.auto_sent, row.reviewed) == (2, 1, 1)

@@ -84,16 +84,3 @@ def test_escalation_and_review(spark):
     assert rows[1].why == "low_confidence"
     assert rows[2].why is None
     assert rows[3].esc and rows[3].band == "negative"
-
-
-def test_triage_cost_plans_agree(spark):
-    from parley.operators import triage as tri
-    from parley.sources import fixtures as fx
-
-    from sf_dirs import SF001
-
-    V = lambda n: fx.view(spark, SF001, n)
-    wide = tri.triage(V("v_messages"), V("v_scored"), V("v_replies"), V("v_reply_usage"))
-    narrow = tri.triage(V("v_messages"), V("v_scored"), V("v_replies"), V("v_reply_usage"), narrow_cost_bytes=0)
-    assert wide.count() == narrow.count() > 0
-    assert wide.exceptAll(narrow).count() == 0

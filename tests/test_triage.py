@@ -54,3 +54,36 @@ def test_two_turns_give_four_memory_messages(spark):
     # the current message is already in memory when the reply is generated
     assert ctx[0] == "## Conversation History\n\n**Customer:** Where is my order?\n"
     assert ctx[1].count("**Customer:**") == 2 and ctx[1].count("**Agent:**") == 1
+
+
+def test_label_is_the_models_and_rows_stay_whole(spark):
+    """Repeated and null ids, repeated and missing sides: one row out for each row in."""
+    base = dt.datetime(2024, 1, 1)
+    msgs = spark.createDataFrame(
+        [(i, c, t, base + dt.timedelta(minutes=t), "customer", "Thanks") for i, c, t in [(1, 7, 0), (1, 7, 1), (None, 7, 2), (2, None, 0), (2, 7, 3)]],
+        "message_id long, conv_id long, turn long, ts timestamp, role string, content string",
+    )
+    scored = spark.createDataFrame(
+        [(1, "greeting", 0.9, "very_negative", 0.9), (1, "greeting", 0.8, "neutral", 0.9), (None, "complaint", 1.0, "negative", 0.0)],
+        "message_id long, intent string, confidence double, sentiment string, score double",
+    )
+    replies = spark.createDataFrame([(1, "Glad to help"), (1, "Glad to help"), (None, "x")], "message_id long, reply string")
+    usage = spark.createDataFrame([(1, 1000, 100), (2, 10, 10)], "message_id long, input_tokens long, output_tokens long")
+    rows = tri.triage(msgs, scored, replies, usage).collect()
+    assert len(rows) == 5
+    by = {(r.conv_id, r.turn): r for r in rows}
+    assert by[7, 0].sentiment == "very_negative" and by[7, 0].intent_confidence == 0.9
+    assert by[7, 2].sentiment == "neutral" and by[7, 2].intent == "general_inquiry" and by[7, 2].intent_confidence == 0.0
+    one = 1000 / 1e6 * 0.8 + 100 / 1e6 * 4.0
+    assert [round(by[7, t].cost / one) for t in range(4)] == [1, 2, 2, 2] and by[None, 0].cost == 0
+
+
+def test_triage_of_raw_replies(spark):
+    rows = [(0, "Hi", "greeting", 0.9, 0.9, "Hello"), (1, "Bad", "complaint", 0.9, 0.1, "Sorry"), (2, "Hm", "x", 0.1, 0.5, "Yes")]
+    msgs, _, replies, usage = _inputs(spark, rows)
+    intents = spark.createDataFrame([(0, '{"intent":"greeting","confidence":0.9}'), (1, '```json\n{"intent":"complaint","confidence":0.9}\n```')], "message_id long, raw_response string")
+    moods = spark.createDataFrame([(0, '{"sentiment":"negative","score":0.9}'), (1, '{"sentiment":"positive","score":0.4}'), (2, "no json")], "message_id long, raw_response string")
+    got = {r.message_id: r for r in tri.triage_from_raw(msgs, intents, moods, replies, usage).collect()}
+    assert got[0].sentiment == "negative" and not got[0].escalated
+    assert got[1].escalated and got[1].sentiment == "negative"
+    assert (got[2].intent, got[2].intent_confidence, got[2].sentiment, got[2].sentiment_score) == ("general_inquiry", 0.0, "neutral", 0.5)
