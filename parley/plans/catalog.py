@@ -1023,7 +1023,7 @@ _ALERTS_SQL = (
       || printf('%.1f', {D.spark_bround(str(monitor.BASELINES['escalation_rate']) + ' * 100', 1)}) || '%)',
       'details': '{{"escalation_rate":' || CAST({D.spark_round('escalation_rate', 9)} AS VARCHAR) || ',"baseline":0.15,"window_n":' || CAST(window_n AS VARCHAR) || '}}'}} END,
     CASE WHEN recent_sentiment < 0.3 THEN {{'severity': 'WARNING', 'title': {D.q(monitor.TITLE_SENTIMENT)}, 'message':
-      'Recent average sentiment: ' || printf('%.2f', {D.spark_bround('recent_sentiment', 2)}),
+      'Recent average sentiment: ' || printf('%.2f', {D.spark_bround(D.spark_round('recent_sentiment', 9), 2)}),
       'details': '{{"avg_sentiment":' || CAST({D.spark_round('recent_sentiment', 9)} AS VARCHAR) || ',"window":10}}'}} END,
     CASE WHEN cost > {monitor.BASELINES['avg_cost'] * monitor.COST_SPIKE_FACTOR} THEN {{'severity': 'WARNING', 'title': {D.q(monitor.TITLE_COST)}, 'message':
       'Single interaction cost: $' || printf('%.4f', {D.spark_bround('cost', 4)}),
