@@ -9,7 +9,12 @@ equal in every document; ``inverse=True`` turns texts back with the key.
 
 Kinds, in order of precedence where they overlap: e-mail (the part before @),
 assigned and well-known secrets, IBANs, IPv4 addresses, dates of 1900-2099,
-social security numbers, payment cards, telephone numbers.
+social security numbers, payment cards, telephone numbers. A candidate that fails
+its check or meets an earlier finding is read again at every shorter and later
+place. Cards are read at every length of 13-19 digits between any two separators:
+usual groupings first, then others from the left, longest first; odd groupings
+beside a hyphen come after telephone numbers. A row of short numbers is a card
+where its Luhn sum happens to fit.
 
 Defined results: null text: null text, no findings; empty text: as it is; texts
 without findings come back unchanged; a null doc_id stays null; repeated rows
@@ -22,7 +27,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,7 +43,20 @@ KINDS = ["email", "secret", "iban", "ip", "date", "ssn", "card", "phone"]
 
 _FIRST_DAY, _DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
 
-_DIGIT_RUN = r"(?:\d[ -]?){12,18}\d"
+_DIGIT_RUN = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}")
+_GROUP = re.compile(r"[0-9]+")
+#: Groupings on cards, besides 13-19 digits in one group.
+_CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5), (4, 4, 4, 4, 1), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3), (6, 13)}
+_IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 PATTERNS: dict[str, list[re.Pattern]] = {
     "email": [re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])")],
     "secret": [
@@ -53,7 +71,6 @@ PATTERNS: dict[str, list[re.Pattern]] = {
         re.compile(r"(?<![\d/.-])(\d{2}([-/.])\d{2}\2\d{4})(?!\d|[-/.]\d)", re.ASCII),
     ],
     "ssn": [re.compile(r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])", re.ASCII)],
-    "card": [re.compile(rf"(?<![\d-])({_DIGIT_RUN})(?![\d]|-\d)", re.ASCII)],
     "phone": [
         re.compile(r"(?<![\d(+])((?:\+?1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4})(?!\d)", re.ASCII),
         re.compile(r"(?<![\d.-])((?:\+?1[ .-])?\d{3}([ .-])\d{3}\2\d{4})(?!\d|[.-]\d)", re.ASCII),
@@ -157,7 +174,7 @@ def _iban_check(country: str, rest: str) -> int:
 def _iban(v: str, c: Cipher) -> str | None:
     plain = v.replace(" ", "")
     country, check, rest = plain[:2], plain[2:4], plain[4:]
-    if not 15 <= len(plain) <= 34 or int(check) != _iban_check(country, rest):
+    if not 15 <= len(plain) <= 34 or len(plain) != _IBAN_LENGTHS.get(country, len(plain)) or int(check) != _iban_check(country, rest):
         return None
     rest = c.characters(rest, f"iban{country}")
     it = iter(f"{country}{_iban_check(country, rest):02d}{rest}")
@@ -217,9 +234,13 @@ def _card(v: str, c: Cipher) -> str | None:
     if not 13 <= len(digits) <= 19 or digits[0] == "0" or luhn(digits[:-1]) != int(digits[-1]):
         return None
     n = len(digits) - 2
-    got = c.permute(int(digits[1:-1]), 10**n, f"card{digits[0]}")
-    body = f"{digits[0]}{got:0{n}d}"
-    return _refill(v, body + str(luhn(body)))
+    got = int(digits[1:-1])
+    while True:  # among cards that complete longer numbers alike, so that digits beside a result are read the same way back
+        got = c.permute(got, 10**n, f"card{digits[0]}")
+        body = f"{digits[0]}{got:0{n}d}"
+        new = body + str(luhn(body))
+        if luhn(new) == luhn(digits):
+            return _refill(v, new)
 
 
 def _phone(v: str, c: Cipher) -> str | None:
@@ -238,24 +259,115 @@ def _phone(v: str, c: Cipher) -> str | None:
     return None
 
 
-CHECKS: dict[str, Callable[[str, Cipher], str | None]] = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
+CHECKS: dict[str, Callable[[str, Cipher], str | None]] = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone}
+
+
+class Taken:
+    """Places already found; none overlap."""
+
+    def __init__(self):
+        self.starts, self.ends = [], []
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_right(self.ends, a)
+        return i < len(self.starts) and self.starts[i] < b
+
+    def add(self, a: int, b: int) -> None:
+        insort(self.starts, a), insort(self.ends, b)
+
+
+def _card_valid(v: str) -> bool:
+    digits = _digits(v)
+    return luhn(digits[:-1]) == int(digits[-1])
+
+
+def _card_readings(text: str, a: int, b: int, taken: Taken, loose: bool) -> list[tuple[int, int, int, int]]:
+    """(rank, start, -end, end) of 13-19 digits between any two separators of the digit run ``text[a:b]``."""
+    groups = [g.span() for g in _GROUP.finditer(text, a, b)]
+    out = []
+    for i, (s, _) in enumerate(groups):
+        n = 0
+        for j in range(i, len(groups)):
+            e = groups[j][1]
+            n += e - groups[j][0]
+            if n > 19:
+                break
+            if n < 13 or text[s] == "0" or taken.meets(s, e):
+                continue
+            usual = text[s] in "23456" and (i == j or tuple(y - x for x, y in groups[i : j + 1]) in _CARD_GROUPS)
+            beside = text[s - 1 : s] == "-" or (text[e : e + 1] == "-" and text[e + 1 : e + 2].isdigit())
+            if usual or loose or not beside:
+                out.append((0 if usual else 2 if beside else 1, s, -e, e))
+    return out
+
+
+def _cards(text: str, cipher: Cipher, taken: Taken, loose: bool) -> list[tuple[int, int, str]]:
+    """(start, end, pseudonym) of the cards of every digit run."""
+    out = []
+    for m in _DIGIT_RUN.finditer(text):
+        readings = _card_readings(text, *m.span(), taken, loose)
+        cards, held = {}, Taken()
+        for r in sorted(r for r in readings if _card_valid(text[r[1] : r[3]])):
+            if not held.meets(r[1], r[3]):
+                held.add(r[1], r[3])
+                cards[r[1]] = r
+        if not cards:
+            continue
+        run, base = list(m[0]), m.start()
+        first = [r[1] for r in readings]
+        for s in sorted(cards, reverse=cipher.inverse):
+            card = cards[s]
+            e = card[3]
+            rivals = []  # readings that would be taken before this card if they were valid
+            for r in readings[bisect_left(first, s - 37) : bisect_left(first, e)]:
+                if r[3] > s and r < card:
+                    i, k = bisect_right(held.ends, r[1]), bisect_left(held.starts, r[3])
+                    if not any(cards[x] < r for x in held.starts[i:k]):
+                        rivals.append(r)
+            while True:  # until the run is read in the same way, with the others as they now are
+                run[s - base : e - base] = _card("".join(run[s - base : e - base]), cipher)
+                if not any(_card_valid("".join(run[r[1] - base : r[3] - base])) for r in rivals):
+                    break
+        out += [(s, r[3], "".join(run[s - base : r[3] - base])) for s, r in cards.items()]
+    return out
+
+
+def _ends(kind: str, pattern: re.Pattern, text: str, a: int, b: int) -> Iterator[int]:
+    """Ends of the readings from ``a``, the longest first."""
+    yield b
+    if kind in ("iban", "phone"):
+        for e in range(b - 1, a + 7, -1):
+            if text[e - 1].isalnum() and not text[e].isalnum() and pattern.fullmatch(text, a, e):
+                yield e
 
 
 def find(text: str, cipher: Cipher) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of every checked value, in text order, none overlapping."""
-    starts, ends, out = [], [], []
+    taken, out = Taken(), []
+
+    def add(a: int, b: int, kind: str, new: str) -> None:
+        taken.add(a, b)
+        out.append((a, b, kind, new))
+
+    def add_cards(loose: bool) -> None:
+        for a, b, new in _cards(text, cipher, taken, loose):
+            add(a, b, "card", new)
+
     for kind in KINDS:
+        if kind == "card":
+            add_cards(loose=False)
+            continue
         for pattern in PATTERNS[kind]:
             at = 0
             while m := pattern.search(text, at):
                 a, b = m.span(1)
-                at = max(b, m.start() + 1)
-                i = bisect_left(ends, a + 1)
-                if i < len(starts) and starts[i] < b:
-                    continue
-                if (new := CHECKS[kind](m[1], cipher)) is None:
-                    continue
-                starts.insert(i, a), ends.insert(i, b), out.append((a, b, kind, new))
+                at = m.start() + 1
+                for e in _ends(kind, pattern, text, a, b):
+                    if not taken.meets(a, e) and (new := CHECKS[kind](text[a:e], cipher)) is not None:
+                        add(a, e, kind, new)
+                        at = e
+                        break
+    add_cards(loose=True)  # odd groupings beside a hyphen may be parts of telephone numbers
     return sorted(out)
 
 

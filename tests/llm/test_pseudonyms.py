@@ -50,6 +50,37 @@ def test_one_number_in_two_spellings_stays_one():
     assert a == b
 
 
+@pytest.mark.parametrize(
+    "before,value,after",
+    [
+        ("", "4111 1111 1111 1111", " 12/26"), ("", "4111 1111 1111 1111", " 123"), ("", "5500005555555559", " 12/26"), ("order 77 ", "4111 1111 1111 1111", ""),
+        ("77-", "4111-1111-1111-1111", "-123"), ("1234 ", "4111 1111 1111 1111", " 99"), ("2021-02-28 ", "4111 1111 1111 1111", ""), ("", "3782 822463 10005", " 1234"),
+        ("", "ES91 2100 0418 4502 0005 1332", " BIC"), ("", "DE89 3704 0044 0532 0130 00", " BIC"), ("", "ES91 2100 0418 4502 0005 1332", " BANKING"),
+        ("", "+44 20 7946 0958", " 2021-02-28"),
+    ],
+)
+def test_values_beside_other_numbers(before, value, after):
+    text = f"x {before}{value}{after} y"
+    new = ps.pseudonymise(text, C)[0]
+    alone = ps.pseudonymise(f"x {value} y", C)[0][2:-2]
+    assert alone != value and alone in new and ps.pseudonymise(new, BACK)[0] == text
+
+
+def test_cards_beside_digits_turn_back():
+    rnd = random.Random(5)
+    for _ in range(600):
+        body = str(rnd.randrange(3, 7)) + "".join(rnd.choice("0123456789") for _ in range(14))
+        digits = body + str(ps.luhn(body))
+        sep = rnd.choice([" ", "-", ""])
+        card = sep.join(digits[i : i + 4] for i in range(0, 16, 4))
+        number = lambda: str(rnd.randrange(10 ** rnd.randrange(1, 5)))
+        text = " ".join([*(number() for _ in range(rnd.randrange(3))), card, *(number() for _ in range(rnd.randrange(3)))])
+        new, kinds = ps.pseudonymise(text, C)
+        assert "card" in kinds and card not in new and ps.pseudonymise(new, BACK)[0] == text, text
+    row = " ".join(str(rnd.randrange(100)) for _ in range(3000))
+    assert ps.pseudonymise(ps.pseudonymise(row, C)[0], BACK)[0] == row
+
+
 def test_keys_differ():
     text = FOUND[0][1]
     assert ps.pseudonymise(text, C)[0] != ps.pseudonymise(text, ps.Cipher(b"other"))[0]
