@@ -7,7 +7,10 @@ quotients of votes by 1, 3, 5, ...), which gives every source an integer quota
 of blocks; a source's quota is apportioned over its shards the same way. A
 shard lines its documents up in seeded order, takes as many whole passes over
 them as its quota holds, and selects the rest as single blocks by a seeded
-permutation of block numbers.
+permutation of block numbers. ``mix`` emits whole documents for the passes and,
+for as many words as the selected blocks hold, the documents first in the
+shard's seeded order, the last of them cut to the words that are left; so each
+shard's mixed words are its takings, however long its documents are.
 
 Shards hold about ``shard_rows`` documents each, so a hot source is many
 shards. Only per-source rows (and per-shard rows within a source) meet in one
@@ -91,10 +94,11 @@ def sainte_lague(parties: DataFrame, votes: str, order: list[str], seats: Column
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
-    """doc_id, text_key, source, size, source_size, target, taken and copies of every row.
+    """doc_id, text_key, source, size, source_size, target, taken, copies and last of every row.
 
     ``taken`` counts words of the selected blocks, repeats included; ``copies``
-    turns the same shares into whole documents by systematic sampling.
+    turns the shard's takings into documents in seeded order, and ``last`` is
+    the number of words of the last copy: ``size``, but for one in a shard.
     """
     sized = cut_lineage(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "source", word_count("text").alias("size")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
@@ -133,28 +137,36 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     numbers = F.sequence(F.floor(F.col("begin") / F.col("block")), F.floor((F.col("end") - 1) / F.col("block")))
     part = F.when((F.col("size") == 0) | (F.col("picked") == 0), F.lit(0).cast("long")).when(F.col("picked") == F.col("n_blocks"), F.col("size"))
     lined = lined.withColumn("part", part.otherwise(F.aggregate(numbers, F.lit(0).cast("long"), selected)))
-    share = F.when(F.col("size") > 0, F.col("part") / F.col("size")).otherwise(0.0)
-    start = F.pmod(F.shiftright(key, 16), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    lined = lined.withColumn("sum_share", F.sum(share).over(upto) + start).withColumn("extra", F.floor("sum_share") - F.floor(F.col("sum_share") - share))
+    left = F.sum("part").over(Window.partitionBy("place", "shard")) - F.col("begin")
+    lined = lined.withColumn("extra", F.least("size", F.greatest(F.lit(0).cast("long"), left)))
     whole = F.when(F.col("size") > 0, F.col("passes")).otherwise(0)
     return lined.select(
         "doc_id", "text_key", "source", "size", "source_size", "target",
-        (whole * F.col("size") + F.col("part")).cast("long").alias("taken"), F.least(F.lit(max_repeats), whole + F.col("extra")).cast("int").alias("copies"),
+        (whole * F.col("size") + F.col("part")).cast("long").alias("taken"), (whole + (F.col("extra") > 0).cast("int")).cast("int").alias("copies"),
+        F.when(F.col("extra") > 0, F.col("extra")).otherwise(F.col("size")).alias("last"),
     )
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """``text`` up to its ``n``-th word and the blanks after it."""
+    pieces = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    blank = F.regexp_like(text, F.lit(r"^[\x20\x09-\x0D]")).cast("int")  # the first piece is blank
+    return F.concat_ws("", F.slice(pieces, F.lit(1), (n + blank).cast("int")))
+
+
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed documents: each row of ``docs`` as often as the mix takes it, with all its columns."""
-    plan = plan_mix(docs, **how).where("copies > 0").select("doc_id", "text_key", "source", "copies")
-    same = Window.partitionBy("doc_id", "text_key", "source").orderBy(F.col("copies").desc())
+    """The mixed documents: each row of ``docs`` as often as the mix takes it, with all its columns; one text in a shard is cut to the words left."""
+    plan = plan_mix(docs, **how).where("copies > 0").select("doc_id", "text_key", "source", "copies", F.when(F.col("last") < F.col("size"), F.col("last")).alias("cut"))
+    same = Window.partitionBy("doc_id", "text_key", "source").orderBy(F.col("copies").desc(), F.col("cut").desc_nulls_first())
     plan = plan.withColumn("n", F.row_number().over(same))
     # whole input rows travel as one struct, so their names meet none of these
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "source", F.struct(*docs.columns).alias("row"))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "text_key", "source").orderBy(F.xxhash64("row"))))
     a, b = rows.alias("a"), plan.alias("b")
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "text_key", "source", "n")]
-    both = a.join(b, on).select("a.row", F.explode(F.sequence(F.lit(1), F.col("b.copies"))))
-    return both.select("row.*")
+    both = a.join(b, on).select("a.row", "b.copies", "b.cut", F.explode(F.sequence(F.lit(1), F.col("b.copies"))).alias("copy"))
+    text = F.when(F.col("cut").isNotNull() & (F.col("copy") == F.col("copies")), first_words(F.col("row.text"), F.col("cut"))).otherwise(F.col("row.text"))
+    return both.select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -94,6 +94,22 @@ def test_copies_follow_takings(spark, docs):
     assert mixed.exceptAll(mx.mix(docs)).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [9, 4000])
+def test_mixed_words_meet_targets_with_long_documents(spark, shard_rows):
+    rnd = random.Random(shard_rows)
+    rows = [(i, "".join(rnd.choice(["", " "]) if not j else f"w{i}x{j}" + rnd.choice([" ", "\n", " \t "]) for j in range(rnd.randrange(1, 40))), "abcd"[i % 4]) for i in range(200)]
+    rows += [(1000 + i, " ".join(f"v{i}x{j}" for j in range(3000)), source) for i, source in enumerate("abcd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes, got, texts = defaultdict(int), defaultdict(int), {d: t for d, t, _ in rows}
+    for _, text, source in rows:
+        sizes[source] += words(text)
+    for r in mx.mix(df, shard_rows=shard_rows).collect():
+        got[r.source] += words(r.text)
+        assert r.text and texts[r.doc_id].startswith(r.text)
+    for s, t in plain_targets(sizes).items():
+        assert abs(got[s] - t) <= max(1.5, 0.01 * t), (s, got[s], t)
+
+
 def test_odd_rows(spark, odd, no_docs):
     from tests.llm.conftest import odd_rows
 
