@@ -39,6 +39,7 @@ from parley.llm import text as tx
 
 KEY = b"parley-pseudonyms"  # a default for runs and tests; give your own
 ROUNDS = 8
+BLOCK = 256  # characters permuted as one number
 KINDS = ["email", "secret", "iban", "ip", "date", "ssn", "card", "phone"]
 
 _FIRST_DAY, _DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
@@ -57,12 +58,18 @@ _IBAN_LENGTHS = {
     }.items()
     for country in countries.split()
 }
+_SECRET_KEY = r"(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?:(?:[_-][A-Za-z0-9]{1,32}){1,4}|key|id|value|hash)?\\?[\"']?\s?[=:]\s?"
+#: What every well-known secret contains.
+_SECRET_PREFIX = r"AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-"
 PATTERNS: dict[str, list[re.Pattern]] = {
     "email": [re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])")],
     "secret": [
-        re.compile(r"(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s?[=:]\s?[\"']?([A-Za-z0-9_+/=.~-]{6,256})", re.IGNORECASE),
+        re.compile(_SECRET_KEY + r'"([^"\n\\]{6,})"', re.IGNORECASE),
+        re.compile(_SECRET_KEY + r"'([^'\n\\]{6,})'", re.IGNORECASE),
+        # to a blank, a quote or the next assignment, without closing marks
+        re.compile(_SECRET_KEY + r"\\?[\"']?((?:(?![,;&]\s?[\"']?[A-Za-z0-9_-]{1,64}[\"']?\s?[=:])[^\s\"'<>`]){6,})(?<![.,;:!?)\]}\\])", re.IGNORECASE),
         re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)([A-Z0-9]{16})(?![A-Za-z0-9])"),
-        re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_|sk-|xox[abprs]-)([A-Za-z0-9_-]{16,255})"),
+        re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_|sk-|xox[abprs]-)([A-Za-z0-9_-]{16,})"),
     ],
     "iban": [re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")],
     "ip": [re.compile(r"(?<![\d.])((?:\d{1,3}\.){3}\d{1,3})(?!\d|\.\d)", re.ASCII)],
@@ -124,18 +131,25 @@ class Cipher:
             out.append(v)
         return out[::-1]
 
+    def blocks(self, values: list[int], sizes: list[int], label: str) -> list[int]:
+        """``mixed`` by blocks of ``BLOCK`` numbers, so that long values take linear time."""
+        out = []
+        for i in range(0, len(values), BLOCK):
+            out += self.mixed(values[i : i + BLOCK], sizes[i : i + BLOCK], f"{label}/{i}" if i else label)
+        return out
+
     def characters(self, value: str, label: str) -> str:
         """Letters and digits permuted within their classes; hexadecimal strings stay hexadecimal."""
         if len(value) >= 16 and re.fullmatch(r"[0-9a-f]*[a-f][0-9a-f]*", value):
             got = [int(c, 16) for c in value]
             while True:  # among the strings with a letter, so that a result is read the same way back
-                got = self.mixed(got, [16] * len(value), label)
+                got = self.blocks(got, [16] * len(value), label)
                 if max(got) > 9:
                     return "".join("0123456789abcdef"[x] for x in got)
         kinds = [("0", 10) if "0" <= c <= "9" else ("a", 26) if "a" <= c <= "z" else ("A", 26) if "A" <= c <= "Z" else None for c in value]
         at = [i for i, k in enumerate(kinds) if k]
         out = list(value)
-        for i, x in zip(at, self.mixed([ord(value[i]) - ord(kinds[i][0]) for i in at], [kinds[i][1] for i in at], label)):
+        for i, x in zip(at, self.blocks([ord(value[i]) - ord(kinds[i][0]) for i in at], [kinds[i][1] for i in at], label)):
             out[i] = chr(ord(kinds[i][0]) + x)
         return "".join(out)
 
@@ -332,6 +346,16 @@ def _cards(text: str, cipher: Cipher, taken: Taken, loose: bool) -> list[tuple[i
     return out
 
 
+def _gaps(a: int, b: int, taken: Taken) -> Iterator[tuple[int, int]]:
+    """The parts of a secret that no earlier finding holds."""
+    while a < b:
+        i = bisect_right(taken.ends, a)
+        start, end = (taken.starts[i], taken.ends[i]) if i < len(taken.starts) else (b, b)
+        if a < start:
+            yield a, min(b, start)
+        a = max(a, end)
+
+
 def _ends(kind: str, pattern: re.Pattern, text: str, a: int, b: int) -> Iterator[int]:
     """Ends of the readings from ``a``, the longest first."""
     yield b
@@ -362,6 +386,12 @@ def find(text: str, cipher: Cipher) -> list[tuple[int, int, str, str]]:
             while m := pattern.search(text, at):
                 a, b = m.span(1)
                 at = m.start() + 1
+                if kind == "secret" and taken.meets(a, b):
+                    for x, y in list(_gaps(a, b, taken)):
+                        if (new := _secret(text[x:y], cipher)) is not None:
+                            add(x, y, kind, new)
+                    at = b
+                    continue
                 for e in _ends(kind, pattern, text, a, b):
                     if not taken.meets(a, e) and (new := CHECKS[kind](text[a:e], cipher)) is not None:
                         add(a, e, kind, new)
@@ -385,13 +415,16 @@ _HINT[list(b"0123456789@=:")] = True
 
 
 def _replaced(column: pa.Array, cipher: Cipher) -> tuple[pa.Array, list[list[str]]]:
-    """New texts and the kinds found; texts without a digit, @, = or : hold no value of any kind and are not searched."""
+    """New texts and the kinds found; texts without a digit, @, =, : or the beginning of a well-known secret hold no value of any kind and are not searched."""
+    import pyarrow.compute as pc
+
     full = tx.filled(column)
     hinted = [np.zeros(0, bool)]
     for a, b in tx.slices(full, 8 << 20):
         data, offsets = tx.raw(full.slice(a, b - a))
         hinted.append(tx.per_row(_HINT[data], offsets) > 0)
-    rows = np.flatnonzero(np.concatenate(hinted))
+    prefixed = np.asarray(pc.match_substring_regex(full, _SECRET_PREFIX).to_numpy(zero_copy_only=False), bool)
+    rows = np.flatnonzero(np.concatenate(hinted) | prefixed)
     kinds: list[list[str]] = [[] for _ in range(len(full))]
     new: dict[int, str] = {}
     for i in rows.tolist():
@@ -401,8 +434,6 @@ def _replaced(column: pa.Array, cipher: Cipher) -> tuple[pa.Array, list[list[str
     if new:
         mask = np.zeros(len(full), bool)
         mask[list(new)] = True
-        import pyarrow.compute as pc
-
         column = pc.replace_with_mask(column, pa.array(mask), pa.array([new[i] for i in sorted(new)], column.type))
     return column, kinds
 

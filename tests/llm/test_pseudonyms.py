@@ -81,6 +81,32 @@ def test_cards_beside_digits_turn_back():
     assert ps.pseudonymise(ps.pseudonymise(row, C)[0], BACK)[0] == row
 
 
+LONG = "eyJ" + "aB3_" * 2500
+
+
+@pytest.mark.parametrize(
+    "before,value,after",
+    [
+        ("token=", LONG[:400], " x"), ("token=", LONG, " x"), ("x ghp_", LONG[:400], " x"), ("token=", "0a" * 300, " x"), ('{"password": "', "hunter2222", '"}'), ("secret_key=", "abcdefgh1", ", x"),
+        ("password=", "p@ssw0rd!x", " y"), ("password=", "abcdef1", "&user=bob"), ('"pwd": "', "my secret words", '", "b": 1'), ("sk-", "abcdefghijklmnopqrstuv", " x"), ("AKIA", "ABCDEFGHIJKLMNOP", " x"),
+    ],
+)
+def test_secrets_are_taken_to_their_end(before, value, after):
+    import pyarrow as pa
+
+    text = before + value + after
+    new = ps._replaced(pa.array([text]), C)[0][0].as_py()
+    assert new.startswith(before) and new.endswith(after) and len(new) == len(text)
+    got = new[len(before) : len(new) - len(after)]
+    assert all(got[i : i + 12] != value[i : i + 12] for i in range(0, len(value), 12) if value[i : i + 12].isalnum() and len(value[i : i + 12]) > 4)
+    assert got[-30:] != value[-30:] and ps._replaced(pa.array([new]), BACK)[0][0].as_py() == text
+
+
+def test_secrets_around_mails_leave_nothing():
+    new = ps.pseudonymise("password=p@ssw0rd.word x", C)[0]
+    assert "ssw0rd" not in new and ps.pseudonymise(new, BACK)[0] == "password=p@ssw0rd.word x"
+
+
 def test_keys_differ():
     text = FOUND[0][1]
     assert ps.pseudonymise(text, C)[0] != ps.pseudonymise(text, ps.Cipher(b"other"))[0]
