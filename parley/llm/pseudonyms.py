@@ -27,8 +27,11 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+import string
+import unicodedata
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +65,7 @@ _SECRET_KEY = r"(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key|acc
 #: What every well-known secret contains.
 _SECRET_PREFIX = r"AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-"
 PATTERNS: dict[str, list[re.Pattern]] = {
-    "email": [re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])")],
+    "email": [re.compile(r"(?<![\w.%+-])([\w.%+-]{1,64})@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}(?![^\W_])")],
     "secret": [
         re.compile(_SECRET_KEY + r'"([^"\n\\]{6,})"', re.IGNORECASE),
         re.compile(_SECRET_KEY + r"'([^'\n\\]{6,})'", re.IGNORECASE),
@@ -82,10 +85,24 @@ PATTERNS: dict[str, list[re.Pattern]] = {
         re.compile(r"(?<![\d(+])((?:\+?1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4})(?!\d)", re.ASCII),
         re.compile(r"(?<![\d.-])((?:\+?1[ .-])?\d{3}([ .-])\d{3}\2\d{4})(?!\d|[.-]\d)", re.ASCII),
         re.compile(r"(?<![\d+])(\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5})(?!\d)", re.ASCII),
+        # every form of parley.functions.pii, but not within a longer number
+        re.compile(r"(?<!\d)((?:\+?1[ .-]?)?\(?\d{3}\)?[\s.-]?\d{3}[ .-]?\d{4})\b"),
     ],
 }
 
 
+@lru_cache(maxsize=1 << 14)
+def _alike(c: str) -> str:
+    """The letters or digits that may stand for ``c``: ASCII classes, else the same category in the same 256 code points."""
+    for some in (string.digits, string.ascii_lowercase, string.ascii_uppercase):
+        if c in some:
+            return some
+    if not c.isalnum():
+        return ""
+    kind, block = unicodedata.category(c), ord(c) & ~255
+    return "".join(x for x in map(chr, range(max(block, 128), block + 256)) if x.isalnum() and unicodedata.category(x) == kind)
+
+
 class Cipher:
     """Keyed permutations of ``range(size)``, one for each (label, size)."""
 
@@ -146,11 +163,11 @@ class Cipher:
                 got = self.blocks(got, [16] * len(value), label)
                 if max(got) > 9:
                     return "".join("0123456789abcdef"[x] for x in got)
-        kinds = [("0", 10) if "0" <= c <= "9" else ("a", 26) if "a" <= c <= "z" else ("A", 26) if "A" <= c <= "Z" else None for c in value]
+        kinds = [_alike(c) for c in value]
         at = [i for i, k in enumerate(kinds) if k]
         out = list(value)
-        for i, x in zip(at, self.blocks([ord(value[i]) - ord(kinds[i][0]) for i in at], [kinds[i][1] for i in at], label)):
-            out[i] = chr(ord(kinds[i][0]) + x)
+        for i, x in zip(at, self.blocks([kinds[i].index(value[i]) for i in at], [len(kinds[i]) for i in at], label)):
+            out[i] = kinds[i][x]
         return "".join(out)
 
 
@@ -263,7 +280,10 @@ def _phone(v: str, c: Cipher) -> str | None:
     if home:
         ten = digits[-10:]
         if ten[0] in "01" or ten[3] in "01":  # no number plan has it, but it is written as one
-            return _refill(v, digits[:-10] + f"{c.permute(int(ten), 10**10, 'phone0'):010d}") if "(" in v or "+" in v else None
+            while True:  # among such numbers, so that a result is read the same way back
+                ten = f"{c.permute(int(ten), 10**10, 'phone0'):010d}"
+                if ten[0] in "01" or ten[3] in "01":
+                    return _refill(v, digits[:-10] + ten)
         sizes = [800, 800, 10_000]
         a, b, d = c.mixed([int(ten[:3]) - 200, int(ten[3:6]) - 200, int(ten[6:])], sizes, "phone1")
         return _refill(v, f"{digits[:-10]}{a + 200:03d}{b + 200:03d}{d:04d}")

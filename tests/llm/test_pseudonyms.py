@@ -107,6 +107,30 @@ def test_secrets_around_mails_leave_nothing():
     assert "ssw0rd" not in new and ps.pseudonymise(new, BACK)[0] == "password=p@ssw0rd.word x"
 
 
+@pytest.mark.parametrize("value", ["2025550143", "202 555-0143", "202.555-0143", "202555-0143", "555-123-4567", "1-055-123-4567", "12025550143", "(017)5557713", "+1 (132) 555-1352", "202\n5550143"])
+def test_every_form_of_telephone_numbers(value):
+    from parley.functions.pii import PATTERN_BY_TYPE
+
+    assert re.search(PATTERN_BY_TYPE["PHONE"], value)
+    new, kinds = ps.pseudonymise(f"call {value} now", C)
+    assert kinds == ["phone"] and value not in new and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", f"call {value} now")
+    assert ps.pseudonymise(new, BACK)[0] == f"call {value} now"
+
+
+def test_numbers_outside_the_plan_turn_back():
+    for i in range(200):
+        text = f"+1 (0{i % 90 + 10}) 555-{i:04d}"
+        assert ps.pseudonymise(ps.pseudonymise(text, C)[0], BACK)[0] == text
+
+
+@pytest.mark.parametrize("name,domain", [("müller", "x.de"), ("иван.9", "почта.рф"), ("josé.garcía", "müller.example.com"), ("李小龙", "x.cn")])
+def test_mails_with_other_letters(name, domain):
+    text = f"an {name}@{domain} y"
+    new, kinds = ps.pseudonymise(text, C)
+    assert kinds == ["email"] and new.endswith(f"@{domain} y") and len(new) == len(text) and name[:2] not in new[3:]
+    assert ps.pseudonymise(new, BACK)[0] == text
+
+
 def test_keys_differ():
     text = FOUND[0][1]
     assert ps.pseudonymise(text, C)[0] != ps.pseudonymise(text, ps.Cipher(b"other"))[0]
