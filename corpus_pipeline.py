@@ -11,7 +11,8 @@ module states; an empty table goes through all stages and comes out empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from parley.llm import mixing, pseudonyms, quality_classifier, sentence_pieces, simhash
 from parley.session import cut_lineage
@@ -39,8 +40,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document."""
-    return sentence_pieces.segment(docs)
+    """The ids of every document; repeats of the mix have draws of their own."""
+    text = F.xxhash64("text")
+    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), text)).orderBy(text)
+    return sentence_pieces.segment(docs.select("doc_id", "text", F.row_number().over(same).alias("repeat")), repeat="repeat")
 
 
 STAGES = [

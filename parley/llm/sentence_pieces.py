@@ -6,8 +6,8 @@ each cut, a space run and the word after it, is a chunk with an agenda of its
 own: of all neighbouring symbols whose joint text is a piece, the one with the
 best score (then the leftmost) is merged first. A candidate is skipped if the
 keyed hash of (seed, draw, piece, place in the chunk) falls under ``dropout``; a
-chunk's draw is a hash of the seed, the document's id and the chunk's number,
-modulo ``draws``. Without dropout the ids are the model's own.
+chunk's draw is a hash of the seed, the document's id and the chunk's number.
+Without dropout the ids are the model's own.
 
 The chunks of a slice run side by side in numpy: every round merges the best
 candidate of each chunk that has one. Chunks over ``WIDE`` characters go through
@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from parley.llm import text as tx
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, DRAWS = 0.1, 23, 64
+DROPOUT, SEED = 0.1, 23
 SLICE_BYTES = 1 << 20
 WIDE = 64
 NONE = np.int32(2**31 - 1)
@@ -210,7 +210,7 @@ def _merge_long(symbol: np.ndarray, draw: int, pieces: Pieces, seed: int, dropou
     return np.array(sym, np.int32)
 
 
-def encode(texts: list[str], ids: np.ndarray, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED, draws: int = DRAWS) -> tuple[np.ndarray, np.ndarray]:
+def encode(texts: list[str], ids: np.ndarray, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """(ids, bounds) of a slice of texts; ``ids`` are the documents' numbers that key the draws."""
     points = [np.frombuffer(f" {x}".encode("utf-32-le"), np.uint32) if x else np.zeros(0, np.uint32) for x in texts]
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in points])]).astype(np.int64)
@@ -226,13 +226,13 @@ def encode(texts: list[str], ids: np.ndarray, pieces: Pieces, dropout: float = D
     row = np.searchsorted(bounds, start, side="right") - 1
     chunk_bounds = np.searchsorted(row, np.arange(len(texts) + 1))
     with np.errstate(over="ignore"):
-        # equal chunks with equal draws are merged once: 64-bit hashes of their code points tell them apart
+        # chunks that can have no merge, and all without dropout, are merged once: 64-bit hashes of their code points tell them apart
         power = np.cumprod(np.full(int(size.max()) + 1, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
         place = np.arange(len(cp)) - np.repeat(start, size)
         h = tx.mix(np.add.reduceat(tx.mix(cp.astype(np.uint64) + np.uint64(1)) * power[place], start) + size.astype(np.uint64))
         number = (np.arange(len(start)) - chunk_bounds[row]).astype(np.uint64)
-        draw = tx.mix(tx.mix(ids.astype(np.uint64)[row] + np.uint64(seed)) ^ number) % np.uint64(max(1, draws))
-        key = tx.mix(h + draw * np.uint64(0xD6E8FEB86659FD93)) if dropout > 0 else h
+        draw = tx.mix(tx.mix(ids.astype(np.uint64)[row] + np.uint64(seed)) ^ number)
+        key = np.where(size > 1, tx.mix(h + draw * np.uint64(0xD6E8FEB86659FD93)), h) if dropout > 0 else h
     _, one, back = np.unique(key, return_index=True, return_inverse=True)
     symbol = pieces.char[cp]
     symbol[cp == MARK] = -1
@@ -283,8 +283,8 @@ def decode(ids: list[int], pieces: Pieces) -> str:
     return whole[1:].decode() if whole else ""
 
 
-def segment(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, draws: int = DRAWS) -> DataFrame:
-    """doc_id, n_ids, ids and round_trip (the ids decode to the text) of every document."""
+def segment(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, repeat: str | None = None) -> DataFrame:
+    """doc_id, n_ids, ids and round_trip (the ids decode to the text) of every document; ``repeat`` names a column that numbers a document's repeats from 1, which then have draws of their own."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_ids", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
     sent = docs.sparkSession.sparkContext.broadcast(load(path))  # the model's tables, whatever the corpus
 
@@ -295,14 +295,17 @@ def segment(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed:
             for a, b in tx.slices(column, SLICE_BYTES):
                 texts = column.slice(a, b - a).to_pylist()
                 keys = batch.column("draw_key").slice(a, b - a).to_numpy()
-                ids, bounds = encode([x or "" for x in texts], keys, pieces, dropout, seed, draws)
+                ids, bounds = encode([x or "" for x in texts], keys, pieces, dropout, seed)
                 flat, at = ids.tolist(), bounds.tolist()
                 null = np.array([x is None for x in texts], bool)
                 trip = [x is None or decode(flat[i:j], pieces) == x for x, i, j in zip(texts, at, at[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids), mask=pa.array(null))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(bounds).astype(np.int32)), lists, pa.array(trip)], schema.fieldNames())
 
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("draw_key"), "text").mapInArrow(run, schema)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    if repeat:
+        key = F.when(F.col(repeat) > 1, F.xxhash64(key, F.col(repeat).cast("long"))).otherwise(key)
+    return docs.select("doc_id", key.alias("draw_key"), "text").mapInArrow(run, schema)
 
 
 def op8_sentence_pieces(spark, sf_dir: str) -> DataFrame:

@@ -102,3 +102,17 @@ def test_odd_rows(spark, odd, no_docs, pieces):
     assert all(r.round_trip for r in got)
     assert len({tuple(r.ids) for r in got if r.doc_id == 300}) == 1
     assert sp.segment(no_docs).count() == 0
+
+
+def test_every_occurrence_has_its_own_draw():
+    pieces = sp.load(sp.MODEL)
+    ids, bounds = sp.encode(["internationalization"] * 2000, np.arange(2000), pieces, 0.5)
+    assert len({tuple(ids[a:b]) for a, b in zip(bounds, bounds[1:])}) > 64
+
+
+def test_repeats_have_their_own_draws(spark):
+    import corpus_pipeline as cp
+
+    text = "internationalization of considerable undertakings " * 40
+    rows = cp.encode(spark, spark.createDataFrame([(1, text)] * 3, "doc_id long, text string"), "").collect()
+    assert len({tuple(r.ids) for r in rows}) == 3 and all(r.round_trip for r in rows)
