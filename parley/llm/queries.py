@@ -12,6 +12,7 @@ from parley.llm.role_repair import op6_role_repair
 from parley.llm.sentence_pieces import op8_sentence_pieces
 from parley.llm.simhash import op2_simhash
 from parley.llm.weighted_sampling import op4_weighted_sampling
+from parley.llm.whitening import op13_embedding_whitening
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE: dict[str, str] = {}
