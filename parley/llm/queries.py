@@ -11,6 +11,7 @@ from parley.llm.quality_rules import op10_quality_rules
 from parley.llm.role_repair import op6_role_repair
 from parley.llm.sentence_pieces import op8_sentence_pieces
 from parley.llm.simhash import op2_simhash
+from parley.llm.suffix_dedup import op11_suffix_dedup
 from parley.llm.weighted_sampling import op4_weighted_sampling
 from parley.llm.whitening import op13_embedding_whitening
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
