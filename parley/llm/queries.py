@@ -5,6 +5,7 @@ from __future__ import annotations
 from parley.llm.language_id import op9_language_id
 from parley.llm.licences import op7_licences
 from parley.llm.mixing import op5_mixing
+from parley.llm.prefix_trie import op12_prefix_trie
 from parley.llm.pseudonyms import op3_pseudonyms
 from parley.llm.quality_classifier import op1_quality_classifier
 from parley.llm.quality_rules import op10_quality_rules
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
     "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
