@@ -1,7 +1,7 @@
 """Long repeated byte strings, found with run-length indexes.
 
 A byte is removed if a string of ``LENGTH`` bytes that covers it also starts
-anywhere else in the corpus. Four steps, all over distinct texts:
+anywhere else in the corpus. Four steps:
 
 1. Work is dealt out by content. Of the ``GRAM``-byte grams of every
    ``LENGTH``-byte window the one of least hash (the first of equals) is the
@@ -20,7 +20,8 @@ anywhere else in the corpus. Four steps, all over distinct texts:
    hold differing ones, by the window's own hash. All links stay whole, and no
    key gathers rows: these steps are counts with partial sums and joins.
 
-Marks go back to the texts, which are cut once, and to the rows by text hash.
+Marks go back to the rows by text hash. Only narrow rows and two joins with the
+texts are shuffled.
 
 Defined results: a null text is empty; texts under ``LENGTH`` bytes are kept;
 copies of a text (with any doc_id, null too) are other places and lose what the
@@ -40,6 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.llm import text as tx
 from parley.llm.runlength import RunLengthIndex, ranges
@@ -108,6 +110,48 @@ def _text_key(text: str | Column) -> list[Column]:
     return [F.xxhash64(filled).alias("k1"), F.xxhash64(F.lit(1), filled).alias("k2")]
 
 
+def texts_of(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, k1, k2 (hashes of the text) and text of every row."""
+    return docs.select(*columns, *_text_key("text"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def passages(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the strings data[offsets[i]:offsets[i + 1]]."""
+        none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
+        windows = np.maximum(np.diff(offsets) - self.length + 1, 0)
+        if not windows.any():
+            return none
+        n, width = len(data), self.length - self.gram + 1
+        if len(self.power) < n:
+            self.power, self.inverse = _powers(n)
+        with np.errstate(over="ignore"):
+            total = np.concatenate([[np.uint64(0)], np.cumsum(tx._BYTE[data] * self.power[:n], dtype=np.uint64)])
+            h = tx.mix((total[self.gram :] - total[: -self.gram]) * self.inverse[: n - self.gram + 1])
+        del total
+        # hash above place: the least is the leftmost of equals
+        key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+        key = np.concatenate([key, np.full(-len(key) % width, np.uint64(0xFFFFFFFFFFFFFFFF))]).reshape(-1, width)
+        before = np.minimum.accumulate(key, axis=1).ravel()
+        after = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1].ravel()
+        last = n - self.length + 1
+        anchor = (np.minimum(after[:last], before[width - 1 : width - 1 + last]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        some = np.flatnonzero(windows)
+        start = np.repeat(offsets[:-1][some] - np.concatenate([[0], np.cumsum(windows[some])[:-1]]), windows[some]) + np.arange(windows.sum())
+        own = anchor[start]
+        new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)]))
+        lo, hi = start[new], start[np.append(new[1:], len(start)) - 1]
+        return np.searchsorted(offsets, lo, side="right") - 1, lo, hi, own[new], h[own[new]]
+
+
+def _long(h: np.ndarray) -> np.ndarray:
+    return h.astype(np.uint64).view(np.int64)
+
+
+def _text_key(text: str | Column) -> list[Column]:
+    filled = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return [F.xxhash64(filled).alias("k1"), F.xxhash64(F.lit(1), filled).alias("k2")]
+
+
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """k1, k2 (hashes of the text), text and n, the number of rows that hold it."""
     rows = docs.select(*_text_key("text"), F.coalesce("text", F.lit("")).alias("text"))
@@ -115,7 +159,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def passages(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, piece: int = PIECE) -> DataFrame:
-    """k1, k2, n, place (first window, size and anchor's offset packed), gram (the anchor's hash) and content (the passage's hash)."""
+    """k1, k2, place (first window, size and anchor's offset packed), gram (the anchor's hash) and content (the passage's hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length, gram)
@@ -126,8 +170,8 @@ def passages(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, piece: in
             content = np.array([xxhash.xxh3_64_intdigest(whole[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist())], np.uint64)
             place = ((lo - offsets[row] + base[row]) << (2 * _SHIFT)) | ((hi - lo) << _SHIFT) | (at - lo)
             of = pa.array(row)
-            keys = [batch.column(c).take(of) for c in ("k1", "k2", "n")]
-            return pa.RecordBatch.from_arrays([*keys, pa.array(place), pa.array(_long(h)), pa.array(_long(content))], ["k1", "k2", "n", "place", "gram", "content"])
+            keys = [batch.column(c).take(of) for c in ("k1", "k2")]
+            return pa.RecordBatch.from_arrays([*keys, pa.array(place), pa.array(_long(h)), pa.array(_long(content))], ["k1", "k2", "place", "gram", "content"])
 
         for batch in batches:
             for a, b in tx.slices(batch.column("text"), piece):
@@ -142,7 +186,7 @@ def passages(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, piece: in
                         cut = own[x : x + piece + length - 1]
                         yield rows(part.slice(i, 1), cut, np.array([0, len(cut)]), np.array([x]))
 
-    return texts.select("k1", "k2", "n", "text").mapInArrow(run, "k1 long, k2 long, n long, place long, gram long, content long")
+    return texts.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, place long, gram long, content long")
 
 
 _SPANS = "array<struct<a:int,b:int>>"
@@ -162,11 +206,13 @@ def _index(length: int, block: int):
         rows, size, last = [], 0, None
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "content", "n", "bytes"))):
-                if row[0] != last and size >= block:
+                if row[:2] == last:
+                    continue  # cut from another copy of the text
+                if rows and row[0] != last[0] and size >= block:
                     yield marks(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size, last = size + len(row[3]), row[0]
+                size, last = size + len(row[3]), row[:2]
         if rows:
             yield marks(rows)
 
@@ -212,32 +258,36 @@ def _dealt_again(passages_: DataFrame, length: int, offsets: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET, block: int = BLOCK_BYTES, offsets: int = OFFSETS, piece: int = PIECE) -> DataFrame:
-    """k1, k2, text and marks (first window of a passage and its marked windows) of every distinct text; marks are null where nothing repeats.
+    """k1, k2 and marks (first window of a passage and its marked windows) of every text that repeats something.
 
     ``bucket``, ``block``, ``offsets`` and ``piece`` only deal out the work.
     """
-    texts = cut_lineage(distinct_texts(docs))
+    texts = texts_of(docs)
     found = cut_lineage(passages(texts, length, gram, piece))
-    often = found.groupBy("gram").agg(F.sum("n").alias("times")).where("times > 1").select("gram")
-    places = found.join(often, "gram", "left_semi")
     # equal passages as one row; its text is taken from the first place
-    contents = cut_lineage(places.groupBy("gram", "content").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("at")).where("n > 0"))
-    kinds = contents.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
+    each = found.groupBy("gram", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place")).alias("at"))
+    often = each.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("times")).where("times > 1")
+    contents = cut_lineage(each.join(often, "gram").select("gram", "content", "n", "at", "kinds"))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.shiftright("at.place", _SHIFT).bitwiseAND(F.lit(_MASK)).cast("int").alias("b")))
     sure = contents.where("n > 1").select("gram", "content", whole.cast(_SPANS).alias("spans"))
 
-    wanted = contents.join(kinds.where("kinds > 1"), "gram")
+    wanted = contents.where("kinds > 1")
     wanted = wanted.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.place", "gram", "content", "n", (F.col("kinds") > bucket).alias("hot"))).alias("wanted"))
     kept = ["gram", "content", "n", "hot", "anchor"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             for a, b in tx.slices(batch.column("text")):
                 out, raw = [], []
+                keys = list(zip(*(batch.column(c).slice(a, b - a).to_pylist() for c in ("k1", "k2"))))
                 data, ends = tx.raw(batch.column("text").slice(a, b - a))
                 own = memoryview(np.ascontiguousarray(data))
-                for i, asked in enumerate(batch.column("wanted").slice(a, b - a).to_pylist()):
-                    for w in asked:
+                for i, asked in enumerate(batch.column("wanted").slice(a, b - a)):
+                    if keys[i] == last:
+                        continue  # copies lie beside one another, as a rule
+                    last = keys[i]
+                    for w in asked.as_py():
                         lo = int(ends[i]) + (w["place"] >> (2 * _SHIFT))
                         out.append((w["gram"], w["content"], w["n"], w["hot"], w["place"] & _MASK))
                         raw.append(bytes(own[lo : lo + ((w["place"] >> _SHIFT) & _MASK) + length]))
@@ -245,14 +295,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
                 kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds_)), pa.array(raw, pa.binary())], [*kept, "bytes"])
 
-    differing = cut_lineage(texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(cut, "gram long, content long, n long, hot boolean, anchor long, bytes binary"))
+    differing = cut_lineage(texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(cut, "gram long, content long, n long, hot boolean, anchor long, bytes binary"))
     cold = differing.where("not hot").select("gram", "content", "n", "bytes")
     indexed = cold.repartition("gram").sortWithinPartitions("gram", "content").mapInArrow(_index(length, block), f"gram long, content long, spans {_SPANS}")
-    dealt = _dealt_again(differing.where("hot"), length, offsets)
+    dealt = _dealt_again(differing.where("hot").dropDuplicates(["gram", "content"]), length, offsets)
     marked = sure.unionByName(indexed).unionByName(dealt).groupBy("gram", "content").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     marks = found.join(marked, ["gram", "content"]).select("k1", "k2", F.struct(F.shiftright("place", 2 * _SHIFT).alias("at"), "spans").alias("x"))
-    marks = marks.groupBy("k1", "k2").agg(F.collect_list("x").alias("marks"))
-    return texts.join(marks, ["k1", "k2"], "left").select("k1", "k2", "text", "marks")
+    # copies of a text mark the same windows
+    return marks.groupBy("k1", "k2").agg(F.collect_set("x").alias("marks"))
 
 
 def removed_runs(marks: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -271,48 +321,47 @@ def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def _per_text(spans: DataFrame, length: int, schema: str, digest) -> DataFrame:
-    """``digest(raw, runs)`` of every distinct text, with its keys."""
+def _figures(raw: bytes, runs: list[tuple[int, int]]) -> tuple:
+    return len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_kept(raw, runs)).hexdigest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), *digest.fields])
-        for batch in batches:
-            for a, b in tx.slices(batch.column("text")):
-                part = batch.slice(a, b - a)
-                data, ends = tx.raw(part.column("text"))
-                whole = data.tobytes()
-                rows = [digest(whole[x:y], removed_runs(m, length)) for x, y, m in zip(ends[:-1].tolist(), ends[1:].tolist(), part.column("marks").to_pylist())]
-                columns = [pa.array(list(c), t) for c, (_, t) in zip(zip(*rows), digest.fields)]
-                yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), *columns], schema=types)
 
-    return spans.mapInArrow(run, f"k1 long, k2 long, {schema}")
+_FIGURES = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 
 
-def _figures(raw: bytes, runs: list[tuple[int, int]]) -> tuple:
-    return len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_kept(raw, runs)).hexdigest()
+def _remaining(raw: bytes, runs: list[tuple[int, int]]) -> tuple:
+    return _kept(raw, runs), [{"start": a, "end": b} for a, b in runs]
 
 
-_figures.fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+_REMAINING = [("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
 
 
-def _runs(raw: bytes, runs: list[tuple[int, int]]) -> tuple:
-    return _kept(raw, runs), [{"start": a, "end": b} for a, b in runs]
+def _per_row(docs: DataFrame, own: DataFrame, length: int, result, fields: list[tuple], schema: str, how: dict) -> DataFrame:
+    """``result(raw, runs)`` of every text, beside the first column of ``own`` (that column, k1, k2, text)."""
+    first = own.schema.fields[0]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in tx.slices(batch.column("text")):
+                part = batch.slice(a, b - a)
+                data, ends = tx.raw(part.column("text"))
+                whole = data.tobytes()
+                rows = [result(whole[x:y], removed_runs(m, length)) for x, y, m in zip(ends[:-1].tolist(), ends[1:].tolist(), part.column("marks").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), t) for c, (_, t) in zip(zip(*rows), fields))], [first.name, *(n for n, _ in fields)])
 
-_runs.fields = [("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+    out = T.StructType([first, *T.StructType.fromDDL(schema).fields])
+    joined = own.join(repeated_spans(docs, length, **how), ["k1", "k2"], "left")
+    return joined.select(first.name, "text", "marks").mapInArrow(run, out)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     """(row, kept, removed): each input row as one struct, its remaining bytes and the removed runs (start, end)."""
-    done = _per_text(repeated_spans(docs, length, **how), length, "kept binary, removed array<struct<start:long,end:long>>", _runs)
-    rows = docs.select(*_text_key("text"), F.struct(*docs.columns).alias("row"))
-    return rows.join(done, ["k1", "k2"]).select("row", "kept", "removed")
+    own = docs.select(F.struct(*docs.columns).alias("row"), *_text_key("text"), F.coalesce("text", F.lit("")).alias("text"))
+    return _per_row(docs, own, length, _remaining, _REMAINING, "kept binary, removed array<struct<start:long,end:long>>", how)
 
 
 def repeat_figures(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    done = _per_text(repeated_spans(docs, length, **how), length, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", _figures)
-    return docs.select("doc_id", *_text_key("text")).join(done, ["k1", "k2"]).drop("k1", "k2")
+    return _per_row(docs, texts_of(docs, "doc_id"), length, _figures, _FIGURES, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", how)
 
 
 def op11_suffix_dedup(spark, sf_dir: str) -> DataFrame:
