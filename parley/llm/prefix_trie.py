@@ -8,7 +8,8 @@ children gives every node an enter and an exit arc with the arc that follows:
 the first child's enter or the own exit, the next sibling's enter or the
 parent's exit. The list is ranked in three steps: tasks join up what follows
 within a slice of ``SLICE`` sorted arcs, pointer jumping ranks the remaining
-pieces (a logarithmic number of joins), and the pieces' arcs take their places.
+pieces (up to ``SLICE`` of them in one task, more by a logarithmic number of
+joins), and the pieces' arcs take their places.
 Prefix sums of leaves and savings at arc positions give each node's subtree as
 the difference between its exit and its enter arc.
 
@@ -169,10 +170,34 @@ def _pieces(size: int):
     return run
 
 
-def _ranked(pieces: DataFrame) -> DataFrame:
-    """hc, hx and left: the arcs from each piece's start to the end of the tour, by pointer jumping."""
+def _rank_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranks a whole list of pieces by pointer jumping within one task."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    batch = pa.concat_batches(held)
+    hc, hx, left = (batch.column(c).to_numpy() for c in ("hc", "hx", "left"))
+    at = {key: i for i, key in enumerate(zip(hc.tolist(), hx.tolist()))}
+    to = np.array([at.get(key, i) for i, key in enumerate(zip(batch.column("sc").to_pylist(), batch.column("sx").to_pylist()))], np.int64)
+    last = to == np.arange(len(to))  # the end of the list follows itself, with nothing to add
+    own, steps = np.where(last, left, 0).sum(), np.where(last, 0, left)
+    for _ in range(len(to).bit_length()):
+        steps, to = steps + steps[to], to[to]
+    total = steps + own
+    yield pa.RecordBatch.from_arrays([pa.array(hc), pa.array(hx), pa.array(total)], ["hc", "hx", "left"])
+
+
+def _ranked(pieces: DataFrame, size: int) -> DataFrame:
+    """hc, hx and left: the arcs from each piece's start to the end of the tour, by pointer jumping.
+
+    At most ``size`` pieces are ranked in one task; more of them by joins, each
+    of which doubles the steps.
+    """
     jumps = cut_lineage(pieces)
-    for _ in range(max(0, (jumps.count() - 1).bit_length())):
+    count = jumps.count()
+    if count <= size:
+        return jumps.repartition(1).mapInArrow(_rank_all, "hc long, hx long, left long")
+    for _ in range((count - 1).bit_length()):
         open_, done = jumps.where("sc is not null"), jumps.where("sc is null")
         to = jumps.select(F.col("hc").alias("sc"), F.col("hx").alias("sx"), F.col("sc").alias("tc"), F.col("sx").alias("tx"), F.col("left").alias("more"))
         on = open_.join(to, ["sc", "sx"]).select("hc", "hx", F.col("tc").alias("sc"), F.col("tx").alias("sx"), (F.col("left") + F.col("more")).alias("left"))
@@ -185,7 +210,7 @@ def _tour(arcs: DataFrame, size: int) -> DataFrame:
     parts = sorted_parts(arcs, ["c", "x"])
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields)
     pieces = cut_lineage(parts.mapInArrow(_pieces(size), f"{kept}, hc long, hx long, steps long, tail boolean").drop("_part"))
-    ranked = _ranked(pieces.where("tail").select("hc", "hx", "sc", "sx", (F.col("steps") + 1).alias("left")))
+    ranked = _ranked(pieces.where("tail").select("hc", "hx", "sc", "sx", (F.col("steps") + 1).alias("left")), size)
     placed = pieces.join(ranked, ["hc", "hx"]).select("c", "x", "leaf", "saved", "parent", (F.col("steps") - F.col("left")).alias("position"))
     tour = scan(sorted_parts(placed, ["position"]), [], sums={"leaves": "leaf", "total": "saved"}, sums_before={"leaves0": "leaf", "total0": "saved"})
     way_in, way_out = F.col("x") % 2 == 0, F.col("x") % 2 == 1
