@@ -299,7 +299,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     cold = differing.where("not hot").select("gram", "content", "n", "bytes")
     indexed = cold.repartition("gram").sortWithinPartitions("gram", "content").mapInArrow(_index(length, block), f"gram long, content long, spans {_SPANS}")
     dealt = _dealt_again(differing.where("hot").dropDuplicates(["gram", "content"]), length, offsets)
-    marked = sure.unionByName(indexed).unionByName(dealt).groupBy("gram", "content").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # written, so that a passage in very many places can be split where they meet
+    marked = cut_lineage(sure.unionByName(indexed).unionByName(dealt).groupBy("gram", "content").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     marks = found.join(marked, ["gram", "content"]).select("k1", "k2", F.struct(F.shiftright("place", 2 * _SHIFT).alias("at"), "spans").alias("x"))
     # copies of a text mark the same windows
     return marks.groupBy("k1", "k2").agg(F.collect_set("x").alias("marks"))
