@@ -53,11 +53,10 @@ def _marked(df: DataFrame, time: str) -> bool:
     return "spark.watermarkDelayMs" in (df.schema[time].metadata or {})
 
 
-def triage_exchange(messages: DataFrame, intents: DataFrame, sentiments: DataFrame, replies: DataFrame, wait: str = "10 minutes", delay: str = "1 minute") -> DataFrame:
-    """Triage rows of a stream of messages whose model replies arrive on streams of their own (``REPLY_SCHEMA``).
+def labelled_exchange(messages: DataFrame, intents: DataFrame, sentiments: DataFrame, replies: DataFrame, wait: str = "10 minutes", delay: str = "1 minute") -> DataFrame:
+    """A stream of messages with intent, confidence, sentiment, score, ``escalated``, reply and token counts from three reply streams (``REPLY_SCHEMA``).
 
-    Each reply is awaited for ``wait`` after its message and read before the
-    next one is matched. ``cost`` is that of the row's own reply call.
+    Each reply is awaited for ``wait`` after its message and read before the next one is matched.
     """
     df = match_replies(messages, intents, wait, delay, name="_text")
     df = df.withColumn("_i", parse.intent_result(F.col("_text"))).drop("_text")
@@ -65,5 +64,14 @@ def triage_exchange(messages: DataFrame, intents: DataFrame, sentiments: DataFra
     df = df.withColumn("_s", parse.sentiment_result(F.col("_text"))).drop("_text")
     df = match_replies(df, replies, wait, delay, name="reply", carry={"input_tokens": "input_tokens", "output_tokens": "output_tokens"})
     df = df.withColumns({"intent": F.col("_i.intent"), "confidence": F.col("_i.confidence"), "sentiment": F.col("_s.sentiment"), "score": F.col("_s.score")})
-    df = tri.escalate(df.drop("_i", "_s"))
-    return tri.finish(tri.judge(df.withColumn("_own_cost", tri.reply_cost(True)), ["_own_cost"]), F.col("_own_cost"))
+    return tri.escalate(df.drop("_i", "_s"))
+
+
+def triaged(labelled: DataFrame) -> DataFrame:
+    """Triage rows of labelled messages with their replies; ``cost`` is that of the row's own reply call."""
+    return tri.finish(tri.judge(labelled.withColumn("_own_cost", tri.reply_cost(True)), ["_own_cost"]), F.col("_own_cost"))
+
+
+def triage_exchange(messages: DataFrame, intents: DataFrame, sentiments: DataFrame, replies: DataFrame, wait: str = "10 minutes", delay: str = "1 minute") -> DataFrame:
+    """Triage rows of a stream of messages whose model replies arrive on streams of their own."""
+    return triaged(labelled_exchange(messages, intents, sentiments, replies, wait, delay))

@@ -11,7 +11,9 @@ keep a key's order) and lets state expire by time to live.
 State lives in the state store, entry by entry; a task holds one row's texts,
 one conversation's last ``conversation.MAX_MESSAGES`` lines and the keys that
 are due, whatever a micro-batch brings. Both forms need the RocksDB state store
-(``require_rocksdb``); it is the caller's setting.
+(``require_rocksdb``); it is the caller's setting. State that lives by the clock
+(``by_arrival``, ``summaries``) keeps a stream running empty batches; with
+``availableNow`` set ``spark.sql.streaming.noDataMicroBatches.enabled`` to false.
 
 * ``memory``: the history text at each turn (M1, M2, M4).
 * ``running_cost``: the session cost of triage rows (C3).

