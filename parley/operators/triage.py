@@ -14,7 +14,7 @@ row, and its message keeps the defaults of a failed call.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import guardrails, parse, pii, rules
@@ -33,10 +33,16 @@ TRIAGE_COLUMNS = [
 
 
 def one_per_message(side: DataFrame, columns: list[str], key: str = "message_id") -> DataFrame:
-    """``key`` and ``columns`` with one row for each key: the latest by ``ts`` (if there is one), then by the values themselves."""
-    last = [F.col("ts")] if "ts" in side.columns else []
-    value = F.struct(*columns)
-    return side.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(value, F.struct(*last, *columns)).alias("_v")).select(key, "_v.*")
+    """``key`` and ``columns`` with one row for each key: the latest by ``ts`` (if there is one), then by the values themselves.
+
+    The row that none follows within its key is kept. The window's exchange and
+    sort by key are the ones that a join on the key needs anyway, so the
+    reduction adds neither.
+    """
+    last = ["ts"] if "ts" in side.columns else []
+    order = Window.partitionBy(key).orderBy(*last, *columns)
+    rows = side.where(F.col(key).isNotNull()).select(key, *columns, F.lead(F.lit(True)).over(order).alias("_follows"))
+    return rows.where(F.col("_follows").isNull()).select(key, *columns)
 
 
 def redact_messages(messages: DataFrame, text_col: str = "content") -> DataFrame:
@@ -78,6 +84,11 @@ def escalate(df: DataFrame) -> DataFrame:
     return df.withColumn("escalated", rules.should_escalate(F.col("score"), F.col("intent")))
 
 
+def labelled(messages: DataFrame, scored: DataFrame) -> DataFrame:
+    """Messages with intent, sentiment, ``sentiment_score`` and ``escalated``: all that summaries of conversations need of a triage."""
+    return escalate(attach_scores(messages, scored)).withColumn("sentiment_score", F.col("score"))
+
+
 def attach_replies(df: DataFrame, replies: DataFrame, usage: DataFrame | None = None) -> DataFrame:
     out = df.join(one_per_message(replies, ["reply"]), "message_id", "left")
     if usage is not None:

@@ -902,7 +902,7 @@ summ AS (SELECT ag.conv_id, turn_count,
 
 
 def _summary(spark, sf) -> DataFrame:
-    return conv.summary(triaged(spark, sf))
+    return conv.summary(tri.labelled(V(spark, sf, "v_messages"), V(spark, sf, "v_scored")))
 
 
 @register("conv_summary", _SUMMARY + "\nSELECT * FROM summ")

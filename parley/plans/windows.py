@@ -3,8 +3,8 @@
 * ``running_total``: running sum/count per key split into fixed-size chunks of
   the order column, so a hot key is spread over many tasks.
 * ``time_positions``: a dense 1..N numbering in (time, id) order from counts of
-  hours, seconds and groups of equal time; no single-partition window over
-  rows, nothing materialised.
+  minutes and of groups within them; no single-partition window over rows,
+  nothing materialised.
 * ``rolling_global``: count-based rolling frames over a global order with the
   halo technique: fixed blocks of B rows, each block also receives the last H
   rows of the previous block, one window per block.
@@ -62,36 +62,46 @@ def running_total(
     return joined.withColumn(out_col, total).drop(ch, v, "_off")
 
 
+_LOWEST = -(1 << 60)
+_MINUTE, _SLOT = 60_000_000, 10_000  # microseconds
+
+
+def _id_chunks(id_col: Column, chunk: int) -> tuple[Column, Column]:
+    """Two order-preserving parts of an integral id: ids below 2 ** 48 go by ``chunk``, larger ones (hashes) by their upper bits, so neither kind makes a group a row."""
+    small = (id_col >= -(1 << 48)) & (id_col < 1 << 48)
+    return F.shiftright(id_col, 48), F.when(small, F.floor(id_col / chunk)).otherwise(F.lit(0))
+
+
 def time_positions(df: DataFrame, ts_col: str, id_col: str, out_col: str = "rn", keys: list[str] | None = None, chunk: int = DEFAULT_CHUNK) -> DataFrame:
-    """Dense 1-based position of each row in (time, id) order, over the whole table or per ``keys``.
-
-    No row meets more than ``chunk`` others: rows of one time and one range of
-    ids are numbered in their own window, and what comes before them is counted
-    level by level - groups within their second, seconds within their hour,
-    hours within the table (one row per hour and key in the last window). All
-    joins are null-safe equi-joins; nothing is materialised. ``id_col`` is
-    integral; rows of equal time and id are numbered in any order.
+    """Dense 1-based position of each row in (time, id) order, over the whole table or per ``keys``; a null time comes first.
+
+    Rows are numbered in groups: those within one slot of ``_SLOT``
+    microseconds, but rows at the very start of a slot (coarse times lie there)
+    by ranges of their ids too, so that a single time holding a large share of
+    the rows is many groups. What comes before a group is counted: groups
+    within their minute, minutes within the table (one row a minute and key in
+    the last window). ``id_col`` is integral; rows of equal time and id are
+    numbered in any order.
     """
     keys = keys or []
-    second = F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / 1_000_000)
-    base = df.withColumns({"_h": F.floor(second / 3600), "_s": second, "_t": F.col(ts_col), "_c": F.floor(F.col(id_col) / chunk)})
-    levels = [[*keys, "_h"], [*keys, "_h", "_s"], [*keys, "_h", "_s", "_t", "_c"]]
-    counts = base.groupBy(*levels[2]).agg(F.count(F.lit(1)).alias("_n"))
-    by_second = counts.groupBy(*levels[1]).agg(F.sum("_n").alias("_n"))
-    by_hour = by_second.groupBy(*levels[0]).agg(F.sum("_n").alias("_n"))
-
-    def before(table: DataFrame, within: list[str], order: list[str], name: str) -> DataFrame:
-        w = Window.partitionBy(*within).orderBy(*order) if within else Window.orderBy(*order)
-        return table.withColumn(name, F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-
-    hours = before(by_hour, keys, ["_h"], "_o1")
-    seconds = before(by_second, levels[0], ["_s"], "_o2")
-    groups = before(counts, levels[1], ["_t", "_c"], "_o3")
-    offsets = seconds.alias("a").join(hours.alias("b"), same("a", "b", levels[0])).select("a.*", "b._o1")
-    offsets = groups.alias("a").join(offsets.alias("b"), same("a", "b", levels[1])).select("a.*", (F.col("_o1") + F.col("_o2") + F.col("_o3")).alias("_off"))
-    own = Window.partitionBy(*levels[2]).orderBy(id_col)
-    rows = base.alias("a").join(offsets.alias("b"), same("a", "b", levels[2])).select("a.*", "b._off")
-    return rows.withColumn(out_col, F.col("_off") + F.row_number().over(own)).drop("_h", "_s", "_t", "_c", "_off")
+    ident = F.col(id_col).cast("long")
+    micros = F.coalesce(F.unix_micros(F.col(ts_col).cast("timestamp")), F.lit(_LOWEST))
+    inside = F.pmod(micros, F.lit(_SLOT)) != 0
+    high, low = _id_chunks(ident, chunk)
+    base = df.withColumns({
+        "_m": F.floor(micros / _MINUTE), "_g": F.floor(F.pmod(micros, F.lit(_MINUTE)) / _SLOT) * 2 + inside.cast("int"),
+        "_c": F.when(inside, 0).otherwise(F.coalesce(high, F.lit(_LOWEST))), "_d": F.when(inside, 0).otherwise(F.coalesce(low, F.lit(_LOWEST))),
+    })
+    minute, group = [*keys, "_m"], [*keys, "_m", "_g", "_c", "_d"]
+    counts = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*minute).orderBy("_g", "_c", "_d")
+    counts = counts.select(*group, "_n", F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, 0)).alias("_run"), F.lead(F.lit(True)).over(upto).alias("_more"))
+    every = (Window.partitionBy(*keys) if keys else Window).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = counts.where(F.col("_more").isNull()).select(*minute, F.coalesce(F.sum("_run").over(every), F.lit(0)).alias("_before"))
+    offsets = counts.alias("a").join(minutes.alias("b"), same("a", "b", minute)).select(*(f"a.{c}" for c in group), (F.col("_before") + F.col("_run") - F.col("_n")).alias("_off"))
+    own = Window.partitionBy(*group).orderBy(F.col(ts_col), F.col(id_col))
+    rows = base.alias("a").join(offsets.alias("b"), same("a", "b", group)).select("a.*", "b._off")
+    return rows.withColumn(out_col, F.col("_off") + F.row_number().over(own)).drop("_m", "_g", "_c", "_d", "_off")
 
 
 def trailing_sums(

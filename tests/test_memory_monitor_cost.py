@@ -169,3 +169,32 @@ def test_positions_and_review_events(spark):
         "message_id", "action", F.to_timestamp("day").alias("ts"))
     row = conv.session_stats(triaged, events).first()
     assert (row.messages, row.auto_sent, row.reviewed) == (2, 1, 1)
+
+
+def test_positions_by_time_whatever_the_times_and_ids(spark):
+    """Coarse and fine times, a hot time, null times and ids, dense and hashed ids, with and without keys."""
+    import datetime as dt
+    import random
+
+    from parley.plans import windows
+
+    rnd = random.Random(8)
+    start = dt.datetime(1969, 12, 31, 23, 59, 50)
+    rows = []
+    for i in range(400):
+        kind = i % 4
+        ts = [start, start + dt.timedelta(microseconds=rnd.randrange(10**8)), start + dt.timedelta(seconds=rnd.randrange(200)), None][kind]
+        rows.append((rnd.choice(["a", "b", None]), ts, rnd.choice([i, i - 200, rnd.randrange(-(2**62), 2**62), (1 << 48) + i, -(1 << 48) - i]) if i % 50 else None, i))
+    df = spark.createDataFrame(rows, "k string, ts timestamp, id long, i long").repartition(5)
+
+    def order(r):
+        return (r[1] is not None, r[1] or start, r[2] is not None, r[2] or 0)
+
+    for keys in ([], ["k"]):
+        for chunk in (3, 1 << 16):
+            got = {r.i: r.rn for r in windows.time_positions(df, "ts", "id", keys=keys, chunk=chunk).collect()}
+            for k in ({"a", "b", None} if keys else {0}):
+                own = sorted((r for r in rows if not keys or r[0] == k), key=order)
+                assert sorted(got[r[3]] for r in own) == list(range(1, len(own) + 1))
+                for a, b in zip(own, own[1:]):
+                    assert got[a[3]] < got[b[3]] or order(a) == order(b)
