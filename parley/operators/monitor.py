@@ -21,6 +21,7 @@ ESCALATION_RATE_LIMIT = 0.30
 SENTIMENT_SPIKE_LIMIT = 0.3
 COST_SPIKE_FACTOR = 5
 BASELINES = {"escalation_rate": 0.15, "avg_sentiment": 0.6, "avg_cost": 0.008, "pii_success_rate": 0.99}
+COST_LIMIT = BASELINES["avg_cost"] * COST_SPIKE_FACTOR
 DEFAULTS = {"pii_filter_success": True, "escalated": False, "sentiment_score": 0.5, "response_time_ms": 0, "cost": 0.0}
 TITLE_PII = "PII Filter Failure"
 TITLE_ESCALATION = "High Escalation Rate"
@@ -32,13 +33,15 @@ ORDER = ["ts", "event_id"]
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
-    out = df
-    for c, v in DEFAULTS.items():
-        if c in df.columns:
-            out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
-        else:
-            out = out.withColumn(c, F.lit(v))
-    return out
+    """Missing fields filled in. ``record`` is the interaction as it came, a JSON object of the fields it has, where a rule of the row alone fires (null elsewhere)."""
+    filled = {c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in DEFAULTS.items()}
+    if "record" in df.columns:
+        return df.withColumns(filled)
+    given = [c for c in DEFAULTS if c in df.columns]
+    asis = df.select("*", F.struct(*given).alias("_given")) if given else df.withColumn("_given", F.lit(None).cast("struct<none:int>"))
+    out = asis.withColumns(filled)
+    fires = ~F.col("pii_filter_success") | (F.col("cost") > COST_LIMIT)
+    return out.withColumn("record", F.when(fires, F.to_json("_given"))).drop("_given")
 
 
 # Averages of scores and costs are exact: values are decimals of ten places and
@@ -109,14 +112,13 @@ def _alert(severity: str, title: str, message: Column, details: Column) -> Colum
 
 def pii_alert() -> Column:
     """Of the row alone: null unless redaction failed."""
-    return F.when(~F.col("pii_filter_success"), _alert("CRITICAL", TITLE_PII, F.lit(MESSAGE_PII), _details(F.col("event_id"))))
+    return F.when(~F.col("pii_filter_success"), _alert("CRITICAL", TITLE_PII, F.lit(MESSAGE_PII), F.col("record")))
 
 
 def cost_alert() -> Column:
     """Of the row alone: null unless the interaction cost five times the usual."""
     message = F.concat(F.lit("Single interaction cost: $"), F.format_string("%.4f", F.bround(F.col("cost"), 4)))
-    details = _details(F.col("cost"), F.lit(BASELINES["avg_cost"]).alias("baseline"))
-    return F.when(F.col("cost") > BASELINES["avg_cost"] * COST_SPIKE_FACTOR, _alert("WARNING", TITLE_COST, message, details))
+    return F.when(F.col("cost") > COST_LIMIT, _alert("WARNING", TITLE_COST, message, F.col("record")))
 
 
 def escalation_alert() -> Column:
@@ -124,19 +126,20 @@ def escalation_alert() -> Column:
         F.lit("Escalation rate at "), _pct1(F.col("escalation_rate")),
         F.lit(" (baseline: "), _pct1(F.lit(BASELINES["escalation_rate"])), F.lit(")"),
     )
-    details = _details(F.round("escalation_rate", 9).alias("escalation_rate"), F.lit(BASELINES["escalation_rate"]).alias("baseline"), "window_n")
+    details = _details(F.round("escalation_rate", 9).alias("current_rate"))
     return F.when(F.col("escalation_rate") > ESCALATION_RATE_LIMIT, _alert("WARNING", TITLE_ESCALATION, message, details))
 
 
 def sentiment_alert() -> Column:
     message = F.concat(F.lit("Recent average sentiment: "), F.format_string("%.2f", F.bround(F.col("recent_sentiment"), 2)))
-    details = _details(F.round("recent_sentiment", 9).alias("avg_sentiment"), F.lit(SENTIMENT_SPIKE_WINDOW).alias("window"))
+    details = _details(F.round("recent_sentiment", 9).alias("avg_sentiment"))
     return F.when(F.col("recent_sentiment") < SENTIMENT_SPIKE_LIMIT, _alert("WARNING", TITLE_SENTIMENT, message, details))
 
 
 def alerts(rolled: DataFrame) -> DataFrame:
     """0-4 alerts per interaction, in rule order (alert_no 0..3 kept dense);
-    ``ts`` is the interaction's time, ``details`` a JSON object."""
+    ``ts`` is the interaction's time, ``details`` a JSON object: the interaction
+    as it came for the rules of a row alone, the mean for those of a window."""
     fired = F.filter(F.array(pii_alert(), escalation_alert(), sentiment_alert(), cost_alert()), lambda a: a.isNotNull())
     return rolled.select(*ORDER, F.posexplode(fired).alias("alert_no", "_alert")).select(*ORDER, F.col("alert_no").cast("bigint").alias("alert_no"), "_alert.*")
 

@@ -197,6 +197,7 @@ def analysis_log(triaged: DataFrame) -> DataFrame:
         F.col("pii_detected").alias("pii"),
         "safe",
         F.col("needs_human_review").alias("needs_review"),
+        "ts",
     )
 
 

@@ -708,10 +708,10 @@ def q_intent_strategy(spark, sf):
 @register(
     "analysis_log",
     _TRIAGE + "\nSELECT message_id, conv_id, turn, intent, intent_confidence AS confidence, sentiment, sentiment_score AS score, "
-    "pii_detected AS pii, safe, needs_human_review AS needs_review FROM triaged",
+    "pii_detected AS pii, safe, needs_human_review AS needs_review, " + DTS.format("ts") + " AS ts FROM triaged",
 )
 def q_analysis_log(spark, sf):
-    return tri.analysis_log(triaged(spark, sf))
+    return tri.analysis_log(triaged(spark, sf)).withColumn("ts", ts_str("ts"))
 
 
 def _duck_title(x: str) -> str:
@@ -1014,20 +1014,25 @@ for _key, _col in [
     register(_key, _duck_rolling() + f"\nSELECT event_id, {D.spark_round(_col, 9)} AS {_col} FROM rolled")(_mk(_col))
 
 
+# the whole interaction, field by field, as the alert of a single interaction carries it
+_RECORD_SQL = "'{' || " + " || ',' || ".join(
+    f"'\"{c}\":' || CAST({c} AS VARCHAR)" for c in ("pii_filter_success", "escalated", "sentiment_score", "response_time_ms", "cost")
+) + " || '}'"
+
 _ALERTS_SQL = (
     _duck_rolling()
     + f""", cand AS (SELECT event_id, ts, list_filter([
-    CASE WHEN NOT pii_filter_success THEN {{'severity': 'CRITICAL', 'title': {D.q(monitor.TITLE_PII)}, 'message': {D.q(monitor.MESSAGE_PII)}, 'details': '{{"event_id":' || CAST(event_id AS VARCHAR) || '}}'}} END,
+    CASE WHEN NOT pii_filter_success THEN {{'severity': 'CRITICAL', 'title': {D.q(monitor.TITLE_PII)}, 'message': {D.q(monitor.MESSAGE_PII)}, 'details': {_RECORD_SQL}}} END,
     CASE WHEN escalation_rate > 0.3 THEN {{'severity': 'WARNING', 'title': {D.q(monitor.TITLE_ESCALATION)}, 'message':
       'Escalation rate at ' || printf('%.1f', {D.spark_bround('escalation_rate * 100', 1)}) || '% (baseline: '
       || printf('%.1f', {D.spark_bround(str(monitor.BASELINES['escalation_rate']) + ' * 100', 1)}) || '%)',
-      'details': '{{"escalation_rate":' || CAST({D.spark_round('escalation_rate', 9)} AS VARCHAR) || ',"baseline":0.15,"window_n":' || CAST(window_n AS VARCHAR) || '}}'}} END,
+      'details': '{{"current_rate":' || CAST({D.spark_round('escalation_rate', 9)} AS VARCHAR) || '}}'}} END,
     CASE WHEN recent_sentiment < 0.3 THEN {{'severity': 'WARNING', 'title': {D.q(monitor.TITLE_SENTIMENT)}, 'message':
       'Recent average sentiment: ' || printf('%.2f', {D.spark_bround(D.spark_round('recent_sentiment', 9), 2)}),
-      'details': '{{"avg_sentiment":' || CAST({D.spark_round('recent_sentiment', 9)} AS VARCHAR) || ',"window":10}}'}} END,
+      'details': '{{"avg_sentiment":' || CAST({D.spark_round('recent_sentiment', 9)} AS VARCHAR) || '}}'}} END,
     CASE WHEN cost > {monitor.BASELINES['avg_cost'] * monitor.COST_SPIKE_FACTOR} THEN {{'severity': 'WARNING', 'title': {D.q(monitor.TITLE_COST)}, 'message':
       'Single interaction cost: $' || printf('%.4f', {D.spark_bround('cost', 4)}),
-      'details': '{{"cost":' || CAST(cost AS VARCHAR) || ',"baseline":0.008}}'}} END], lambda a: a IS NOT NULL) AS fired FROM rolled),
+      'details': {_RECORD_SQL}}} END], lambda a: a IS NOT NULL) AS fired FROM rolled),
 alerts AS (SELECT event_id, ts, CAST(n AS BIGINT) AS alert_no, a.severity AS severity, a.title AS title, a.message AS message, a.details AS details FROM (
     SELECT event_id, ts, unnest(range(len(fired))) AS n, unnest(fired) AS a FROM cand) x)"""
 )

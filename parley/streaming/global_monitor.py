@@ -24,13 +24,11 @@ from pyspark.sql.streaming import StreamingQuery
 from parley.operators import monitor
 from parley.streaming import sinks
 
-FIELDS = ["event_id", "ts", "pii_filter_success", "escalated", "sentiment_score", "response_time_ms", "cost"]
-
 _CARRY = T.StructType(
     [
         T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("pii_filter_success", T.BooleanType()),
         T.StructField("escalated", T.BooleanType()), T.StructField("sentiment_score", T.DoubleType()), T.StructField("response_time_ms", T.LongType()),
-        T.StructField("cost", T.DoubleType()), T.StructField("at", T.TimestampType()),
+        T.StructField("cost", T.DoubleType()), T.StructField("record", T.StringType()), T.StructField("at", T.TimestampType()),
     ]
 )
 _STATE = T.StructType([T.StructField("rows", T.LongType()), T.StructField("critical", T.LongType()), T.StructField("latest", T.TimestampType())])

@@ -134,6 +134,7 @@ _MON_OUT = T.StructType(
         T.StructField("monitor_key", T.LongType()),
         T.StructField("pii_filter_success", T.BooleanType()),
         T.StructField("cost", T.DoubleType()),
+        T.StructField("record", T.StringType()),
         T.StructField("window_n", T.LongType()),
         T.StructField("escalation_rate", T.DoubleType()),
         T.StructField("pii_success_rate", T.DoubleType()),
@@ -174,7 +175,7 @@ def _monitor_state(key, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     state.update(tuple(f[-n:] for f in full))
     yield pd.DataFrame(
         {
-            **{c: pdf[c] for c in ("event_id", "ts", "monitor_key", "pii_filter_success", "cost")},
+            **{c: pdf[c] for c in ("event_id", "ts", "monitor_key", "pii_filter_success", "cost", "record")},
             "window_n": np.array(sizes, np.int64),
             "escalation_rate": esc,
             "pii_success_rate": pii_ok,
@@ -189,7 +190,7 @@ def monitor_stream(interactions: DataFrame) -> DataFrame:
     """Rolling metrics per interaction, one monitor per ``monitor_key``; the
     bounded window is the keyed state."""
     df = monitor.with_defaults(interactions).select(
-        "event_id", "ts", "monitor_key", "pii_filter_success", "escalated", "cost",
+        "event_id", "ts", "monitor_key", "pii_filter_success", "escalated", "cost", "record",
         F.col("sentiment_score").cast(_VALUE).alias("_sent"), F.col("cost").cast(_VALUE).alias("_cost"),
     )
     return df.groupBy("monitor_key").applyInPandasWithState(

@@ -59,7 +59,7 @@ def test_monitor_reference_case(spark):
     a = monitor.alerts(monitor.rolling(df, plan="naive"))
     d = monitor.dashboard(df).first()
     failed = a.filter(F.col("severity") == "CRITICAL").collect()
-    assert [(r.event_id, r.details, r.ts) for r in failed] == [(10, '{"event_id":10}', dt.datetime(2024, 1, 1, 0, 0, 10))]
+    assert [(r.event_id, r.details, r.ts) for r in failed] == [(10, '{"pii_filter_success":false,"escalated":false,"sentiment_score":0.6,"response_time_ms":2000,"cost":0.008}', dt.datetime(2024, 1, 1, 0, 0, 10))]
     assert monitor.row_alerts(df, monitor.pii_alert()).select(*a.drop("alert_no").columns).exceptAll(a.filter(F.col("severity") == "CRITICAL").drop("alert_no")).count() == 0
     assert d.total_interactions == 11 and abs(d.pii_success_rate - 10 / 11) < 1e-12 and d.recent_alerts == 1
 
@@ -198,3 +198,14 @@ def test_positions_by_time_whatever_the_times_and_ids(spark):
                 assert sorted(got[r[3]] for r in own) == list(range(1, len(own) + 1))
                 for a, b in zip(own, own[1:]):
                     assert got[a[3]] < got[b[3]] or order(a) == order(b)
+
+
+def test_alert_details(spark):
+    """A rule of the row alone hands on the interaction as it came, fields that it lacks left out; a rule of the window hands on the mean."""
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, base, None, True, None, 0.05), (2, base, False, None, 0.1, None)], "event_id long, ts timestamp, pii_filter_success boolean, escalated boolean, sentiment_score double, cost double")
+    got = {(r.event_id, r.title): r.details for r in monitor.alerts(monitor.rolling(df, plan="naive")).collect()}
+    assert got[1, monitor.TITLE_COST] == '{"escalated":true,"cost":0.05}'
+    assert got[2, monitor.TITLE_PII] == '{"pii_filter_success":false,"sentiment_score":0.1}'
+    assert got[1, monitor.TITLE_ESCALATION] == '{"current_rate":1.0}' and got[2, monitor.TITLE_ESCALATION] == '{"current_rate":0.5}'
+    assert {r.details for r in monitor.row_alerts(df, monitor.pii_alert()).collect()} == {got[2, monitor.TITLE_PII]}
