@@ -130,6 +130,10 @@ def sla_minutes(priority: Column) -> Column:
     return F.coalesce(F.try_element_at(m, normalise_priority(priority)), F.lit(SLA_MINUTES["medium"]))
 
 
+#: Every step that the strategy can choose.
+NEXT_STEPS = sorted({*INTENT_STRATEGY.values(), DEFAULT_STRATEGY, "escalate"})
+
+
 def intent_next_step(intent: Column, score: Column) -> Column:
     """Strategy per intent; a very negative complaint escalates."""
     m = _map_literal(INTENT_STRATEGY)

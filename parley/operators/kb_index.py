@@ -25,7 +25,7 @@ from parley.operators import kb
 from parley.plans.windows import top_k
 from parley.streaming import sinks
 
-BUCKETS = 64
+BUCKETS = 16
 OFTEN = 10_000
 
 

@@ -10,6 +10,7 @@ agree bit-for-bit on the compared values.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +19,13 @@ from parley.functions import guardrails as G
 from parley.functions import parse, pii, rules
 from parley.operators import conversation as conv
 from parley.operators import cost as cost_ops
-from parley.operators import kb, monitor, orders, tickets
+from parley.operators import kb, kb_index, monitor, orders, tickets, tools
 from parley.operators import triage as tri
 from parley.plans import duck as D
 from parley.sources import fixtures as fx
 from parley.sources import kb_files
 from parley.sources import model_io as mio
-from parley.session import spread
+from parley.session import shared_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -705,6 +706,15 @@ def q_intent_strategy(spark, sf):
     return s.select("message_id", "intent", rules.intent_next_step(F.col("intent"), F.col("score")).alias("next_step"))
 
 
+@register("tool_dispatch", _TRIAGE + f"\nSELECT message_id, next_step AS tool, intent FROM (SELECT message_id, intent, {_STRATEGY_SQL} AS next_step FROM (SELECT message_id, intent, escalated, sentiment_score AS score FROM triaged) WHERE NOT escalated) WHERE next_step IS NOT NULL")
+def q_tool_dispatch(spark, sf):
+    """What each tool of the strategy is handed, from one evaluation of the triage."""
+    registry = tools.ToolRegistry()
+    registry.register_tools({s: lambda rows, s=s: rows.select("message_id", F.lit(s).alias("tool"), "intent") for s in rules.NEXT_STEPS})
+    served = tools.dispatch_once(triaged(spark, sf), registry, shared_folder(spark, "dispatch"))
+    return reduce(DataFrame.unionByName, served.values())
+
+
 @register(
     "analysis_log",
     _TRIAGE + "\nSELECT message_id, conv_id, turn, intent, intent_confidence AS confidence, sentiment, sentiment_score AS score, "
@@ -1213,6 +1223,15 @@ def q_kb_topk(spark, sf):
     return kb.topk(V(spark, sf, "v_kb_queries"), _kb_sections(spark, sf)).select("query_id", "rank", "doc_id", "section_no", "score")
 
 
+@register("kb_topk_index", _KB_SEARCH + "\nSELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, section_no, score FROM top")
+def q_kb_topk_index(spark, sf):
+    """The same search from a stored index, which is written on the way."""
+    sections = _kb_sections(spark, sf)
+    index = kb_index.Index(spark, shared_folder(spark, "kb-index"), sections.schema["doc_id"].dataType)
+    index.add(sections, 0)
+    return index.topk(V(spark, sf, "v_kb_queries")).select("query_id", "rank", "doc_id", "section_no", "score")
+
+
 @register(
     "kb_format",
     _KB_SEARCH

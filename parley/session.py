@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +63,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local_dir
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path beside the session's checkpoints, which every executor sees."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
