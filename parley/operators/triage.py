@@ -155,9 +155,12 @@ def triage(
 
     Plan shape, the same at every size: equi-joins on ``message_id``, then the
     running session cost (skew-safe chunked running total over exact decimals),
-    then the regex-heavy steps, computed once per row.
+    then the regex-heavy steps, computed once per row. Without ``usage`` no call
+    has a cost, and there is nothing to add up.
     """
     df = attach_replies(escalate(attach_scores(messages, scored)), replies, usage)
+    if usage is None:
+        return finish(judge(df, []), F.lit(0.0))
     df = running_total(df, ["conv_id"], "turn", reply_cost(usage is not None), "_session_cost", chunk=chunk, tiebreak=["message_id"])
     return finish(judge(df, ["_session_cost"]), F.col("_session_cost"))
 

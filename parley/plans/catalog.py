@@ -881,7 +881,9 @@ SELECT message_id, prompt, {_duck_request('prompt', "(SELECT base || " + D.q(mio
 def q_reply_request(spark, sf):
     carry = ["message_id", "redacted_message", "intent", "sentiment_score"]
     system = V(spark, sf, "v_instructions").select(mio.combined_instructions(F.col("base"), F.col("specialised")).alias("system"))
-    return mio.reply_requests(conv.context_per_turn(triaged(spark, sf), carry), mio.system_prompt(system))
+    # requests hold no costs
+    rows = tri.triage(V(spark, sf, "v_messages"), V(spark, sf, "v_scored"), V(spark, sf, "v_replies"))
+    return mio.reply_requests(conv.context_per_turn(rows, carry), mio.system_prompt(system))
 
 
 @register(
