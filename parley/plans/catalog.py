@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import guardrails as G
-from parley.functions import parse, pii, rules
+from parley.functions import lexicon, parse, pii, rules
 from parley.operators import conversation as conv
 from parley.operators import cost as cost_ops
 from parley.operators import kb, kb_index, monitor, orders, tickets, tools
@@ -346,56 +346,27 @@ def q_intent_attach(spark, sf):
     return j.select("message_id", "conv_id", p["intent"].alias("intent"), p["confidence"].alias("confidence"))
 
 
-# Fixed values (ours): keyword lexicon standing in for the classifier offline,
-# in priority order (first match wins); the weight is the lexicon score.
-INTENT_LEXICON = [
-    ("refund_request", r"\b(refund|money back|return)\b", 3),
-    ("complaint", r"\b(worst|terrible|awful|charged twice)\b", 3),
-    ("order_status", r"\b(where|track|tracking|late)\b", 2),
-    ("account_help", r"\b(login|log in|password|account|ssn)\b", 2),
-    ("shipping_question", r"\b(ship|shipping|delivery|parcel)\b", 2),
-    ("technical_issue", r"\b(crash|crashing|error|bug|failed)\b", 2),
-    ("product_question", r"\b(come in|colou?r|size|blue|red)\b", 1),
-]
-SENTIMENT_LEXICON = [
-    ("very_negative", r"\b(worst|terrible|awful|done)\b", 0.1),
-    ("negative", r"\b(frustrat\w*|late|twice|failed|annoy\w*)\b", 0.3),
-    ("very_positive", r"\b(thank|thanks|great|love)\b", 0.95),
-]
-SENTIMENT_LEXICON_DEFAULT = ("neutral", 0.5)
-
-
-def lexicon_label(text: Column, lexicon, default) -> Column:
-    low = F.lower(text)
-    label = F.lit(default[0])
-    score = F.lit(default[1])
-    for name, pat, w in reversed(lexicon):
-        label = F.when(low.rlike(pat), F.lit(name)).otherwise(label)
-        score = F.when(low.rlike(pat), F.lit(w)).otherwise(score)
-    return F.struct(label.alias("label"), score.alias("score"))
-
-
-def _duck_lexicon(text: str, lexicon, default) -> tuple[str, str]:
-    lab = "CASE " + " ".join(f"WHEN regexp_matches(lower({text}), {D.q(p)}) THEN {D.q(n)}" for n, p, _ in lexicon) + f" ELSE {D.q(default[0])} END"
-    sc = "CASE " + " ".join(f"WHEN regexp_matches(lower({text}), {D.q(p)}) THEN {w}" for _, p, w in lexicon) + f" ELSE {default[1]} END"
+def _duck_lexicon(text: str, words, default) -> tuple[str, str]:
+    lab = "CASE " + " ".join(f"WHEN regexp_matches(lower({text}), {D.q(p)}) THEN {D.q(n)}" for n, p, _ in words) + f" ELSE {D.q(default[0])} END"
+    sc = "CASE " + " ".join(f"WHEN regexp_matches(lower({text}), {D.q(p)}) THEN {w}" for _, p, w in words) + f" ELSE {default[1]} END"
     return lab, sc
 
 
-_IL = _duck_lexicon("content", INTENT_LEXICON, ("general_inquiry", 0))
-_SL = _duck_lexicon("content", SENTIMENT_LEXICON, SENTIMENT_LEXICON_DEFAULT)
+_IL = _duck_lexicon("content", lexicon.INTENT_LEXICON, lexicon.INTENT_LEXICON_DEFAULT)
+_SL = _duck_lexicon("content", lexicon.SENTIMENT_LEXICON, lexicon.SENTIMENT_LEXICON_DEFAULT)
 
 
 @register("intent_lexicon", W("v_messages") + f"\nSELECT message_id, {_IL[0]} AS intent, CAST({_IL[1]} AS BIGINT) AS lexicon_score FROM v_messages")
 def q_intent_lexicon(spark, sf):
     m = V(spark, sf, "v_messages")
-    r = lexicon_label(F.col("content"), INTENT_LEXICON, ("general_inquiry", 0))
+    r = lexicon.label(F.col("content"), lexicon.INTENT_LEXICON, lexicon.INTENT_LEXICON_DEFAULT)
     return m.select("message_id", r["label"].alias("intent"), r["score"].cast("bigint").alias("lexicon_score"))
 
 
 @register("sentiment_lexicon", W("v_messages") + f"\nSELECT message_id, {_SL[0]} AS sentiment, CAST({_SL[1]} AS DOUBLE) AS score FROM v_messages")
 def q_sentiment_lexicon(spark, sf):
     m = V(spark, sf, "v_messages")
-    r = lexicon_label(F.col("content"), SENTIMENT_LEXICON, SENTIMENT_LEXICON_DEFAULT)
+    r = lexicon.label(F.col("content"), lexicon.SENTIMENT_LEXICON, lexicon.SENTIMENT_LEXICON_DEFAULT)
     return m.select("message_id", r["label"].alias("sentiment"), r["score"].cast("double").alias("score"))
 
 

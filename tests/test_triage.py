@@ -87,3 +87,20 @@ def test_triage_of_raw_replies(spark):
     assert got[0].sentiment == "negative" and not got[0].escalated
     assert got[1].escalated and got[1].sentiment == "negative"
     assert (got[2].intent, got[2].intent_confidence, got[2].sentiment, got[2].sentiment_score) == ("general_inquiry", 0.0, "neutral", 0.5)
+
+
+def test_triage_without_models(spark):
+    """The keyword scorers give the table that the triage joins."""
+    from pyspark.sql import functions as F
+
+    from parley.functions import lexicon
+
+    rows = [(1, 1, 1, "I want a refund, worst service"), (2, 1, 2, "where is my parcel"), (3, 1, 3, None), (4, 1, 4, "thanks, great")]
+    msgs = spark.createDataFrame(rows, "message_id long, conv_id long, turn long, content string").withColumn("ts", F.lit(None).cast("timestamp"))
+    got = {r.message_id: r for r in lexicon.scored(msgs).collect()}
+    assert [(got[i].intent, got[i].sentiment, got[i].score) for i in (1, 2, 3, 4)] == [
+        ("refund_request", "very_negative", 0.1), ("order_status", "neutral", 0.5), ("general_inquiry", "neutral", 0.5), ("general_inquiry", "very_positive", 0.95),
+    ]
+    assert got[1].confidence == 1.0 and got[3].confidence == 0.0
+    out = {r.message_id: r for r in tri.triage(msgs, lexicon.scored(msgs), spark.createDataFrame([(2, "On its way.")], "message_id long, reply string")).collect()}
+    assert out[1].escalated and not out[2].escalated and out[2].response == "On its way." and out[2].cost == 0.0
