@@ -56,6 +56,9 @@ ENTITY = T.StructType(
 ENTITIES = T.ArrayType(ENTITY)
 
 
+#: Up to so many matches of one text are folded in one go; more are folded by blocks.
+BLOCK = 128
+
 # Literal every match of a type contains: rows without it skip that pattern.
 REQUIRED_LITERAL = {"EMAIL": "@"}
 
@@ -70,10 +73,80 @@ def _by_length(candidates: Column) -> Column:
     return F.transform(F.array_sort(indexed), lambda x: x["e"])
 
 
-def resolve_overlaps(candidates: Column, by_confidence: bool = False, priority: str = "reference") -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, evaluated once however often ``body`` names it (lambdas have no common-subexpression elimination)."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _blocks(values: Column) -> Column:
+    """A non-empty array as an array of blocks of ``BLOCK`` entries, or of the
+    root of its size where that is more."""
+    size = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(F.size(values)))).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.size(values) - 1, size), lambda at: F.slice(values, at + 1, size))
+
+
+def _running_fold(values: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    return F.aggregate(values, F.array(zero), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+
+
+def running(values: Column, size: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """``zero`` and the folds of the first 1, 2, ... ``size`` (all) integers by ``step``.
+
+    A fold that appends copies its array for every entry; beyond ``BLOCK``
+    entries the blocks are folded whole first, and then within themselves."""
+
+    def within(blocks: Column) -> Column:
+        heads = F.aggregate(
+            blocks, F.array(zero), lambda acc, block: F.concat(acc, F.array(F.aggregate(block, F.element_at(acc, -1), step)))
+        )
+        folds = F.zip_with(blocks, F.slice(heads, 1, F.size(blocks)), lambda block, head: F.slice(_running_fold(block, head, step), 2, F.size(block)))
+        return F.concat(F.array(zero), F.flatten(folds))
+
+    return F.when(size <= BLOCK, _running_fold(values, zero, step)).otherwise(_let(values, lambda v: _let(_blocks(v), within)))
+
+
+def _greedy(ordered: Column) -> Column:
+    """The candidates, best first, that overlap none kept before them, by start."""
+    kept = F.aggregate(
+        ordered,
+        F.array().cast(ENTITIES),
+        lambda acc, e: F.when(F.exists(acc, lambda k: _overlaps(e, k)), acc).otherwise(F.concat(acc, F.array(e))),
+    )
+    return F.array_sort(kept)
+
+
+def _swept(ordered: Column) -> Column:
+    """``_greedy`` of many candidates: those sorted by start fall into clusters
+    where one starts behind the ends of all before it; no overlap crosses
+    clusters, so each is resolved by itself. Time is that of the sort, and
+    quadratic only in the size of one chain of overlapping candidates."""
+
+    def in_clusters(by_start: Column, firsts: Column) -> Column:
+        last = F.size(by_start)
+
+        def resolved(first: Column, i: Column) -> Column:
+            n = F.coalesce(F.get(firsts, i + 1), last) - first
+            cluster = F.sort_array(F.transform(F.slice(by_start, first + 1, n), lambda x: F.struct(x["i"].alias("i"), x["e"].alias("e"))))
+            return F.when(n == 1, F.array(by_start[first]["e"])).otherwise(_greedy(F.transform(cluster, lambda x: x["e"])))
+
+        return F.array_sort(F.flatten(F.transform(firsts, resolved)))  # empty spans may share a place
+
+    def sweep(by_start: Column) -> Column:
+        ends = running(F.transform(by_start, lambda x: x["end"]), F.size(by_start), F.lit(0), lambda top, end: F.greatest(top, end))
+        starts = F.transform(by_start, lambda x: x["start"])
+        # a null offset overlaps nothing
+        opens = F.zip_with(starts, F.slice(ends, 1, F.size(starts)), lambda start, top: F.coalesce(start >= top, F.lit(True)))
+        firsts = F.filter(F.transform(opens, lambda o, i: F.when(o, i)), lambda i: i.isNotNull())
+        return _let(firsts, lambda x: in_clusters(by_start, x))
+
+    indexed = F.transform(ordered, lambda e, i: F.struct(e["start"].alias("start"), e["end"].alias("end"), i.alias("i"), e.alias("e")))
+    return _let(F.sort_array(indexed), sweep)
+
+
+def resolve_overlaps(candidates: Column, size: Column, by_confidence: bool = False, priority: str = "reference") -> Column:
     """Greedy overlap resolution, then order by start.
 
-    ``candidates`` must already be in detection order. With
+    ``candidates`` (``size`` of them) must already be in detection order. With
     ``by_confidence=True`` they are first stably re-ordered by confidence
     descending (needed only when external entities of higher confidence follow
     the regex ones; with the fixed confidences detection order already is
@@ -81,55 +154,63 @@ def resolve_overlaps(candidates: Column, by_confidence: bool = False, priority:
     """
     ordered = _by_length(candidates) if priority == "longest" else candidates
     if by_confidence:
-        indexed = F.transform(candidates, lambda e, i: F.struct(e.alias("e"), i.alias("i")))
-        ordered = F.transform(
-            F.array_sort(
-                indexed,
-                lambda a, b: F.when(a["e"]["confidence"] > b["e"]["confidence"], -1)
-                .when(a["e"]["confidence"] < b["e"]["confidence"], 1)
-                .otherwise(a["i"] - b["i"]),
-            ),
-            lambda x: x["e"],
-        )
-    kept = F.aggregate(
-        ordered,
-        F.array().cast(ENTITIES),
-        lambda acc, e: F.when(F.exists(acc, lambda k: _overlaps(e, k)), acc).otherwise(F.concat(acc, F.array(e))),
-    )
-    return F.array_sort(kept)
+        indexed = F.transform(ordered, lambda e, i: F.struct((-e["confidence"]).alias("neg_confidence"), i.alias("i"), e.alias("e")))
+        ordered = F.transform(F.array_sort(indexed), lambda x: x["e"])
+    return F.when(size <= BLOCK, _greedy(ordered)).otherwise(_swept(ordered))
 
 
-def resolve_by_type(groups: list[Column]) -> Column:
-    """``resolve_overlaps`` of the concatenated groups for groups without
-    overlaps of their own (all matches of one pattern): each group is held
-    against what earlier groups kept, so many matches of one type cost linear time."""
+def resolve_by_type(groups: list[Column], size: Column) -> Column:
+    """``resolve_overlaps`` of the concatenated groups (``size`` candidates) for
+    groups without overlaps of their own (all matches of one pattern): up to ``BLOCK``
+    candidates, each group is held against what earlier groups kept."""
     kept = F.aggregate(
         F.array(*groups),
         F.array().cast(ENTITIES),
         lambda acc, g: F.concat(acc, F.filter(g, lambda e: ~F.exists(acc, lambda k: _overlaps(e, k)))),
     )
-    return F.array_sort(kept)
+    none = F.array().cast(ENTITIES)
+    return F.when(size == 0, none).when(size <= BLOCK, F.array_sort(kept)).otherwise(_swept(F.concat(*groups)))
 
 
 def redact_with(text: Column, entities: Column, style: str = "type") -> Column:
     """Replace each entity span by ``[TYPE]`` (style ``type``) or ``[REDACTED]``
-    (any other style). No entity → text unchanged."""
+    (any other style). No entity → text unchanged.
+
+    A substring is found by walking its text from the start, and a fold copies
+    what it has put together; beyond ``BLOCK`` entities the text is cut by blocks of them first."""
 
     def placeholder(e: Column) -> Column:
         if style == "type":
             return F.concat(F.lit("["), e["type"], F.lit("]"))
         return F.lit(GENERIC_PLACEHOLDER)
 
-    init = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
-    return F.aggregate(
-        entities,
-        init,
-        lambda acc, e: F.struct(
-            F.concat(acc["out"], text.substr(acc["pos"] + 1, e["start"] - acc["pos"]), placeholder(e)).alias("out"),
-            e["end"].alias("pos"),
-        ),
-        lambda acc: F.concat(acc["out"], text.substr(acc["pos"] + 1, F.lit(2147483647))),
-    )
+    def replaced(part: Column, of: Column, base: Column, end: Callable[[Column], Column]) -> Column:
+        """``end`` of (out, pos): ``part``, which starts at ``base``, up to the end of its last entity."""
+        return F.aggregate(
+            of,
+            F.struct(F.lit("").alias("out"), F.lit(0).alias("pos")),
+            lambda acc, e: F.struct(
+                F.concat(acc["out"], part.substr(acc["pos"] + 1, e["start"] - base - acc["pos"]), placeholder(e)).alias("out"),
+                (e["end"] - base).alias("pos"),
+            ),
+            end,
+        )
+
+    def rest(end: Column) -> Column:
+        return text.substr(end + 1, F.lit(2147483647))
+
+    def by_blocks(blocks: Column) -> Column:
+        def block_out(block: Column, i: Column) -> Column:
+            base = F.coalesce(F.element_at(F.get(blocks, i - 1), -1)["end"], F.lit(0))
+            part = text.substr(base + 1, F.element_at(block, -1)["end"] - base)
+            return _let(F.struct(part.alias("part"), base.alias("base")), lambda x: replaced(x["part"], block, x["base"], lambda acc: acc["out"]))
+
+        last = F.element_at(F.element_at(blocks, -1), -1)["end"]
+        return F.concat(F.array_join(F.transform(blocks, block_out), ""), rest(last))
+
+    few = replaced(text, entities, F.lit(0), lambda acc: F.concat(acc["out"], rest(acc["pos"])))
+    size = F.size(entities)
+    return F.when(size == 0, text).when(size <= BLOCK, few).otherwise(_let(_blocks(entities), by_blocks))
 
 
 def entity_types(entities: Column) -> Column:
@@ -210,18 +291,19 @@ def _entity_stages(text_col: str, external_col: str | None, priority: str, unico
     for t, _ in chosen:
         m, g = F.col(f"_m_{t}"), F.col(f"_g_{t}")
         pieces = F.zip_with(F.slice(g, 1, F.size(m)), m, lambda a, b: F.length(a) + F.length(b))
-        offsets = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        offsets = running(pieces, F.size(m), F.lit(0), lambda at, n: at + n)
         stage3[f"_o_{t}"] = F.when(F.size(m) > 0, offsets)
     parts = [F.transform(F.col(f"_m_{t}"), _entity_maker(t, F.col(f"_g_{t}"), F.col(f"_o_{t}"))) for t, _ in chosen]
     if candidates:
         return stage0, stage1, stage2, stage3, F.concat(*parts)
+    size = sum((F.size(f"_m_{t}") for t, _ in chosen), F.lit(0))
     if external_col is not None:
-        cands = F.concat(*parts, F.coalesce(F.col(external_col), F.array().cast(ENTITIES)))
-        resolved = resolve_overlaps(cands, by_confidence=True, priority=priority)
+        external = F.coalesce(F.col(external_col), F.array().cast(ENTITIES))
+        resolved = resolve_overlaps(F.concat(*parts, external), size + F.size(external), by_confidence=True, priority=priority)
     elif priority == "longest":
-        resolved = resolve_overlaps(F.concat(*parts), priority=priority)
+        resolved = resolve_overlaps(F.concat(*parts), size, priority=priority)
     else:
-        resolved = resolve_by_type(parts)
+        resolved = resolve_by_type(parts, size)
     return stage0, stage1, stage2, stage3, resolved
 
 
