@@ -181,22 +181,21 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = No
 
 
 def near_groups(docs: DataFrame, n: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED, blocks: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """doc_id, text_key, fp and component_id of every row."""
+    """doc_id, text_key, fp, component_id and root (the smallest fingerprint of its group, as a long) of every row."""
     own = cut_lineage(fingerprints(docs, n, seed))
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(near_links(nodes.select("fp"), max_bits, blocks, cell_rows))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # fingerprints alone in their group are their own root; groups are few beside them
     group = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(group, "root").select("fp", "component_id")
-    return own.join(of, "fp").select("doc_id", "text_key", "fp", "component_id")
+    of = rooted.join(group, "root").select("fp", "component_id", "root")
+    return own.join(of, "fp").select("doc_id", "text_key", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One document of each group, the one with the smallest doc_id (then the smallest text hash), with all its columns."""
     groups = near_groups(docs, **how)
-    roots = groups.withColumn("group", F.coalesce("component_id", "fp")).withColumn("lone", F.col("component_id").isNull())
-    first = roots.groupBy("lone", "group").agg(F.min_by(F.struct("doc_id", "text_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("x"))
+    first = groups.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("x"))
     kept = first.select("x.doc_id", "x.text_key").distinct()
     # whole input rows travel as one struct, so their names meet none of these
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.struct(*docs.columns).alias("row"))

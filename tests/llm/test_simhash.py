@@ -115,7 +115,7 @@ def test_odd_rows(spark, odd, no_docs):
     assert all(r.component_id == want[r.doc_id, unsigned(r.fp)] for r in got)
     kept = sh.keep_one(odd)
     assert kept.columns == odd.columns and {r.text_key for r in kept.collect()} == {"x"}
-    assert kept.count() == len({(g, f if g is None else None) for (d, f), g in want.items()})
+    assert kept.count() == len(set(groups([(f, f) for _, f in rows])))
     assert kept.where("doc_id = 300").count() == 1
     assert sh.near_groups(no_docs).count() == 0 and sh.keep_one(no_docs).count() == 0
 
@@ -125,3 +125,18 @@ def test_kept_documents_are_the_smallest_of_their_groups(spark, docs):
     kept = sh.keep_one(docs)
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r[0] for r in groups_.select("component_id").distinct().collect())
     assert kept.join(docs.select("doc_id", F.col("text").alias("own")), "doc_id").where("text <> own").count() == 0
+
+
+def test_near_copies_without_ids_are_one_group(spark):
+    rnd = random.Random(2)
+    words = [rnd.choice("abcdefgh") * rnd.randrange(1, 9) for _ in range(400)]
+    texts = [" ".join(words)]
+    while len(texts) < 3:  # chains of near texts, each with a fingerprint of its own
+        words[rnd.randrange(len(words))] = f"new{rnd.randrange(1000)}"
+        if 1 <= (fingerprint(" ".join(words)) ^ fingerprint(texts[-1])).bit_count() <= 4:
+            texts.append(" ".join(words))
+    rows = [(None, t) for t in texts] + [(None, "something else altogether"), (None, texts[0])]
+    kept = sh.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 2 and sum(r.text in texts for r in kept) == 1
+    with_ids = sh.keep_one(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in with_ids.collect()) == [0, 3]
