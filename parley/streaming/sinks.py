@@ -31,12 +31,12 @@ def _day(time: str) -> Column:
     return F.coalesce(F.date_format(time, "yyyy-MM-dd"), F.lit(NO_DAY))
 
 
-def write_batch(rows: DataFrame, batch_id: int, path: str, by: list[str]) -> None:
-    """``rows`` as the whole of batch ``batch_id`` in the table at ``path``, partitioned by ``by`` within the batch."""
-    if by:
+def write_batch(rows: DataFrame, batch_id: int, path: str, by: list[str], dealt: bool = True, **options) -> None:
+    """``rows`` as the whole of batch ``batch_id`` in the table at ``path``, partitioned by ``by`` within the batch; without ``dealt`` every task writes its own rows."""
+    if by and dealt:
         rows = rows.repartition(*by, F.pmod(F.xxhash64(*rows.columns), F.lit(_spread(rows))))
     # the batch's own folder is overwritten whole, with what a failed first try may have left in it
-    rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{BATCH}={int(batch_id)}")
+    rows.write.mode("overwrite").options(**options).partitionBy(*by).parquet(f"{path}/{BATCH}={int(batch_id)}")
 
 
 def _spread(rows: DataFrame) -> int:

@@ -62,6 +62,15 @@ def test_folder_and_empty_index(spark):
     assert rows(index.topk(asked(spark))) == rows(kb.topk(asked(spark), sections))
 
 
+def test_postings_are_stored_by_section_and_met_without_a_join(spark):
+    """A section's tokens of a bucket are one stored row, and an index without replaced documents joins no postings with their batches."""
+    index = kb_index.Index(spark, tempfile.mkdtemp(prefix="parley-kb-"), T.LongType(), buckets=2)
+    index.add(spark.createDataFrame([(i, 0, "f", " ".join(f"w{j}" for j in range(30))) for i in range(5)], SECTIONS), 0)
+    assert spark.read.parquet(f"{index.path}/postings").count() == 10
+    plan = index._current(index._every())._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 @pytest.fixture(scope="module")
 def triaged(spark):
     df = catalog.triaged(spark, SF001)
