@@ -102,7 +102,8 @@ def _explode_entities(df: DataFrame, keys: list[str], ents: Column, no: str, ext
     ]
     if extra:
         cols.append(F.col("_e.confidence").alias("confidence"))
-    return df.select(*keys, F.posexplode(ents).alias("_no", "_e")).select(*cols)
+    # (an inner explode would be given a filter that repeats the whole scan of a text, once more for every use of it)
+    return df.select(*keys, F.posexplode_outer(ents).alias("_no", "_e")).where(F.col("_no").isNotNull()).select(*cols)
 
 
 def _duck_explode(src: str, keys: str, ents_expr: str, no: str, extra: bool = False) -> str:
