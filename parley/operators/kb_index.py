@@ -119,14 +119,13 @@ class Index:
         state = least.join(tail, "query_id", "left").withColumn("more", F.greatest(F.size(F.coalesce("frequent", F.array().cast("array<string>"))), F.lit(0)))
         sure = cut_lineage(state.where((F.col("more") == 0) | ((F.col("n") == k) & (F.col("least") > F.col("more")))))
         near = cut_lineage(partial.join(sure, "query_id").where((F.col("n") < k) | (F.col("score") + F.col("more") >= F.col("least"))))
-        open_ = near.where("more > 0")
         texts = self._current(self._every().select(*kb.KEY, "tokens", sinks.BATCH))
-        places = open_.select(*(F.col(c).alias(f"_{c}") for c in kb.KEY)).distinct()
+        places = near.select(*(F.col(c).alias(f"_{c}") for c in kb.KEY)).distinct()
         if places.limit(FEW + 1).count() <= FEW:
             texts = texts.join(F.broadcast(places), texts["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.col("section_no") == F.col("_section_no")), "left_semi")
-        on = open_.alias("a").join(texts.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.section_no") == F.col("b.section_no")))
-        first = on.select(*(f"a.{c}" for c in key), (F.col("score") + F.size(F.array_intersect("b.tokens", "frequent"))).alias("score"))
-        first = first.unionByName(near.where("more = 0").select(*key, "score"))
+        on = near.alias("a").join(texts.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.section_no") == F.col("b.section_no")))
+        held = F.when(F.col("more") > 0, F.size(F.array_intersect("b.tokens", "frequent"))).otherwise(0)
+        first = on.select(*(f"a.{c}" for c in key), (F.col("score") + held).alias("score"))
         rest = score(asked.join(sure.select("query_id"), "query_id", "left_anti"))
         order = [F.col("score").desc(), F.col("source"), *(F.col(c) for c in kb.KEY)]
         best = top_k(first.unionByName(rest), ["query_id"], order, k, "rank")

@@ -210,3 +210,14 @@ def test_a_hundred_thousand_matches_in_one_text(spark):
     row = pii.with_pii(df, "text").select(F.size("entities").alias("n"), "redacted").first()
     assert time.time() - t0 < 90  # 4,000 of each took 6 s when every match copied what was found before it
     assert row.n == 100_000 and row.redacted == " ".join(["[PHONE] é [EMAIL]"] * 50_000)
+
+
+def test_exploded_entities_scan_a_text_once(spark):
+    """No filter that writes out the scan again goes below the stages; texts without entities give no row."""
+    from parley.plans import catalog
+
+    df = spark.createDataFrame([(1, "mail a@b.co or 555-123-4567"), (2, "nothing"), (3, None)], "id long, text string")
+    got = catalog._explode_entities(pii.with_entities(df, "text", candidates=True, types=["EMAIL", "PHONE"]), ["id"], F.col("entities"), "no")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 4
+    assert sorted((r.id, r.no, r.value) for r in got.collect()) == [(1, 0, "a@b.co"), (1, 1, "555-123-4567")]
