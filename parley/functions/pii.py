@@ -60,7 +60,10 @@ ENTITIES = T.ArrayType(ENTITY)
 BLOCK = 128
 
 # Literal every match of a type contains: rows without it skip that pattern.
-REQUIRED_LITERAL = {"EMAIL": "@"}
+REQUIRED_LITERAL = {"EMAIL": "@", "SSN": "-", "IP_ADDRESS": ".", "ZIP_CODE": "-"}
+
+# What every match of a type starts with, looked at before the boundary and the optional parts of its pattern are tried at a place.
+LEADING = {"PHONE": r"(?=[+(\d])", "SSN": r"(?=\d)", "CREDIT_CARD": r"(?=\d)", "IP_ADDRESS": r"(?=\d)", "ZIP_CODE": r"(?=\d)"}
 
 
 def _overlaps(a: Column, b: Column) -> Column:
@@ -159,25 +162,28 @@ def resolve_overlaps(candidates: Column, size: Column, by_confidence: bool = Fal
     return F.when(size <= BLOCK, _greedy(ordered)).otherwise(_swept(ordered))
 
 
-def resolve_by_type(groups: list[Column], size: Column) -> Column:
-    """``resolve_overlaps`` of the concatenated groups (``size`` candidates) for
-    groups without overlaps of their own (all matches of one pattern): up to ``BLOCK``
-    candidates, each group is held against what earlier groups kept."""
-    kept = F.aggregate(
-        F.array(*groups),
-        F.array().cast(ENTITIES),
-        lambda acc, g: F.concat(acc, F.filter(g, lambda e: ~F.exists(acc, lambda k: _overlaps(e, k)))),
+def resolve_matches(candidates: Column) -> Column:
+    """``resolve_overlaps`` of pattern matches in detection order. Those of one
+    pattern neither overlap nor need ordering, and two are compared as they
+    are: most texts get by without a fold, which runs interpreted."""
+    size = F.size(candidates)
+    first, second = F.get(candidates, F.lit(0)), F.get(candidates, F.lit(1))
+    one_pattern = first["type"] == F.get(candidates, size - 1)["type"]
+    pair = (
+        F.when(_overlaps(second, first), F.slice(candidates, 1, 1))
+        .when(second["start"] < first["start"], F.array(second, first))
+        .otherwise(candidates)
     )
-    none = F.array().cast(ENTITIES)
-    return F.when(size == 0, none).when(size <= BLOCK, F.array_sort(kept)).otherwise(_swept(F.concat(*groups)))
+    return F.when((size <= 1) | one_pattern, candidates).when(size == 2, pair).when(size <= BLOCK, _greedy(candidates)).otherwise(_swept(candidates))
 
 
 def redact_with(text: Column, entities: Column, style: str = "type") -> Column:
     """Replace each entity span by ``[TYPE]`` (style ``type``) or ``[REDACTED]``
     (any other style). No entity → text unchanged.
 
-    A substring is found by walking its text from the start, and a fold copies
-    what it has put together; beyond ``BLOCK`` entities the text is cut by blocks of them first."""
+    One or two entities are cut out without a fold. A substring is found by
+    walking its text from the start, and a fold copies what it has put
+    together; beyond ``BLOCK`` entities the text is cut by blocks of them first."""
 
     def placeholder(e: Column) -> Column:
         if style == "type":
@@ -209,8 +215,12 @@ def redact_with(text: Column, entities: Column, style: str = "type") -> Column:
         return F.concat(F.array_join(F.transform(blocks, block_out), ""), rest(last))
 
     few = replaced(text, entities, F.lit(0), lambda acc: F.concat(acc["out"], rest(acc["pos"])))
+    first, second = F.get(entities, F.lit(0)), F.get(entities, F.lit(1))
+    head = [text.substr(F.lit(1), first["start"]), placeholder(first)]
+    one = F.concat(*head, rest(first["end"]))
+    two = F.concat(*head, text.substr(first["end"] + 1, second["start"] - first["end"]), placeholder(second), rest(second["end"]))
     size = F.size(entities)
-    return F.when(size == 0, text).when(size <= BLOCK, few).otherwise(_let(_blocks(entities), by_blocks))
+    return F.when(size == 0, text).when(size == 1, one).when(size == 2, two).when(size <= BLOCK, few).otherwise(_let(_blocks(entities), by_blocks))
 
 
 def entity_types(entities: Column) -> Column:
@@ -243,34 +253,33 @@ def may_contain_pii(text: Column, unicode: bool = True) -> Column:
 _EMPTY_STR_ARRAY = "array<string>"
 _TEXT_SCRATCH = "_pii_text"
 _EXT_SCRATCH = "_pii_ext"
-_GATE, _WIDE = "_pii_gate", "_pii_wide"
-
-
-def _scan(pattern: str, unicode: bool, scan: Callable[[str], Column]) -> Column:
-    """``scan`` with the pattern, case-insensitive. With ``unicode`` texts that
-    hold a non-ASCII character get Unicode classes (``\\d``, ``\\s``, ``\\b`` as
-    in Python's ``re`` on str); on ASCII texts both forms match the same."""
-    plain = scan("(?i)" + pattern)
-    return F.when(F.col(_WIDE), scan("(?iU)" + pattern)).otherwise(plain) if unicode else plain
-
-
-def _entity_maker(etype: str, gaps: Column, offsets: Column):
-    def make(v: Column, i: Column) -> Column:
-        start = offsets[i] + F.length(gaps[i])
-        return F.struct(
-            start.cast("int").alias("start"),
-            (start + F.length(v)).cast("int").alias("end"),
-            F.lit(etype).alias("type"),
-            v.alias("value"),
-            F.lit(REGEX_CONFIDENCE).alias("confidence"),
-        )
+_GATE, _CANDIDATES = "_pii_gate", "_pii_candidates"
+
+
+def _match(etype: str, pattern: str) -> str:
+    return LEADING.get(etype, "") + pattern
+
 
-    return make
+def _scan(text: Column, pattern: str, unicode: bool) -> Column:
+    """All matches of the pattern, case-insensitive, with Unicode classes
+    (``\\d``, ``\\s``, ``\\b`` as in Python's ``re`` on str) or Java's ASCII
+    classes. On ASCII texts both match the same, so one form serves every text."""
+    return F.regexp_extract_all(text, F.lit(("(?iU)" if unicode else "(?i)") + pattern), 0)
+
+
+def _entity(etype: Column, value: Column, end: Column) -> Column:
+    return F.struct(
+        (end - F.length(value)).cast("int").alias("start"),
+        end.cast("int").alias("end"),
+        etype.alias("type"),
+        value.alias("value"),
+        F.lit(REGEX_CONFIDENCE).alias("confidence"),
+    )
 
 
 @lru_cache(maxsize=64)
 def _entity_stages(text_col: str, external_col: str | None, priority: str, unicode: bool, types: tuple | None, candidates: bool) -> tuple:
-    """Column expressions of the five stages, built once per column names
+    """Column expressions of the stages, built once per column names
     (they refer to columns by name only, so the same JVM expressions serve
     every DataFrame; building them costs thousands of Py4J calls)."""
     chosen = [(t, p) for t, p in PII_PATTERNS if types is None or t in types]
@@ -278,33 +287,45 @@ def _entity_stages(text_col: str, external_col: str | None, priority: str, unico
     gate = may_contain_pii(text, unicode)
     if external_col is not None:
         gate = gate | (F.size(F.col(external_col)) > 0)
-    stage0 = {_GATE: gate, _WIDE: text.rlike(r"[^\x00-\x7F]") if unicode else F.lit(False)}
+    stage0 = {_GATE: gate}
     empty = F.array().cast(_EMPTY_STR_ARRAY)
     stage1 = {}
     for t, p in chosen:
         cond = F.col(_GATE)
         if t in REQUIRED_LITERAL:
             cond = cond & (F.instr(text, REQUIRED_LITERAL[t]) > 0)
-        stage1[f"_m_{t}"] = F.when(cond, _scan(p, unicode, lambda x: F.regexp_extract_all(text, F.lit(x), 0))).otherwise(empty)
-    stage2 = {f"_g_{t}": F.when(F.size(f"_m_{t}") > 0, _scan(p, unicode, lambda x: F.split(text, x, -1))) for t, p in chosen}
+        stage1[f"_m_{t}"] = F.when(cond, _scan(text, _match(t, p), unicode)).otherwise(empty)
+    found = {t: F.size(f"_m_{t}") for t, _ in chosen}
+    # the length of each match with the gap before it: it starts where the last one ended
+    stage2 = {f"_l_{t}": F.when(found[t] > 0, F.transform(_scan(text, rf"(?s)\G.*?(?:{_match(t, p)})", unicode), F.length)) for t, p in chosen}
     stage3 = {}
     for t, _ in chosen:
-        m, g = F.col(f"_m_{t}"), F.col(f"_g_{t}")
-        pieces = F.zip_with(F.slice(g, 1, F.size(m)), m, lambda a, b: F.length(a) + F.length(b))
-        offsets = running(pieces, F.size(m), F.lit(0), lambda at, n: at + n)
-        stage3[f"_o_{t}"] = F.when(F.size(m) > 0, offsets)
-    parts = [F.transform(F.col(f"_m_{t}"), _entity_maker(t, F.col(f"_g_{t}"), F.col(f"_o_{t}"))) for t, _ in chosen]
+        lengths = F.col(f"_l_{t}")
+        offsets = running(lengths, found[t], F.lit(0), lambda at, n: at + n)
+        stage3[f"_o_{t}"] = F.when(found[t] == 1, F.array(F.lit(0), F.get(lengths, F.lit(0)))).when(found[t] > 1, offsets)
+    none = F.array().cast(ENTITIES)
+
+    def entities(t: str) -> Column:
+        return F.transform(F.col(f"_m_{t}"), lambda v, i: _entity(F.lit(t), v, F.col(f"_o_{t}")[i + 1]))
+
+    parts = [F.when(found[t] == 0, none).otherwise(entities(t)) for t, _ in chosen]
+    size = sum(found.values(), F.lit(0))
+    # a text's only match is the first of whichever pattern has one
+    etype = F.coalesce(*(F.when(found[t] > 0, F.lit(t)) for t, _ in chosen))
+    value = F.coalesce(*(F.get(f"_m_{t}", F.lit(0)) for t, _ in chosen))
+    end = F.coalesce(*(F.get(f"_o_{t}", F.lit(1)) for t, _ in chosen))
+    stage4 = {_CANDIDATES: F.when(size == 0, none).when(size == 1, F.array(_entity(etype, value, end))).otherwise(F.concat(*parts))}
+    every = F.col(_CANDIDATES)
     if candidates:
-        return stage0, stage1, stage2, stage3, F.concat(*parts)
-    size = sum((F.size(f"_m_{t}") for t, _ in chosen), F.lit(0))
-    if external_col is not None:
-        external = F.coalesce(F.col(external_col), F.array().cast(ENTITIES))
-        resolved = resolve_overlaps(F.concat(*parts, external), size + F.size(external), by_confidence=True, priority=priority)
+        resolved = every
+    elif external_col is not None:
+        external = F.coalesce(F.col(external_col), none)
+        resolved = resolve_overlaps(F.concat(every, external), F.size(every) + F.size(external), by_confidence=True, priority=priority)
     elif priority == "longest":
-        resolved = resolve_overlaps(F.concat(*parts), size, priority=priority)
+        resolved = resolve_overlaps(every, F.size(every), priority=priority)
     else:
-        resolved = resolve_by_type(parts, size)
-    return stage0, stage1, stage2, stage3, resolved
+        resolved = resolve_matches(every)
+    return stage0, stage1, stage2, stage3, stage4, resolved
 
 
 def with_entities(df: DataFrame, text_col: str, out_col: str = "entities", external_col: str | None = None,
@@ -319,13 +340,14 @@ def with_entities(df: DataFrame, text_col: str, out_col: str = "entities", exter
     among equals).
 
     The work is staged in separate projections so that every regex pass runs
-    once per row: (1) whether a row can match and holds non-ASCII text, (2) the
-    matches of each pattern, (3) the gaps (``split``), only for rows where the
-    pattern matched, (4) the running offsets, (5) the entity structs, greedy
+    once per row: (1) whether a row can match, (2) the matches of each pattern,
+    (3) their lengths with the gaps before them, only for rows where the pattern
+    matched, (4) the running offsets, (5) the entity structs, (6) greedy
     resolution and ordering. Higher-order functions evaluate their arguments
     without common-subexpression elimination, so inlining these steps would
     repeat the regex scans. Each stage is one projection (``withColumns``) to
-    keep the plan small.
+    keep the plan small. They also run interpreted, so (4) to (6) use them only
+    on texts with several matches.
     """
     # the text (and external entities) go through fixed scratch names, so one
     # set of built expressions serves every call
