@@ -298,23 +298,16 @@ def _entity_stages(text_col: str, external_col: str | None, priority: str, unico
     found = {t: F.size(f"_m_{t}") for t, _ in chosen}
     # the length of each match with the gap before it: it starts where the last one ended
     stage2 = {f"_l_{t}": F.when(found[t] > 0, F.transform(_scan(text, rf"(?s)\G.*?(?:{_match(t, p)})", unicode), F.length)) for t, p in chosen}
-    stage3 = {}
-    for t, _ in chosen:
-        lengths = F.col(f"_l_{t}")
-        offsets = running(lengths, found[t], F.lit(0), lambda at, n: at + n)
-        stage3[f"_o_{t}"] = F.when(found[t] == 1, F.array(F.lit(0), F.get(lengths, F.lit(0)))).when(found[t] > 1, offsets)
     none = F.array().cast(ENTITIES)
 
     def entities(t: str) -> Column:
-        return F.transform(F.col(f"_m_{t}"), lambda v, i: _entity(F.lit(t), v, F.col(f"_o_{t}")[i + 1]))
-
-    parts = [F.when(found[t] == 0, none).otherwise(entities(t)) for t, _ in chosen]
-    size = sum(found.values(), F.lit(0))
-    # a text's only match is the first of whichever pattern has one
-    etype = F.coalesce(*(F.when(found[t] > 0, F.lit(t)) for t, _ in chosen))
-    value = F.coalesce(*(F.get(f"_m_{t}", F.lit(0)) for t, _ in chosen))
-    end = F.coalesce(*(F.get(f"_o_{t}", F.lit(1)) for t, _ in chosen))
-    stage4 = {_CANDIDATES: F.when(size == 0, none).when(size == 1, F.array(_entity(etype, value, end))).otherwise(F.concat(*parts))}
+        values, lengths = F.col(f"_m_{t}"), F.col(f"_l_{t}")
+        single = F.array(_entity(F.lit(t), F.get(values, F.lit(0)), F.get(lengths, F.lit(0))))
+        ends = running(lengths, found[t], F.lit(0), lambda at, n: at + n)
+        several = _let(ends, lambda end: F.transform(values, lambda v, i: _entity(F.lit(t), v, end[i + 1])))
+        return F.when(found[t] == 0, none).when(found[t] == 1, single).otherwise(several)
+
+    stage3 = {_CANDIDATES: F.when(sum(found.values(), F.lit(0)) == 0, none).otherwise(F.concat(*(entities(t) for t, _ in chosen)))}
     every = F.col(_CANDIDATES)
     if candidates:
         resolved = every
@@ -325,7 +318,7 @@ def _entity_stages(text_col: str, external_col: str | None, priority: str, unico
         resolved = resolve_overlaps(every, F.size(every), priority=priority)
     else:
         resolved = resolve_matches(every)
-    return stage0, stage1, stage2, stage3, stage4, resolved
+    return stage0, stage1, stage2, stage3, resolved
 
 
 def with_entities(df: DataFrame, text_col: str, out_col: str = "entities", external_col: str | None = None,
@@ -342,11 +335,11 @@ def with_entities(df: DataFrame, text_col: str, out_col: str = "entities", exter
     The work is staged in separate projections so that every regex pass runs
     once per row: (1) whether a row can match, (2) the matches of each pattern,
     (3) their lengths with the gaps before them, only for rows where the pattern
-    matched, (4) the running offsets, (5) the entity structs, (6) greedy
+    matched, (4) the entity structs with their running offsets, (5) greedy
     resolution and ordering. Higher-order functions evaluate their arguments
     without common-subexpression elimination, so inlining these steps would
     repeat the regex scans. Each stage is one projection (``withColumns``) to
-    keep the plan small. They also run interpreted, so (4) to (6) use them only
+    keep the plan small. They also run interpreted, so (4) and (5) use them only
     on texts with several matches.
     """
     # the text (and external entities) go through fixed scratch names, so one

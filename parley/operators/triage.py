@@ -162,6 +162,8 @@ def triage(
     if usage is None:
         return finish(judge(df, []), F.lit(0.0))
     df = running_total(df, ["conv_id"], "turn", reply_cost(usage is not None), "_session_cost", chunk=chunk, tiebreak=["message_id"])
+    # a wide decimal is taken apart and put together again in every projection it passes
+    df = df.withColumn("_session_cost", F.col("_session_cost").cast("double"))
     return finish(judge(df, ["_session_cost"]), F.col("_session_cost"))
 
 

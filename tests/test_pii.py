@@ -221,3 +221,25 @@ def test_exploded_entities_scan_a_text_once(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 4
     assert sorted((r.id, r.no, r.value) for r in got.collect()) == [(1, 0, "a@b.co"), (1, 1, "555-123-4567")]
+
+
+def test_each_text_is_scanned_by_one_form_of_each_pattern(spark):
+    """No split (its pattern is compiled for every text), no second form of a pattern: the generated method stays below what the JVM compiles."""
+    got = pii.with_entities(spark.createDataFrame([("a", 1)], "text string, id int"), "text")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and plan.count("regexp_extract_all") == 2 * len(pii.PII_PATTERNS)
+
+
+def test_few_matches_without_a_fold(spark):
+    """One match, two apart, two in falling order of detection, two that overlap, several of one pattern; ASCII and not."""
+    texts = [
+        "a@x.com", "\n(555) 123-4567\n", "+1-555-123-4567", "x 10.0.0.1, a@x.com y", "a@x.com, 10.0.0.1", "Card 4532123456789010 é",
+        "12345-6789 and 10.0.0.1", "555-123-4567 555-123-4568 555-123-4569", "😀😀 order #AB12345 😀 a@x.com 😀", "123-45-6789 " * 3,
+        "a@x.com b@y.com 10.0.0.1", "no digits", "١٢٣-٤٥-٦٧٨٩", "é 5", "4532 1234 5678 9010\x85 1.2.3.4.5.6.7.8",
+    ]
+    for text, (red, ents, meta) in zip(texts, run(spark, texts)):
+        assert (red, ents) == model(text)
+    df = spark.createDataFrame([(None, [(1, 2, "NAME_ORG", "x", 0.75)]), ("ab", [(0, 1, "NAME_ORG", "a", 0.75)])],
+                               "text string, ext array<struct<start:int,end:int,type:string,value:string,confidence:double>>")
+    got = {r.text: r.e for r in pii.with_entities(df, "text", "e", external_col="ext").collect()}
+    assert got[None] is None and [(e.start, e.end) for e in got["ab"]] == [(0, 1)]

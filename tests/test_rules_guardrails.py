@@ -84,3 +84,13 @@ def test_escalation_and_review(spark):
     assert rows[1].why == "low_confidence"
     assert rows[2].why is None
     assert rows[3].esc and rows[3].band == "negative"
+
+
+def test_resolution_computes_what_is_read(spark):
+    """The final reply needs neither suggestions nor the first pass's issue texts."""
+    df = spark.createDataFrame([("Call 555-123-4567", 0.9, "greeting")], "reply string, score double, intent string")
+    got = G.with_resolution(df, "reply", "score", "intent")
+    plan = got.select("final_response", "guardrail_outcome")._jdf.queryExecution().optimizedPlan().toString()
+    assert G.SUGGEST_EMPATHY not in plan and G.ISSUE_EMPATHY not in plan
+    row = got.first()
+    assert (row.final_response, row.guardrail_outcome) == ("Call [PHONE]", "redacted") and row.first_pass_issues == [G.ISSUE_PII_PREFIX + "['PHONE']"]
